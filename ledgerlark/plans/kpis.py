@@ -15,20 +15,27 @@ from ..schema import BASE_COLUMNS, QUOTE_SCHEMA, STATEMENT_SCHEMA
 EBIT_FALLBACKS = ("any_zero", "missing")
 
 
-def with_ebit(statements: DataFrame, fallback: str = "any_zero") -> DataFrame:
+def zero_ebit_symbols(statements: DataFrame) -> DataFrame:
+    """Symbols with an EBIT of exactly 0 in any row: a filtered two-column scan, one row per symbol."""
+    found = statements.where(F.col("ebit") == 0).select("symbol").distinct()
+    return found.withColumn("_use_income", F.lit(True))
+
+
+def with_ebit(statements: DataFrame, fallback: str = "any_zero", flagged: DataFrame | None = None) -> DataFrame:
     """EBIT with operating income as its stand-in.
 
     ``any_zero``: if any EBIT of a symbol is 0, all its rows take operating
-    income. ``missing``: only rows without EBIT do. The flagged symbols come from
-    a filtered, deduplicated scan, so a symbol with many rows meets one flag row
-    and the join may be split where it is skewed.
+    income. ``missing``: only rows without EBIT do. ``flagged`` may hand in the
+    result of ``zero_ebit_symbols``. As it has one row per symbol, a symbol with
+    many statement rows can be split in the join.
     """
     if fallback not in EBIT_FALLBACKS:
         raise ValueError(f"fallback must be one of {EBIT_FALLBACKS}")
     if fallback == "missing":
         kept = F.nanvl(F.col("ebit"), F.lit(None))
         return statements.withColumn("ebit", F.coalesce(kept, F.col("operating_income")))
-    flagged = statements.where(F.col("ebit") == 0).select("symbol", F.lit(True).alias("_use_income")).distinct()
+    if flagged is None:
+        flagged = zero_ebit_symbols(statements)
     value = F.when(F.col("_use_income"), F.col("operating_income")).otherwise(F.col("ebit"))
     joined = statements.join(flagged, "symbol", "left")
     return joined.select(*[value.alias(c) if c == "ebit" else F.col(c) for c in statements.columns])
@@ -63,12 +70,13 @@ def compute_kpis(
     """One KPI row per statement row: 157 base and 27 derived columns.
 
     ``statements`` has snake_case names; ``quotes`` has ``symbol`` and the vendor
-    quote fields. Both joins and the window share the exchange on symbol, and all
+    quote fields. The window and both joins share the exchange on symbol, and all
     columns are computed in one projection. NaN and infinity become NULL.
     """
-    rows = conform(statements, STATEMENT_SCHEMA)
-    rows = with_quotes(with_ebit(rows, ebit_fallback), quotes)
-    rows = with_debt_change(rows, split_rows)
+    base = conform(statements, STATEMENT_SCHEMA)
+    rows = with_debt_change(base, split_rows)
+    rows = with_ebit(rows, ebit_fallback, zero_ebit_symbols(base))
+    rows = with_quotes(rows, quotes)
     derived = derived_columns(F.col("ebit"), F.col("_debt_change"))
     return rows.select(
         *[_plain(name) for name in BASE_COLUMNS],

@@ -32,10 +32,13 @@ def read_tickers(spark: SparkSession, path: str, dash_classes: bool = False) ->
     return listed.select(symbol.alias("symbol")).where(F.col("symbol") != "")
 
 
-def read_metrics(spark: SparkSession, path: str, schema: T.StructType = METRIC_SCHEMA) -> DataFrame:
-    """Wide metrics CSV with a header. Declared columns get their type, the
-    others stay text, and quoted line breaks inside a cell are allowed."""
-    text = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+def read_metrics(
+    spark: SparkSession, path: str, schema: T.StructType = METRIC_SCHEMA, multi_line: bool = False
+) -> DataFrame:
+    """Wide metrics CSV with a header. Declared columns get their type, the others
+    stay text. ``multi_line`` allows line breaks inside cells, but then a file is
+    read by one task."""
+    text = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
     types = {f.name: f.dataType for f in schema.fields}
     return nan_to_null(
         text.select(

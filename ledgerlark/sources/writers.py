@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import upsert
+from ..session import settle
 
 # One-letter write modes of a snapshot.
 SNAPSHOT_MODES = {"w": "overwrite", "a": "append"}
@@ -58,12 +59,14 @@ def upsert_table(new: DataFrame, path: str, keys: Sequence[str], partition_by: S
     """
     spark = new.sparkSession
     parts = list(partition_by)
+    new = settle(new)
     try:
         stored = spark.read.parquet(path)
     except AnalysisException:
         stored = None
     merged = new
     if stored is not None:
+        # One row per partition folder of the batch, so its size is bounded.
         touched = stored.join(F.broadcast(new.select(*parts).distinct()), parts, "left_semi")
         merged = upsert(touched, new, keys)
     (
