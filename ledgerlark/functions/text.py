@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 _WORD_START = "(.)([A-Z][a-z]+)"
 _CAPITAL_AFTER_LOWER = "([a-z0-9])([A-Z])"
 
-# Fixed value: layout of a time stamp used in names.
-STAMP_FORMAT = "yyyy-MM-dd-HH-mm-ss"
-
-
 def camel_to_snake(value: Column) -> Column:
     """camelCase text to snake_case."""
     words = F.regexp_replace(value, _WORD_START, "$1_$2")
@@ -48,8 +44,11 @@ def host_port(host: Column, port: Column) -> Column:
 
 
 def stamp_text(ts: Column) -> Column:
-    """Time stamp as ``2024-01-31-23-59-58``."""
-    return F.date_format(ts, STAMP_FORMAT)
+    """Time stamp as ``2024-01-31-23-59-58``.
+
+    Built from its text form, since date formats go through the session time zone.
+    """
+    return F.translate(F.substring(ts.cast("string"), 1, 19), " :", "--")
 
 
 def iso_timestamp(text: str) -> Column:

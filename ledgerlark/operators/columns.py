@@ -9,14 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numbers import is_floating
+from ..functions.numbers import is_floating, quoted
 from ..functions.text import snake_name
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def rename_snake(df: DataFrame) -> DataFrame:
     """Rename all columns from camelCase to snake_case."""
     return df.withColumnsRenamed({name: snake_name(name) for name in df.columns})
@@ -25,9 +21,10 @@ def rename_snake(df: DataFrame) -> DataFrame:
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Declared columns in declared order: missing ones NULL, unknown ones dropped."""
     present = set(df.columns)
-    return df.select(
-        [
-            (F.col(_quoted(f.name)) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
+    return df.selectExpr(
+        *[
+            f"CAST({quoted(f.name) if f.name in present else 'NULL'} AS {f.dataType.simpleString()})"
+            f" AS {quoted(f.name)}"
             for f in schema.fields
         ]
     )
@@ -51,7 +48,7 @@ def _moved(names: Sequence[str], source: int, target: int) -> list[str]:
 
 def move_column(df: DataFrame, source: int, target: int) -> DataFrame:
     """Move the column at ``source`` to ``target``; a target past the end appends."""
-    return df.select([_quoted(name) for name in _moved(df.columns, source, target)])
+    return df.select([quoted(name) for name in _moved(df.columns, source, target)])
 
 
 def rearrange(df: DataFrame, steps: Iterable[tuple], strict: bool = False) -> DataFrame:
@@ -68,7 +65,7 @@ def rearrange(df: DataFrame, steps: Iterable[tuple], strict: bool = False) -> Da
             names = [name for name in names if name != gone]
         else:
             raise ValueError(f"unknown step: {action}")
-    return df.select([_quoted(name) for name in names])
+    return df.select([quoted(name) for name in names])
 
 
 def drop_all_null_columns(df: DataFrame) -> DataFrame:
@@ -78,16 +75,16 @@ def drop_all_null_columns(df: DataFrame) -> DataFrame:
     one-row result.
     """
     counts = [
-        F.count(F.nanvl(F.col(_quoted(f.name)), F.lit(None)) if is_floating(f.dataType) else F.col(_quoted(f.name)))
+        f"count(nanvl({quoted(f.name)}, NULL))" if is_floating(f.dataType) else f"count({quoted(f.name)})"
         for f in df.schema.fields
     ]
-    filled = df.agg(*[count.alias(str(at)) for at, count in enumerate(counts)]).first()
-    return df.select([_quoted(name) for at, name in enumerate(df.columns) if filled[at] > 0])
+    filled = df.selectExpr(*counts).first()
+    return df.select([quoted(name) for at, name in enumerate(df.columns) if filled[at] > 0])
 
 
 def sort_columns(df: DataFrame) -> DataFrame:
     """Columns in alphabetical order."""
-    return df.select([_quoted(name) for name in sorted(df.columns)])
+    return df.select([quoted(name) for name in sorted(df.columns)])
 
 
 def column_difference(left: DataFrame, right: DataFrame) -> list[str]:

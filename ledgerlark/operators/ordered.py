@@ -165,6 +165,11 @@ def _chunk_plan(cut: DataFrame, keys: Sequence[str], reach: int, chunk_rows: int
     )
 
 
+def has_heavy_keys(df: DataFrame, keys: Sequence[str], split_rows: int = SPLIT_ROWS) -> bool:
+    """Whether any key has more than ``split_rows`` rows."""
+    return not df.groupBy(*keys).count().where(F.col("count") > split_rows).isEmpty()
+
+
 def lookback_window(
     df: DataFrame,
     keys: Sequence[str],
@@ -181,20 +186,39 @@ def lookback_window(
     """
     cut = slice_heavy_keys(df, keys, order, split_rows, slices)
     if cut is None:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.select("*", *[value.alias(name) for name, value in columns(window).items()])
+        return plain_window(df, keys, order, columns)
+    return chunked_window(cut, keys, order, reach, columns, split_rows)
+
+
+def plain_window(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Callable[[WindowSpec], dict[str, Column]]
+) -> DataFrame:
+    """Window columns with one task per key."""
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return df.select("*", *[value.alias(name) for name, value in columns(window).items()])
+
+
+def chunked_window(
+    cut: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    reach: int,
+    columns: Callable[[WindowSpec], dict[str, Column]],
+    split_rows: int = SPLIT_ROWS,
+) -> DataFrame:
+    """Window columns over the output of ``slice_heavy_keys``, heavy keys in chunks."""
+    names = [c for c in cut.columns if c != SLICE]
     plan = settle(_chunk_plan(cut, keys, reach, max(split_rows, reach)))
     routed = null_safe_join(cut, broadcast_if_small(plan), [*keys, SLICE], "left")
     only_chunk = F.array(F.lit(0).cast("bigint"))
     spread = routed.select(
-        *df.columns,
+        *names,
         F.coalesce(_OWN, F.lit(0)).alias(_OWN),
         F.explode(F.coalesce(F.col(_TARGETS), only_chunk)).alias(_CHUNK),
     )
-    window = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
-    new = columns(window)
+    new = columns(Window.partitionBy(*keys, _CHUNK).orderBy(*order))
     return (
         spread.select("*", *[value.alias(name) for name, value in new.items()])
         .where(F.col(_OWN) == F.col(_CHUNK))
-        .select(*df.columns, *new)
+        .select(*names, *new)
     )

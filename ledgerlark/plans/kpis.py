@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numbers import finite
+from ..functions.numbers import finite, finite_sql, is_floating
 from ..functions.ratios import QUOTE_COLUMNS, derived_columns
 from ..operators.columns import conform
-from ..operators.ordered import SPLIT_ROWS, lookback_window
-from ..schema import BASE_COLUMNS, QUOTE_SCHEMA, STATEMENT_SCHEMA
+from ..operators.ordered import (
+    SPLIT_ROWS,
+    chunked_window,
+    has_heavy_keys,
+    lookback_window,
+    plain_window,
+    slice_heavy_keys,
+)
+from ..schema import QUOTE_SCHEMA, STATEMENT_SCHEMA
 
 EBIT_FALLBACKS = ("any_zero", "missing")
+STATEMENT_ORDER = ("as_of_date", "period_type")
 
 
 def zero_ebit_symbols(statements: DataFrame) -> DataFrame:
@@ -21,24 +29,44 @@ def zero_ebit_symbols(statements: DataFrame) -> DataFrame:
     return found.withColumn("_use_income", F.lit(True))
 
 
-def with_ebit(statements: DataFrame, fallback: str = "any_zero", flagged: DataFrame | None = None) -> DataFrame:
+def with_ebit(statements: DataFrame, fallback: str = "any_zero", split_rows: int = SPLIT_ROWS) -> DataFrame:
     """EBIT with operating income as its stand-in.
 
     ``any_zero``: if any EBIT of a symbol is 0, all its rows take operating
-    income. ``missing``: only rows without EBIT do. ``flagged`` may hand in the
-    result of ``zero_ebit_symbols``. As it has one row per symbol, a symbol with
-    many statement rows can be split in the join.
+    income. ``missing``: only rows without EBIT do.
     """
+    if _checked(fallback) == "missing":
+        return _fill_missing_ebit(statements)
+    if has_heavy_keys(statements, ["symbol"], split_rows):
+        return _join_zero_ebit(statements, zero_ebit_symbols(statements))
+    return _window_zero_ebit(statements)
+
+
+def _checked(fallback: str) -> str:
     if fallback not in EBIT_FALLBACKS:
         raise ValueError(f"fallback must be one of {EBIT_FALLBACKS}")
-    if fallback == "missing":
-        kept = F.nanvl(F.col("ebit"), F.lit(None))
-        return statements.withColumn("ebit", F.coalesce(kept, F.col("operating_income")))
-    if flagged is None:
-        flagged = zero_ebit_symbols(statements)
+    return fallback
+
+
+def _fill_missing_ebit(statements: DataFrame) -> DataFrame:
+    kept = F.nanvl(F.col("ebit"), F.lit(None))
+    return statements.withColumn("ebit", F.coalesce(kept, F.col("operating_income")))
+
+
+def _window_zero_ebit(statements: DataFrame) -> DataFrame:
+    """The flag as a window, on the exchange that other windows on symbol use too."""
+    any_zero = F.max(F.col("ebit") == 0).over(Window.partitionBy("symbol"))
+    return _use_income(statements, statements.withColumn("_use_income", any_zero))
+
+
+def _join_zero_ebit(statements: DataFrame, flagged: DataFrame) -> DataFrame:
+    """The flag as a join with one row per symbol, so the rows of a heavy symbol can be split."""
+    return _use_income(statements, statements.join(flagged, "symbol", "left"))
+
+
+def _use_income(statements: DataFrame, marked: DataFrame) -> DataFrame:
     value = F.when(F.col("_use_income"), F.col("operating_income")).otherwise(F.col("ebit"))
-    joined = statements.join(flagged, "symbol", "left")
-    return joined.select(*[value.alias(c) if c == "ebit" else F.col(c) for c in statements.columns])
+    return marked.select(*[value.alias(c) if c == "ebit" else c for c in statements.columns])
 
 
 def with_quotes(statements: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -49,16 +77,13 @@ def with_quotes(statements: DataFrame, quotes: DataFrame) -> DataFrame:
     return statements.join(figures, "symbol", "left").select(*statements.columns, *QUOTE_COLUMNS)
 
 
+def _debt_change(window: WindowSpec) -> dict[str, Column]:
+    return {"_debt_change": F.col("total_debt") - F.lag("total_debt").over(window)}
+
+
 def with_debt_change(statements: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Change of total debt from the row before, in order of date and period."""
-    return lookback_window(
-        statements,
-        keys=["symbol"],
-        order=["as_of_date", "period_type"],
-        reach=1,
-        columns=lambda w: {"_debt_change": F.col("total_debt") - F.lag("total_debt").over(w)},
-        split_rows=split_rows,
-    )
+    return lookback_window(statements, ["symbol"], STATEMENT_ORDER, 1, _debt_change, split_rows)
 
 
 def compute_kpis(
@@ -70,20 +95,25 @@ def compute_kpis(
     """One KPI row per statement row: 157 base and 27 derived columns.
 
     ``statements`` has snake_case names; ``quotes`` has ``symbol`` and the vendor
-    quote fields. The window and both joins share the exchange on symbol, and all
-    columns are computed in one projection. NaN and infinity become NULL.
+    quote fields. Unless a symbol is heavy, both windows share one exchange on
+    symbol, and so does the join with quotes too big to broadcast. All columns
+    are computed in one projection. NaN and infinity become NULL.
     """
+    _checked(ebit_fallback)
     base = conform(statements, STATEMENT_SCHEMA)
-    rows = with_debt_change(base, split_rows)
-    rows = with_ebit(rows, ebit_fallback, zero_ebit_symbols(base))
-    rows = with_quotes(rows, quotes)
+    cut = slice_heavy_keys(base, ["symbol"], STATEMENT_ORDER, split_rows)
+    if cut is None:
+        rows = plain_window(base, ["symbol"], STATEMENT_ORDER, _debt_change)
+    else:
+        rows = chunked_window(cut, ["symbol"], STATEMENT_ORDER, 1, _debt_change, split_rows)
+    if ebit_fallback == "missing":
+        rows = _fill_missing_ebit(rows)
+    elif cut is None:
+        rows = _window_zero_ebit(rows)
+    else:
+        rows = _join_zero_ebit(rows, zero_ebit_symbols(base))
     derived = derived_columns(F.col("ebit"), F.col("_debt_change"))
-    return rows.select(
-        *[_plain(name) for name in BASE_COLUMNS],
+    return with_quotes(rows, quotes).select(
+        *[F.expr(finite_sql(f.name)) if is_floating(f.dataType) else f.name for f in STATEMENT_SCHEMA.fields],
         *[finite(value).alias(name) for name, value in derived.items()],
     )
-
-
-def _plain(name: str) -> Column:
-    measure = STATEMENT_SCHEMA[name].dataType.typeName() == "double"
-    return finite(F.col(name)).alias(name) if measure else F.col(name)

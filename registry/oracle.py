@@ -12,27 +12,23 @@ lines AS (
            sum(CASE WHEN l_linestatus = 'F' THEN net * (1 - tax) ELSE 0 END) AS after_tax,
            sum(CASE WHEN l_linestatus = 'O' THEN extended * tax END) AS open_tax
     FROM (
-        SELECT *, extended * (1 - CAST(l_discount AS DECIMAL(4,2))) AS net
-        FROM (
-            SELECT *, CAST(l_extendedprice AS DECIMAL(12,2)) AS extended,
-                   CAST(l_tax AS DECIMAL(4,2)) AS tax
-            FROM lineitem
-        ) AS priced
-    ) AS discounted
+        SELECT *, l_extendedprice AS extended, l_tax AS tax, l_extendedprice * (1 - l_discount) AS net
+        FROM lineitem
+    ) AS priced
     GROUP BY l_orderkey
 )
 """
 
 _PANEL_SUMS = """
-           CAST(sum(price) AS DOUBLE) AS total_assets,
-           CAST(sum(CASE WHEN o_orderstatus = 'O' THEN price ELSE 0 END) AS DOUBLE) AS total_debt,
-           CAST(sum(CASE WHEN o_orderstatus = 'F' THEN price ELSE 0 END) AS DOUBLE) AS stockholders_equity,
-           CAST(sum(CASE WHEN o_orderstatus = 'P' THEN price ELSE 0 END) AS DOUBLE) AS current_liabilities,
-           CAST(sum(CASE WHEN o_orderstatus <> 'F' THEN price ELSE 0 END) AS DOUBLE) AS liabilities,
-           CAST(sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN price ELSE 0 END) AS DOUBLE)
+           round(sum(price), 6) AS total_assets,
+           round(sum(CASE WHEN o_orderstatus = 'O' THEN price ELSE 0 END), 6) AS total_debt,
+           round(sum(CASE WHEN o_orderstatus = 'F' THEN price ELSE 0 END), 6) AS stockholders_equity,
+           round(sum(CASE WHEN o_orderstatus = 'P' THEN price ELSE 0 END), 6) AS current_liabilities,
+           round(sum(CASE WHEN o_orderstatus <> 'F' THEN price ELSE 0 END), 6) AS liabilities,
+           round(sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN price ELSE 0 END), 6)
                AS current_assets,
-           CAST(sum(CASE WHEN o_orderpriority = '1-URGENT' THEN price ELSE 0 END) AS DOUBLE) AS cash,
-           CAST(sum(CASE WHEN o_orderpriority <> '5-LOW' THEN price ELSE 0 END) AS DOUBLE) AS tangible
+           round(sum(CASE WHEN o_orderpriority = '1-URGENT' THEN price ELSE 0 END), 6) AS cash,
+           round(sum(CASE WHEN o_orderpriority <> '5-LOW' THEN price ELSE 0 END), 6) AS tangible
 """
 
 _KEYS = """
@@ -45,7 +41,7 @@ _PANEL = f"""
 panel AS (
 {_KEYS}
 {_PANEL_SUMS}
-    FROM (SELECT *, CAST(o_totalprice AS DECIMAL(18,2)) AS price FROM orders) AS o
+    FROM (SELECT *, o_totalprice AS price FROM orders) AS o
     GROUP BY o_custkey, year(o_orderdate)
 )
 """
@@ -55,13 +51,13 @@ _PANEL_WITH_LINES = f"""
 panel AS (
 {_KEYS}
 {_PANEL_SUMS},
-           CAST(sum(accepted) AS DOUBLE) AS ebit,
-           CAST(sum(accepted + kept) AS DOUBLE) AS operating_income,
-           CAST(sum(shipped) AS DOUBLE) AS pretax_income,
-           CAST(sum(after_tax) AS DOUBLE) AS net_income,
-           CAST(sum(open_tax) AS DOUBLE) AS interest_expense,
-           CAST(sum(kept - returned) AS DOUBLE) AS free_cash_flow
-    FROM (SELECT *, CAST(o_totalprice AS DECIMAL(18,2)) AS price FROM orders) AS o
+           round(sum(accepted), 6) AS ebit,
+           round(sum(accepted + kept), 6) AS operating_income,
+           round(sum(shipped), 6) AS pretax_income,
+           round(sum(after_tax), 6) AS net_income,
+           round(sum(open_tax), 6) AS interest_expense,
+           round(sum(kept - returned), 6) AS free_cash_flow
+    FROM (SELECT *, o_totalprice AS price FROM orders) AS o
     LEFT JOIN lines ON l_orderkey = o_orderkey
     GROUP BY o_custkey, year(o_orderdate)
 )

@@ -1,6 +1,7 @@
 """The given tables in the shape of the engine's inputs.
 
-Money is summed as DECIMAL, so that sums do not depend on the order of rows.
+Sums of money are rounded to the digits that the exact sum has, so that they do
+not depend on the order of rows.
 """
 
 from __future__ import annotations
@@ -30,11 +31,11 @@ def raw_statements(spark: SparkSession, sf_dir: str, with_lines: bool = False) -
 
     Lines are summed per order before they meet the orders.
     """
-    price = F.col("o_totalprice").cast("decimal(18,2)")
+    price = F.col("o_totalprice")
     status, urgency = F.col("o_orderstatus"), F.col("o_orderpriority")
 
     def total(condition: Column) -> Column:
-        return F.sum(F.when(condition, price).otherwise(F.lit(0).cast("decimal(18,2)")))
+        return F.sum(F.when(condition, price).otherwise(F.lit(0.0)))
 
     measures = {
         "TotalAssets": F.sum(price),
@@ -58,7 +59,7 @@ def raw_statements(spark: SparkSession, sf_dir: str, with_lines: bool = False) -
             "FreeCashFlow": F.sum(F.col("kept") - F.col("returned")),
         }
     summed = orders.groupBy("o_custkey", F.year("o_orderdate").alias("_year")).agg(
-        *[value.cast("double").alias(name) for name, value in measures.items()]
+        *[F.round(value, 6).alias(name) for name, value in measures.items()]
     )
     return summed.select(
         code("C", "o_custkey").alias("symbol"),
@@ -70,15 +71,21 @@ def raw_statements(spark: SparkSession, sf_dir: str, with_lines: bool = False) -
 
 
 def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    extended = F.col("l_extendedprice").cast("decimal(12,2)")
-    net = extended * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))
-    tax = F.col("l_tax").cast("decimal(4,2)")
+    extended, tax, net = F.col("extended"), F.col("tax"), F.col("net")
     flag, status = F.col("l_returnflag"), F.col("l_linestatus")
 
     def total(condition: Column, value: Column) -> Column:
-        return F.sum(F.when(condition, value).otherwise(F.lit(0)))
-
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        return F.sum(F.when(condition, value).otherwise(F.lit(0.0)))
+
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_returnflag",
+        "l_linestatus",
+        F.col("l_extendedprice").alias("extended"),
+        F.col("l_tax").alias("tax"),
+        (F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount"))).alias("net"),
+    )
+    return lines.groupBy("l_orderkey").agg(
         total(flag == "A", net).alias("accepted"),
         total(flag == "N", net).alias("kept"),
         total(flag == "R", net).alias("returned"),
@@ -190,9 +197,9 @@ def error_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def day_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """KPI dates off the trading dates: the midnight after each active day of a user."""
-    day = F.date_trunc("day", F.col("ts")).cast("timestamp_ntz")
+    midnight = F.date_add(F.col("ts").cast("date"), 1).cast("timestamp_ntz")
     return (
         table(spark, sf_dir, "events")
-        .select(code("U", "user_id").alias("symbol"), (day + F.expr("INTERVAL 1 DAY")).alias("date"))
+        .select(code("U", "user_id").alias("symbol"), midnight.alias("date"))
         .distinct()
     )
