@@ -57,10 +57,14 @@ def lookup(table: DataFrame, symbol: str) -> DataFrame:
     return table.where(F.col("symbol") == F.lit(symbol))
 
 
-def split_rejects(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Good rows and rejected records of a permissive read."""
-    good = parsed.where(F.col(REJECT).isNull()).drop(REJECT)
-    return good, parsed.where(F.col(REJECT).isNotNull()).select(REJECT)
+def split_rejects(lines: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """JSON lines in the column ``value`` to good rows and rejected lines."""
+    marked = T.StructType([*schema.fields, T.StructField(REJECT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": REJECT}
+    parsed = lines.select("value", F.from_json("value", marked, options).alias("_parsed"))
+    failed = F.col("_parsed").isNull() | F.col(f"_parsed.{REJECT}").isNotNull()
+    good = parsed.where(~failed).select(*[F.col("_parsed")[name].alias(name) for name in schema.names])
+    return good, parsed.where(failed).select(F.col("value").alias(REJECT))
 
 
 def parse_statements(raw: DataFrame, period_type: str | None = ANNUAL) -> DataFrame:
@@ -79,14 +83,7 @@ def landed_statements(spark: SparkSession, path: str, schema: T.StructType) -> t
 
     Vendor replies that are not a table end up among the rejects.
     """
-    marked = T.StructType([*schema.fields, T.StructField(REJECT, T.StringType())])
-    parsed = (
-        spark.read.schema(marked)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", REJECT)
-        .json(path)
-    )
-    return split_rejects(parsed)
+    return split_rejects(spark.read.text(path), schema)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:

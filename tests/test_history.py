@@ -1,0 +1,69 @@
+from __future__ import annotations
+
+import datetime as dt
+import random
+
+import pytest
+
+from ledgerlark.plans import at_dates, average_history, average_history_asof, rolling_average, truncate_before
+
+from .conftest import rows
+
+DAY = dt.timedelta(days=1)
+START = dt.datetime(2016, 12, 25)
+
+
+def prices(spark, values, symbol="a", start=START):
+    data = [(symbol, start + n * DAY, v) for n, v in enumerate(values)]
+    return spark.createDataFrame(data, "symbol string, date timestamp_ntz, close double")
+
+
+def test_rolling_needs_a_full_window(spark):
+    df = prices(spark, [1.0, 2.0, None, 4.0, 5.0, 6.0])
+    out = rolling_average(df, 3).orderBy("date").collect()
+    assert [r["close"] for r in out] == [None] * 5 + [5.0]
+
+
+@pytest.mark.parametrize("split_rows", [10_000, 25])
+def test_null_count_per_symbol(spark, split_rows):
+    df = prices(spark, [1.0] * 100).union(prices(spark, [2.0] * 7, "b")).union(prices(spark, [3.0] * 3, "c"))
+    out = rolling_average(df, 8, split_rows=split_rows)
+    empty = out.where("close IS NULL").groupBy("symbol").count()
+    assert rows(empty) == [("a", 7), ("b", 7), ("c", 3)]
+
+
+def test_truncate_is_inclusive(spark):
+    df = prices(spark, range_values := [float(n) for n in range(10)])
+    assert truncate_before(df).count() == len(range_values) - 7
+
+
+@pytest.mark.parametrize("split_rows", [10_000, 20])
+def test_average_history(spark, split_rows):
+    rng = random.Random(1)
+    values = [rng.uniform(1, 9) for _ in range(120)]
+    df = prices(spark, values).union(prices(spark, values[::-1], "b")).union(prices(spark, values, "skipped"))
+    wanted = [("a", 20), ("a", 60), ("a", 60), ("b", 119), ("b", 500), ("a", 3)]
+    dates = spark.createDataFrame([(s, START + n * DAY) for s, n in wanted], "symbol string, date timestamp_ntz")
+    out = average_history(df, dates, period=10, split_rows=split_rows)
+
+    def mean(series, at):  # the history starts on 2017-01-01, the 8th day
+        window = series[max(at - 9, 7) : at + 1]
+        return sum(window) / 10 if len(window) == 10 else None
+
+    expected = [("a", 20, mean(values, 20)), ("a", 60, mean(values, 60)), ("b", 119, mean(values[::-1], 119))]
+    got = [(s, (d - START).days, v) for s, d, v in rows(out)]
+    assert got == [(s, n, pytest.approx(v)) for s, n, v in sorted(expected)]
+
+
+def test_at_dates_is_a_semi_join(spark):
+    df = prices(spark, [1.0, 2.0, 3.0])
+    dates = df.where("close > 1").select("symbol", "date")
+    assert rows(at_dates(df, dates.union(dates)), "close") == [(2.0,), (3.0,)]
+
+
+def test_average_history_asof(spark):
+    df = prices(spark, [float(n) for n in range(10)], start=dt.datetime(2017, 1, 1))
+    asked = [dt.datetime(2016, 1, 1), dt.datetime(2017, 1, 3, 12), dt.datetime(2018, 1, 1)]
+    dates = spark.createDataFrame([("a", d) for d in asked], "symbol string, date timestamp_ntz")
+    out = average_history_asof(df, dates, period=2)
+    assert rows(out) == sorted([("a", asked[0], None), ("a", asked[1], 1.5), ("a", asked[2], 8.5)], key=repr)
