@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import iso_timestamp
 from ..operators.asof import asof_join
-from ..operators.ordered import SPLIT_ROWS, lookback_window
+from ..operators.ordered import SPLIT_ROWS, chunked_window, plain_window, slice_heavy_keys
 
 # Default window length in rows and first day of the history.
 PERIOD = 120
 START = "2017-01-01"
 
+_ROLLED = "_rolled_"
+
 
 def truncate_before(history: DataFrame, start: str = START, date: str = "date") -> DataFrame:
     """Rows dated ``start`` or later."""
@@ -35,23 +37,33 @@ def rolling_average(
     keys: Sequence[str] = ("symbol",),
     order: Sequence[str] = ("date",),
     split_rows: int = SPLIT_ROWS,
+    symbols: DataFrame | None = None,
 ) -> DataFrame:
     """Replace each value column by its mean over the last ``period`` rows.
 
     NULL until the window is full, and NULL if it holds a NULL. ``values``
-    defaults to all numeric columns.
+    defaults to all numeric columns. With ``symbols``, a table of keys, only those
+    keys are computed; the semi-join uses the exchange of the window unless
+    ``symbols`` is broadcast.
     """
-    taken = list(keys) + list(order)
-    values = list(values) if values is not None else _prices(history, taken)
+    values = list(values) if values is not None else _prices(history, [*keys, *order])
 
-    def averages(window):
+    def averages(window: WindowSpec) -> dict[str, Column]:
         frame = window.rowsBetween(-(period - 1), 0)
         return {
-            f"_rolled_{v}": F.when(F.count(v).over(frame) == period, F.avg(v).over(frame)) for v in values
+            _ROLLED + v: F.when(F.count(v).over(frame) == period, F.avg(v).over(frame)) for v in values
         }
 
-    rolled = lookback_window(history, keys, order, period - 1, averages, split_rows)
-    return rolled.select(*[F.col(f"_rolled_{c}").alias(c) if c in values else F.col(c) for c in history.columns])
+    # Heavy keys are measured before the semi-join, so that this stays a plain aggregate.
+    cut = slice_heavy_keys(history, keys, order, split_rows)
+    rows = history if cut is None else cut
+    if symbols is not None:
+        rows = rows.join(symbols.select(*keys).distinct(), list(keys), "left_semi")
+    if cut is None:
+        rolled = plain_window(rows, keys, order, averages)
+    else:
+        rolled = chunked_window(rows, keys, order, period - 1, averages, split_rows)
+    return rolled.select(*[F.col(_ROLLED + c).alias(c) if c in values else F.col(c) for c in history.columns])
 
 
 def at_dates(history: DataFrame, dates: DataFrame, keys: Sequence[str] = ("symbol", "date")) -> DataFrame:
@@ -70,12 +82,11 @@ def average_history(
     """Rolling average of the truncated history at the KPI dates, all symbols at once.
 
     ``kpi_dates`` has ``symbol`` and ``date``. Symbols without a KPI date are
-    dropped before the window; that join and the window share the exchange on
-    symbol.
+    dropped before the window.
     """
-    wanted = kpi_dates.select("symbol").distinct()
-    recent = truncate_before(history, start).join(wanted, "symbol", "left_semi")
-    return at_dates(rolling_average(recent, period, values, split_rows=split_rows), kpi_dates)
+    recent = truncate_before(history, start)
+    rolled = rolling_average(recent, period, values, split_rows=split_rows, symbols=kpi_dates)
+    return at_dates(rolled, kpi_dates)
 
 
 def average_history_asof(
@@ -88,7 +99,6 @@ def average_history_asof(
 ) -> DataFrame:
     """As ``average_history``, but each KPI date takes the last trading day at or before it."""
     values = list(values) if values is not None else _prices(history, ["symbol", "date"])
-    wanted = kpi_dates.select("symbol").distinct()
-    recent = truncate_before(history, start).join(wanted, "symbol", "left_semi")
-    rolled = rolling_average(recent, period, values, split_rows=split_rows)
+    recent = truncate_before(history, start)
+    rolled = rolling_average(recent, period, values, split_rows=split_rows, symbols=kpi_dates)
     return asof_join(kpi_dates, rolled, ["symbol"], "date", "date", values, split_rows)

@@ -91,21 +91,27 @@ def compute_kpis(
     quotes: DataFrame,
     ebit_fallback: str = "any_zero",
     split_rows: int = SPLIT_ROWS,
+    symbols: DataFrame | None = None,
 ) -> DataFrame:
     """One KPI row per statement row: 157 base and 27 derived columns.
 
     ``statements`` has snake_case names; ``quotes`` has ``symbol`` and the vendor
-    quote fields. Unless a symbol is heavy, both windows share one exchange on
-    symbol, and so does the join with quotes too big to broadcast. All columns
-    are computed in one projection. NaN and infinity become NULL.
+    quote fields. With ``symbols`` only the statements of those symbols are taken.
+    Unless a symbol is heavy, both windows share one exchange on symbol, and so do
+    the joins with tables too big to broadcast. All columns are computed in one
+    projection. NaN and infinity become NULL.
     """
     _checked(ebit_fallback)
     base = conform(statements, STATEMENT_SCHEMA)
+    # Heavy symbols are measured before the semi-join, so that this stays a plain aggregate.
     cut = slice_heavy_keys(base, ["symbol"], STATEMENT_ORDER, split_rows)
+    rows = base if cut is None else cut
+    if symbols is not None:
+        rows = rows.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
     if cut is None:
-        rows = plain_window(base, ["symbol"], STATEMENT_ORDER, _debt_change)
+        rows = plain_window(rows, ["symbol"], STATEMENT_ORDER, _debt_change)
     else:
-        rows = chunked_window(cut, ["symbol"], STATEMENT_ORDER, 1, _debt_change, split_rows)
+        rows = chunked_window(rows, ["symbol"], STATEMENT_ORDER, 1, _debt_change, split_rows)
     if ebit_fallback == "missing":
         rows = _fill_missing_ebit(rows)
     elif cut is None:

@@ -22,8 +22,7 @@ def pending_kpis(
     split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
     """KPI rows of the tickers that the existing table lacks."""
-    todo = pending(tickers.select("symbol").distinct(), existing)
-    return compute_kpis(statements.join(todo, "symbol", "left_semi"), quotes, split_rows=split_rows)
+    return compute_kpis(statements, quotes, split_rows=split_rows, symbols=pending(tickers, existing))
 
 
 def refresh_kpis(
@@ -44,8 +43,7 @@ def refresh_kpis(
         return existing.unionByName(
             pending_kpis(tickers, statements, quotes, existing, split_rows), allowMissingColumns=True
         )
-    listed = tickers.select("symbol").distinct()
-    fresh = compute_kpis(statements.join(listed, "symbol", "left_semi"), quotes, split_rows=split_rows)
+    fresh = compute_kpis(statements, quotes, split_rows=split_rows, symbols=tickers)
     return upsert(existing, fresh, KEY_COLUMNS)
 
 

@@ -1,0 +1,5 @@
+"""Structured Streaming form of the incremental refresh."""
+
+from .refresh_stream import read_statement_stream, refresh_stream
+
+__all__ = ["read_statement_stream", "refresh_stream"]

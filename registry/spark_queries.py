@@ -272,8 +272,7 @@ def refresh_kpis(spark, sf_dir):
     """Companies without KPI rows of 1998 are computed and added to the table."""
     quotes = given.quotes(spark, sf_dir)
     panel = given.statements(spark, sf_dir)
-    done = _companies_of_year(spark, sf_dir, 1998).distinct()
-    existing = plans.compute_kpis(panel.join(done, "symbol", "left_semi"), quotes)
+    existing = plans.compute_kpis(panel, quotes, symbols=_companies_of_year(spark, sf_dir, 1998))
     table = plans.refresh_kpis(quotes.select("symbol"), panel, quotes, existing)
     return table.select("symbol", "as_of_date", "debt_ratio", "market_value")
 
