@@ -13,7 +13,7 @@ from .columns import (
     sort_columns,
 )
 from .joins import latest_rows, merge_new_columns, outer_merge, pending, upsert
-from .ordered import lookback_window, slice_heavy_keys
+from .ordered import has_heavy_keys, lookback_window, running_total, slice_heavy_keys
 from .ranking import ranked, top_n
 
 __all__ = [
@@ -23,6 +23,7 @@ __all__ = [
     "conform",
     "drop_all_null_columns",
     "drop_columns",
+    "has_heavy_keys",
     "latest_rows",
     "lookback_window",
     "merge_new_columns",
@@ -32,6 +33,7 @@ __all__ = [
     "ranked",
     "rearrange",
     "rename_snake",
+    "running_total",
     "slice_heavy_keys",
     "sort_columns",
     "top_n",

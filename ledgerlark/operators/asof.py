@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import SLICE, SLICES_PER_CUT, SPLIT_ROWS, null_safe_join, slice_heavy_keys
+from .ordered import SLICE, SLICES_PER_CUT, SPLIT_ROWS, has_heavy_keys, null_safe_join, slice_heavy_keys
 
 
 def asof_join(
@@ -24,43 +24,63 @@ def asof_join(
     time is not later; NULL if there is none.
 
     Both sides are stacked and one ordered pass carries the last right row
-    forward, so no pairs are built. Heavy keys are cut into time slices, and each
-    slice starts with the last right row of the slices before it. Of right rows
-    with equal time the greatest ``values`` win.
+    forward, so no pairs are built. Of right rows with equal time the greatest
+    ``values`` win.
+
+    With heavy keys each side is first reduced to one row per key and time, the
+    keys are cut into time slices, and each slice starts with the last right row
+    of the slices before it. The answers are then joined to the left rows.
     """
     taken = [c for c in values if c in left.columns]
     if taken:
         raise ValueError(f"columns on both sides: {taken}")
-    wanted = F.struct(*[F.col(v) for v in values])
     known = right.where(F.col(right_time).isNotNull())
     for key in keys:
         known = known.where(F.col(key).isNotNull())
-    known = known.select(*keys, F.col(right_time).alias("_time"), F.lit(0).alias("_side"), wanted.alias("_right"))
+    known = known.select(*keys, F.col(right_time).alias("_time"), F.struct(*values).alias("_right"))
     asked = left.select(
-        *keys,
-        F.col(left_time).alias("_time"),
-        F.lit(1).alias("_side"),
-        F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_left"),
+        *keys, F.col(left_time).alias("_time"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_left")
+    )
+    answer = [F.col("_last")[v].alias(v) for v in values]
+    if not has_heavy_keys(_stack(known, asked), keys, split_rows):
+        return _carry(_stack(known, asked), keys).select("_left.*", *answer)
+
+    known = known.groupBy(*keys, "_time").agg(F.max("_right").alias("_right"))
+    moments = asked.select(*keys, "_time").distinct()
+    stacked = _stack(known, moments)
+    cut = slice_heavy_keys(stacked, keys, ["_time"], split_rows, slices)
+    found = _carry(stacked, keys) if cut is None else _carry_over_slices(cut, keys)
+    found = found.select(*keys, "_time", "_last")
+    return null_safe_join(asked, found, [*keys, "_time"], "left").select("_left.*", *answer)
+
+
+def _stack(known: DataFrame, asked: DataFrame) -> DataFrame:
+    """Right rows are side 0, so that they come before left rows of the same time."""
+    return known.withColumn("_side", F.lit(0)).unionByName(
+        asked.withColumn("_side", F.lit(1)), allowMissingColumns=True
     )
-    both = known.unionByName(asked, allowMissingColumns=True)
-    cut = slice_heavy_keys(both, keys, ["_time"], split_rows, slices)
-    group = list(keys) if cut is None else [*keys, SLICE]
-    rows = both if cut is None else cut
+
+
+def _carry(stacked: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Left rows with the last right row so far within the group."""
     so_far = (
         Window.partitionBy(*group)
         .orderBy("_time", "_side", "_right")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    found = rows.withColumn("_last", F.last("_right", ignorenulls=True).over(so_far)).where("_side = 1")
-    if cut is not None:
-        earlier = (
-            Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, Window.currentRow - 1)
-        )
-        carried = (
-            cut.where(F.size(SLICE) > 0)
-            .groupBy(*group)
-            .agg(F.max(F.when(F.col("_side") == 0, F.struct("_time", "_right"))).alias("_newest"))
-            .select(*group, F.last("_newest._right", ignorenulls=True).over(earlier).alias("_carried"))
-        )
-        found = null_safe_join(found, carried, group, "left").withColumn("_last", F.coalesce("_last", "_carried"))
-    return found.select("_left.*", *[F.col("_last")[v].alias(v) for v in values])
+    return stacked.withColumn("_last", F.last("_right", ignorenulls=True).over(so_far)).where("_side = 1")
+
+
+def _carry_over_slices(cut: DataFrame, keys: Sequence[str]) -> DataFrame:
+    group = [*keys, SLICE]
+    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, Window.currentRow - 1)
+    newest = F.max(F.when(F.col("_side") == 0, F.struct("_time", "_right"))).alias("_newest")
+    carried = (
+        cut.where(F.size(SLICE) > 0)
+        .groupBy(*group)
+        .agg(newest)
+        .select(*group, F.last("_newest._right", ignorenulls=True).over(earlier).alias("_carried"))
+    )
+    return null_safe_join(_carry(cut, group), carried, group, "left").withColumn(
+        "_last", F.coalesce("_last", "_carried")
+    )

@@ -26,7 +26,8 @@ SLICES_PER_CUT = 4096
 BROADCAST_ROWS = 500_000
 
 SLICE = "_slice"
-_CHUNK, _OWN, _TARGETS = "_chunk", "_own", "_targets"
+TIE = "_tie"
+_CHUNK, _OWN, _TARGETS, _TIMES = "_chunk", "_own", "_targets", "_times"
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -45,7 +46,7 @@ def broadcast_if_small(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> Data
 
 
 def order_number(df: DataFrame, name: str) -> Column | None:
-    """Whole number that rises with the column, or None for other types."""
+    """Whole number that never falls as the column rises, or None for other types."""
     kind, value = df.schema[name].dataType, F.col(name)
     if isinstance(kind, T.DateType):
         return F.unix_date(value).cast("bigint")
@@ -59,18 +60,25 @@ def order_number(df: DataFrame, name: str) -> Column | None:
         return (days * F.lit(1440) + minutes) * F.lit(60_000_000) + micros
     if isinstance(kind, T.IntegralType):
         return value.cast("bigint")
+    if isinstance(kind, T.StringType):
+        head = F.hex(F.substring(F.encode(value, "UTF-8"), 1, _HEAD_BYTES))
+        return F.conv(F.rpad(head, 2 * _HEAD_BYTES, "0"), 16, 10).cast("bigint")
     return None
 
 
-def _axes(df: DataFrame, order: Sequence[str]) -> list[Column]:
-    """Leading order columns that can be cut into ranges."""
-    axes = []
+_HEAD_BYTES = 7
+
+
+def _measured(df: DataFrame, order: Sequence[str]) -> tuple[list[Column], list[bool]]:
+    """Numbers of the leading order columns that have one, and which of them are text."""
+    numbers, text = [], []
     for name in order:
         number = order_number(df, name)
         if number is None:
             break
-        axes.append(number)
-    return axes
+        numbers.append(number)
+        text.append(isinstance(df.schema[name].dataType, T.StringType))
+    return numbers, text
 
 
 def slice_heavy_keys(
@@ -83,65 +91,91 @@ def slice_heavy_keys(
     """Add ``_slice``, an array that rises with the order inside each key.
 
     Rows of ordinary keys get an empty array. Slices above ``split_rows`` are cut
-    again, first finer on the same order column, then on the next one; only rows
-    that are equal in all usable order columns stay together. Returns None when
-    no key is heavy.
+    again, first finer on the same order column, then on the next one, then by
+    ``_tie``, a hash of the row, as the order of ties is free. Only copies of one
+    row stay together then. Each round is one aggregate; for the heavy groups it
+    finds, it settles a fence of start and width. Returns None when no key is
+    heavy or the heavy keys cannot be cut.
     """
-    axes = _axes(df, order)
-    if not axes:
+    numbers, text = _measured(df, order)
+    if not numbers or not has_heavy_keys(df, keys, split_rows):
         return None
-    cut = df.withColumn(SLICE, F.array().cast("array<bigint>"))
-    group = [*keys, SLICE]
-    depth = 0
-    while True:
-        measured = cut.where(F.size(SLICE) == depth).select(
-            *group, *[axis.alias(f"_n{at}") for at, axis in enumerate(axes)]
+    whole_row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    cut = df.withColumn(TIE, F.shiftright(whole_row, 2)).withColumn(SLICE, F.array().cast("array<bigint>"))
+    # Ties are measured in the last rounds only, since their hash reads all columns.
+    phases = [(numbers, text)]
+    if len(numbers) == len(order):
+        phases.append(([*numbers, F.col(TIE)], [*text, False]))
+    group, rounds = [*keys, SLICE], 0
+    for measures, texts in phases:
+        while (fences := _fences(cut, group, order, measures, texts, split_rows, slices)) is not None:
+            fenced = null_safe_join(cut, broadcast_if_small(fences), group, "left")
+            number = F.element_at(F.array(*measures), F.col("_axis") + 1)
+            step = F.coalesce(F.expr("(_number - _low) div _width"), F.lit(-1))  # NULL sorts first
+            finer = F.when(F.col("_axis").isNotNull(), F.array_append(SLICE, step)).otherwise(F.col(SLICE))
+            cut = fenced.withColumn("_number", number).select(*df.columns, TIE, finer.alias(SLICE))
+            rounds += 1
+    return cut if rounds else None
+
+
+def _fences(
+    cut: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str],
+    measures: list[Column],
+    texts: list[bool],
+    split_rows: int,
+    slices: int,
+) -> DataFrame | None:
+    """Axis, start and width for the groups that are to be cut; None if there are none."""
+    places = range(len(measures))
+    stats = (
+        cut.select(
+            *group,
+            *[measure.alias(f"_n{at}") for at, measure in enumerate(measures)],
+            *[F.col(order[at]).alias(f"_v{at}") for at in places if texts[at]],
         )
-        stats = measured.groupBy(*group).agg(
+        .groupBy(*group)
+        .agg(
             F.count(F.lit(1)).alias("_rows"),
-            *[f(f"_n{at}").alias(f"{tag}{at}") for at in range(len(axes)) for tag, f in _SPAN.items()],
-        )
-        axis = F.coalesce(
-            *[
-                F.when(
-                    (F.col(f"_lo{at}") < F.col(f"_hi{at}"))
-                    | ((F.col(f"_filled{at}") > 0) & (F.col(f"_filled{at}") < F.col("_rows"))),
-                    F.lit(at),
-                )
-                for at in range(len(axes))
-            ]
-        )
-        heavy = stats.where(F.col("_rows") > split_rows).withColumn("_axis", axis).where("_axis IS NOT NULL")
-        if heavy.isEmpty():
-            return cut if depth else None
-        low = F.element_at(F.array(*[F.col(f"_lo{at}") for at in range(len(axes))]), F.col("_axis") + 1)
-        high = F.element_at(F.array(*[F.col(f"_hi{at}") for at in range(len(axes))]), F.col("_axis") + 1)
-        fences = settle(
-            heavy.select(*group, "_axis", low.alias("_low"), high.alias("_high")).select(
-                *group, "_axis", "_low", F.expr(f"(_high - _low) div {slices} + 1").alias("_width")
-            )
+            *[F.min(f"_n{at}").alias(f"_lo{at}") for at in places],
+            *[F.max(f"_n{at}").alias(f"_hi{at}") for at in places],
+            *[F.count(f"_n{at}").alias(f"_filled{at}") for at in places],
+            *[(F.min(f"_v{at}") != F.max(f"_v{at}")).alias(f"_mixed{at}") for at in places if texts[at]],
         )
-        fenced = null_safe_join(cut, broadcast_if_small(fences), group, "left")
-        number = F.element_at(F.array(*axes), F.col("_axis") + 1)
-        step = F.coalesce(F.expr("(_number - _low) div _width"), F.lit(-1))  # NULL sorts first
-        cut = fenced.withColumn("_number", number).select(
-            *df.columns,
-            F.when(F.col("_axis").isNotNull(), F.array_append(SLICE, step)).otherwise(F.col(SLICE)).alias(SLICE),
-        )
-        depth += 1
+        .where(F.col("_rows") > split_rows)
+    )
+    # The first column that differs within the group is cut. Text that differs
+    # only after the measured bytes ends the search.
+    axis = F.when(F.lit(False), F.lit(0))
+    for at in places:
+        low, high, filled = F.col(f"_lo{at}"), F.col(f"_hi{at}"), F.col(f"_filled{at}")
+        differs = (low < high) | ((filled > 0) & (filled < F.col("_rows")))
+        if at >= len(order):  # a heavy key of mere copies becomes one slice
+            differs = differs | (F.size(SLICE) == 0)
+        axis = axis.when(differs, F.lit(at))
+        if texts[at]:
+            axis = axis.when(F.col(f"_mixed{at}"), F.lit(None))
+    low = F.element_at(F.array(*[F.col(f"_lo{at}") for at in places]), F.col("_axis") + 1)
+    high = F.element_at(F.array(*[F.col(f"_hi{at}") for at in places]), F.col("_axis") + 1)
+    spans = stats.withColumn("_axis", axis).where("_axis IS NOT NULL").select(
+        *group, "_axis", low.alias("_low"), high.alias("_high")
+    )
+    fences = settle(spans.select(*group, "_axis", "_low", F.expr(f"(_high - _low) div {slices} + 1").alias("_width")))
+    return None if fences.isEmpty() else fences
 
 
-_SPAN = {"_lo": F.min, "_hi": F.max, "_filled": F.count}
+def _slice_sizes(cut: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return cut.where(F.size(SLICE) > 0).groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_rows"))
 
 
-def _chunk_plan(cut: DataFrame, keys: Sequence[str], reach: int, chunk_rows: int) -> DataFrame:
+def _chunk_plan(sizes: DataFrame, keys: Sequence[str], reach: int, chunk_rows: int) -> DataFrame:
     """Own chunk of every slice, and all chunks that need the slice.
 
     A chunk starts with the first slice at or after a multiple of ``chunk_rows``
     rows. As ``chunk_rows`` is at least ``reach``, only the next two chunks can
     reach back into a slice.
     """
-    sizes = cut.where(F.size(SLICE) > 0).groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_rows"))
     so_far = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = sizes.withColumn("_end", F.sum("_rows").over(so_far)).withColumn(
         _OWN, F.floor((F.col("_end") - F.col("_rows")) / F.lit(chunk_rows)).cast("bigint")
@@ -165,6 +199,39 @@ def _chunk_plan(cut: DataFrame, keys: Sequence[str], reach: int, chunk_rows: int
     )
 
 
+def _fold_copies(cut: DataFrame, sizes: DataFrame, keys: Sequence[str], reach: int, split_rows: int) -> DataFrame:
+    """Replace the many copies of one row by ``reach + 1`` of them.
+
+    From copy ``reach + 1`` on, a frame holds nothing but copies, so the window
+    results no longer change; ``_times`` on the last copy says how many rows it
+    stands for.
+    """
+    full = broadcast_if_small(settle(sizes.where(F.col("_rows") > split_rows).select(*keys, SLICE)))
+    group = [*keys, SLICE]
+    rest = null_safe_join(cut, full, group, "left_anti").withColumn(_TIMES, F.lit(1).cast("bigint"))
+    runs = null_safe_join(cut, full, group, "left_semi").groupBy(*cut.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    kept = F.least(F.col("_copies"), F.lit(reach + 1))
+    folded = runs.select(
+        *cut.columns, "_copies", kept.alias("_kept"), F.explode(F.sequence(F.lit(1).cast("bigint"), kept)).alias("_nth")
+    ).select(
+        *cut.columns,
+        F.when(F.col("_nth") == F.col("_kept"), F.col("_copies") - F.col("_kept") + 1)
+        .otherwise(F.lit(1))
+        .cast("bigint")
+        .alias(_TIMES),
+    )
+    return rest.unionByName(folded)
+
+
+def _unfold_copies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Each row ``_times`` times, generated in blocks so that no array gets long."""
+    one, times = F.lit(1).cast("bigint"), F.col(_TIMES)
+    block = F.lit(100_000)
+    blocks = df.withColumn("_block", F.explode(F.sequence(one, F.ceil(times / block))))
+    size = F.least(block, times - (F.col("_block") - 1) * block)
+    return blocks.withColumn("_nth", F.explode(F.sequence(one, size))).select(*columns)
+
+
 def has_heavy_keys(df: DataFrame, keys: Sequence[str], split_rows: int = SPLIT_ROWS) -> bool:
     """Whether any key has more than ``split_rows`` rows."""
     return not df.groupBy(*keys).count().where(F.col("count") > split_rows).isEmpty()
@@ -207,18 +274,55 @@ def chunked_window(
     split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
     """Window columns over the output of ``slice_heavy_keys``, heavy keys in chunks."""
-    names = [c for c in cut.columns if c != SLICE]
-    plan = settle(_chunk_plan(cut, keys, reach, max(split_rows, reach)))
-    routed = null_safe_join(cut, broadcast_if_small(plan), [*keys, SLICE], "left")
+    names = [c for c in cut.columns if c not in (SLICE, TIE)]
+    rows, bound, full_order = cut.withColumn(_TIMES, F.lit(1).cast("bigint")), max(split_rows, reach), [*order, TIE]
+    sizes = settle(_slice_sizes(cut, keys))
+    folded = not sizes.where(F.col("_rows") > bound).isEmpty()
+    if folded:
+        rows = _fold_copies(cut, sizes, keys, reach, bound)
+        sizes = settle(_slice_sizes(rows, keys))
+        full_order += [c for c in names if c not in order]  # copies side by side
+    plan = settle(_chunk_plan(sizes, keys, reach, bound))
+    routed = null_safe_join(rows, broadcast_if_small(plan), [*keys, SLICE], "left")
     only_chunk = F.array(F.lit(0).cast("bigint"))
     spread = routed.select(
         *names,
+        TIE,
+        _TIMES,
         F.coalesce(_OWN, F.lit(0)).alias(_OWN),
         F.explode(F.coalesce(F.col(_TARGETS), only_chunk)).alias(_CHUNK),
     )
-    new = columns(Window.partitionBy(*keys, _CHUNK).orderBy(*order))
-    return (
-        spread.select("*", *[value.alias(name) for name, value in new.items()])
-        .where(F.col(_OWN) == F.col(_CHUNK))
-        .select(*names, *new)
+    new = columns(Window.partitionBy(*keys, _CHUNK).orderBy(*full_order))
+    done = spread.select("*", *[value.alias(name) for name, value in new.items()]).where(F.col(_OWN) == F.col(_CHUNK))
+    return _unfold_copies(done, [*names, *new]) if folded else done.select(*names, *new)
+
+
+def running_total(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: str,
+    name: str,
+    split_rows: int = SPLIT_ROWS,
+    slices: int = SLICES_PER_CUT,
+) -> DataFrame:
+    """Add the running sum of ``value``. Each slice of a heavy key sums alone and
+    adds the total of the slices before it."""
+    cut = slice_heavy_keys(df, keys, order, split_rows, slices)
+    if cut is None:
+        return plain_window(df, keys, order, lambda w: {name: F.sum(value).over(w.rowsBetween(*_SO_FAR))})
+    group = [*keys, SLICE]
+    window = Window.partitionBy(*group).orderBy(*order, TIE).rowsBetween(*_SO_FAR)
+    local = cut.select("*", F.sum(value).over(window).alias("_local"))
+    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, Window.currentRow - 1)
+    totals = (
+        cut.where(F.size(SLICE) > 0)
+        .groupBy(*group)
+        .agg(F.sum(value).alias("_sum"))
+        .select(*group, F.sum("_sum").over(earlier).alias("_before"))
     )
+    total = F.coalesce(F.col("_local") + F.col("_before"), F.col("_local"), F.col("_before"))
+    return null_safe_join(local, totals, group, "left").select(*df.columns, total.alias(name))
+
+
+_SO_FAR = (Window.unboundedPreceding, Window.currentRow)

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlark.operators import asof_join, lookback_window, slice_heavy_keys
+from ledgerlark.operators import asof_join, lookback_window, running_total, slice_heavy_keys
 from ledgerlark.operators import ordered as ordered_module
 from ledgerlark.operators.ordered import SLICE
 
@@ -102,11 +102,57 @@ def test_no_heavy_key(spark):
 
 
 def test_order_that_cannot_be_cut_falls_back(spark):
-    df = history(spark, seed=2).withColumn("t", F.col("t").cast("string"))
+    df = history(spark, seed=2).withColumn("t", F.array("t"))
     assert slice_heavy_keys(df, ["k"], ["t"], split_rows=5) is None
     assert rows(rolled(df, 2, split_rows=5)) == rows(rolled(df, 2))
 
 
+@pytest.mark.parametrize("kind", ["even", "instant"])
+def test_text_order(spark, kind):
+    """Text is cut by its first bytes, and texts that differ later stay together."""
+    df = history(spark, seed=6, kind=kind)
+    for text in (F.col("t").cast("string"), F.concat(F.lit("Zü"), F.col("id").cast("string"))):
+        texts = df.withColumn("t", text)
+        assert rows(rolled(texts, 3, split_rows=8, slices=32)) == rows(rolled(texts, 3))
+
+
+def test_copies_of_one_row(spark):
+    """Copies of a row are folded and unfolded; they may outnumber the rest."""
+    rng = random.Random(8)
+    data = [("hot", 5, 1.0)] * 300 + [("hot", 5, 2.0)] * 90 + [("hot", rng.randrange(10), 3.0) for _ in range(60)]
+    data += [(None, None, 4.0)] * 70 + [("a", 1, 5.0)] * 4
+    df = spark.createDataFrame(data, "k string, t int, v double").repartition(5)
+    columns = lambda w: {
+        "n": F.count("v").over(w.rowsBetween(-6, 0)),
+        "total": F.sum("v").over(w.rowsBetween(-6, 0)),
+        "lagged": F.lag("v", 6).over(w),
+    }
+    cut = slice_heavy_keys(df, ["k"], ["t"], 20, 4)
+    assert cut.count() == len(data)
+    ties = cut.select("k", "t", "v", "_tie")
+    expected = lookback_window(ties, ["k"], ["t", "_tie"], 6, columns).drop("_tie")
+    got = lookback_window(df, ["k"], ["t"], 6, columns, split_rows=20, slices=4)
+    assert rows(got) == rows(expected)
+
+
+def test_key_of_mere_copies(spark):
+    df = spark.createDataFrame([("hot", 5, 1.0)] * 100 + [("a", 1, 2.0)], "k string, t int, v double")
+    columns = lambda w: {"n": F.count("v").over(w.rowsBetween(-3, 0))}
+    plain = lookback_window(df, ["k"], ["t"], 3, columns)
+    assert rows(lookback_window(df, ["k"], ["t"], 3, columns, split_rows=10)) == rows(plain)
+
+
+@pytest.mark.parametrize("split", [{}, {"split_rows": 15, "slices": 8}])
+def test_running_total(spark, split):
+    df = history(spark, seed=9).withColumn("v", F.col("v").cast("decimal(8,2)"))
+    got = {r["id"]: r["sum"] for r in running_total(df, ["k"], ["t", "id"], "v", "sum", **split).collect()}
+    sums = {}
+    for r in sorted(df.collect(), key=lambda r: (r["t"] is not None, r["t"] or DAY0, r["id"])):
+        before = sums.get(r["k"])
+        sums[r["k"]] = before if r["v"] is None else r["v"] + (before or 0)
+        assert got[r["id"]] == sums[r["k"]]
+
+
 def brute_asof(left, right):
     out = []
     for k, t in left:
