@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.joins import latest_rows
 from ..operators.ordered import SPLIT_ROWS
 from ..plans.kpis import compute_kpis
 from ..plans.refresh import store_kpis
@@ -38,16 +40,21 @@ def refresh_stream(
 
     A batch names the touched symbols. Their KPIs are computed from all their
     landed statements, since a KPI may need the statement before, and upserted
-    by key. A batch that runs again after a failure leaves the same table.
+    by key. Of a statement that landed more than once, the newest file counts.
+    A batch that runs again after a failure leaves the same table.
     ``quotes`` is called per batch. By default all that has landed is processed
     and the query stops; ``trigger`` takes the arguments of ``writeStream.trigger``.
     """
 
     def refresh(batch: DataFrame, _batch_id: int) -> None:
-        spark = batch.sparkSession
-        everything = parse_statements(spark.read.schema(landed.schema).parquet(landing_path), period_type)
-        touched = parse_statements(batch, period_type)
-        store_kpis(compute_kpis(everything, quotes(), split_rows=split_rows, symbols=touched), table_path)
+        landed_rows = batch.sparkSession.read.schema(landed.schema).parquet(landing_path)
+        touched = batch.select("symbol").distinct()
+        versions = landed_rows.select(
+            "*", F.col("_metadata.file_modification_time").alias("_landed"), F.col("_metadata.file_name").alias("_file")
+        ).join(touched, "symbol", "left_semi")
+        newest = latest_rows(versions, ["symbol", "asOfDate", "periodType"], ["_landed", "_file"])
+        statements = parse_statements(newest, period_type)
+        store_kpis(compute_kpis(statements, quotes(), split_rows=split_rows), table_path)
 
     return (
         landed.writeStream.foreachBatch(refresh)

@@ -187,6 +187,14 @@ newer AS (
 )
 """
 
+_SPLIT_EFFECTS = """
+SELECT 'U' || CAST(user_id AS VARCHAR) AS symbol, ts AS date,
+       CASE WHEN value > 90 THEN 2.0::DOUBLE WHEN value < 2 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS splits,
+       round(exp(sum(CASE WHEN value > 90 THEN ln(2.0::DOUBLE) WHEN value < 2 THEN ln(0.5::DOUBLE) ELSE 0 END)
+                     OVER (PARTITION BY user_id ORDER BY ts)), 6) AS split_effect
+FROM events
+"""
+
 ORACLE: dict[str, str] = {
     "kpi_panel": f"""
 WITH {_PANEL}, {_QUOTES}
@@ -418,5 +426,48 @@ FROM events
 """,
     "stamp_texts": """
 SELECT event_id, strftime(ts, '%Y-%m-%d-%H-%M-%S') AS stamp FROM events WHERE ts >= TIMESTAMP '2024-01-15 12:00:00'
+""",
+    "kpi_growth": f"""
+WITH {_PANEL_WITH_LINES}, {_QUOTES},
+prepared AS (
+    SELECT panel.symbol, as_of_date, price, free_cash_flow, shares * price AS market_value,
+           net_income / NULLIF(shares, 0) AS eps,
+           lag(free_cash_flow) OVER w AS cash_before,
+           lag(net_income / NULLIF(shares, 0)) OVER w AS eps_before
+    FROM panel LEFT JOIN quotes ON quotes.symbol = panel.symbol
+    WINDOW w AS (PARTITION BY panel.symbol ORDER BY as_of_date, period_type)
+)
+SELECT symbol, as_of_date,
+       free_cash_flow / NULLIF(cash_before, 0) - 1 AS free_cash_flow_growth,
+       eps / NULLIF(eps_before, 0) - 1 AS earnings_per_share_growth,
+       price / NULLIF(eps, 0) / NULLIF((eps / NULLIF(eps_before, 0) - 1) * 100, 0) AS peg_ratio,
+       free_cash_flow / NULLIF(market_value, 0) AS free_cash_flow_yield
+FROM prepared
+""",
+    "amounts_in_usd": """
+WITH priced AS (
+    SELECT o_orderkey, o_orderdate, o_totalprice,
+           CASE WHEN c_mktsegment = 'BUILDING' THEN 'USD' ELSE c_mktsegment END AS currency_code
+    FROM orders JOIN customer ON c_custkey = o_custkey
+),
+rates AS (
+    SELECT currency_code, o_orderdate AS date, count(*) / 10.0::DOUBLE AS usd_rate
+    FROM priced GROUP BY currency_code, o_orderdate
+),
+amounts AS (SELECT *, o_orderdate - INTERVAL 1 DAY AS as_of_date FROM priced)
+SELECT a.o_orderkey, a.currency_code, a.as_of_date,
+       a.o_totalprice * CASE WHEN a.currency_code = 'USD' THEN 1.0::DOUBLE ELSE r.usd_rate END AS total_debt
+FROM amounts AS a ASOF LEFT JOIN rates AS r ON a.currency_code = r.currency_code AND a.as_of_date >= r.date
+""",
+    "split_effects": _SPLIT_EFFECTS,
+    "split_effects_split": _SPLIT_EFFECTS,
+    "insider_purchases": f"""
+WITH {_PANEL},
+bought AS (
+    SELECT 'C' || CAST(o_custkey AS VARCHAR) AS symbol, year(o_orderdate) AS year, count(*) AS shares
+    FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey, year(o_orderdate)
+)
+SELECT panel.symbol, as_of_date, total_debt, shares AS insider_shares_bought
+FROM panel LEFT JOIN bought ON bought.symbol = panel.symbol AND bought.year = year(as_of_date)
 """,
 }

@@ -22,6 +22,7 @@ from ledgerlark.operators import (
     sort_columns,
     upsert,
 )
+from ledgerlark.plans import extensions
 from ledgerlark.schema import KEY_COLUMNS
 from ledgerlark.sources import lookup, parse_quotes
 
@@ -318,3 +319,40 @@ def json_fields(spark, sf_dir):
 def stamp_texts(spark, sf_dir):
     late = plans.truncate_before(given.table(spark, sf_dir, "events"), "2024-01-15T12:00:00", "ts")
     return late.select("event_id", stamp_text(F.col("ts")).alias("stamp"))
+
+
+@register
+def kpi_growth(spark, sf_dir):
+    kpis = plans.compute_kpis(given.statements(spark, sf_dir, with_lines=True), given.quotes(spark, sf_dir))
+    return extensions.growth_and_yields(kpis).select(
+        "symbol",
+        "as_of_date",
+        "free_cash_flow_growth",
+        "earnings_per_share_growth",
+        "peg_ratio",
+        "free_cash_flow_yield",
+    )
+
+
+@register
+def amounts_in_usd(spark, sf_dir):
+    return extensions.to_usd(given.segment_amounts(spark, sf_dir), given.segment_rates(spark, sf_dir), ["total_debt"])
+
+
+@register
+def split_effects(spark, sf_dir):
+    history = given.splits_by_user(spark, sf_dir)
+    return extensions.split_effect(history).withColumn("split_effect", F.round("split_effect", 6))
+
+
+@register
+def split_effects_split(spark, sf_dir):
+    history = given.splits_by_user(spark, sf_dir)
+    effects = extensions.split_effect(history, split_rows=40)
+    return effects.withColumn("split_effect", F.round("split_effect", 6))
+
+
+@register
+def insider_purchases(spark, sf_dir):
+    panel = given.statements(spark, sf_dir).select("symbol", "as_of_date", "total_debt")
+    return extensions.insider_purchases(panel, given.urgent_purchases(spark, sf_dir))

@@ -203,3 +203,47 @@ def day_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(code("U", "user_id").alias("symbol"), midnight.alias("date"))
         .distinct()
     )
+
+
+def segment_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exchange rates: a customer segment is a currency, and its orders of a day give the rate."""
+    return (
+        _segment_orders(spark, sf_dir)
+        .groupBy("currency_code", F.col("o_orderdate").alias("date"))
+        .agg((F.count(F.lit(1)) / F.lit(10.0)).alias("usd_rate"))
+    )
+
+
+def segment_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts in the currency of the segment, dated a day before the order."""
+    return _segment_orders(spark, sf_dir).select(
+        "o_orderkey",
+        "currency_code",
+        F.date_sub(F.col("o_orderdate").cast("date"), 1).cast("timestamp_ntz").alias("as_of_date"),
+        F.col("o_totalprice").alias("total_debt"),
+    )
+
+
+def _segment_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    currency = F.when(F.col("c_mktsegment") == "BUILDING", "USD").otherwise(F.col("c_mktsegment"))
+    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).withColumn("currency_code", currency)
+
+
+def splits_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Split factors: a high value is a split, a low one a reverse split."""
+    value = F.col("value")
+    factor = F.when(value > 90, F.lit(2.0)).when(value < 2, F.lit(0.5)).otherwise(F.lit(0.0))
+    return table(spark, sf_dir, "events").select(
+        code("U", "user_id").alias("symbol"), F.col("ts").alias("date"), factor.alias("splits")
+    )
+
+
+def urgent_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insider purchases: urgent orders of a company, dated by the end of their year."""
+    year_end = F.make_timestamp_ntz(F.year("o_orderdate"), F.lit(12), F.lit(31), F.lit(0), F.lit(0), F.lit(0))
+    return (
+        table(spark, sf_dir, "orders")
+        .where(F.col("o_orderpriority") == "1-URGENT")
+        .select(code("C", "o_custkey").alias("symbol"), year_end.alias("as_of_date"), F.lit(1).alias("shares"))
+    )

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 from ledgerlark.plans import compute_kpis
 from ledgerlark.sources import parse_statements
@@ -37,3 +38,17 @@ def test_stream_equals_batch(spark, tmp_path):
     land(spark, landing, [("A", 2021, "12M", 6.5), ("C", 2020, "12M", 2.0)])
     assert run().count() == 5
     assert run().count() == 5  # nothing new
+
+
+def test_newest_file_of_a_restated_statement(spark, tmp_path):
+    landing, table, checkpoint = (str(tmp_path / n) for n in ("landing", "table", "checkpoint"))
+    quotes = spark.createDataFrame(
+        [("A", 2.0, 3.0)], "symbol string, twoHundredDayAverage double, sharesOutstanding double"
+    )
+    land(spark, landing, [("A", 2019, "12M", 1.0), ("A", 2020, "12M", 4.0)])
+    time.sleep(1.1)
+    land(spark, landing, [("A", 2019, "12M", 3.0)])
+    stream = read_statement_stream(spark, landing, spark.createDataFrame([], SCHEMA).schema, max_files=1)
+    refresh_stream(stream, landing, lambda: quotes, table, checkpoint).awaitTermination()
+    stored = spark.read.parquet(table).orderBy("as_of_date").collect()
+    assert [(r["total_debt"], r["debt_service"]) for r in stored] == [(3.0, None), (4.0, 2.0)]
