@@ -11,6 +11,7 @@ reach. The result is the same as that of the plain window.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ BROADCAST_ROWS = 500_000
 
 SLICE = "_slice"
 TIE = "_tie"
-_CHUNK, _OWN, _TARGETS, _TIMES = "_chunk", "_own", "_targets", "_times"
+_OPEN, _CHUNK, _OWN, _TARGETS, _TIMES = "_open", "_chunk", "_own", "_targets", "_times"
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -39,10 +40,12 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return joined if how in ("left_semi", "left_anti") else joined.drop(*renamed.values())
 
 
-def broadcast_if_small(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a settled table of at most ``max_rows`` rows; beyond
-    that the table is joined by shuffle."""
-    return F.broadcast(table) if table.count() <= max_rows else table
+def broadcast_if_small(
+    table: DataFrame, counted: DataFrame | None = None, max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Broadcast hint for a table of at most ``max_rows`` rows; beyond that the
+    table is joined by shuffle. ``counted`` is a settled table with as many rows."""
+    return F.broadcast(table) if (table if counted is None else counted).count() <= max_rows else table
 
 
 def order_number(df: DataFrame, name: str) -> Column | None:
@@ -93,44 +96,64 @@ def slice_heavy_keys(
     Rows of ordinary keys get an empty array. Slices above ``split_rows`` are cut
     again, first finer on the same order column, then on the next one, then by
     ``_tie``, a hash of the row, as the order of ties is free. Only copies of one
-    row stay together then. Each round is one aggregate; for the heavy groups it
-    finds, it settles a fence of start and width. Returns None when no key is
-    heavy or the heavy keys cannot be cut.
+    row stay together then. Each round is one aggregate over the rows of the
+    groups cut last, and settles the few groups that are still too big. Returns
+    None when no key is heavy or the heavy keys cannot be cut.
     """
     numbers, text = _measured(df, order)
     if not numbers or not has_heavy_keys(df, keys, split_rows):
         return None
     whole_row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    cut = df.withColumn(TIE, F.shiftright(whole_row, 2)).withColumn(SLICE, F.array().cast("array<bigint>"))
-    # Ties are measured in the last rounds only, since their hash reads all columns.
-    phases = [(numbers, text)]
-    if len(numbers) == len(order):
-        phases.append(([*numbers, F.col(TIE)], [*text, False]))
-    group, rounds = [*keys, SLICE], 0
-    for measures, texts in phases:
-        while (fences := _fences(cut, group, order, measures, texts, split_rows, slices)) is not None:
+    columns, group = [*df.columns, TIE, SLICE], [*keys, SLICE]
+    cut = (
+        df.withColumn(TIE, F.shiftright(whole_row, 2))
+        .withColumn(SLICE, F.array().cast("array<bigint>"))
+        .withColumn(_OPEN, F.lit(True))
+    )
+    changed, stuck = False, []
+    measures, texts = numbers, text
+    while True:
+        big = settle(_big_groups(cut, group, order, measures, texts, split_rows))
+        fences = big.where("_axis IS NOT NULL").withColumn("_width", F.expr(f"(_high - _low) div {slices} + 1"))
+        stuck.append(big.where("_axis IS NULL").select(*group))
+        if not fences.isEmpty():
             fenced = null_safe_join(cut, broadcast_if_small(fences), group, "left")
             number = F.element_at(F.array(*measures), F.col("_axis") + 1)
             step = F.coalesce(F.expr("(_number - _low) div _width"), F.lit(-1))  # NULL sorts first
-            finer = F.when(F.col("_axis").isNotNull(), F.array_append(SLICE, step)).otherwise(F.col(SLICE))
-            cut = fenced.withColumn("_number", number).select(*df.columns, TIE, finer.alias(SLICE))
-            rounds += 1
-    return cut if rounds else None
-
-
-def _fences(
+            is_cut = F.col("_axis").isNotNull()
+            finer = F.when(is_cut, F.array_append(SLICE, step)).otherwise(F.col(SLICE))
+            cut = fenced.withColumn("_number", number).select(
+                *columns[:-1], finer.alias(SLICE), is_cut.alias(_OPEN)
+            )
+            changed = True
+            continue
+        # The hash of ties reads all columns, so it is used for the groups left over only.
+        left_over = reduce(DataFrame.unionByName, stuck)
+        if len(measures) > len(order) or len(numbers) < len(order) or left_over.isEmpty():
+            return cut.select(*columns) if changed else None
+        marked = left_over.withColumn("_again", F.lit(True))
+        again = F.coalesce(F.col("_again"), F.lit(False)).alias(_OPEN)
+        cut = null_safe_join(cut, broadcast_if_small(marked), group, "left").select(*columns, again)
+        measures, texts, stuck = [*numbers, F.col(TIE)], [*text, False], []
+
+
+def _big_groups(
     cut: DataFrame,
     group: Sequence[str],
     order: Sequence[str],
     measures: list[Column],
     texts: list[bool],
     split_rows: int,
-    slices: int,
-) -> DataFrame | None:
-    """Axis, start and width for the groups that are to be cut; None if there are none."""
+) -> DataFrame:
+    """Open groups above ``split_rows``, with the column to cut them on and its range.
+
+    That is the first column that differs within the group. The axis is NULL if
+    there is none, or if it is text that differs only after the measured bytes.
+    """
     places = range(len(measures))
     stats = (
-        cut.select(
+        cut.where(_OPEN)
+        .select(
             *group,
             *[measure.alias(f"_n{at}") for at, measure in enumerate(measures)],
             *[F.col(order[at]).alias(f"_v{at}") for at in places if texts[at]],
@@ -145,8 +168,6 @@ def _fences(
         )
         .where(F.col("_rows") > split_rows)
     )
-    # The first column that differs within the group is cut. Text that differs
-    # only after the measured bytes ends the search.
     axis = F.when(F.lit(False), F.lit(0))
     for at in places:
         low, high, filled = F.col(f"_lo{at}"), F.col(f"_hi{at}"), F.col(f"_filled{at}")
@@ -158,11 +179,7 @@ def _fences(
             axis = axis.when(F.col(f"_mixed{at}"), F.lit(None))
     low = F.element_at(F.array(*[F.col(f"_lo{at}") for at in places]), F.col("_axis") + 1)
     high = F.element_at(F.array(*[F.col(f"_hi{at}") for at in places]), F.col("_axis") + 1)
-    spans = stats.withColumn("_axis", axis).where("_axis IS NOT NULL").select(
-        *group, "_axis", low.alias("_low"), high.alias("_high")
-    )
-    fences = settle(spans.select(*group, "_axis", "_low", F.expr(f"(_high - _low) div {slices} + 1").alias("_width")))
-    return None if fences.isEmpty() else fences
+    return stats.withColumn("_axis", axis).select(*group, "_axis", low.alias("_low"), high.alias("_high"))
 
 
 def _slice_sizes(cut: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -206,7 +223,7 @@ def _fold_copies(cut: DataFrame, sizes: DataFrame, keys: Sequence[str], reach: i
     results no longer change; ``_times`` on the last copy says how many rows it
     stands for.
     """
-    full = broadcast_if_small(settle(sizes.where(F.col("_rows") > split_rows).select(*keys, SLICE)))
+    full = broadcast_if_small(sizes.where(F.col("_rows") > split_rows).select(*keys, SLICE))
     group = [*keys, SLICE]
     rest = null_safe_join(cut, full, group, "left_anti").withColumn(_TIMES, F.lit(1).cast("bigint"))
     runs = null_safe_join(cut, full, group, "left_semi").groupBy(*cut.columns).agg(F.count(F.lit(1)).alias("_copies"))
@@ -282,8 +299,8 @@ def chunked_window(
         rows = _fold_copies(cut, sizes, keys, reach, bound)
         sizes = settle(_slice_sizes(rows, keys))
         full_order += [c for c in names if c not in order]  # copies side by side
-    plan = settle(_chunk_plan(sizes, keys, reach, bound))
-    routed = null_safe_join(rows, broadcast_if_small(plan), [*keys, SLICE], "left")
+    plan = broadcast_if_small(_chunk_plan(sizes, keys, reach, bound), counted=sizes)
+    routed = null_safe_join(rows, plan, [*keys, SLICE], "left")
     only_chunk = F.array(F.lit(0).cast("bigint"))
     spread = routed.select(
         *names,

@@ -62,7 +62,7 @@ def test_split_window_equals_plain_window(spark, kind, reach, split_rows, slices
 
 
 def test_split_window_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(ordered_module, "broadcast_if_small", lambda table: table)
+    monkeypatch.setattr(ordered_module, "broadcast_if_small", lambda table, counted=None: table)
     df = history(spark, seed=5)
     assert rows(rolled(df, 4, split_rows=10, slices=32)) == rows(rolled(df, 4))
 
