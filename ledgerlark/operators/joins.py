@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import column_difference, sort_columns
+from .copies import repeat_rows
 from .ordered import null_safe_join
 
 
@@ -25,26 +26,23 @@ def pending(universe: DataFrame, done: DataFrame, key: str = "symbol") -> DataFr
 def outer_merge(old: DataFrame, new: DataFrame) -> DataFrame:
     """Full outer merge on all common columns, NULL matching NULL.
 
-    With the same columns on both sides a match adds nothing but multiplicity, so
-    copies in ``new`` are counted before the shuffle instead of paired up. A row
-    comparison as one struct value treats NULL fields as equal.
+    With the same columns on both sides a match adds nothing but multiplicity:
+    ``n`` old and ``m`` new copies of a row give ``n * m``. So the copies are
+    counted, which needs one shuffle and folds copies before it, instead of
+    joined.
     """
     shared = [c for c in old.columns if c in new.columns]
     if not shared:
         raise ValueError("no common columns")
     if set(old.columns) != set(new.columns):
         return _outer_merge_wide(old, new, shared)
-    new = new.select(*old.columns)
-    old_row, new_row = F.struct(*old.columns), F.col("_new")
-    counted = new.groupBy(F.struct(*old.columns).alias("_new")).agg(F.count(F.lit(1)).alias("_copies"))
-    times = F.sequence(F.lit(1).cast("bigint"), F.coalesce("_copies", F.lit(1)))
-    kept = (
-        old.join(counted, old_row == new_row, "left")
-        .withColumn("_copy", F.explode(times))
-        .select(*old.columns)
+    both = old.select("*", F.lit(1).alias("_old"), F.lit(0).alias("_new")).unionByName(
+        new.select("*", F.lit(0).alias("_old"), F.lit(1).alias("_new"))
     )
-    seen = old.select(old_row.alias("_new")).distinct()
-    return kept.unionByName(new.join(seen, F.struct(*old.columns) == new_row, "left_anti"))
+    counted = both.groupBy(*old.columns).agg(F.sum("_old").alias("_olds"), F.sum("_new").alias("_news"))
+    olds, news = F.col("_olds"), F.col("_news")
+    times = F.when((olds > 0) & (news > 0), olds * news).otherwise(olds + news)
+    return repeat_rows(counted, times, old.columns)
 
 
 def _outer_merge_wide(old: DataFrame, new: DataFrame, shared: list[str]) -> DataFrame:

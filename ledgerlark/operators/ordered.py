@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import settle
+from .copies import repeat_rows
 
 # Rows of one key that a single window task may hold.
 SPLIT_ROWS = 4_000_000
@@ -28,6 +29,7 @@ BROADCAST_ROWS = 500_000
 
 SLICE = "_slice"
 TIE = "_tie"
+_HEAD_BYTES = 7  # leading bytes of a text that are measured
 _OPEN, _CHUNK, _OWN, _TARGETS, _TIMES = "_open", "_chunk", "_own", "_targets", "_times"
 
 
@@ -69,8 +71,6 @@ def order_number(df: DataFrame, name: str) -> Column | None:
     return None
 
 
-_HEAD_BYTES = 7
-
 
 def _measured(df: DataFrame, order: Sequence[str]) -> tuple[list[Column], list[bool]]:
     """Numbers of the leading order columns that have one, and which of them are text."""
@@ -240,15 +240,6 @@ def _fold_copies(cut: DataFrame, sizes: DataFrame, keys: Sequence[str], reach: i
     return rest.unionByName(folded)
 
 
-def _unfold_copies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Each row ``_times`` times, generated in blocks so that no array gets long."""
-    one, times = F.lit(1).cast("bigint"), F.col(_TIMES)
-    block = F.lit(100_000)
-    blocks = df.withColumn("_block", F.explode(F.sequence(one, F.ceil(times / block))))
-    size = F.least(block, times - (F.col("_block") - 1) * block)
-    return blocks.withColumn("_nth", F.explode(F.sequence(one, size))).select(*columns)
-
-
 def has_heavy_keys(df: DataFrame, keys: Sequence[str], split_rows: int = SPLIT_ROWS) -> bool:
     """Whether any key has more than ``split_rows`` rows."""
     return not df.groupBy(*keys).count().where(F.col("count") > split_rows).isEmpty()
@@ -311,7 +302,7 @@ def chunked_window(
     )
     new = columns(Window.partitionBy(*keys, _CHUNK).orderBy(*full_order))
     done = spread.select("*", *[value.alias(name) for name, value in new.items()]).where(F.col(_OWN) == F.col(_CHUNK))
-    return _unfold_copies(done, [*names, *new]) if folded else done.select(*names, *new)
+    return repeat_rows(done, F.col(_TIMES), [*names, *new]) if folded else done.select(*names, *new)
 
 
 def running_total(

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import latest_rows, merge_new_columns, outer_merge, pending, ranked, top_n, upsert
+from ledgerlark.operators.copies import repeat_rows
 
 from .conftest import ordered, rows
 
@@ -95,3 +96,9 @@ def test_top_n(spark):
     with pytest.raises(ValueError):
         top_n(df, order, 11)
     assert top_n(df, order, 11, strict=False).count() == 10
+
+
+def test_repeat_rows_in_blocks(spark):
+    df = spark.createDataFrame([("a", 0), ("b", 1), ("c", 10), ("d", 11), ("e", 35)], "k string, n int")
+    out = repeat_rows(df, F.col("n"), ["k"], block=10).groupBy("k").count()
+    assert rows(out) == [("b", 1), ("c", 10), ("d", 11), ("e", 35)]
