@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import SLICE, SLICES_PER_CUT, SPLIT_ROWS, has_heavy_keys, null_safe_join, slice_heavy_keys
+from .ordered import SLICE, SLICES_PER_CUT, SPLIT_ROWS, cut_heavy_keys, null_safe_join
 
 
 def asof_join(
@@ -27,9 +27,10 @@ def asof_join(
     forward, so no pairs are built. Of right rows with equal time the greatest
     ``values`` win.
 
-    With heavy keys each side is first reduced to one row per key and time, the
-    keys are cut into time slices, and each slice starts with the last right row
-    of the slices before it. The answers are then joined to the left rows.
+    Heavy keys are cut into time slices, and each slice starts with the last right
+    row of the slices before it. If even one instant is heavy, each side is first
+    reduced to one row per key and time, and the answers are joined to the left
+    rows.
     """
     taken = [c for c in values if c in left.columns]
     if taken:
@@ -42,14 +43,15 @@ def asof_join(
         *keys, F.col(left_time).alias("_time"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_left")
     )
     answer = [F.col("_last")[v].alias(v) for v in values]
-    if not has_heavy_keys(_stack(known, asked), keys, split_rows):
-        return _carry(_stack(known, asked), keys).select("_left.*", *answer)
-
-    known = known.groupBy(*keys, "_time").agg(F.max("_right").alias("_right"))
-    moments = asked.select(*keys, "_time").distinct()
-    stacked = _stack(known, moments)
-    cut = slice_heavy_keys(stacked, keys, ["_time"], split_rows, slices)
-    found = _carry(stacked, keys) if cut is None else _carry_over_slices(cut, keys)
+    both = _stack(known, asked)
+    cut, heavy_moments = cut_heavy_keys(both, keys, ["_time"], split_rows, slices)
+    if cut is None:
+        return _carry(both, keys).select("_left.*", *answer)
+    if heavy_moments is None:
+        return _carry_over_slices(cut, keys).select("_left.*", *answer)
+    moment = [*keys, SLICE, "_time"]
+    greatest = cut.where("_side = 0").groupBy(*moment).agg(F.max("_right").alias("_right"))
+    found = _carry_over_slices(_stack(greatest, cut.where("_side = 1").select(*moment).distinct()), keys)
     found = found.select(*keys, "_time", "_last")
     return null_safe_join(asked, found, [*keys, "_time"], "left").select("_left.*", *answer)
 

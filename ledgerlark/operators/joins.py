@@ -18,6 +18,13 @@ def merge_new_columns(left: DataFrame, right: DataFrame, keys: Sequence[str]) ->
     return sort_columns(left.join(right.select(*keys, *new), list(keys), "left"))
 
 
+def left_lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join on one key; all left columns stay in place, the right ones follow."""
+    other = f"_right_{key}"
+    joined = left.join(right.withColumnRenamed(key, other), F.col(key) == F.col(other), "left")
+    return joined.drop(other)
+
+
 def pending(universe: DataFrame, done: DataFrame, key: str = "symbol") -> DataFrame:
     """Rows of ``universe`` whose key is not in ``done`` yet."""
     return universe.join(done.select(key).distinct(), key, "left_anti")

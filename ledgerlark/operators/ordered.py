@@ -96,45 +96,56 @@ def slice_heavy_keys(
     Rows of ordinary keys get an empty array. Slices above ``split_rows`` are cut
     again, first finer on the same order column, then on the next one, then by
     ``_tie``, a hash of the row, as the order of ties is free. Only copies of one
-    row stay together then. Each round is one aggregate over the rows of the
-    groups cut last, and settles the few groups that are still too big. Returns
-    None when no key is heavy or the heavy keys cannot be cut.
+    row stay together then. Returns None when no key is heavy or the first order
+    column cannot be cut.
     """
-    numbers, text = _measured(df, order)
-    if not numbers or not has_heavy_keys(df, keys, split_rows):
-        return None
     whole_row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    columns, group = [*df.columns, TIE, SLICE], [*keys, SLICE]
-    cut = (
-        df.withColumn(TIE, F.shiftright(whole_row, 2))
-        .withColumn(SLICE, F.array().cast("array<bigint>"))
-        .withColumn(_OPEN, F.lit(True))
-    )
-    changed, stuck = False, []
-    measures, texts = numbers, text
+    cut, big = cut_heavy_keys(df.withColumn(TIE, F.shiftright(whole_row, 2)), keys, order, split_rows, slices)
+    # The hash of ties reads all columns, so it is used for the groups left over only.
+    if big is None or len(_measured(df, order)[0]) < len(order):
+        return cut
+    return cut_heavy_keys(cut, keys, [*order, TIE], split_rows, slices, open_groups=big)[0]
+
+
+def cut_heavy_keys(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    split_rows: int,
+    slices: int,
+    open_groups: DataFrame | None = None,
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """``df`` with ``_slice``, and the groups that are still too big, if any.
+
+    Each round is one aggregate over the rows of the groups cut last, and settles
+    the few groups that are too big. ``open_groups`` starts with these groups of
+    an earlier call.
+    """
+    measures, texts = _measured(df, order)
+    if not measures or (open_groups is None and not has_heavy_keys(df, keys, split_rows)):
+        return None, None
+    group = [*keys, SLICE]
+    columns = [c for c in df.columns if c != SLICE]
+    if open_groups is None:
+        cut = df.withColumn(SLICE, F.array().cast("array<bigint>")).withColumn(_OPEN, F.lit(True))
+    else:
+        marked = open_groups.withColumn(_OPEN, F.lit(True))
+        joined = null_safe_join(df, broadcast_if_small(marked, counted=open_groups), group, "left")
+        cut = joined.withColumn(_OPEN, F.coalesce(_OPEN, F.lit(False)))
+    stuck = []
     while True:
         big = settle(_big_groups(cut, group, order, measures, texts, split_rows))
         fences = big.where("_axis IS NOT NULL").withColumn("_width", F.expr(f"(_high - _low) div {slices} + 1"))
         stuck.append(big.where("_axis IS NULL").select(*group))
-        if not fences.isEmpty():
-            fenced = null_safe_join(cut, broadcast_if_small(fences), group, "left")
-            number = F.element_at(F.array(*measures), F.col("_axis") + 1)
-            step = F.coalesce(F.expr("(_number - _low) div _width"), F.lit(-1))  # NULL sorts first
-            is_cut = F.col("_axis").isNotNull()
-            finer = F.when(is_cut, F.array_append(SLICE, step)).otherwise(F.col(SLICE))
-            cut = fenced.withColumn("_number", number).select(
-                *columns[:-1], finer.alias(SLICE), is_cut.alias(_OPEN)
-            )
-            changed = True
-            continue
-        # The hash of ties reads all columns, so it is used for the groups left over only.
-        left_over = reduce(DataFrame.unionByName, stuck)
-        if len(measures) > len(order) or len(numbers) < len(order) or left_over.isEmpty():
-            return cut.select(*columns) if changed else None
-        marked = left_over.withColumn("_again", F.lit(True))
-        again = F.coalesce(F.col("_again"), F.lit(False)).alias(_OPEN)
-        cut = null_safe_join(cut, broadcast_if_small(marked), group, "left").select(*columns, again)
-        measures, texts, stuck = [*numbers, F.col(TIE)], [*text, False], []
+        if fences.isEmpty():
+            left_over = reduce(DataFrame.unionByName, stuck)
+            return cut.select(*columns, SLICE), None if left_over.isEmpty() else left_over
+        fenced = null_safe_join(cut, broadcast_if_small(fences), group, "left")
+        number = F.element_at(F.array(*measures), F.col("_axis") + 1)
+        step = F.coalesce(F.expr("(_number - _low) div _width"), F.lit(-1))  # NULL sorts first
+        is_cut = F.col("_axis").isNotNull()
+        finer = F.when(is_cut, F.array_append(SLICE, step)).otherwise(F.col(SLICE))
+        cut = fenced.withColumn("_number", number).select(*columns, finer.alias(SLICE), is_cut.alias(_OPEN))
 
 
 def _big_groups(
@@ -172,7 +183,7 @@ def _big_groups(
     for at in places:
         low, high, filled = F.col(f"_lo{at}"), F.col(f"_hi{at}"), F.col(f"_filled{at}")
         differs = (low < high) | ((filled > 0) & (filled < F.col("_rows")))
-        if at >= len(order):  # a heavy key of mere copies becomes one slice
+        if order[at] == TIE:  # a heavy key of mere copies becomes one slice
             differs = differs | (F.size(SLICE) == 0)
         axis = axis.when(differs, F.lit(at))
         if texts[at]:

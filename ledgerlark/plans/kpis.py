@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions.numbers import finite, finite_sql, is_floating
 from ..functions.ratios import QUOTE_COLUMNS, derived_columns
 from ..operators.columns import conform
+from ..operators.joins import left_lookup
 from ..operators.ordered import (
     SPLIT_ROWS,
     chunked_window,
@@ -56,17 +57,17 @@ def _fill_missing_ebit(statements: DataFrame) -> DataFrame:
 def _window_zero_ebit(statements: DataFrame) -> DataFrame:
     """The flag as a window, on the exchange that other windows on symbol use too."""
     any_zero = F.max(F.col("ebit") == 0).over(Window.partitionBy("symbol"))
-    return _use_income(statements, statements.withColumn("_use_income", any_zero))
+    return _use_income(statements.withColumn("_use_income", any_zero))
 
 
 def _join_zero_ebit(statements: DataFrame, flagged: DataFrame) -> DataFrame:
     """The flag as a join with one row per symbol, so the rows of a heavy symbol can be split."""
-    return _use_income(statements, statements.join(flagged, "symbol", "left"))
+    return _use_income(left_lookup(statements, flagged, "symbol"))
 
 
-def _use_income(statements: DataFrame, marked: DataFrame) -> DataFrame:
+def _use_income(marked: DataFrame) -> DataFrame:
     value = F.when(F.col("_use_income"), F.col("operating_income")).otherwise(F.col("ebit"))
-    return marked.select(*[value.alias(c) if c == "ebit" else c for c in statements.columns])
+    return marked.withColumn("ebit", value).drop("_use_income")
 
 
 def with_quotes(statements: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -74,7 +75,7 @@ def with_quotes(statements: DataFrame, quotes: DataFrame) -> DataFrame:
     figures = conform(quotes, T.StructType([STATEMENT_SCHEMA["symbol"], *QUOTE_SCHEMA.fields])).select(
         "symbol", *[F.col(field).alias(name) for name, field in QUOTE_COLUMNS.items()]
     )
-    return statements.join(figures, "symbol", "left").select(*statements.columns, *QUOTE_COLUMNS)
+    return left_lookup(statements, figures, "symbol")
 
 
 def _debt_change(window: WindowSpec) -> dict[str, Column]:
