@@ -11,7 +11,7 @@ from ..functions.text import market_cap_millions
 from ..operators.ranking import top_n
 from ..sources.writers import write_ticker_list
 
-# Exchanges, sectors and regions of the screener.
+# Exchanges, sectors and regions of the screener, and a small ticker list.
 EXCHANGES = ("nyse", "nasdaq", "amex")
 SECTORS = (
     "Consumer Non-Durables",
@@ -38,6 +38,8 @@ REGIONS = (
     "NORTH+AMERICA",
 )
 
+SMALL_UNIVERSE = ("MSFT", "GOOG", "GOOGL", "AMZN", "TSLA", "FB", "NVDA")
+
 
 def is_plain_symbol(symbol: Column) -> Column:
     """True for symbols without a dot or a caret; NULL symbols fail."""

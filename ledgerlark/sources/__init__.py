@@ -14,6 +14,7 @@ from .readers import (
     read_table,
     read_tickers,
     split_rejects,
+    ticker_table,
 )
 from .writers import (
     append_history,
@@ -41,6 +42,7 @@ __all__ = [
     "read_table",
     "read_tickers",
     "split_rejects",
+    "ticker_table",
     "upsert_table",
     "write_bucketed",
     "write_filtered_metrics",

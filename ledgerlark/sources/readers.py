@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +34,11 @@ def read_tickers(spark: SparkSession, path: str, dash_classes: bool = False) ->
     return listed.select(symbol.alias("symbol")).where(F.col("symbol") != "")
 
 
+def ticker_table(spark: SparkSession, symbols: Iterable[str]) -> DataFrame:
+    """Ticker list given as plain values, such as a short watch list."""
+    return spark.createDataFrame([(symbol,) for symbol in symbols], TICKER_SCHEMA)
+
+
 def read_metrics(
     spark: SparkSession, path: str, schema: T.StructType = METRIC_SCHEMA, multi_line: bool = False
 ) -> DataFrame:

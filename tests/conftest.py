@@ -6,7 +6,7 @@ from ledgerlark import build_session
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "tests",
         "local[8]",
@@ -15,6 +15,7 @@ def spark():
         spark__ui__showConsoleProgress="false",
         spark__driver__memory="4g",
         spark__sql__maxMetadataStringLength="2000",
+        spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -46,6 +46,16 @@ def test_unused_kpis_cost_nothing(spark, tmp_path):
     assert sorted(c.split(":")[0] for c in schema.split(",")) == ["symbol", "total_assets", "total_debt"]
 
 
+def test_bucketed_statements_need_no_exchange(spark, tmp_path):
+    _, df = make_panel(spark)
+    sources.write_bucketed(df, "bucketed_statements", 4)
+    make_quotes(spark).write.parquet(str(tmp_path / "q"))
+    kpis = compute_kpis(spark.table("bucketed_statements"), spark.read.parquet(str(tmp_path / "q")))
+    assert "Window" in plan_text(kpis)
+    assert "Exchange hashpartitioning" not in plan_text(kpis)
+    assert kpis.count() == df.count()
+
+
 def test_lookup_and_window_filters_reach_the_scan(spark, tmp_path):
     path = str(tmp_path / "h")
     spark.range(10).select(F.lit("A").alias("symbol"), F.current_date().alias("date"), F.rand(1).alias("close")).write.parquet(path)

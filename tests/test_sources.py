@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlark import sources
+from ledgerlark.plans.universe import SMALL_UNIVERSE
 from ledgerlark.schema import BASE_COLUMNS, HISTORY_SCHEMA
 
 from .conftest import ordered, rows
@@ -22,6 +23,10 @@ def test_ticker_list(spark, tmp_path):
     assert sources.read_tickers(spark, str(file), dash_classes=True).where("symbol = 'BRK-A'").count() == 1
 
 
+def test_ticker_table(spark):
+    assert ordered(sources.ticker_table(spark, SMALL_UNIVERSE[:2])) == [("MSFT",), ("GOOG",)]
+
+
 def test_metrics_by_header_name(spark, tmp_path):
     file = tmp_path / "metrics.csv"
     file.write_text('beta,symbol,companyOfficers,pegRatio\n1.5,A,"[{""n"": 1}, 2]",nan\nx,B,,2\n')
