@@ -3,7 +3,7 @@
 from .history import at_dates, average_history, average_history_asof, rolling_average, truncate_before
 from .kpis import compute_kpis, with_debt_change, with_ebit, with_quotes, zero_ebit_symbols
 from .pages import host_list, html_rows, table_bodies
-from .refresh import pending_kpis, refresh_kpis, store_kpis
+from .refresh import pending_kpis, refresh_kpis, refresh_table, store_kpis
 from .screening import (
     beta_order,
     beta_view,
@@ -39,6 +39,7 @@ __all__ = [
     "pending_kpis",
     "recommendation_order",
     "refresh_kpis",
+    "refresh_table",
     "reorder_columns",
     "rolling_average",
     "safe_metrics",

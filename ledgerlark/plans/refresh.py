@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.joins import pending, upsert
 from ..operators.ordered import SPLIT_ROWS
 from ..schema import KEY_COLUMNS
-from ..sources.writers import upsert_table
+from ..sources.writers import stored_table, upsert_table
 from .kpis import compute_kpis
 
 YEAR = "as_of_year"
@@ -50,3 +50,15 @@ def refresh_kpis(
 def store_kpis(kpis: DataFrame, path: str) -> None:
     """Upsert KPI rows into the table at ``path``, which is partitioned by year."""
     upsert_table(kpis.withColumn(YEAR, F.year("as_of_date")), path, KEY_COLUMNS, [YEAR])
+
+
+def refresh_table(
+    tickers: DataFrame, statements: DataFrame, quotes: DataFrame, path: str, split_rows: int = SPLIT_ROWS
+) -> None:
+    """Compute the tickers that the KPI table at ``path`` lacks and store their rows.
+
+    Only the symbols of the stored table are read. The first run makes the table.
+    """
+    existing = stored_table(tickers.sparkSession, path)
+    done = tickers.limit(0) if existing is None else existing
+    store_kpis(pending_kpis(tickers, statements, quotes, done, split_rows), path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import upsert
@@ -50,6 +50,16 @@ def write_bucketed(df: DataFrame, table: str, buckets: int, key: str = "symbol")
     df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table)
 
 
+def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``, or None if there is none yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def upsert_table(new: DataFrame, path: str, keys: Sequence[str], partition_by: Sequence[str]) -> None:
     """Upsert into a partitioned Parquet table, rewriting only the touched partitions.
 
@@ -60,10 +70,7 @@ def upsert_table(new: DataFrame, path: str, keys: Sequence[str], partition_by: S
     spark = new.sparkSession
     parts = list(partition_by)
     new = settle(new)
-    try:
-        stored = spark.read.parquet(path)
-    except AnalysisException:
-        stored = None
+    stored = stored_table(spark, path)
     merged = new
     if stored is not None:
         # One row per partition folder of the batch, so its size is bounded.

@@ -51,8 +51,10 @@ def rolled(df, reach, **split):
     )
 
 
-@pytest.mark.parametrize("kind", ["even", "burst", "instant"])
-@pytest.mark.parametrize("reach,split_rows,slices", [(1, 7, 16), (9, 20, 8), (30, 5, 64), (3, 60, 2)])
+@pytest.mark.parametrize(
+    "kind,reach,split_rows,slices",
+    [("even", 1, 7, 16), ("burst", 9, 20, 64), ("instant", 30, 5, 64), ("even", 3, 60, 4), ("instant", 2, 20, 8)],
+)
 def test_split_window_equals_plain_window(spark, kind, reach, split_rows, slices):
     df = history(spark, seed=reach, kind=kind)
     plain = rolled(df, reach)
@@ -161,8 +163,16 @@ def brute_asof(left, right):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("kind", ["even", "burst", "instant"])
-@pytest.mark.parametrize("split", [{}, {"split_rows": 12, "slices": 8}, {"split_rows": 3, "slices": 128}])
+@pytest.mark.parametrize(
+    "kind,split",
+    [
+        ("even", {}),
+        ("instant", {}),
+        ("even", {"split_rows": 12, "slices": 8}),
+        ("burst", {"split_rows": 5, "slices": 512}),
+        ("instant", {"split_rows": 12, "slices": 8}),
+    ],
+)
 def test_asof_against_brute_force(spark, kind, split):
     right = history(spark, seed=21, n=250, kind=kind).select("k", "t", "v")
     left = history(spark, seed=22, n=150, kind=kind).select("k", F.col("t").alias("asked"))

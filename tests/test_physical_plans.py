@@ -3,29 +3,15 @@
 from __future__ import annotations
 
 import re
-from pathlib import Path
 
-import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as driver
 from ledgerlark import sources
 from ledgerlark.plans import biggest_n, compute_kpis, rolling_average, safe_metrics
 
 from .conftest import plan_text
 from .test_kpis import make_panel, make_quotes
 
-SF_DIR = "/root/testdata/sf0.001"
-
-
-@pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test data")
-@pytest.mark.parametrize("name", sorted(driver.queries()))
-def test_no_python_and_no_products(spark, name):
-    plan = plan_text(driver.queries()[name](spark, SF_DIR))
-    for word in ("PythonUDF", "ArrowEval", "BatchEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
-        assert word not in plan
-
-
 def test_both_windows_share_one_exchange(spark, tmp_path):
     _, df = make_panel(spark)
     df.write.parquet(str(tmp_path / "s"))

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from ledgerlark.plans import compute_kpis, pending_kpis, refresh_kpis, store_kpis
+from ledgerlark.plans import compute_kpis, pending_kpis, refresh_kpis, refresh_table, store_kpis
 
 from .conftest import rows
 
@@ -61,3 +61,14 @@ def test_stored_table(spark, tmp_path):
         stored = spark.read.parquet(path)
         assert stored.count() == 4
         assert rows(stored.where("symbol = 'A'"), "total_debt") == [(1.0,), (50.0,)]
+
+
+def test_refresh_of_a_stored_table(spark, tmp_path):
+    path = str(tmp_path / "kpis")
+    statements = panel(spark, DATA)
+    refresh_table(tickers(spark, "A", "C"), statements, quotes(spark), path)
+    assert rows(spark.read.parquet(path), "symbol") == [("A",), ("A",), ("C",)]
+    for _ in range(2):
+        refresh_table(tickers(spark, "A", "B"), statements, quotes(spark), path)
+        stored = spark.read.parquet(path)
+        assert rows(stored, *PICKED) == rows(compute_kpis(statements, quotes(spark)), *PICKED)

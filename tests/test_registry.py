@@ -10,6 +10,8 @@ duckdb = pytest.importorskip("duckdb")
 
 import __spark_entry__ as driver  # noqa: E402
 
+from .conftest import plan_text  # noqa: E402
+
 SF_DIR = "/root/testdata/sf0.001"
 
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test data")
@@ -35,6 +37,9 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(df.columns) == sorted(names)
     got = sorted((tuple(r) for r in df.select(*names).collect()), key=repr)
     assert got == sorted(result.fetchall(), key=repr)
+    plan = plan_text(df)
+    for word in ("PythonUDF", "ArrowEval", "BatchEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert word not in plan
 
 
 def test_entry(spark):
