@@ -27,6 +27,8 @@ SLICES_PER_CUT = 4096
 # Largest helper table, in rows of about 100 bytes, that is sent to all executors.
 BROADCAST_ROWS = 500_000
 
+WindowColumns = Callable[[WindowSpec], dict[str, Column] | list[dict[str, Column]]]
+
 SLICE = "_slice"
 TIE = "_tie"
 _HEAD_BYTES = 7  # leading bytes of a text that are measured
@@ -261,14 +263,15 @@ def lookback_window(
     keys: Sequence[str],
     order: Sequence[str],
     reach: int,
-    columns: Callable[[WindowSpec], dict[str, Column]],
+    columns: WindowColumns,
     split_rows: int = SPLIT_ROWS,
     slices: int = SLICES_PER_CUT,
 ) -> DataFrame:
     """Add window columns whose frames reach at most ``reach`` rows back.
 
     ``columns`` gets the ordered window of a key and returns the new columns by
-    name. Ordering is ascending, NULL first.
+    name, or a list of such stages, of which each may use the columns of those
+    before and only the last one stays. Ordering is ascending, NULL first.
     """
     cut = slice_heavy_keys(df, keys, order, split_rows, slices)
     if cut is None:
@@ -276,12 +279,18 @@ def lookback_window(
     return chunked_window(cut, keys, order, reach, columns, split_rows)
 
 
-def plain_window(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Callable[[WindowSpec], dict[str, Column]]
-) -> DataFrame:
+def plain_window(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: WindowColumns) -> DataFrame:
     """Window columns with one task per key."""
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return df.select("*", *[value.alias(name) for name, value in columns(window).items()])
+    added, new = _add_columns(df, columns(Window.partitionBy(*keys).orderBy(*order)))
+    return added.select(*df.columns, *new)
+
+
+def _add_columns(df: DataFrame, stages: dict[str, Column] | list[dict[str, Column]]) -> tuple[DataFrame, list[str]]:
+    """All stages one after another, and the column names of the last one."""
+    stages = [stages] if isinstance(stages, dict) else stages
+    for stage in stages:
+        df = df.select("*", *[value.alias(name) for name, value in stage.items()])
+    return df, list(stages[-1])
 
 
 def chunked_window(
@@ -289,7 +298,7 @@ def chunked_window(
     keys: Sequence[str],
     order: Sequence[str],
     reach: int,
-    columns: Callable[[WindowSpec], dict[str, Column]],
+    columns: WindowColumns,
     split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
     """Window columns over the output of ``slice_heavy_keys``, heavy keys in chunks."""
@@ -311,8 +320,8 @@ def chunked_window(
         F.coalesce(_OWN, F.lit(0)).alias(_OWN),
         F.explode(F.coalesce(F.col(_TARGETS), only_chunk)).alias(_CHUNK),
     )
-    new = columns(Window.partitionBy(*keys, _CHUNK).orderBy(*full_order))
-    done = spread.select("*", *[value.alias(name) for name, value in new.items()]).where(F.col(_OWN) == F.col(_CHUNK))
+    added, new = _add_columns(spread, columns(Window.partitionBy(*keys, _CHUNK).orderBy(*full_order)))
+    done = added.where(F.col(_OWN) == F.col(_CHUNK))
     return repeat_rows(done, F.col(_TIMES), [*names, *new]) if folded else done.select(*names, *new)
 
 

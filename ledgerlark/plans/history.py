@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
@@ -48,11 +49,8 @@ def rolling_average(
     """
     values = list(values) if values is not None else _prices(history, [*keys, *order])
 
-    def averages(window: WindowSpec) -> dict[str, Column]:
-        frame = window.rowsBetween(-(period - 1), 0)
-        return {
-            _ROLLED + v: F.when(F.count(v).over(frame) == period, F.avg(v).over(frame)) for v in values
-        }
+    def averages(window: WindowSpec) -> list[dict[str, Column]]:
+        return _window_means(window, values, period)
 
     # Heavy keys are measured before the semi-join, so that this stays a plain aggregate.
     cut = slice_heavy_keys(history, keys, order, split_rows)
@@ -66,6 +64,32 @@ def rolling_average(
     return rolled.select(*[F.col(_ROLLED + c).alias(c) if c in values else F.col(c) for c in history.columns])
 
 
+def _window_means(window: WindowSpec, values: Sequence[str], period: int) -> list[dict[str, Column]]:
+    """Means over the last ``period`` rows in two stages.
+
+    A frame of ``period`` rows would be summed up anew at every row. Instead short
+    frames of about the square root of that are summed, and the sums that line up
+    to the whole frame are added. Nothing is subtracted, so no digits are lost. A
+    short sum with a NULL or without all its rows is NULL, and so is the mean.
+    """
+    length = max(1, round(period**0.5))
+    whole, rest = divmod(period, length)
+
+    def short_sum(value: str, rows: int) -> Column:
+        frame, number = window.rowsBetween(-(rows - 1), 0), F.col(value).cast("double")
+        return F.when(F.count(number).over(frame) == rows, F.sum(number).over(frame))
+
+    sums, means = {}, {}
+    for v in values:
+        sums[f"_short_{v}"] = short_sum(v, length)
+        parts = [F.lag(f"_short_{v}", length * at).over(window) for at in range(1, whole)]
+        if rest:
+            sums[f"_rest_{v}"] = short_sum(v, rest)
+            parts.append(F.lag(f"_rest_{v}", length * whole).over(window))
+        means[_ROLLED + v] = reduce(Column.__add__, parts, F.col(f"_short_{v}")) / F.lit(period)
+    return [sums, means]
+
+
 def at_dates(history: DataFrame, dates: DataFrame, keys: Sequence[str] = ("symbol", "date")) -> DataFrame:
     """History rows whose symbol and date occur in ``dates``."""
     return history.join(dates.select(*keys).distinct(), list(keys), "left_semi")

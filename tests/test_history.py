@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -24,6 +25,18 @@ def test_rolling_needs_a_full_window(spark):
     assert [r["close"] for r in out] == [None] * 5 + [5.0]
 
 
+@pytest.mark.parametrize("period", [1, 2, 5, 12, 16, 23])
+@pytest.mark.parametrize("split_rows", [10_000, 30])
+def test_rolling_against_plain_python(spark, period, split_rows):
+    rng = random.Random(period)
+    values = [None if rng.random() < 0.04 else rng.choice([1e12, 1.0]) * rng.random() for _ in range(90)]
+    got = [r["close"] for r in rolling_average(prices(spark, values), period, split_rows=split_rows).orderBy("date").collect()]
+    for at, mean in enumerate(got):
+        window = values[max(at - period + 1, 0) : at + 1]
+        full = len(window) == period and None not in window
+        assert mean == (pytest.approx(math.fsum(window) / period, rel=1e-12) if full else None)
+
+
 @pytest.mark.parametrize("split_rows", [10_000, 25])
 def test_null_count_per_symbol(spark, split_rows):
     df = prices(spark, [1.0] * 100).union(prices(spark, [2.0] * 7, "b")).union(prices(spark, [3.0] * 3, "c"))

@@ -22,6 +22,14 @@ def test_both_windows_share_one_exchange(spark, tmp_path):
     assert "BroadcastHashJoin" in plan
 
 
+def test_rolling_average_sorts_once(spark, tmp_path):
+    path = str(tmp_path / "h")
+    spark.range(10).select(F.lit("A").alias("symbol"), F.current_date().alias("date"), F.rand(1).alias("close")).write.parquet(path)
+    plan = plan_text(rolling_average(spark.read.parquet(path), 120))
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1
+    assert len(re.findall(r"Sort \[", plan)) == 1
+
+
 def test_unused_kpis_cost_nothing(spark, tmp_path):
     _, df = make_panel(spark)
     df.write.parquet(str(tmp_path / "s"))
