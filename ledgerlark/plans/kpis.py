@@ -72,10 +72,13 @@ def _use_income(marked: DataFrame) -> DataFrame:
 
 def with_quotes(statements: DataFrame, quotes: DataFrame) -> DataFrame:
     """Both quote figures on every row of the symbol, NULL if there is no quote."""
-    figures = conform(quotes, T.StructType([STATEMENT_SCHEMA["symbol"], *QUOTE_SCHEMA.fields])).select(
+    return left_lookup(statements, _quote_figures(quotes), "symbol")
+
+
+def _quote_figures(quotes: DataFrame) -> DataFrame:
+    return conform(quotes, T.StructType([STATEMENT_SCHEMA["symbol"], *QUOTE_SCHEMA.fields])).select(
         "symbol", *[F.col(field).alias(name) for name, field in QUOTE_COLUMNS.items()]
     )
-    return left_lookup(statements, figures, "symbol")
 
 
 def _debt_change(window: WindowSpec) -> dict[str, Column]:
@@ -113,14 +116,20 @@ def compute_kpis(
         rows = plain_window(rows, ["symbol"], STATEMENT_ORDER, _debt_change)
     else:
         rows = chunked_window(rows, ["symbol"], STATEMENT_ORDER, 1, _debt_change, split_rows)
+    facts = _quote_figures(quotes)
     if ebit_fallback == "missing":
         rows = _fill_missing_ebit(rows)
     elif cut is None:
         rows = _window_zero_ebit(rows)
     else:
-        rows = _join_zero_ebit(rows, zero_ebit_symbols(base))
+        # All facts of a symbol in one table first: adaptive execution does not
+        # split a heavy symbol in two joins that follow one another.
+        facts = facts.join(zero_ebit_symbols(base), "symbol", "full")
+    rows = left_lookup(rows, facts, "symbol")
+    if "_use_income" in facts.columns:
+        rows = _use_income(rows)
     derived = derived_columns(F.col("ebit"), F.col("_debt_change"))
-    return with_quotes(rows, quotes).select(
+    return rows.select(
         *[F.expr(finite_sql(f.name)) if is_floating(f.dataType) else f.name for f in STATEMENT_SCHEMA.fields],
         *[finite(value).alias(name) for name, value in derived.items()],
     )

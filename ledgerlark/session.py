@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+# A skewed join is split even if that costs one more shuffle behind it.
 # spark.sql.codegen.maxFields keeps its default of 100: whole-stage code for the
 # 184 fields of a KPI row gets too big for the JIT compiler and ran 4 times slower.
 # Recording the Python call site of every column is switched off, since it slows
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.session.timeZone": "UTC",

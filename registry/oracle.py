@@ -471,3 +471,6 @@ SELECT panel.symbol, as_of_date, total_debt, shares AS insider_shares_bought
 FROM panel LEFT JOIN bought ON bought.symbol = panel.symbol AND bought.year = year(as_of_date)
 """,
 }
+
+# The same results with heavy symbols split.
+ORACLE["kpi_wide_split"] = ORACLE["kpi_wide"]

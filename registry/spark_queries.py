@@ -72,6 +72,13 @@ def kpi_wide(spark, sf_dir):
     return kpis.select(*KEY_COLUMNS, "currency_code", *DERIVED_COLUMNS)
 
 
+@register
+def kpi_wide_split(spark, sf_dir):
+    panel = given.statements(spark, sf_dir, with_lines=True)
+    kpis = plans.compute_kpis(panel, given.quotes(spark, sf_dir), split_rows=5)
+    return kpis.select(*KEY_COLUMNS, "currency_code", *DERIVED_COLUMNS)
+
+
 @register
 def kpi_debt_service(spark, sf_dir):
     panel = given.statements(spark, sf_dir).select(*KEY_COLUMNS, "total_debt")
