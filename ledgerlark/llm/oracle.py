@@ -93,13 +93,13 @@ WITH listed(lang, word) AS (VALUES {_LISTED}), lists AS (
         regexp_extract_all(COALESCE(text, ''), '{_WORD}') AS w
     FROM documents
 ), tokens AS (
-    SELECT doc_id, key, unnest(w) AS word, unnest(range(len(w))) AS at FROM docs
+    SELECT doc_id, key, unnest(w) AS word FROM docs
 ), windows AS (
-    SELECT doc_id, unnest(range(len(w) - 2)) AS at, unnest(list_transform(range(len(w) - 2), lambda i: [w[i + 1], w[i + 2], w[i + 3]])) AS tri
+    SELECT doc_id, unnest(range(len(w) - 2)) AS pos, unnest(list_transform(range(len(w) - 2), lambda i: [w[i + 1], w[i + 2], w[i + 3]])) AS tri
     FROM docs WHERE len(w) > 2
 ), repeated AS (
-    SELECT doc_id, count(DISTINCT at + d) AS n
-    FROM (SELECT doc_id, at, count(*) OVER (PARTITION BY doc_id, tri) AS n FROM windows), (VALUES (0), (1), (2)) AS t(d)
+    SELECT doc_id, count(DISTINCT pos + d) AS n
+    FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, tri) AS n FROM windows), (VALUES (0), (1), (2)) AS t(d)
     WHERE n > 1 GROUP BY doc_id
 ), dup AS (
     SELECT doc_id, count(*) - count(DISTINCT line) AS n
@@ -125,7 +125,8 @@ WITH listed(lang, word) AS (VALUES {_LISTED}), lists AS (
         LEFT JOIN shares s ON s.doc_id = d.doc_id AND s.kind = r.kind AND s.bin = r.bin
     ) AS r JOIN docs d USING (doc_id) GROUP BY ALL
 ), figures AS (
-    SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(text, '[ 	-]+', '', 'g')) AS word_chars,
+    SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(text, '[ 	-
+]+', '', 'g')) AS word_chars,
         len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, COALESCE(dup.n, 0) AS n_dup_lines,
         COALESCE(repeated.n, 0) AS n_repeat_words, length(text) AS n_chars, c.far AS cd, v.far AS wd
     FROM docs d LEFT JOIN dup USING (doc_id) LEFT JOIN repeated USING (doc_id)
@@ -157,3 +158,19 @@ WITH turns AS (
 )
 SELECT *, length(rendered) * copies AS n_chars, COALESCE(part <> 'prompt' AND role = 'assistant', false) AS trained FROM shown
 """
+
+_B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+ORACLE["op8_warc"] = f"""
+WITH digests AS (
+    SELECT page_id, strlen(COALESCE(html, '')) AS payload_bytes, sha1(COALESCE(html, '')) AS hex FROM pages
+), firsts AS (
+    SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM digests
+)
+SELECT page_id, payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: substr('{_B32}', 1 + (
+        (('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), '') AS payload_digest,
+    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first THEN first END AS refers_to
+FROM firsts
+"""

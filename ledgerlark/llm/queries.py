@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, quality, url_filters
-from .common import table
+from . import chat, decontamination, language_id, mixing, quality, token_files, url_filters, warc
+from .common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Installed vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def register(query: Query) -> Query:
     QUERIES[query.__name__] = query
@@ -28,6 +37,13 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs).select("doc_id", "mix.size", "mix.source_size", "mix.target", taken, "mix.copies")
 
 
+@register
+def op2_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item, with the item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.leaks(docs, table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 @register
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on the url of every page."""
@@ -48,3 +64,27 @@ def op7_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompt and completion segments of all neighbouring conversations."""
     pairs = chat.neighbours(table(spark, sf_dir, "conversations"))
     return chat.preference_segments(pairs)
+
+
+@register
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages, as read back from the archives."""
+    path = shared_path(spark, "warc")
+    warc.write_pages(table(spark, sf_dir, "pages"), path)
+    return warc.read_pages(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.identified(docs, language_id.fit(docs))
+
+
+@register
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document in the token files."""
+    path = shared_path(spark, "tokens")
+    write = table(spark, sf_dir, "documents").select("doc_id", "text")
+    token_files.write_tokens(write, path, tokenizer_path())
+    return token_files.with_checksums(token_files.read_tokens(spark, path))
