@@ -69,6 +69,26 @@ SELECT page_id, host, path, rule,
 FROM chosen
 """
 
+ORACLE["op4_substring_dedup"] = rf"""
+WITH docs AS (
+    SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '{_WORD}') AS w FROM documents
+), windows AS (
+    SELECT doc_id, unnest(range(len(w) - 19)) AS pos,
+        unnest(list_transform(range(len(w) - 19), lambda i: array_to_string(w[i + 1:i + 20], ' '))) AS win
+    FROM docs WHERE len(w) >= 20
+), again AS (
+    SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS n FROM windows) WHERE n > 1
+), gone AS (
+    SELECT DISTINCT doc_id, pos + d AS pos FROM again, range(20) AS t(d)
+), kept AS (
+    SELECT d.doc_id, string_agg(d.word, ' ' ORDER BY d.pos) FILTER (g.pos IS NULL) AS text, count(g.pos) AS n_removed
+    FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM docs) d LEFT JOIN gone g USING (doc_id, pos)
+    GROUP BY d.doc_id
+)
+SELECT doc_id, len(w) AS n_words, COALESCE(n_removed, 0) AS n_removed, sha256(COALESCE(text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
 _COMMON = {
     "de": ("das", "den", "der", "des", "die", "ein", "für", "ist", "mit", "nicht", "und", "von", "zu"),
     "en": ("a", "and", "are", "as", "for", "in", "is", "it", "of", "on", "that", "the", "to", "was", "with"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language_id, mixing, quality, token_files, url_filters, warc
+from . import chat, decontamination, language_id, mixing, quality, substring_dedup, token_files, url_filters, warc
 from .common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,13 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judged(pages).select("page_id", "filter.host", "filter.path", "filter.rule", "filter.verdict", "filter.matched")
 
 
+@register
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated 20-word windows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.deduplicated(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, divergence and verdict of every document."""
