@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language_id, mixing, quality, substring_dedup, token_files, url_filters, warc
-from .common import shared_path, table
+from . import chat, decontamination, jaccard, language_id, mixing, quality, substring_dedup, token_files, url_filters, warc
+from .common import LAST_ID, shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs).select("doc_id", *[f"quality.{n}" for n in names])
 
 
+@register
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under the links of similar texts."""
+    found = jaccard.linked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    known = lambda c: F.when(c != LAST_ID, c)
+    return found.select(known(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), known(F.col("head.id")).alias("component_id"))
+
+
 @register
 def op7_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompt and completion segments of all neighbouring conversations."""

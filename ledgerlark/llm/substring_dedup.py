@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import LAST_ID, keyed
 from .hashing import WordHashes, mixed, windows
 
 WINDOW = 20
@@ -39,17 +40,10 @@ KMER = 8
 HEAVY = 100_000
 # Occurrences within one batch from which a k-mer is counted.
 HEAVY_IN_BATCH = 64
-_LAST = 2**63 - 1
 _BYTES = 6
 _TOP = np.uint64(1 << 63)
 
 
-def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``(id, th, text)``: id with null as the largest, hash of the text."""
-    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_LAST)).alias("id"), F.hash(body).alias("th"), body.alias("text"))
-
-
 def _words(text: str) -> list[bytes]:
     return text.encode().split()
 
@@ -198,8 +192,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, kmer: int = KMER) -> DataFrame:
     """Compacted paths: ``id, th, start, n`` (windows in a row that occur earlier), and
     the source ``src_id, src_start`` of the first; the others' sources follow it."""
-    keyed = _keyed(docs, key, text)
-    runs = _runs(keyed, window, kmer, heavy_kmers(keyed, kmer))
+    rows = keyed(docs, key, text)
+    runs = _runs(rows, window, kmer, heavy_kmers(rows, kmer))
     pieces = runs.repartition("h").sortWithinPartitions("h", "id", "th", "start").mapInArrow(_meet, _PIECES)
     order = Window.partitionBy("id", "th").orderBy("start")
     new = (
@@ -218,8 +212,8 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
     text of the words that no repeated window covers, joined by blanks."""
     spans = repeated_spans(docs, key, text, window, kmer)
     spans = spans.groupBy("id", "th").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
-    keyed = _keyed(docs, key, text).withColumn("doc_id", F.when(F.col("id") != _LAST, F.col("id")))
-    joined = keyed.join(spans, ["id", "th"], "left").select("doc_id", "text", "starts", "ns")
+    rows = keyed(docs, key, text).withColumn("doc_id", F.when(F.col("id") != LAST_ID, F.col("id")))
+    joined = rows.join(spans, ["id", "th"], "left").select("doc_id", "text", "starts", "ns")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
