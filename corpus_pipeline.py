@@ -1,13 +1,18 @@
-"""Corpus pipeline: the operators, one after the other, over ``documents``."""
+"""Corpus pipeline: five operators, one after the other, over ``documents``.
+
+Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and read as
+the next one's ``docs``. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.llm import quality
-from ledgerlark.llm.common import stored, table
+from ledgerlark.llm import decontamination, jaccard, mixing, quality, token_files
+from ledgerlark.llm.common import shared_path, stored, table
+from ledgerlark.llm.queries import tokenizer_path
 
-# Stages with binary output and mixing have no counterpart in SQL.
+# Tokenizer ids have no counterpart in SQL.
 ORACLE_SQL = None
 
 
@@ -16,7 +21,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of similar ones."""
+    return jaccard.first_of_each(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources; documents as often as they are taken."""
+    return mixing.emit(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document in the token files."""
+    path = shared_path(spark, "tokens")
+    token_files.write_tokens(docs, path, tokenizer_path())
+    return token_files.with_checksums(token_files.read_tokens(spark, path))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_leaks", benchmark_leaks),
+    ("source_mix", source_mix),
+    ("token_output", token_output),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
