@@ -1,0 +1,205 @@
+"""Operators on documents against plain Python, on odd rows and on empty tables."""
+
+from __future__ import annotations
+
+import re
+from collections import Counter
+from hashlib import md5
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerlark.llm import jaccard, mixing, quality, substring_dedup
+from ledgerlark.llm.common import LAST_ID
+from ledgerlark.llm.components import components
+
+from .conftest import EXTRA, SCHEMA, odd_rows, prose, words
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+DOCS = [r[:4] for r in odd_rows()]
+
+
+def tokens(text):
+    return WORD.findall(text or "")
+
+
+def as_is(docs):
+    """Columns that clash with those of the operators come through."""
+    return all(tuple(r)[5:] == EXTRA for r in docs.collect())
+
+
+def test_quality_counts(odd):
+    got = {(r.doc_id, r.text): r.figures for r in quality.judged(odd).select("doc_id", "text", F.col("_quality").alias("figures")).collect()}
+    for doc_id, text, _, _ in DOCS:
+        own = tokens(text)
+        windows = [tuple(own[i : i + 3]) for i in range(len(own) - 2)]
+        often = Counter(windows)
+        covered = {i + d for i, w in enumerate(windows) if often[w] > 1 for d in range(3)}
+        lines = [line for line in (text or "").split("\n") if tokens(line)]
+        f = got[doc_id, text]
+        assert (f.n_words, f.n_repeat_words) == (len(own), len(covered))
+        assert f.word_chars == sum(map(len, own))
+        assert f.n_symbols == sum(c in "#*$%&|<>" for c in text or "")
+        assert f.n_dup_lines == len(lines) - len(set(lines))
+        assert f.base_failed == (len(own) < 50 or 100 * len(covered) > 50 * len(own))
+        assert not (f.base_failed and f.kept)
+
+
+def test_quality_rejects_other_distributions(spark):
+    """Many plain texts, one of symbols and one short one of symbols."""
+    rows = [(i, "the cat and " + prose(i, 150), "en", "s", None, *EXTRA) for i in range(60)]
+    strange = " ".join(f"{w}%%%" if i % 2 else f"{w}***&&&" for i, w in enumerate(words(77, 200)))
+    rows += [(100, strange, "en", "s", None, *EXTRA), (101, "a %%% ### " * 5, "en", "s", None, *EXTRA)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = {r.doc_id for r in quality.keep_good(docs).collect()}
+    assert kept == set(range(60))
+    assert quality.keep_good(docs).columns == docs.columns
+    assert as_is(quality.keep_good(docs))
+    carried = quality.judged(docs, carry=["doc_id"]).where("quality.kept")
+    assert {r.doc_id for r in carried.collect()} == kept
+
+
+def test_quality_distance(spark):
+    row = spark.range(1).select(
+        quality.distance(F.array(F.lit(1), F.lit(1)), F.array(F.lit(2), F.lit(2))).alias("same"),
+        quality.distance(F.array(F.lit(3), F.lit(0)), F.array(F.lit(0), F.lit(2))).alias("apart"),
+        quality.distance(F.array(F.lit(0), F.lit(0)), F.array(F.lit(0), F.lit(2))).alias("none"),
+    )
+    assert tuple(row.first()) == (0.0, 1.0, None)
+
+
+def test_targets_fill_up(spark):
+    sizes = spark.createDataFrame([("b", 1000), ("a", 10), ("a", 0), (None, 200), ("c", 90)], "source string, size long")
+    got = {r.source: (r.source_size, r.target) for r in mixing.source_targets(sizes).collect()}
+    # Weights a 5, b 2, c 1, null 5; a stops at 30, then c takes its share, null stops at 600.
+    assert got["a"] == (10, 30.0) and got[None] == (200, 600.0)
+    assert got["b"][1] == pytest.approx(2 * 670 / 3) and got["c"][1] == pytest.approx(670 / 3)
+
+
+def test_mix(odd):
+    rows = mixing.mixed(odd).select("doc_id", "text", "source", F.col("_mix").alias("mix")).collect()
+    total = sum(len(tokens(t)) for _, t, _, _ in DOCS)
+    targets = {r.source: r.mix.target for r in rows}
+    assert sum(targets.values()) == pytest.approx(total)
+    for r in rows:
+        rate = r.mix.target / r.mix.source_size if r.mix.source_size else 0
+        draw = int(md5(f"{'' if r.doc_id is None else r.doc_id}:mix-1".encode()).hexdigest()[:13], 16) / 2**52
+        assert r.mix.size == len(tokens(r.text))
+        assert r.mix.copies == int(rate) + (draw < rate - int(rate))
+        assert r.mix.copies <= 3
+    out = mixing.emit(odd)
+    assert out.columns == odd.columns and as_is(out)
+    assert out.count() == sum(r.mix.copies for r in rows)
+
+
+def spans_removed(docs):
+    """Kept words per distinct (id, text), ids in order, null last."""
+    order = sorted({(LAST_ID if i is None else i, t or "") for i, t in docs})
+    seen, out = {}, {}
+    for doc in order:
+        own = tokens(doc[1])
+        gone = set()
+        for i in range(len(own) - 19):
+            if seen.setdefault(tuple(own[i : i + 20]), (doc, i)) != (doc, i):
+                gone.update(range(i, i + 20))
+        out[doc] = (len(own), len(gone), " ".join(w for i, w in enumerate(own) if i not in gone))
+    return out
+
+
+def test_substring_dedup(odd):
+    # Repeated ids with different texts go by a hash, so one id of each is enough here.
+    docs = odd.where("doc_id is not null and doc_id <> 11")
+    want = spans_removed([(i, t) for i, t, _, _ in DOCS if i not in (None, 11)])
+    got = substring_dedup.deduplicated(docs).collect()
+    assert len(got) == docs.count()
+    assert {(r.doc_id, r.n_words, r.n_removed, r.kept) for r in got} == {(d[0], *v) for d, v in want.items()}
+
+
+def test_substring_dedup_many_copies(spark):
+    """A passage in all documents, heavy k-mers and small batches: the kept texts are those of the plain way."""
+    line = " ".join(words(1, 9))
+    rows = [(i, f"{prose(i, 25)} {line} {prose(1000, 30) if i % 2 else ''} {line} {line} {prose(2000 + i % 7, 40)}") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert len(substring_dedup.heavy_kmers(substring_dedup.keyed(docs, "doc_id", "text"), in_batch=3)) > 0
+        got = {(r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.deduplicated(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == {(d[0], *v) for d, v in spans_removed(rows).items()}
+
+
+def test_spans_have_sources(spark):
+    rows = [(1, prose(1, 60)), (2, prose(2, 30) + " " + " ".join(words(1, 60)[10:50]) + " " + prose(3, 20))]
+    spans = substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(s.id, s.start, s.n, s.src_id, s.src_start) for s in spans] == [(2, 30, 21, 1, 10)]
+
+
+def sets_of(text):
+    own = [w.lower() for w in tokens(text)]
+    return {tuple(own[i : i + 5]) for i in range(len(own) - 4)} if len(own) >= 5 else ({tuple(own)} if own else set())
+
+
+def groups(docs):
+    """Components of distinct (id, text) by comparing all pairs."""
+    items = sorted({(LAST_ID if i is None else i, t or "") for i, t in docs})
+    own = {d: sets_of(d[1]) for d in items}
+    root = {d: d for d in items}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in items:
+        for b in items:
+            x = len(own[a] & own[b])
+            if a < b and x and 100 * x >= 75 * (len(own[a]) + len(own[b]) - x):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {d: (len(own[d]), find(d)[0]) for d in items}
+
+
+def test_jaccard(odd):
+    docs = odd.where("doc_id is null or doc_id <> 11")
+    want = groups([(i, t) for i, t, _, _ in DOCS if i != 11])
+    got = jaccard.linked(docs).collect()
+    assert len(got) == docs.count()
+    assert sorted({(r.id, r.n, r.head.id) for r in got}) == sorted({(d[0], *v) for d, v in want.items()})
+    kept = jaccard.first_of_each(docs)
+    assert kept.columns == docs.columns and as_is(kept)
+    ids = Counter(r.doc_id for r in kept.collect())
+    # One of each group stays; 10 is there twice and has the copy 12, 7 is a copy of 6.
+    assert ids[10] == 1 and ids[12] == ids[2] == ids[7] == ids[9] == 0 and ids[1] == ids[6] == ids[8] == 1
+
+
+def chain(n):
+    """Texts of which only neighbours are similar enough, and others like none."""
+    base = words(5, 400)
+    near = [(i, " ".join(base[i * 9 : i * 9 + 160])) for i in range(n)]
+    return near + [(100 + i, prose(500 + i, 90)) for i in range(20)] + [(200 + i, prose(900, 70) + " " + prose(700 + i, 12)) for i in range(30)]
+
+
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 600])
+def test_jaccard_large_clusters(spark, block):
+    """The same groups whether a cluster is one task or many blocks."""
+    rows = chain(25)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r.id, r.n, r.head.id) for r in jaccard.linked(docs, block=block).collect()}
+    assert got == {(d[0], *v) for d, v in groups(rows).items()}
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (300, 300), (7, 3)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_empty_tables(empty):
+    assert quality.judged(empty).count() == 0
+    assert quality.keep_good(empty).count() == 0
+    assert mixing.mixed(empty).count() == 0
+    assert mixing.emit(empty).count() == 0
+    assert substring_dedup.deduplicated(empty).count() == 0
+    assert jaccard.linked(empty).count() == 0
+    assert jaccard.first_of_each(empty).count() == 0
