@@ -75,8 +75,9 @@ def heavy_kmers(docs: DataFrame, kmer: int = KMER, bound: int = HEAVY, in_batch:
 
 
 def _runs(docs: DataFrame, window: int, kmer: int, heavy: np.ndarray) -> DataFrame:
-    """Runs of every document, ``(h, id, th, start, n, edges, src_id, src_start)``. Of equal runs in a batch only
-    the first has ``edges``; the others have that one as their source already."""
+    """Runs of every document, ``(h, id, th, start, n, edges, src_id, src_start)``. Of
+    equal runs in a batch the first has ``edges`` and no more; the others have their
+    length, and that one as their source."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +125,10 @@ def _runs(docs: DataFrame, window: int, kmer: int, heavy: np.ndarray) -> DataFra
             # Runs that are settled already go anywhere.
             to = np.where(own, anchor, mixed(owner.astype(np.uint64))).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(to), pa.array(ids[owner]), pa.array(ths[owner]), pa.array(start), pa.array(size), blobs, pa.array(ids[owner[first]]), pa.array(start[first])],
+                [
+                    pa.array(to), pa.array(ids[owner]), pa.array(ths[owner]), pa.array(start), pa.array(np.where(own, 0, size)), blobs,
+                    pa.array(np.where(own, 0, ids[owner[first]])), pa.array(np.where(own, 0, start[first])),
+                ],
                 names=["h", "id", "th", "start", "n", "edges", "src_id", "src_start"],
             )
 
