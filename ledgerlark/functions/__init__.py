@@ -1,14 +1,14 @@
 """Column expressions. All of them are built-in JVM-side expressions."""
 
 from .numbers import finite, nan_to_null, ratio
-from .ratios import DERIVED_COLUMNS, QUOTE_COLUMNS, derived_columns
+from .ratios import QUOTE_COLUMNS, derived_columns, derived_names
 from .text import camel_to_snake, host_port, iso_timestamp, market_cap_millions, snake_name, stamp_text
 
 __all__ = [
-    "DERIVED_COLUMNS",
     "QUOTE_COLUMNS",
     "camel_to_snake",
     "derived_columns",
+    "derived_names",
     "finite",
     "host_port",
     "iso_timestamp",

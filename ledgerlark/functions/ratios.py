@@ -66,15 +66,6 @@ def derived_columns(ebit: Column, debt_change: Column) -> dict[str, Column]:
     }
 
 
-DERIVED_COLUMNS = tuple(
-    """
-    two_hundred_day_avg_share_price shares_outstanding total_liabilities
-    total_net_liabilities tax_expense debt_to_equity net_debt_to_equity
-    quick_ratio current_ratio intangible_assets book_value market_value
-    price_to_book cash_to_current_assets cash_per_share debt_quality_ratio
-    debt_ratio debt_service debt_service_coverage_ratio earnings_per_share
-    return_on_capital_employed return_on_equity return_on_assets
-    return_on_net_assets free_cash_flow_per_share price_to_free_cash_flow
-    enterprise_value
-    """.split()
-)
+def derived_names() -> tuple[str, ...]:
+    """Names of the derived columns in output order; needs a session."""
+    return tuple(derived_columns(F.lit(0.0), F.lit(0.0)))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import re
+from itertools import pairwise
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numbers import finite
+
 # The two word-boundary patterns of the camelCase rule.
 _WORD_START = "(.)([A-Z][a-z]+)"
 _CAPITAL_AFTER_LOWER = "([a-z0-9])([A-Z])"
 
+
 def camel_to_snake(value: Column) -> Column:
     """camelCase text to snake_case."""
     words = F.regexp_replace(value, _WORD_START, "$1_$2")
@@ -18,24 +21,30 @@ def camel_to_snake(value: Column) -> Column:
 
 
 def snake_name(name: str) -> str:
-    """The same rule for one column name, applied while the plan is built."""
-    for pattern in (_WORD_START, _CAPITAL_AFTER_LOWER):
-        name = re.sub(pattern, lambda hit: "_".join(hit.groups()), name)
-    return name.lower()
+    """The same rule for one column name, applied while the plan is built: a capital
+    begins a word before a small letter, and after a small letter or a digit."""
+
+    def begins(at: int) -> bool:
+        before, after = name[at - 1], name[at + 1 : at + 2]
+        return "A" <= name[at] <= "Z" and ("a" <= after <= "z" or "a" <= before <= "z" or "0" <= before <= "9")
+
+    cuts = [0, *filter(begins, range(1, len(name))), len(name)]
+    return "_".join(name[a:b] for a, b in pairwise(cuts)).lower()
 
 
 def market_cap_millions(text: Column, empty_as_zero: bool = True) -> Column:
     """``$1.5B`` style text to millions.
 
     The first character is the currency sign and is always cut; with an ``M``
-    or ``B`` the last one is cut too. Malformed text gives NULL.
+    or ``B`` the last one is cut too. Malformed text gives NULL, and so do NaN and
+    infinity.
     """
     inner = text.substr(F.lit(2), F.length(text) - F.lit(2)).try_cast("double")
     tail = text.substr(F.lit(2), F.length(text)).try_cast("double")
     parsed = F.when(text.contains("M"), inner).when(text.contains("B"), inner * F.lit(1000.0))
     if empty_as_zero:
         parsed = parsed.when(text == "", F.lit(0.0))
-    return parsed.otherwise(tail / F.lit(1e6))
+    return finite(parsed.otherwise(tail / F.lit(1e6)))
 
 
 def host_port(host: Column, port: Column) -> Column:

@@ -20,9 +20,10 @@ from pyspark.sql import types as T
 from ..session import settle
 from .copies import repeat_rows
 
-# Rows of one key that a single window task may hold.
+# Rows and bytes of one key that a single window task may hold; see row_bound.
 SPLIT_ROWS = 4_000_000
-# Slices cut from one heavy key, or from one slice that is still too big.
+SPLIT_BYTES = 512 << 20
+# Most slices cut from one heavy key, or from one slice that is still too big.
 SLICES_PER_CUT = 4096
 # Largest helper table, in rows of about 100 bytes, that is sent to all executors.
 BROADCAST_ROWS = 500_000
@@ -31,7 +32,8 @@ WindowColumns = Callable[[WindowSpec], dict[str, Column] | list[dict[str, Column
 
 SLICE = "_slice"
 TIE = "_tie"
-_HEAD_BYTES = 7  # leading bytes of a text that are measured
+_HEAD_BYTES = 7  # bytes of a text that are measured, from the first that differs within a group
+_SKIP = "_skip"
 _OPEN, _CHUNK, _OWN, _TARGETS, _TIMES = "_open", "_chunk", "_own", "_targets", "_times"
 
 
@@ -52,8 +54,24 @@ def broadcast_if_small(
     return F.broadcast(table) if (table if counted is None else counted).count() <= max_rows else table
 
 
-def order_number(df: DataFrame, name: str) -> Column | None:
-    """Whole number that never falls as the column rises, or None for other types."""
+def row_bound(df: DataFrame, split_rows: int = SPLIT_ROWS) -> int:
+    """Rows a window task may hold: a bound that was set stays, the default one
+    also keeps to ``SPLIT_BYTES`` by the width of the columns."""
+    if split_rows != SPLIT_ROWS:
+        return split_rows
+    width = sum(_width(f.dataType) for f in df.schema.fields if not f.name.startswith("_"))
+    return max(1, min(split_rows, SPLIT_BYTES // max(width, 1)))
+
+
+def _width(kind: T.DataType) -> int:
+    if isinstance(kind, T.StructType):
+        return sum(_width(f.dataType) for f in kind.fields)
+    return 8 if isinstance(kind, (T.NumericType, T.DatetimeType, T.BooleanType)) else 32
+
+
+def order_number(df: DataFrame, name: str, skip: Column | None = None) -> Column:
+    """Whole number that never falls as the column rises. Of a text it measures a
+    few bytes after the first ``skip``, which are the same within a group."""
     kind, value = df.schema[name].dataType, F.col(name)
     if isinstance(kind, T.DateType):
         return F.unix_date(value).cast("bigint")
@@ -65,25 +83,41 @@ def order_number(df: DataFrame, name: str) -> Column | None:
         minutes = F.hour(value) * F.lit(60) + F.minute(value)
         days = F.unix_date(value.cast("date")).cast("bigint")
         return (days * F.lit(1440) + minutes) * F.lit(60_000_000) + micros
-    if isinstance(kind, T.IntegralType):
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
         return value.cast("bigint")
+    if isinstance(kind, (T.FractionalType, T.DecimalType)):
+        return _magnitude(value.cast("double"))
     if isinstance(kind, T.StringType):
-        head = F.hex(F.substring(F.encode(value, "UTF-8"), 1, _HEAD_BYTES))
-        return F.conv(F.rpad(head, 2 * _HEAD_BYTES, "0"), 16, 10).cast("bigint")
-    return None
+        return _text_number(value, F.lit(0) if skip is None else skip)
+    raise TypeError(f"rows of a heavy key cannot be cut along {name}, of type {kind.simpleString()}")
+
 
+def _magnitude(value: Column) -> Column:
+    """Sign and logarithm, finer than any two doubles that differ by 1e-12 of their size."""
+    endless = F.isnan(value) | value.isin(float("inf"), float("-inf"))
+    plain = F.when(endless, F.lit(0.0)).otherwise(value)
+    size = ((F.log2(F.abs(plain)) + 1100) * F.lit(2.0**42)).cast("bigint")
+    signed = F.when(plain > 0, size).when(plain < 0, -size).otherwise(F.lit(0).cast("bigint"))
+    top = F.when(F.isnan(value), F.lit(2**60)).when(value > 0, F.lit(2**59)).otherwise(F.lit(-(2**59)))
+    return F.when(endless, top).when(value.isNotNull(), signed)
 
 
-def _measured(df: DataFrame, order: Sequence[str]) -> tuple[list[Column], list[bool]]:
-    """Numbers of the leading order columns that have one, and which of them are text."""
-    numbers, text = [], []
-    for name in order:
-        number = order_number(df, name)
-        if number is None:
-            break
-        numbers.append(number)
-        text.append(isinstance(df.schema[name].dataType, T.StringType))
-    return numbers, text
+def _text_number(value: Column, skip: Column) -> Column:
+    head = F.hex(F.substring(F.encode(value, "UTF-8"), skip + 1, F.lit(_HEAD_BYTES)))
+    return F.conv(F.rpad(head, 2 * _HEAD_BYTES, "0"), 16, 10).cast("bigint")
+
+
+def _common_bytes(low: Column, high: Column) -> Column:
+    """Length of the prefix that two texts, and so all between them, share."""
+    n = F.least(F.octet_length(low), F.octet_length(high))
+    byte = lambda text, at: F.substring(F.encode(text, "UTF-8"), at, F.lit(1))
+    same = F.transform(F.sequence(F.lit(1), n), lambda at: byte(low, at) == byte(high, at))
+    differs = F.array_position(same, F.lit(False)).cast("int")
+    return F.when(n < 1, F.lit(0)).when(differs == 0, n).otherwise(differs - 1)
+
+
+def _is_text(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, T.StringType)
 
 
 def slice_heavy_keys(
@@ -92,21 +126,24 @@ def slice_heavy_keys(
     order: Sequence[str],
     split_rows: int = SPLIT_ROWS,
     slices: int = SLICES_PER_CUT,
+    heavy: bool | None = None,
 ) -> DataFrame | None:
     """Add ``_slice``, an array that rises with the order inside each key.
 
-    Rows of ordinary keys get an empty array. Slices above ``split_rows`` are cut
-    again, first finer on the same order column, then on the next one, then by
-    ``_tie``, a hash of the row, as the order of ties is free. Only copies of one
-    row stay together then. Returns None when no key is heavy or the first order
-    column cannot be cut.
+    Rows of ordinary keys get an empty array. Slices above the bound are cut
+    again, first finer on the same order column, then on the next one. Only if a
+    slice of equal order values is still too big, ``_tie``, a hash of the row, is
+    added and cuts it, as the order of ties is free; copies of one row stay
+    together then. Returns None when no key is heavy. ``heavy`` tells whether one
+    is, where that is known.
     """
-    whole_row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    cut, big = cut_heavy_keys(df.withColumn(TIE, F.shiftright(whole_row, 2)), keys, order, split_rows, slices)
-    # The hash of ties reads all columns, so it is used for the groups left over only.
-    if big is None or len(_measured(df, order)[0]) < len(order):
+    cut, big = cut_heavy_keys(df, keys, order, split_rows, slices, heavy=heavy)
+    if big is None:
         return cut
-    return cut_heavy_keys(cut, keys, [*order, TIE], split_rows, slices, open_groups=big)[0]
+    # The hash of ties reads all columns, so it is used only where groups are left over.
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    tied = cut.withColumn(TIE, F.shiftright(F.xxhash64(*hashed), 2))
+    return cut_heavy_keys(tied, keys, [*order, TIE], row_bound(df, split_rows), slices, open_groups=big)[0]
 
 
 def cut_heavy_keys(
@@ -116,6 +153,7 @@ def cut_heavy_keys(
     split_rows: int,
     slices: int,
     open_groups: DataFrame | None = None,
+    heavy: bool | None = None,
 ) -> tuple[DataFrame | None, DataFrame | None]:
     """``df`` with ``_slice``, and the groups that are still too big, if any.
 
@@ -123,9 +161,10 @@ def cut_heavy_keys(
     the few groups that are too big. ``open_groups`` starts with these groups of
     an earlier call.
     """
-    measures, texts = _measured(df, order)
-    if not measures or (open_groups is None and not has_heavy_keys(df, keys, split_rows)):
+    split_rows = row_bound(df, split_rows)
+    if open_groups is None and not (has_heavy_keys(df, keys, split_rows) if heavy is None else heavy):
         return None, None
+    measures = [order_number(df, name, F.col(_SKIP)) for name in order]
     group = [*keys, SLICE]
     columns = [c for c in df.columns if c != SLICE]
     if open_groups is None:
@@ -136,8 +175,10 @@ def cut_heavy_keys(
         cut = joined.withColumn(_OPEN, F.coalesce(_OPEN, F.lit(False)))
     stuck = []
     while True:
-        big = settle(_big_groups(cut, group, order, measures, texts, split_rows))
-        fences = big.where("_axis IS NOT NULL").withColumn("_width", F.expr(f"(_high - _low) div {slices} + 1"))
+        big = settle(_big_groups(cut, group, order, split_rows))
+        fences = big.where("_axis IS NOT NULL").withColumn(
+            "_width", F.expr(f"(_high - _low) div least({slices}, greatest(16, 8 * _rows div {split_rows})) + 1")
+        )
         stuck.append(big.where("_axis IS NULL").select(*group))
         if fences.isEmpty():
             left_over = reduce(DataFrame.unionByName, stuck)
@@ -150,49 +191,44 @@ def cut_heavy_keys(
         cut = fenced.withColumn("_number", number).select(*columns, finer.alias(SLICE), is_cut.alias(_OPEN))
 
 
-def _big_groups(
-    cut: DataFrame,
-    group: Sequence[str],
-    order: Sequence[str],
-    measures: list[Column],
-    texts: list[bool],
-    split_rows: int,
-) -> DataFrame:
+def _big_groups(cut: DataFrame, group: Sequence[str], order: Sequence[str], split_rows: int) -> DataFrame:
     """Open groups above ``split_rows``, with the column to cut them on and its range.
 
-    That is the first column that differs within the group. The axis is NULL if
-    there is none, or if it is text that differs only after the measured bytes.
+    That is the first column that differs within the group; of a text also the
+    length of the prefix that all its values share. The axis is NULL if there is none.
     """
-    places = range(len(measures))
+    texts = [_is_text(cut, name) for name in order]
+    value = lambda at: F.col(order[at]) if texts[at] else order_number(cut, order[at])
+    places = range(len(order))
     stats = (
         cut.where(_OPEN)
-        .select(
-            *group,
-            *[measure.alias(f"_n{at}") for at, measure in enumerate(measures)],
-            *[F.col(order[at]).alias(f"_v{at}") for at in places if texts[at]],
-        )
+        .select(*group, *[value(at).alias(f"_v{at}") for at in places])
         .groupBy(*group)
         .agg(
             F.count(F.lit(1)).alias("_rows"),
-            *[F.min(f"_n{at}").alias(f"_lo{at}") for at in places],
-            *[F.max(f"_n{at}").alias(f"_hi{at}") for at in places],
-            *[F.count(f"_n{at}").alias(f"_filled{at}") for at in places],
-            *[(F.min(f"_v{at}") != F.max(f"_v{at}")).alias(f"_mixed{at}") for at in places if texts[at]],
+            *[F.min(f"_v{at}").alias(f"_least{at}") for at in places],
+            *[F.max(f"_v{at}").alias(f"_most{at}") for at in places],
+            *[F.count(f"_v{at}").alias(f"_filled{at}") for at in places],
         )
         .where(F.col("_rows") > split_rows)
     )
-    axis = F.when(F.lit(False), F.lit(0))
+    axis, lows, highs, skips = F.when(F.lit(False), F.lit(0)), [], [], []
     for at in places:
-        low, high, filled = F.col(f"_lo{at}"), F.col(f"_hi{at}"), F.col(f"_filled{at}")
+        low, high, filled = F.col(f"_least{at}"), F.col(f"_most{at}"), F.col(f"_filled{at}")
+        skip = _common_bytes(low, high) if texts[at] else F.lit(0)
+        if texts[at]:
+            low, high = _text_number(low, skip), _text_number(high, skip)
         differs = (low < high) | ((filled > 0) & (filled < F.col("_rows")))
         if order[at] == TIE:  # a heavy key of mere copies becomes one slice
             differs = differs | (F.size(SLICE) == 0)
         axis = axis.when(differs, F.lit(at))
-        if texts[at]:
-            axis = axis.when(F.col(f"_mixed{at}"), F.lit(None))
-    low = F.element_at(F.array(*[F.col(f"_lo{at}") for at in places]), F.col("_axis") + 1)
-    high = F.element_at(F.array(*[F.col(f"_hi{at}") for at in places]), F.col("_axis") + 1)
-    return stats.withColumn("_axis", axis).select(*group, "_axis", low.alias("_low"), high.alias("_high"))
+        lows.append(low)
+        highs.append(high)
+        skips.append(skip)
+    at_axis = lambda columns: F.element_at(F.array(*columns), F.col("_axis") + 1)
+    return stats.withColumn("_axis", axis).select(
+        *group, "_axis", "_rows", at_axis(lows).alias("_low"), at_axis(highs).alias("_high"), at_axis(skips).alias(_SKIP)
+    )
 
 
 def _slice_sizes(cut: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -254,7 +290,8 @@ def _fold_copies(cut: DataFrame, sizes: DataFrame, keys: Sequence[str], reach: i
 
 
 def has_heavy_keys(df: DataFrame, keys: Sequence[str], split_rows: int = SPLIT_ROWS) -> bool:
-    """Whether any key has more than ``split_rows`` rows."""
+    """Whether any key has more rows than the bound."""
+    split_rows = row_bound(df, split_rows)
     return not df.groupBy(*keys).count().where(F.col("count") > split_rows).isEmpty()
 
 
@@ -266,14 +303,16 @@ def lookback_window(
     columns: WindowColumns,
     split_rows: int = SPLIT_ROWS,
     slices: int = SLICES_PER_CUT,
+    heavy: bool | None = None,
 ) -> DataFrame:
     """Add window columns whose frames reach at most ``reach`` rows back.
 
     ``columns`` gets the ordered window of a key and returns the new columns by
     name, or a list of such stages, of which each may use the columns of those
-    before and only the last one stays. Ordering is ascending, NULL first.
+    before and only the last one stays. Ordering is ascending, NULL first; it
+    should end with the columns that the frames read, so that ties do not matter.
     """
-    cut = slice_heavy_keys(df, keys, order, split_rows, slices)
+    cut = slice_heavy_keys(df, keys, order, split_rows, slices, heavy)
     if cut is None:
         return plain_window(df, keys, order, columns)
     return chunked_window(cut, keys, order, reach, columns, split_rows)
@@ -303,7 +342,9 @@ def chunked_window(
 ) -> DataFrame:
     """Window columns over the output of ``slice_heavy_keys``, heavy keys in chunks."""
     names = [c for c in cut.columns if c not in (SLICE, TIE)]
-    rows, bound, full_order = cut.withColumn(_TIMES, F.lit(1).cast("bigint")), max(split_rows, reach), [*order, TIE]
+    rows, bound = cut.withColumn(_TIMES, F.lit(1).cast("bigint")), max(row_bound(cut, split_rows), reach)
+    ties = [TIE] if TIE in cut.columns else []
+    full_order = [*order, *ties]
     sizes = settle(_slice_sizes(cut, keys))
     folded = not sizes.where(F.col("_rows") > bound).isEmpty()
     if folded:
@@ -315,7 +356,7 @@ def chunked_window(
     only_chunk = F.array(F.lit(0).cast("bigint"))
     spread = routed.select(
         *names,
-        TIE,
+        *ties,
         _TIMES,
         F.coalesce(_OWN, F.lit(0)).alias(_OWN),
         F.explode(F.coalesce(F.col(_TARGETS), only_chunk)).alias(_CHUNK),
@@ -334,13 +375,14 @@ def running_total(
     split_rows: int = SPLIT_ROWS,
     slices: int = SLICES_PER_CUT,
 ) -> DataFrame:
-    """Add the running sum of ``value``. Each slice of a heavy key sums alone and
-    adds the total of the slices before it."""
+    """Add the running sum of ``value``; ties are summed in the order of the values.
+    Each slice of a heavy key sums alone and adds the total of the slices before it."""
+    order = [*order, *([value] if value not in order else [])]
     cut = slice_heavy_keys(df, keys, order, split_rows, slices)
     if cut is None:
         return plain_window(df, keys, order, lambda w: {name: F.sum(value).over(w.rowsBetween(*_SO_FAR))})
     group = [*keys, SLICE]
-    window = Window.partitionBy(*group).orderBy(*order, TIE).rowsBetween(*_SO_FAR)
+    window = Window.partitionBy(*group).orderBy(*order).rowsBetween(*_SO_FAR)
     local = cut.select("*", F.sum(value).over(window).alias("_local"))
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, Window.currentRow - 1)
     totals = (

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..session import settle
 
+# Most rows of a top-N that one task merges.
+GATHERED = 10_000
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
@@ -37,8 +39,19 @@ def ranked(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFr
 
 
 def top_n(df: DataFrame, order: Sequence[Column], n: int, strict: bool = True) -> DataFrame:
-    """First ``n`` rows of the order; ``strict`` raises if there are fewer."""
-    best = df.orderBy(*order).limit(n)
-    if strict and best.count() < n:
+    """First ``n`` rows of the order; ``strict`` raises if there are fewer.
+
+    Up to ``GATHERED`` rows come from one task that merges the best of each; more are
+    taken from the range-sorted table. Both are settled, so that the rows counted are
+    the rows returned.
+    """
+    if n > GATHERED:
+        best = ranked(df, order, "_rank").where(F.col("_rank") <= n).drop("_rank")
+    else:
+        best = df.orderBy(*order).limit(n)
+    if not strict:
+        return best
+    best = settle(best)
+    if best.count() < n:
         raise ValueError(f"fewer than {n} rows; ask for fewer")
     return best

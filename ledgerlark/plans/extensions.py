@@ -9,22 +9,27 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import finite, ratio
 from ..operators.asof import asof_join
+from ..operators.joins import left_lookup
 from ..operators.ordered import SPLIT_ROWS, lookback_window, null_safe_join, running_total
-from .kpis import STATEMENT_ORDER
+from .kpis import STATEMENT_ORDER, newest_quotes
 
 
-def growth_and_yields(kpis: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """Add growth, margin, yield and valuation figures to KPI rows."""
+GROWING = ("free_cash_flow", "earnings_per_share")
+
+
+def growth_and_yields(kpis: DataFrame, split_rows: int = SPLIT_ROWS, heavy: bool | None = None) -> DataFrame:
+    """Add growth, margin, yield and valuation figures to KPI rows. ``heavy`` tells
+    whether a symbol is heavy, as it is if it was among the statements."""
     col = F.col
     market_value, value = col("market_value"), col("enterprise_value")
 
     def growth(window: WindowSpec) -> dict[str, Column]:
         return {
             f"{name}_growth": ratio(col(name), F.lag(name).over(window)) - 1
-            for name in ("free_cash_flow", "earnings_per_share")
+            for name in GROWING
         }
 
-    grown = lookback_window(kpis, ["symbol"], STATEMENT_ORDER, 1, growth, split_rows)
+    grown = lookback_window(kpis, ["symbol"], [*STATEMENT_ORDER, *GROWING], 1, growth, split_rows, heavy=heavy)
     price_to_earnings = ratio(col("two_hundred_day_avg_share_price"), col("earnings_per_share"))
     figures = {
         "net_cash": col("cash_cash_equivalents_and_short_term_investments") - col("total_debt"),
@@ -49,6 +54,12 @@ def short_interest(metrics: DataFrame) -> DataFrame:
     )
 
 
+def with_order_sizes(kpis: DataFrame, quotes: DataFrame) -> DataFrame:
+    """Add today's bid and ask size of the symbol to KPI rows."""
+    sizes = newest_quotes(quotes).select("symbol", F.col("bidSize").alias("bid_size"), F.col("askSize").alias("ask_size"))
+    return left_lookup(kpis, sizes, "symbol")
+
+
 def split_effect(history: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Add the cumulative split factor per symbol; 0 and NULL mean no split that day."""
     logs = history.withColumn("_log", F.when(F.col("splits") > 0, F.ln("splits")).otherwise(F.lit(0.0)))

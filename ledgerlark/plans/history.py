@@ -42,12 +42,14 @@ def rolling_average(
 ) -> DataFrame:
     """Replace each value column by its mean over the last ``period`` rows.
 
-    NULL until the window is full, and NULL if it holds a NULL. ``values``
-    defaults to all numeric columns. With ``symbols``, a table of keys, only those
+    NULL until the window is full, and NULL if it holds a NULL. Rows that tie in
+    ``order`` follow in the order of their values. ``values`` defaults to all
+    numeric columns. With ``symbols``, a table of keys, only those
     keys are computed; the semi-join uses the exchange of the window unless
     ``symbols`` is broadcast.
     """
     values = list(values) if values is not None else _prices(history, [*keys, *order])
+    order = [*order, *[v for v in values if v not in order]]
 
     def averages(window: WindowSpec) -> list[dict[str, Column]]:
         return _window_means(window, values, period)

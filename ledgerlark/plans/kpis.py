@@ -15,13 +15,16 @@ from ..operators.ordered import (
     chunked_window,
     has_heavy_keys,
     lookback_window,
+    null_safe_join,
     plain_window,
     slice_heavy_keys,
 )
-from ..schema import QUOTE_SCHEMA, STATEMENT_SCHEMA
+from ..schema import LANDED, QUOTE_SCHEMA, STATEMENT_SCHEMA
 
 EBIT_FALLBACKS = ("any_zero", "missing")
 STATEMENT_ORDER = ("as_of_date", "period_type")
+# The debt change reads total debt, so its window ends with it: ties then change nothing.
+DEBT_ORDER = (*STATEMENT_ORDER, "total_debt")
 
 
 def zero_ebit_symbols(statements: DataFrame) -> DataFrame:
@@ -61,8 +64,9 @@ def _window_zero_ebit(statements: DataFrame) -> DataFrame:
 
 
 def _join_zero_ebit(statements: DataFrame, flagged: DataFrame) -> DataFrame:
-    """The flag as a join with one row per symbol, so the rows of a heavy symbol can be split."""
-    return _use_income(left_lookup(statements, flagged, "symbol"))
+    """The flag as a join with one row per symbol, so the rows of a heavy symbol can be
+    split. Rows without a symbol are one group here, as they are in a window."""
+    return _use_income(null_safe_join(statements, flagged, ["symbol"], "left"))
 
 
 def _use_income(marked: DataFrame) -> DataFrame:
@@ -75,10 +79,19 @@ def with_quotes(statements: DataFrame, quotes: DataFrame) -> DataFrame:
     return left_lookup(statements, _quote_figures(quotes), "symbol")
 
 
+def newest_quotes(quotes: DataFrame) -> DataFrame:
+    """One quote per symbol: the one landed last, if ``landed_at`` tells; of equals
+    the greatest. Quotes without a symbol are left out."""
+    fields = T.StructType([STATEMENT_SCHEMA["symbol"], *QUOTE_SCHEMA.fields])
+    landed = [c for c in (LANDED,) if c in quotes.columns]
+    known = conform(quotes, T.StructType([*fields.fields, *[quotes.schema[c] for c in landed]]))
+    figures = F.struct(*QUOTE_SCHEMA.names)
+    newest = F.max_by(figures, F.struct(*landed, figures)).alias("_quote")
+    return known.where(F.col("symbol").isNotNull()).groupBy("symbol").agg(newest).select("symbol", "_quote.*")
+
+
 def _quote_figures(quotes: DataFrame) -> DataFrame:
-    return conform(quotes, T.StructType([STATEMENT_SCHEMA["symbol"], *QUOTE_SCHEMA.fields])).select(
-        "symbol", *[F.col(field).alias(name) for name, field in QUOTE_COLUMNS.items()]
-    )
+    return newest_quotes(quotes).select("symbol", *[F.col(field).alias(name) for name, field in QUOTE_COLUMNS.items()])
 
 
 def _debt_change(window: WindowSpec) -> dict[str, Column]:
@@ -87,7 +100,7 @@ def _debt_change(window: WindowSpec) -> dict[str, Column]:
 
 def with_debt_change(statements: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Change of total debt from the row before, in order of date and period."""
-    return lookback_window(statements, ["symbol"], STATEMENT_ORDER, 1, _debt_change, split_rows)
+    return lookback_window(statements, ["symbol"], DEBT_ORDER, 1, _debt_change, split_rows)
 
 
 def compute_kpis(
@@ -96,6 +109,7 @@ def compute_kpis(
     ebit_fallback: str = "any_zero",
     split_rows: int = SPLIT_ROWS,
     symbols: DataFrame | None = None,
+    heavy: bool | None = None,
 ) -> DataFrame:
     """One KPI row per statement row: 157 base and 27 derived columns.
 
@@ -103,19 +117,20 @@ def compute_kpis(
     quote fields. With ``symbols`` only the statements of those symbols are taken.
     Unless a symbol is heavy, both windows share one exchange on symbol, and so do
     the joins with tables too big to broadcast. All columns are computed in one
-    projection. NaN and infinity become NULL.
+    projection. NaN and infinity become NULL. ``heavy`` tells whether a symbol is
+    heavy, where that was measured before.
     """
     _checked(ebit_fallback)
     base = conform(statements, STATEMENT_SCHEMA)
     # Heavy symbols are measured before the semi-join, so that this stays a plain aggregate.
-    cut = slice_heavy_keys(base, ["symbol"], STATEMENT_ORDER, split_rows)
+    cut = slice_heavy_keys(base, ["symbol"], DEBT_ORDER, split_rows, heavy=heavy)
     rows = base if cut is None else cut
     if symbols is not None:
         rows = rows.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
     if cut is None:
-        rows = plain_window(rows, ["symbol"], STATEMENT_ORDER, _debt_change)
+        rows = plain_window(rows, ["symbol"], DEBT_ORDER, _debt_change)
     else:
-        rows = chunked_window(rows, ["symbol"], STATEMENT_ORDER, 1, _debt_change, split_rows)
+        rows = chunked_window(rows, ["symbol"], DEBT_ORDER, 1, _debt_change, split_rows)
     facts = _quote_figures(quotes)
     if ebit_fallback == "missing":
         rows = _fill_missing_ebit(rows)
@@ -124,8 +139,13 @@ def compute_kpis(
     else:
         # All facts of a symbol in one table first: adaptive execution does not
         # split a heavy symbol in two joins that follow one another.
-        facts = facts.join(zero_ebit_symbols(base), "symbol", "full")
-    rows = left_lookup(rows, facts, "symbol")
+        flags = zero_ebit_symbols(base).withColumnRenamed("symbol", "_flagged")
+        joined = facts.join(flags, F.col("symbol") == F.col("_flagged"), "full")
+        facts = joined.withColumn("symbol", F.coalesce("symbol", "_flagged")).drop("_flagged")
+    if cut is None:
+        rows = left_lookup(rows, facts, "symbol")
+    else:  # the rows without a symbol have a flag, though no quote
+        rows = null_safe_join(rows, facts, ["symbol"], "left")
     if "_use_income" in facts.columns:
         rows = _use_income(rows)
     derived = derived_columns(F.col("ebit"), F.col("_debt_change"))

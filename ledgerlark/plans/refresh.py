@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from ..operators.joins import pending, upsert
 from ..operators.ordered import SPLIT_ROWS
 from ..schema import KEY_COLUMNS
-from ..sources.writers import stored_table, upsert_table
+from ..sources.writers import append_table, stored_table, upsert_table
 from .kpis import compute_kpis
 
-YEAR = "as_of_year"
+# Partition column of a stored table: a hash of the symbol, so that a refresh of some
+# symbols touches few partitions. The number of buckets belongs to the table.
+BUCKET = "symbol_bucket"
+BUCKETS = 64
 
 
 def pending_kpis(
@@ -47,18 +50,31 @@ def refresh_kpis(
     return upsert(existing, fresh, KEY_COLUMNS)
 
 
-def store_kpis(kpis: DataFrame, path: str) -> None:
-    """Upsert KPI rows into the table at ``path``, which is partitioned by year."""
-    upsert_table(kpis.withColumn(YEAR, F.year("as_of_date")), path, KEY_COLUMNS, [YEAR])
+def in_buckets(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Rows with the partition column; without a symbol they have a bucket too."""
+    return rows.withColumn(BUCKET, F.pmod(F.hash("symbol"), F.lit(buckets)))
+
+
+def store_kpis(kpis: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Upsert KPI rows into the table at ``path``; only the buckets of their symbols
+    are rewritten."""
+    upsert_table(in_buckets(kpis, buckets), path, KEY_COLUMNS, [BUCKET])
 
 
 def refresh_table(
-    tickers: DataFrame, statements: DataFrame, quotes: DataFrame, path: str, split_rows: int = SPLIT_ROWS
+    tickers: DataFrame,
+    statements: DataFrame,
+    quotes: DataFrame,
+    path: str,
+    split_rows: int = SPLIT_ROWS,
+    buckets: int = BUCKETS,
 ) -> None:
-    """Compute the tickers that the KPI table at ``path`` lacks and store their rows.
+    """Compute the tickers that the KPI table at ``path`` lacks and append their rows.
 
-    Only the symbols of the stored table are read. The first run makes the table.
+    Only the symbols of the stored table are read, and no stored file is rewritten.
+    The first run makes the table.
     """
     existing = stored_table(tickers.sparkSession, path)
     done = tickers.limit(0) if existing is None else existing
-    store_kpis(pending_kpis(tickers, statements, quotes, done, split_rows), path)
+    fresh = in_buckets(pending_kpis(tickers, statements, quotes, done, split_rows), buckets)
+    append_table(fresh.hint("rebalance", BUCKET), path, [BUCKET])

@@ -94,8 +94,12 @@ QUOTE_SCHEMA = T.StructType(
     [
         T.StructField("twoHundredDayAverage", T.DoubleType()),
         T.StructField("sharesOutstanding", T.DoubleType()),
+        T.StructField("bidSize", T.DoubleType()),
+        T.StructField("askSize", T.DoubleType()),
     ]
 )
+# When a quote reply landed: tells which of several for one symbol counts.
+LANDED = "landed_at"
 
 HISTORY_SCHEMA = T.StructType(
     [T.StructField("symbol", T.StringType()), T.StructField("date", T.TimestampNTZType())]

@@ -5,6 +5,7 @@ from .readers import (
     lookup,
     parse_quotes,
     parse_statements,
+    quote_rejects,
     read_history,
     read_metrics,
     read_quotes,
@@ -33,6 +34,7 @@ __all__ = [
     "lookup",
     "parse_quotes",
     "parse_statements",
+    "quote_rejects",
     "read_history",
     "read_metrics",
     "read_quotes",

@@ -12,6 +12,7 @@ from ..functions.numbers import nan_to_null
 from ..operators.columns import conform, rename_snake
 from ..schema import (
     HISTORY_SCHEMA,
+    LANDED,
     METRIC_SCHEMA,
     QUOTE_SCHEMA,
     SCREENER_ROW_SCHEMA,
@@ -20,6 +21,7 @@ from ..schema import (
 )
 
 REJECT = "_corrupt_record"
+_QUOTE_MAP = T.MapType(T.StringType(), QUOTE_SCHEMA)
 
 # Fixed value: period type of annual statements.
 ANNUAL = "12M"
@@ -98,10 +100,18 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return nan_to_null(conform(spark.read.parquet(path), HISTORY_SCHEMA))
 
 
-def parse_quotes(replies: DataFrame, column: str = "value") -> DataFrame:
-    """Quote replies, one JSON map of symbol to fields each, to one row per symbol."""
-    quotes = F.from_json(F.col(column), T.MapType(T.StringType(), QUOTE_SCHEMA))
-    return replies.select(F.explode(quotes).alias("symbol", "_quote")).select("symbol", "_quote.*")
+def parse_quotes(replies: DataFrame, column: str = "value", landed: str | None = None) -> DataFrame:
+    """Quote replies, one JSON map of symbol to fields each, to one row per reply and
+    symbol. ``landed`` names the column that tells when a reply came in."""
+    when = [F.col(landed).alias(LANDED)] if landed else []
+    quotes = F.from_json(F.col(column), _QUOTE_MAP)
+    return replies.select(*when, F.explode(quotes).alias("symbol", "_quote")).select("symbol", "_quote.*", *[LANDED] * bool(landed))
+
+
+def quote_rejects(replies: DataFrame, column: str = "value") -> DataFrame:
+    """Replies that are no JSON map; ``parse_quotes`` takes nothing from them."""
+    failed = F.from_json(F.col(column), _QUOTE_MAP).isNull()
+    return replies.where(failed).select(F.col(column).alias(REJECT))
 
 
 def read_quotes(spark: SparkSession, path: str) -> DataFrame:

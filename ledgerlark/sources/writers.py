@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import upsert
+from ..operators.joins import latest_rows, upsert
 from ..session import settle
 
 # One-letter write modes of a snapshot.
@@ -60,8 +62,20 @@ def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def upsert_table(new: DataFrame, path: str, keys: Sequence[str], partition_by: Sequence[str]) -> None:
+def touched_partitions(stored: DataFrame, new: DataFrame, parts: Sequence[str]) -> DataFrame:
+    """Stored rows in the partitions that ``new`` has rows in. The driver sees one row
+    per partition folder of the batch, and the predicate prunes the other folders."""
+    found = new.select(*parts).distinct().collect()
+    same = [reduce(and_, [F.col(p).eqNullSafe(F.lit(row[p])) for p in parts]) for row in found]
+    return stored.where(reduce(or_, same)) if same else stored.limit(0)
+
+
+def upsert_table(
+    new: DataFrame, path: str, keys: Sequence[str], partition_by: Sequence[str], version: Sequence[str] = ()
+) -> None:
     """Upsert into a partitioned Parquet table, rewriting only the touched partitions.
+    NULL is a partition like any other. With ``version`` columns the newest row of a
+    key stays, else the new one.
 
     The partition columns must follow from the keys, so that a key never changes
     its partition. A repeated run leaves the same table. There is one writer at a
@@ -73,9 +87,8 @@ def upsert_table(new: DataFrame, path: str, keys: Sequence[str], partition_by: S
     stored = stored_table(spark, path)
     merged = new
     if stored is not None:
-        # One row per partition folder of the batch, so its size is bounded.
-        touched = stored.join(F.broadcast(new.select(*parts).distinct()), parts, "left_semi")
-        merged = upsert(touched, new, keys)
+        touched = touched_partitions(stored, new, parts)
+        merged = latest_rows(touched.unionByName(new), keys, version) if version else upsert(touched, new, keys)
     (
         merged.hint("rebalance", *parts)
         .write.mode("overwrite")

@@ -195,6 +195,22 @@ SELECT 'U' || CAST(user_id AS VARCHAR) AS symbol, ts AS date,
 FROM events
 """
 
+_UNNAMED = f"""
+WITH {_PANEL_WITH_LINES},
+named AS (SELECT * REPLACE (CASE WHEN NOT suffix(symbol, '7') THEN symbol END AS symbol) FROM panel)
+SELECT symbol, as_of_date, period_type,
+       CASE WHEN max(CASE WHEN ebit = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol) = 1
+            THEN operating_income ELSE ebit END AS ebit,
+       operating_income
+FROM named
+"""
+
+_ROLLING_TIES = f"""
+WITH placed AS (SELECT event_type AS symbol, strftime(ts, '%Y-%m-%d %H') AS place, value AS close FROM events),
+rolled AS ({_rolled(12, "placed", "place, close")})
+SELECT symbol, place, round(close, 6) AS close FROM rolled
+"""
+
 ORACLE: dict[str, str] = {
     "kpi_panel": f"""
 WITH {_PANEL}, {_QUOTES}
@@ -264,6 +280,15 @@ SELECT symbol, as_of_date, period_type,
             THEN operating_income ELSE ebit END AS ebit,
        operating_income
 FROM panel
+""",
+    "kpi_ebit_unnamed": _UNNAMED,
+    "kpi_ebit_unnamed_split": _UNNAMED,
+    "rolling_ties": _ROLLING_TIES,
+    "rolling_ties_split": _ROLLING_TIES,
+    "rolling_numbers_split": f"""
+WITH placed AS (SELECT event_type AS symbol, -value AS place, value AS close FROM events),
+rolled AS ({_rolled(12, "placed", "place, close")})
+SELECT symbol, place, round(close, 6) AS close FROM rolled
 """,
     "kpi_ebit_missing": f"""
 WITH {_PANEL_WITH_LINES}
@@ -392,6 +417,22 @@ WHERE NOT EXISTS (
 )
 UNION ALL
 SELECT * FROM newer
+""",
+    "refresh_upsert_nulls": f"""
+WITH {_RESTATED},
+parts AS (
+    SELECT symbol, CASE WHEN total_debt > 0 THEN as_of_date END AS as_of_date, period_type, total_debt, stockholders_equity,
+           NULLIF(CAST(substring(symbol, 2) AS INTEGER) % 9, 0) AS part, fresh
+    FROM (SELECT *, false AS fresh FROM older UNION ALL SELECT *, true FROM newer) AS slices
+),
+new_rows AS (SELECT * EXCLUDE (fresh) FROM parts WHERE fresh AND coalesce(part, 0) % 3 = 0)
+SELECT * EXCLUDE (fresh) FROM parts AS o
+WHERE NOT fresh AND NOT EXISTS (
+    SELECT 1 FROM new_rows AS n
+    WHERE n.symbol = o.symbol AND n.as_of_date IS NOT DISTINCT FROM o.as_of_date AND n.period_type = o.period_type
+)
+UNION ALL
+SELECT * FROM new_rows
 """,
     "refresh_kpis": f"""
 WITH {_PANEL}, {_QUOTES}
@@ -421,11 +462,22 @@ FROM part
 """,
     "json_fields": """
 SELECT event_type AS symbol, value AS "twoHundredDayAverage",
-       CAST(json_extract(props, '$.k') AS DOUBLE) AS "sharesOutstanding"
+       CAST(json_extract(props, '$.k') AS DOUBLE) AS "sharesOutstanding",
+       CAST(user_id AS DOUBLE) AS "bidSize", CAST(NULL AS DOUBLE) AS "askSize"
 FROM events
+""",
+    "quotes_newest": """
+WITH newest AS (
+    SELECT event_type, arg_max(value, ts) AS price, arg_max(CAST(json_extract(props, '$.k') AS DOUBLE), ts) AS shares,
+           arg_max(CAST(user_id AS DOUBLE), ts) AS bid
+    FROM events GROUP BY event_type
+)
+SELECT event_type AS symbol, event_id, price AS two_hundred_day_avg_share_price, shares AS shares_outstanding,
+       bid AS bid_size, CAST(NULL AS DOUBLE) AS ask_size
+FROM events JOIN newest USING (event_type)
 """,
     "stamp_texts": """
-SELECT event_id, strftime(ts, '%Y-%m-%d-%H-%M-%S') AS stamp FROM events WHERE ts >= TIMESTAMP '2024-01-15 12:00:00'
+SELECT event_id, strftime(ts, '%Y-%m-%d-%H-%M-%S') AS stamp FROM events
 """,
     "kpi_growth": f"""
 WITH {_PANEL_WITH_LINES}, {_QUOTES},
@@ -464,7 +516,7 @@ FROM amounts AS a ASOF LEFT JOIN rates AS r ON a.currency_code = r.currency_code
     "insider_purchases": f"""
 WITH {_PANEL},
 bought AS (
-    SELECT 'C' || CAST(o_custkey AS VARCHAR) AS symbol, year(o_orderdate) AS year, count(*) AS shares
+    SELECT 'C' || CAST(o_custkey AS VARCHAR) AS symbol, year(o_orderdate) AS year, CAST(sum(o_orderkey % 90 + 1) AS BIGINT) AS shares
     FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey, year(o_orderdate)
 )
 SELECT panel.symbol, as_of_date, total_debt, shares AS insider_shares_bought

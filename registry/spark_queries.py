@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark import plans
-from ledgerlark.functions import DERIVED_COLUMNS, camel_to_snake, stamp_text
+from ledgerlark.functions import camel_to_snake, derived_names, iso_timestamp, stamp_text
 from ledgerlark.operators import (
     asof_join,
     concat_tables,
@@ -22,9 +22,11 @@ from ledgerlark.operators import (
     sort_columns,
     upsert,
 )
+from ledgerlark.operators.ordered import has_heavy_keys, null_safe_join
 from ledgerlark.plans import extensions
 from ledgerlark.schema import KEY_COLUMNS
 from ledgerlark.sources import lookup, parse_quotes
+from ledgerlark.sources.writers import touched_partitions
 
 from . import standins as given
 
@@ -69,14 +71,14 @@ def kpi_panel(spark, sf_dir):
 def kpi_wide(spark, sf_dir):
     panel = given.statements(spark, sf_dir, with_lines=True)
     kpis = plans.compute_kpis(panel, given.quotes(spark, sf_dir))
-    return kpis.select(*KEY_COLUMNS, "currency_code", *DERIVED_COLUMNS)
+    return kpis.select(*KEY_COLUMNS, "currency_code", *derived_names())
 
 
 @register
 def kpi_wide_split(spark, sf_dir):
     panel = given.statements(spark, sf_dir, with_lines=True)
     kpis = plans.compute_kpis(panel, given.quotes(spark, sf_dir), split_rows=5)
-    return kpis.select(*KEY_COLUMNS, "currency_code", *DERIVED_COLUMNS)
+    return kpis.select(*KEY_COLUMNS, "currency_code", *derived_names())
 
 
 @register
@@ -97,6 +99,23 @@ def kpi_ebit_fallback(spark, sf_dir):
     return plans.with_ebit(panel.select(*KEY_COLUMNS, "ebit", "operating_income"))
 
 
+def _partly_unnamed(spark, sf_dir):
+    panel = given.statements(spark, sf_dir, with_lines=True)
+    named = F.when(~F.col("symbol").endswith("7"), F.col("symbol"))
+    return panel.select(named.alias("symbol"), *KEY_COLUMNS[1:], "ebit", "operating_income")
+
+
+@register
+def kpi_ebit_unnamed(spark, sf_dir):
+    """Rows without a symbol are one group."""
+    return plans.with_ebit(_partly_unnamed(spark, sf_dir))
+
+
+@register
+def kpi_ebit_unnamed_split(spark, sf_dir):
+    return plans.with_ebit(_partly_unnamed(spark, sf_dir), split_rows=3)
+
+
 @register
 def kpi_ebit_missing(spark, sf_dir):
     panel = given.statements(spark, sf_dir, with_lines=True)
@@ -200,6 +219,32 @@ def rolling_history_split(spark, sf_dir):
     return _rolled_by_type(spark, sf_dir, split_rows=SMALL_SPLIT)
 
 
+def _rolled_with_ties(spark, sf_dir, order, **split):
+    """Many rows share an hour; each text and each number orders the same rows in its own way."""
+    rows = given.history_by_type(spark, sf_dir).select("symbol", order.alias("place"), "close")
+    rolled = plans.rolling_average(rows, 12, ["close"], order=["place"], **split)
+    return rolled.withColumn("close", F.round("close", 6))
+
+
+def _hour():
+    return F.substring(F.col("date").cast("string"), 1, 13)
+
+
+@register
+def rolling_ties(spark, sf_dir):
+    return _rolled_with_ties(spark, sf_dir, _hour())
+
+
+@register
+def rolling_ties_split(spark, sf_dir):
+    return _rolled_with_ties(spark, sf_dir, _hour(), split_rows=25)
+
+
+@register
+def rolling_numbers_split(spark, sf_dir):
+    return _rolled_with_ties(spark, sf_dir, -F.col("close"), split_rows=25)
+
+
 @register
 def history_at_dates(spark, sf_dir):
     averaged = plans.average_history(
@@ -245,7 +290,9 @@ def symbol_lookup(spark, sf_dir):
 
 def _companies_of_year(spark, sf_dir, year):
     orders = given.table(spark, sf_dir, "orders")
-    return orders.where(F.year("o_orderdate") == year).select(given.code("C", "o_custkey").alias("symbol"))
+    first, last = (iso_timestamp(f"{y}-01-01") for y in (year, year + 1))
+    inside = (F.col("o_orderdate") >= first) & (F.col("o_orderdate") < last)
+    return orders.where(inside).select(given.code("C", "o_custkey").alias("symbol"))
 
 
 @register
@@ -275,6 +322,19 @@ def refresh_upsert(spark, sf_dir):
     return upsert(*_slices_of_panel(spark, sf_dir), KEY_COLUMNS)
 
 
+@register
+def refresh_upsert_nulls(spark, sf_dir):
+    """Rows with NULL dates and NULL partitions: what the touched ones keep, what is new, and the others."""
+    undated = F.when(F.col("total_debt") > 0, F.col("as_of_date"))
+    number = F.substring("symbol", 2, 20).cast("int") % 9
+    part = F.when(number > 0, number)
+    old, new = (rows.withColumns({"as_of_date": undated, "part": part}) for rows in _slices_of_panel(spark, sf_dir))
+    new = new.where(F.coalesce("part", F.lit(0)) % 3 == 0)
+    touched = touched_partitions(old, new, ["part"])
+    others = null_safe_join(old, new.select("part").distinct(), ["part"], "left_anti")
+    return upsert(touched, new, KEY_COLUMNS).unionByName(others)
+
+
 @register
 def refresh_kpis(spark, sf_dir):
     """Companies without KPI rows of 1998 are computed and added to the table."""
@@ -313,25 +373,38 @@ def snake_values(spark, sf_dir):
     return given.table(spark, sf_dir, "part").select("p_partkey", camel_to_snake(joined).alias("snake"))
 
 
-@register
-def json_fields(spark, sf_dir):
+def _quote_replies(spark, sf_dir):
     """Each event's JSON is extended to a quote reply, then parsed as one."""
     body = F.replace(F.col("props"), F.lit('"k"'), F.lit('"sharesOutstanding"'))
-    price = F.concat(F.lit(', "twoHundredDayAverage": '), F.col("value"), F.lit("}"))
+    price = F.concat(F.lit(', "twoHundredDayAverage": '), F.col("value"), F.lit(', "bidSize": '), F.col("user_id"), F.lit("}"))
     reply = F.concat(F.lit('{"'), "event_type", F.lit('": '), F.replace(body, F.lit("}"), price), F.lit("}"))
-    return parse_quotes(given.table(spark, sf_dir, "events").select(reply.alias("value")))
+    return given.table(spark, sf_dir, "events").select("ts", reply.alias("value"))
+
+
+@register
+def json_fields(spark, sf_dir):
+    return parse_quotes(_quote_replies(spark, sf_dir))
+
+
+@register
+def quotes_newest(spark, sf_dir):
+    """Of the many replies for a symbol, the one that landed last, on each of its events."""
+    quotes = parse_quotes(_quote_replies(spark, sf_dir), landed="ts")
+    events = given.history_by_type(spark, sf_dir).select("symbol", "event_id")
+    return extensions.with_order_sizes(plans.with_quotes(events, quotes), quotes)
 
 
 @register
 def stamp_texts(spark, sf_dir):
-    late = plans.truncate_before(given.table(spark, sf_dir, "events"), "2024-01-15T12:00:00", "ts")
-    return late.select("event_id", stamp_text(F.col("ts")).alias("stamp"))
+    return given.table(spark, sf_dir, "events").select("event_id", stamp_text(F.col("ts")).alias("stamp"))
 
 
 @register
 def kpi_growth(spark, sf_dir):
-    kpis = plans.compute_kpis(given.statements(spark, sf_dir, with_lines=True), given.quotes(spark, sf_dir))
-    return extensions.growth_and_yields(kpis).select(
+    panel = given.statements(spark, sf_dir, with_lines=True)
+    heavy = has_heavy_keys(panel, ["symbol"])  # measured once for both windows
+    kpis = plans.compute_kpis(panel, given.quotes(spark, sf_dir), heavy=heavy)
+    return extensions.growth_and_yields(kpis, heavy=heavy).select(
         "symbol",
         "as_of_date",
         "free_cash_flow_growth",

@@ -245,5 +245,5 @@ def urgent_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "orders")
         .where(F.col("o_orderpriority") == "1-URGENT")
-        .select(code("C", "o_custkey").alias("symbol"), year_end.alias("as_of_date"), F.lit(1).alias("shares"))
+        .select(code("C", "o_custkey").alias("symbol"), year_end.alias("as_of_date"), (F.col("o_orderkey") % 90 + 1).alias("shares"))
     )

@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import (
-    DERIVED_COLUMNS,
     camel_to_snake,
     derived_columns,
+    derived_names,
     host_port,
     market_cap_millions,
     nan_to_null,
@@ -19,6 +19,8 @@ from ledgerlark.functions import (
 )
 from ledgerlark.functions.numbers import infinity_to_null
 
+from ledgerlark.schema import BASE_COLUMNS
+
 from .conftest import ordered
 
 NAMES = {
@@ -92,8 +94,20 @@ def test_stamp_text(spark):
 
 
 def test_derived_column_order():
-    assert len(DERIVED_COLUMNS) == 27
+    assert len(derived_names()) == 27
 
 
 def test_derived_names(spark):
-    assert tuple(derived_columns(F.col("ebit"), F.lit(0.0))) == DERIVED_COLUMNS
+    assert tuple(derived_columns(F.col("ebit"), F.lit(0.0))) == derived_names()
+
+
+def test_snake_name_equals_the_expression(spark):
+    names = ["NetPPE", "EBIT", "BasicEPS", "TradeandOtherPayablesNonCurrent", "A", "", "aB", "ABc", "x9Y", "X_Yz", "HTTPServerError2Go", "camelCase", "ÄbC", "A1B2c"]
+    names += ["".join(part.capitalize() for part in name.split("_")) for name in BASE_COLUMNS]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert ordered(df.select(camel_to_snake(F.col("n")))) == [(snake_name(n),) for n in names]
+
+
+def test_market_cap_is_finite(spark):
+    df = spark.createDataFrame([("$NaN",), ("$Infinity",), ("$NaNB",), ("$1.5B",)], "t string")
+    assert ordered(df.select(market_cap_millions(F.col("t")))) == [(None,), (None,), (None,), (1500.0,)]

@@ -103,15 +103,41 @@ def test_no_heavy_key(spark):
     assert slice_heavy_keys(history(spark, 1), ["k"], ["t"], split_rows=10_000) is None
 
 
-def test_order_that_cannot_be_cut_falls_back(spark):
+def test_order_that_cannot_be_cut_is_refused(spark):
     df = history(spark, seed=2).withColumn("t", F.array("t"))
-    assert slice_heavy_keys(df, ["k"], ["t"], split_rows=5) is None
-    assert rows(rolled(df, 2, split_rows=5)) == rows(rolled(df, 2))
+    with pytest.raises(TypeError, match="cannot be cut"):
+        slice_heavy_keys(df, ["k"], ["t"], split_rows=5)
+    assert slice_heavy_keys(df, ["k"], ["t"]) is None
+
+
+def largest_slice(df, order, split_rows):
+    cut = slice_heavy_keys(df, ["k"], order, split_rows=split_rows, slices=64)
+    return cut.groupBy("k", SLICE).count().agg(F.max("count")).first()[0]
+
+
+def test_slices_along_texts_and_fractions_are_bounded(spark):
+    """Texts that share a long prefix, doubles of all sizes, decimals."""
+    df = history(spark, seed=8, n=500)
+    date = F.concat(F.lit("2024-01-"), F.lpad((F.col("id") % 28 + 1).cast("string"), 2, "0"), F.lit("T00:00:"), F.lpad("id", 5, "0"))
+    fraction = F.when(F.col("id") % 9 == 0, F.lit(float("nan"))).when(F.col("id") % 7 == 0, -F.exp(F.col("id") / 3)).otherwise(F.col("v") / 1e9)
+    for order in (date, fraction, F.col("v").cast("decimal(12,4)")):
+        placed = df.withColumn("t", order)
+        assert largest_slice(placed, ["t", "id"], 20) <= 20
+        texts = [rolled(placed, 3, **split).withColumn("t", F.col("t").cast("string")) for split in ({"split_rows": 20, "slices": 32}, {})]
+        assert rows(texts[0]) == rows(texts[1])
+
+
+def test_only_ties_read_other_columns(spark):
+    """Without ties that are too many, the row hash and with it all other columns stay unread; maps do not matter."""
+    df = history(spark, seed=3).withColumn("m", F.create_map(F.lit("a"), F.col("v")))
+    assert "_tie" not in slice_heavy_keys(df, ["k"], ["t", "id"], split_rows=15).columns
+    ties = df.withColumn("t", F.lit("same"))
+    assert largest_slice(ties, ["t"], 15) <= 15
 
 
 @pytest.mark.parametrize("kind", ["even", "instant"])
 def test_text_order(spark, kind):
-    """Text is cut by its first bytes, and texts that differ later stay together."""
+    """Text is cut by the bytes after those that all texts of a group share."""
     df = history(spark, seed=6, kind=kind)
     for text in (F.col("t").cast("string"), F.concat(F.lit("Zü"), F.col("id").cast("string"))):
         texts = df.withColumn("t", text)

@@ -72,3 +72,43 @@ def test_refresh_of_a_stored_table(spark, tmp_path):
         refresh_table(tickers(spark, "A", "B"), statements, quotes(spark), path)
         stored = spark.read.parquet(path)
         assert rows(stored, *PICKED) == rows(compute_kpis(statements, quotes(spark)), *PICKED)
+
+
+def files(path):
+    return {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_rows_without_date_or_symbol_survive(spark, tmp_path):
+    path = tmp_path / "kpis"
+    data = [("A", None, 1.0), ("C", None, 2.0), (None, None, 3.0), ("A", 2019, 4.0)]
+    undated = spark.createDataFrame(
+        [(s, None if y is None else dt.datetime(y, 12, 31), "12M", d) for s, y, d in data],
+        "symbol string, as_of_date timestamp_ntz, period_type string, total_debt double",
+    )
+    store_kpis(compute_kpis(undated, quotes(spark)), str(path))
+    store_kpis(compute_kpis(undated.where("symbol = 'C'").withColumn("total_debt", undated.total_debt + 5), quotes(spark)), str(path))
+    assert rows(spark.read.parquet(str(path)), "symbol", "total_debt") == [("A", 1.0), ("A", 4.0), ("C", 7.0), (None, 3.0)]
+
+
+def test_only_touched_buckets_are_rewritten(spark, tmp_path):
+    path = tmp_path / "kpis"
+    many = panel(spark, [(f"S{i}", y, float(i)) for i in range(40) for y in (2019, 2020)])
+    refresh_table(tickers(spark, *[f"S{i}" for i in range(39)]), many, quotes(spark), str(path))
+    before = files(path)
+    refresh_table(tickers(spark, "S0", "S39"), many, quotes(spark), str(path))
+    after = files(path)
+    assert before.items() <= after.items() and len(after) > len(before)
+    store_kpis(compute_kpis(panel(spark, [("S3", 2020, 99.0)]), quotes(spark)), str(path))
+    kept = files(path)
+    bucket = spark.sql("SELECT pmod(hash('S3'), 64)").first()[0]
+    assert {f for f in after if f not in kept} == {f for f in after if f"symbol_bucket={bucket}/" in str(f)}
+    assert rows(spark.read.parquet(str(path)).where("symbol = 'S3'"), "total_debt") == [(3.0,), (99.0,)]
+
+
+def test_newest_quote_counts_once(spark):
+    replies = spark.createDataFrame(
+        [("A", 1.0, 5.0, 1), ("A", 9.0, 6.0, 3), ("A", 2.0, 7.0, 2), (None, 4.0, 4.0, 9)],
+        "symbol string, twoHundredDayAverage double, sharesOutstanding double, landed_at int",
+    )
+    kpis = compute_kpis(panel(spark, DATA[:2]), replies)
+    assert rows(kpis, "symbol", "market_value") == [("A", 54.0), ("A", 54.0)]

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlark import sources
-from ledgerlark.plans.universe import SMALL_UNIVERSE
 from ledgerlark.schema import BASE_COLUMNS, HISTORY_SCHEMA
 
 from .conftest import ordered, rows
@@ -24,7 +23,7 @@ def test_ticker_list(spark, tmp_path):
 
 
 def test_ticker_table(spark):
-    assert ordered(sources.ticker_table(spark, SMALL_UNIVERSE[:2])) == [("MSFT",), ("GOOG",)]
+    assert ordered(sources.ticker_table(spark, ["MSFT", "GOOG"])) == [("MSFT",), ("GOOG",)]
 
 
 def test_metrics_by_header_name(spark, tmp_path):
@@ -65,7 +64,9 @@ def test_quotes(spark, tmp_path):
     ]
     file.write_text("\n".join(json.dumps(r) for r in replies))
     quotes = sources.read_quotes(spark, str(file))
-    assert rows(quotes) == [("A", 1.5, 10.0), ("B", None, 7.0), ("C", None, None)]
+    fields = ("symbol", "twoHundredDayAverage", "sharesOutstanding")
+    assert rows(quotes, *fields) == [("A", 1.5, 10.0), ("B", None, 7.0), ("C", None, None)]
+    assert quotes.columns[3:] == ["bidSize", "askSize"]
 
 
 def test_screener(spark, tmp_path):
