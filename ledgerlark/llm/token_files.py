@@ -18,11 +18,14 @@ gives a file without rows.
 from __future__ import annotations
 
 import re
+import string
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,46 +33,119 @@ from pyspark.sql import functions as F
 from .common import small
 
 END_ID = 2
-# Characters that are encoded at once, and pieces whose ids a worker remembers.
-CHARS_AT_ONCE = 2_000_000
-MAX_PIECES = 400_000
+# Characters that are encoded at once, and pieces whose ids a worker remembers: those met
+# again, and those met once.
+CHARS_AT_ONCE = 8_000_000
+MAX_PIECES = 300_000
+MAX_FRESH = 500_000
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
 # A blank between two other characters begins a new piece: no token crosses it.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
+# Letters whose class no version of Unicode changes: a run of them is one word to the tokenizer.
+_LETTERS = frozenset(c for c in map(chr, range(0x250)) if c.isalpha())
+_MARKS = string.punctuation
 _ENCODERS: dict[str, Encoder] = {}
 
 
+class _Pieces(dict):
+    """Ids of pieces of text, as bytes. A piece stands between blanks (or, with
+    ``blank`` empty, after something else), so that no token crosses its ends."""
+
+    def __init__(self, encoder: Encoder, blank: str):
+        self.encoder, self.blank, self.fresh = encoder, blank, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.fresh.pop(piece, None)
+        if ids is not None:
+            if len(self) >= MAX_PIECES:
+                self.clear()
+            self[piece] = ids
+            return ids
+        ids = self._encoded(piece)
+        if len(self.fresh) >= MAX_FRESH:
+            self.fresh.clear()
+        self.fresh[piece] = ids
+        return ids
+
+    def _encoded(self, piece: str) -> bytes:
+        if _LETTERS.issuperset(piece):
+            return self.encoder.word(self.blank + piece) if piece else self.encoder.whole(self.blank)
+        head, newline, rest = piece.partition("\n")
+        if newline and head and rest[:1] > " " and not head[-1:].isspace() and not rest[:1].isspace():
+            # A newline between two other characters is a token of its own.
+            return self[head] + self.encoder.newline + self.encoder.bare[rest]
+        word = piece.rstrip(_MARKS)
+        if word and len(word) < len(piece) and _LETTERS.issuperset(word):
+            return self[word] + self.encoder.bare[piece[len(word) :]]
+        return self.encoder.whole(self.blank + piece)
+
+
 class Encoder:
     """The tokenizer, and the ids of pieces met before."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _pieces(self, text: str) -> list[str]:
-        """Pieces that can be encoded one by one; all but the first begin with a blank."""
+        # The byte level writes each byte as a character of its own.
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        shown = [level.pre_tokenize_str(bytes([b]).decode()) for b in range(128)]
+        self.shown = {b: s[0][0] for b, s in enumerate(shown) if s}
+        for code in range(128, 0x250):
+            first, last = chr(code).encode()
+            self.shown[first], self.shown[last] = level.pre_tokenize_str(chr(code))[0][0]
+        self.model = self.tokenizer.model
+        self.after_blank, self.bare = _Pieces(self, " "), _Pieces(self, "")
+        self.newline = self.whole("\n")
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def word(self, word: str) -> bytes:
+        """Ids of one word, which the model alone splits."""
+        found = self.model.tokenize(word.encode().decode("latin-1").translate(self.shown))
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
+    def _cut(self, text: str) -> list[str] | None:
+        """Pieces of a text that the plain blanks do not give; None for all others."""
         if any(s in text for s in self.special):
             return [text]
-        odd = "  " in text or any(c in text and (f"{c} " in text or f" {c}" in text) for c in _BLANKS)
-        first, *rest = _CUT.split(text) if odd else text.split(" ")
-        return [first, *[f" {p}" for p in rest]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        cut = [self._pieces(t) for t in texts]
-        if len(self.known) > MAX_PIECES:
-            self.known.clear()
-        new = list({p for pieces in cut for p in pieces if p not in self.known})
-        for first in range(0, len(new), 10_000):
-            some = new[first : first + 10_000]
-            for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[piece] = np.array(found.ids, dtype="<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+        if "  " in text or any(c in text and (f"{c} " in text or f" {c}" in text) for c in _BLANKS):
+            return _CUT.split(text)
+        return None
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each has.
+
+        The pieces are numbered first, so that every distinct one is looked up once.
+        """
+        cut = [self._cut(t) for t in texts]
+        plain = pa.array([t if c is None else "" for t, c in zip(texts, cut)], pa.large_string())
+        lists = pc.split_pattern(plain, " ")
+        numbered = lists.values.dictionary_encode()
+        after = [self.after_blank[p] for p in numbered.dictionary.to_pylist()]
+        # The first piece of a text has no blank before it; a text cut otherwise is one piece.
+        begin = lists.offsets.to_numpy()[:-1]
+        first = [
+            self.bare[t.partition(" ")[0]] if c is None and t else self._joined(c or []) for t, c in zip(texts, cut)
+        ]
+        known = after + first
+        numbers = numbered.indices.to_numpy().astype(np.int64)
+        numbers[begin] = len(after) + np.arange(len(texts))
+        size = np.array([len(k) // 4 for k in known], dtype=np.int64)
+        place = np.cumsum(size) - size
+        sizes = size[numbers]
+        ends = np.cumsum(sizes)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(place[numbers] - ends + sizes, sizes)
+        return np.frombuffer(b"".join(known), dtype="<u4")[at], np.add.reduceat(sizes, begin) if len(begin) else size
+
+    def _joined(self, pieces: list[str]) -> bytes:
+        if len(pieces) == 1:
+            return self.whole(pieces[0])
+        return b"".join([self.bare[pieces[0]], *map(self.after_blank.__getitem__, pieces[1:])]) if pieces else b""
 
 
 def _encoder(path: str) -> Encoder:
@@ -78,17 +154,10 @@ def _encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _lists(ids: list[bytes]) -> pa.Array:
-    offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
-
-
 def encoded(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
     """``(doc_id, part, at, n_tokens, tokens)`` in the order of ids; ``at`` counts the ids
     before it in the same partition."""
 
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -98,12 +167,13 @@ def encoded(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "t
                 while last < len(texts) and (last == first or chars + len(texts[last] or "") <= CHARS_AT_ONCE):
                     chars += len(texts[last] or "")
                     last += 1
-                ids = [x + end for x in encoder.encode([t or "" for t in texts[first:last]])]
-                sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-                ends = at + np.cumsum(sizes)
-                columns = [keys.slice(first, last - first), pa.array(np.full(len(ids), part, dtype=np.int32)), pa.array(ends - sizes), pa.array(sizes.astype(np.int32)), _lists(ids)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "at", "n_tokens", "tokens"])
-                at, first = int(ends[-1]), last
+                found, sizes = encoder.encode([t or "" for t in texts[first:last]])
+                ids = np.insert(found, np.cumsum(sizes), end_id).view(np.int32)
+                ends = np.cumsum(sizes + 1)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids))
+                columns = [keys.slice(first, last - first), np.full(len(sizes), part, dtype=np.int32), at + ends - sizes - 1, (sizes + 1).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([columns[0], *map(pa.array, columns[1:]), lists], names=["doc_id", "part", "at", "n_tokens", "tokens"])
+                at, first = at + int(ends[-1]), last
 
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
