@@ -16,7 +16,8 @@ def components(edges: DataFrame) -> DataFrame:
     only how many labels changed. Least labels are combined before each shuffle, and the
     joins may split hot nodes. Nodes without an edge are not in the result.
     """
-    both = stored(edges.union(edges.select("b", "a")).where(F.col("a") != F.col("b")).distinct(), "edges")
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = stored(edges.where(F.col("a") != F.col("b")).select(ways.alias("e")).select("e.*").distinct(), "edges")
     labels = stored(both.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct(), "labels")
     while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("_a")).agg(F.min("label").alias("_near"))
