@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, stored
-from .hashing import WordHashes, windows, word_hash
+from .hashing import windows, word_hash
 
 WINDOW = 10
 MIN_COVERAGE = 0.6
 BLOCK = 500_000
 _TABLE_BITS = 22
+# Distinct words that a worker remembers; beyond it, it starts anew.
+MAX_WORDS = 500_000
 # Units of measure and number words.
 UNITS = frozenset(
     "% cm dollar dollars euro euros feet foot ft g gram grams h hour hours inch inches kg kilometer kilometers km l lb"
@@ -48,8 +50,18 @@ _EDGE = ".,;:!?\"'()[]{}«»“”‘’"
 NUMBER, UNIT, NAME = (word_hash(b"<" + k + b">") & ~7 for k in (b"number", b"unit", b"name"))
 
 
-class TemplateHashes(WordHashes):
-    """Hash of a word's template; bit 0: capitalised, bit 1: ends a sentence, bit 2: slot."""
+class TemplateHashes(dict):
+    """Word (bytes) to the hash of its template; bit 0: capitalised, bit 1: ends a
+    sentence, bit 2: slot. Bytes split at exactly the blanks ``[\\x20\\x09-\\x0D]``."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = self.hash(word)
+        return value
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > MAX_WORDS:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
     def hash(self, word: bytes) -> int:
         text = word.decode("utf-8", "replace")

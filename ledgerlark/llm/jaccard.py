@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import LAST_ID, free_name, keyed, small, stored
 from .components import components
-from .hashing import WordHashes, mixed, windows
+from .hashing import WordHasher, mixed, texts_of, windows
 
 NGRAM = 5
 SIMILARITY = 75
@@ -45,14 +45,13 @@ BLOCK = 1_500_000
 # The sieve's prefixes are longer by one token in so many.
 SLACK = 8
 _LOW = np.uint64((1 << 48) - 1)
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def shingles(text: str, known: WordHashes, ngram: int = NGRAM) -> np.ndarray:
-    """Sorted distinct shingle hashes."""
-    words = text.encode().translate(_LOWER).split()
+def shingles(text: np.ndarray, hasher: WordHasher, ngram: int = NGRAM) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text's bytes."""
+    words = hasher.words(text)
     size = min(ngram, len(words))
-    return np.unique(windows(known.of(words), size, size)) if words else np.empty(0, dtype=np.uint64)
+    return np.unique(windows(words, size, size)) if size else words
 
 
 def _signature(own: np.ndarray) -> int:
@@ -68,9 +67,9 @@ def signatures(rows: DataFrame, ngram: int = NGRAM) -> DataFrame:
     """``(id, th, n, node)`` of each row; equal sets have equal ``node``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        hasher = WordHasher(lower=True)
         for batch in batches:
-            own = [shingles(t, known, ngram) for t in batch.column(2).to_pylist()]
+            own = [shingles(t, hasher, ngram) for t in texts_of(batch.column(2))]
             nodes = np.array([_signature(s) for s in own], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in own], pa.int64()), pa.array(nodes)], names=["id", "th", "n", "node"])
 
@@ -87,11 +86,11 @@ def _prefix_tokens(rows: DataFrame, ngram: int, similarity: int) -> DataFrame:
     ``known``, with a token of its own that settles nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hasher = WordHasher(lower=True)
         for batch in batches:
             prefixes, nodes, seen = [], [], set()
-            for text in batch.column(2).to_pylist():
-                own = shingles(text, hashes, ngram)
+            for text in texts_of(batch.column(2)):
+                own = shingles(text, hasher, ngram)
                 node = _signature(own) & int(_LOW)
                 if len(own) and node not in seen:
                     seen.add(node)
@@ -153,9 +152,9 @@ def _whole_sets(rows: DataFrame, ngram: int) -> DataFrame:
     """``(node, n, shingles)`` of ``rows (id, th, text, node)`` with that signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        hasher = WordHasher(lower=True)
         for batch in batches:
-            own = [shingles(t, known, ngram) for t in batch.column(2).to_pylist()]
+            own = [shingles(t, hasher, ngram) for t in texts_of(batch.column(2))]
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in own]))).astype(np.int32)
             values = np.concatenate([*own, np.empty(0, dtype=np.uint64)]).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, keyed
-from .hashing import WordHashes, mixed, windows
+from .hashing import WordHasher, mixed, texts_of, windows
 
 WINDOW = 20
 KMER = 8
@@ -61,9 +61,9 @@ def heavy_kmers(docs: DataFrame, kmer: int = KMER, bound: int = HEAVY, in_batch:
     """The ``bound`` k-mers counted most, of those frequent within some batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        hasher = WordHasher()
         for batch in batches:
-            parts = [_ranks(known.of(_words(t)), kmer, np.empty(0, dtype=np.uint64)) for t in batch.column(2).to_pylist()]
+            parts = [_ranks(hasher.words(t), kmer, np.empty(0, dtype=np.uint64)) for t in texts_of(batch.column(2))]
             found = np.concatenate(parts) if parts else np.empty(0, dtype=np.uint64)
             values, n = np.unique(found, return_counts=True)
             often = n >= in_batch
@@ -81,16 +81,16 @@ def _runs(docs: DataFrame, window: int, kmer: int, heavy: np.ndarray) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        hasher = WordHasher()
         for batch in batches:
-            ids, ths, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            ids, ths, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), list(texts_of(batch.column(2)))
             order, last = np.lexsort((ths, ids)), None
             anchors, edges, begins, owners, used = [], [], [], [], 0
             for i in order:
                 if (ids[i], ths[i]) == last:
                     continue
                 last = (ids[i], ths[i])
-                hashes = known.of(_words(texts[i]))
+                hashes = hasher.words(texts[i])
                 if len(hashes) < window:
                     continue
                 ranks, n = _ranks(hashes, kmer, shared.value), len(hashes) - window + 1
