@@ -7,18 +7,18 @@ texts are never shuffled and one source or language may hold any share of the ro
 
 Defined cases: a null or blank text has no words and all counts 0, so it fails the base
 rule. A document whose language is null or has no word list is compared with the
-reference of all documents (``*``). Distances of texts under the minimum lengths are
+reference of all such documents (``*``). Distances of texts under the minimum lengths are
 null and never reject. Repeated rows are judged alike; other columns pass through.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, let, words
+from .common import free_name, let, stored, words
 
 # Frequent words of each language.
 COMMON_WORDS = {
@@ -31,7 +31,7 @@ POOLED = "*"
 # Character classes in the order they are taken out of a text; the rest is the last class.
 CHAR_CLASSES = ("[a-z]+", "[\\x20\\x09-\\x0D]+", "[^\\x00-\\x7F]+", "[A-Z]+", "[0-9]+", "[#*$%&|<>]+", "[.,;:!?'\"()-]+")
 MIN_CHARS = 200
-MIN_WORDS = 100
+MIN_WORDS = 150
 MAX_CHAR_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.27
 MIN_BASE_WORDS = 50
@@ -141,76 +141,89 @@ def distance(left: Column, right: Column) -> Column:
     return F.when((total(left) > 0) & (total(right) > 0), let(share(left, total(left)), lambda p: let(share(right, total(right)), lambda q: of(p, q))))
 
 
-def language_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+def _source(docs: DataFrame, carry: Sequence[str], text: str, lang: str) -> DataFrame:
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row"),
+        _language(F.col(f"`{lang}`")).alias("_key"),
+        F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text"),
+    )
+
+
+def histograms(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """``(_key, chars, common)`` of each text."""
+    body, key = F.col("_text"), F.col("_key")
+    common = let(words(body), lambda tokens: _word_counts(tokens, key))
+    return _source(docs, [], text, lang).select("_key", _char_counts(body).alias("chars"), common.alias("common"))
+
+
+def figures(docs: DataFrame, carry: Sequence[str], text: str, lang: str) -> DataFrame:
+    """A struct ``_row`` of the columns to carry, and counts and histograms of each text.
+
+    They are made as one struct by a generator. A filter on them then stays above it;
+    pushed below, it would repeat their expressions, in lambdas once per word.
+    """
+    body, key = F.col("_text"), F.col("_key")
+
+    def measured(tokens: Column) -> Column:
+        return F.struct(
+            F.size(tokens).cast("long").alias("n_words"),
+            F.length(F.regexp_replace(body, "[\\x20\\x09-\\x0D]+", "")).cast("long").alias("word_chars"),
+            (F.length(body) - F.length(F.translate(body, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+            repeated_lines(body).alias("n_dup_lines"),
+            repeated_words(tokens).alias("n_repeat_words"),
+            F.length(body).alias("n_chars"),
+            _char_counts(body).alias("chars"),
+            _word_counts(tokens, key).alias("common"),
+        )
+
+    made = F.explode(F.transform(F.array(words(body)), measured)).alias("_made")
+    return _source(docs, carry, text, lang).select("_row", "_key", made).select("_row", "_key", "_made.*")
+
+
+def language_references(rows: DataFrame) -> DataFrame:
     """``(_key, _ref_chars, _ref_words)``: summed histograms per listed language and for
-    all documents; as many rows as there are word lists, and one more."""
+    all other documents; as many rows as there are word lists, and one more."""
     lists = _lists()
-    widths = {"c": len(CHAR_CLASSES) + 1, "w": max(map(len, lists.values())) + 1}
-    rows = docs.select(_language(F.col(lang)).alias("_key"), F.col(text).alias("_text"), words(F.col(text)).alias("_words"))
-    own = rows.select("_key", _char_counts(F.col("_text")).alias("c"), _word_counts(F.col("_words"), F.col("_key")).alias("w"))
-    sums = own.groupBy("_key").agg(
+    widths = {"chars": len(CHAR_CLASSES) + 1, "common": max(map(len, lists.values())) + 1}
+    sums = rows.groupBy("_key").agg(
         *[F.coalesce(F.sum(F.get(a, F.lit(i))), F.lit(0)).alias(f"{a}{i}") for a, n in widths.items() for i in range(n)]
     )
 
-    def sized(column: str, key: Column) -> Column:
+    def sized(column: str) -> Column:
         cases = None
         for name, listed in lists.items():
-            n = len(listed) + 1 if column == "w" else widths["c"]
+            n = len(listed) + 1 if column == "common" else widths["chars"]
             value = F.array(*[F.col(f"{column}{i}") for i in range(n)])
-            cases = F.when(key == name, value) if cases is None else cases.when(key == name, value)
+            cases = F.when(F.col("_key") == name, value) if cases is None else cases.when(F.col("_key") == name, value)
         return cases
 
-    return sums.select("_key", sized("c", F.col("_key")).alias("_ref_chars"), sized("w", F.col("_key")).alias("_ref_words"))
+    return sums.select("_key", sized("chars").alias("_ref_chars"), sized("common").alias("_ref_words"))
 
 
-def judged(docs: DataFrame, text: str = "text", lang: str = "lang", references: DataFrame | None = None) -> DataFrame:
-    """All columns of ``docs`` and one struct column of figures and verdicts.
+def judged(docs: DataFrame, text: str = "text", lang: str = "lang", carry: Sequence[str] | None = None) -> DataFrame:
+    """The columns ``carry`` (all) of ``docs`` and one struct of figures and verdicts.
 
     The struct's name is ``quality`` with underscores in front if that is taken. Its
     fields: ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    char_distance, word_distance, base_failed, kept``.
+    char_distance, word_distance, base_failed, kept``. Texts that are carried along are
+    measured in two passes, one for the references; else the figures are written once.
     """
-    out = free_name(docs.columns, "quality")
-    refs = language_references(docs, text, lang) if references is None else references
-    body, language = F.coalesce(F.col(f"_row.{text}"), F.lit("")), F.col("_key")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), _language(F.col(lang)).alias("_key"))
-    rows = rows.withColumn("_words", words(body))
-    rows = rows.select(
-        "_row",
-        "_key",
-        F.size("_words").cast("long").alias("_n"),
-        F.length(F.regexp_replace(body, "[\\x20\\x09-\\x0D]+", "")).cast("long").alias("_word_chars"),
-        (F.length(body) - F.length(F.translate(body, "#*$%&|<>", ""))).cast("long").alias("_symbols"),
-        repeated_lines(body).alias("_lines"),
-        repeated_words(F.col("_words")).alias("_repeats"),
-        F.length(body).alias("_chars"),
-        _char_counts(body).alias("_own_chars"),
-        _word_counts(F.col("_words"), language).alias("_own_words"),
-    )
+    carry = docs.columns if carry is None else list(carry)
+    out = free_name(carry, "quality")
+    rows = figures(docs, carry, text, lang)
+    if text not in carry:
+        rows = stored(rows, "figures")
+    measured = rows if text not in carry else histograms(docs, text, lang)
     # One row per word list: bounded by the parameter COMMON_WORDS.
-    rows = rows.join(F.broadcast(refs), "_key", "left")
-    rows = rows.select(
-        "_row", "_n", "_word_chars", "_symbols", "_lines", "_repeats",
-        F.when(F.col("_chars") >= MIN_CHARS, distance(F.col("_own_chars"), F.col("_ref_chars"))).alias("_cd"),
-        F.when(F.col("_n") >= MIN_WORDS, distance(F.col("_own_words"), F.col("_ref_words"))).alias("_wd"),
-    )
-    failed = (F.col("_n") < MIN_BASE_WORDS) | (100 * F.col("_repeats") > 50 * F.col("_n"))
-    far = reduce(
-        lambda a, b: a | b,
-        [F.coalesce(F.col("_cd") > MAX_CHAR_DISTANCE, F.lit(False)), F.coalesce(F.col("_wd") > MAX_WORD_DISTANCE, F.lit(False))],
-    )
-    figures = F.struct(
-        F.col("_n").alias("n_words"),
-        F.col("_word_chars").alias("word_chars"),
-        F.col("_symbols").alias("n_symbols"),
-        F.col("_lines").alias("n_dup_lines"),
-        F.col("_repeats").alias("n_repeat_words"),
-        F.col("_cd").alias("char_distance"),
-        F.col("_wd").alias("word_distance"),
-        failed.alias("base_failed"),
-        (~failed & ~far).alias("kept"),
-    )
-    return rows.select("_row.*", figures.alias(out))
+    rows = rows.join(F.broadcast(language_references(measured)), "_key", "left").withColumns({
+        "char_distance": F.when(F.col("n_chars") >= MIN_CHARS, distance(F.col("chars"), F.col("_ref_chars"))),
+        "word_distance": F.when(F.col("n_words") >= MIN_WORDS, distance(F.col("common"), F.col("_ref_words"))),
+    })
+    failed = (F.col("n_words") < MIN_BASE_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    over = lambda column, most: F.coalesce(F.col(column) > most, F.lit(False))
+    far = over("char_distance", MAX_CHAR_DISTANCE) | over("word_distance", MAX_WORD_DISTANCE)
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance")
+    return rows.select("_row.*", F.struct(*names, failed.alias("base_failed"), (~failed & ~far).alias("kept")).alias(out))
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:

@@ -63,7 +63,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, divergence and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return quality.judged(docs).select("doc_id", *[f"quality.{n}" for n in names])
+    return quality.judged(docs, carry=["doc_id"]).select("doc_id", *[f"quality.{n}" for n in names])
 
 
 @register
