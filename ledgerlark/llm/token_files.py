@@ -35,9 +35,9 @@ from .common import small
 END_ID = 2
 # Characters that are encoded at once, and pieces whose ids a worker remembers: those met
 # again, and those met once.
-CHARS_AT_ONCE = 8_000_000
+CHARS_AT_ONCE = 4_000_000
 MAX_PIECES = 300_000
-MAX_FRESH = 500_000
+MAX_FRESH = 400_000
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
 # A blank between two other characters begins a new piece: no token crosses it.
@@ -97,7 +97,7 @@ class Encoder:
         for code in range(128, 0x250):
             first, last = chr(code).encode()
             self.shown[first], self.shown[last] = level.pre_tokenize_str(chr(code))[0][0]
-        self.model = self.tokenizer.model
+        self.split_word = self.tokenizer.model.tokenize
         self.after_blank, self.bare = _Pieces(self, " "), _Pieces(self, "")
         self.newline = self.whole("\n")
 
@@ -106,7 +106,7 @@ class Encoder:
 
     def word(self, word: str) -> bytes:
         """Ids of one word, which the model alone splits."""
-        found = self.model.tokenize(word.encode().decode("latin-1").translate(self.shown))
+        found = self.split_word(word.encode().decode("latin-1").translate(self.shown))
         return struct.pack(f"<{len(found)}I", *[t.id for t in found])
 
     def _cut(self, text: str) -> list[str] | None:
@@ -126,7 +126,7 @@ class Encoder:
         plain = pa.array([t if c is None else "" for t, c in zip(texts, cut)], pa.large_string())
         lists = pc.split_pattern(plain, " ")
         numbered = lists.values.dictionary_encode()
-        after = [self.after_blank[p] for p in numbered.dictionary.to_pylist()]
+        after = [self.after_blank[p] for p in numbered.dictionary.to_numpy(zero_copy_only=False)]
         # The first piece of a text has no blank before it; a text cut otherwise is one piece.
         begin = lists.offsets.to_numpy()[:-1]
         first = [
