@@ -3,8 +3,12 @@
 Numbers, units and names become typed placeholders, so that a re-parameterised question
 has the template of the original. Windows of template words of all texts meet those of
 the benchmark in a hash join; matches of one document and item on one diagonal form an
-alignment. It counts if it covers enough of the item and its slots are consistent: one
-value of the item always stands for one value of the text, and the other way round.
+alignment. It counts if it covers enough of the item and its slots fit:
+
+- one value of the item always stands for one value of the text, and the other way round;
+- or at most half of the slots changed, and the unchanged words alone cover enough;
+- or most names keep one value, and so do most numbers and units. The latter may take any
+  values if the words that are no slots cover enough, as two roles of an item may share one.
 
 Texts stay where they are. A task keeps the windows whose hash the benchmark has, which
 it learns from blocks of at most ``BLOCK`` distinct hashes; a larger benchmark takes more
@@ -20,10 +24,13 @@ are judged each by its own text.
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +54,8 @@ NUMBER_WORDS = frozenset(
 )
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*\d?%?|[+-]?[$€£]?\d")
 _EDGE = ".,;:!?\"'()[]{}«»“”‘’"
+_HITS = "doc_id long, text_hash long, h long, doc_at long, doc_end long, doc_slots array<string>"
+_LEAKS = ["doc_id", "text_hash", "item_id", "covered", "item_words", "n_slots", "n_changed"]
 NUMBER, UNIT, NAME = (word_hash(b"<" + k + b">") & ~7 for k in (b"number", b"unit", b"name"))
 
 
@@ -86,12 +95,22 @@ def template(words: list[bytes], known: TemplateHashes) -> tuple[np.ndarray, np.
     return hashes, names | ((raw & np.uint64(4)) > 0)
 
 
+def _value(words: list[bytes], at: int, end: int) -> str:
+    return " ".join(w.decode("utf-8", "replace").strip(_EDGE).lower() for w in words[at:end])
+
+
 def _slot_values(words: list[bytes], slots: np.ndarray, at: int, width: int) -> list[str]:
-    return [words[at + i].decode("utf-8", "replace").strip(_EDGE).lower() for i in np.flatnonzero(slots[at : at + width])]
+    return [_value(words, i, i + 1) for i in (at + np.flatnonzero(slots[at : at + width])).tolist()]
+
+
+def _item_slots(words: list[bytes], hashes: np.ndarray, slots: np.ndarray, at: int, width: int) -> list[str]:
+    """Begin, end, kind (``a`` for names) and value of each slot of a window."""
+    found = (at + np.flatnonzero(slots[at : at + width])).tolist()
+    return [f"{i} {i + 1} {'a' if int(hashes[i]) == NAME else 'n'} {_value(words, i, i + 1)}" for i in found]
 
 
 def item_windows(benchmark: DataFrame, item: str, text: str, width: int = WINDOW) -> DataFrame:
-    """``(h, width, item_id, item_at, item_words, item_slots)`` of all items."""
+    """``(h, width, item_id, item_at, item_end, item_words, item_slots)`` of all items."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = TemplateHashes()
@@ -104,12 +123,12 @@ def item_windows(benchmark: DataFrame, item: str, text: str, width: int = WINDOW
                     continue
                 hashes, slots = template(words, known)
                 for at, h in enumerate(windows(hashes, size, size).view(np.int64)):
-                    out.append((h, size, item_id, at, len(words), _slot_values(words, slots, at, size)))
-            yield pd.DataFrame(out, columns=["h", "width", "item_id", "item_at", "item_words", "item_slots"])
+                    out.append((h, size, item_id, at, at + size, len(words), _item_slots(words, hashes, slots, at, size)))
+            yield pd.DataFrame(out, columns=["h", "width", "item_id", "item_at", "item_end", "item_words", "item_slots"])
 
     rows = benchmark.select(F.col(f"`{item}`").cast("long").alias("item_id"), F.col(f"`{text}`").alias("text"))
     rows = rows.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    return rows.mapInPandas(run, "h long, width int, item_id long, item_at int, item_words int, item_slots array<string>")
+    return rows.mapInPandas(run, "h long, width int, item_id long, item_at int, item_end int, item_words int, item_slots array<string>")
 
 
 def _hits(docs: DataFrame, hashes: np.ndarray, widths: list[int]) -> DataFrame:
@@ -133,7 +152,7 @@ def _hits(docs: DataFrame, hashes: np.ndarray, widths: list[int]) -> DataFrame:
                     places = np.flatnonzero(seen[(own & mask).astype(np.int64)])
                     found = np.searchsorted(wanted, own[places])
                     places = places[(found < len(wanted)) & (wanted[np.minimum(found, len(wanted) - 1)] == own[places])]
-                    out += [(i, int(p), own[p], _slot_values(words, slots, p, width)) for p in places]
+                    out += [(i, p, own[p], p + width, _slot_values(words, slots, p, width)) for p in places.tolist()]
             rows = [r[0] for r in out]
             yield pd.DataFrame(
                 {
@@ -141,11 +160,97 @@ def _hits(docs: DataFrame, hashes: np.ndarray, widths: list[int]) -> DataFrame:
                     "text_hash": batch["text_hash"].iloc[rows].array,
                     "h": np.array([r[2] for r in out], dtype=np.uint64).view(np.int64),
                     "doc_at": np.array([r[1] for r in out], dtype=np.int64),
-                    "doc_slots": [r[3] for r in out],
+                    "doc_end": np.array([r[3] for r in out], dtype=np.int64),
+                    "doc_slots": [r[4] for r in out],
                 }
             )
 
-    return docs.mapInPandas(run, "doc_id long, text_hash long, h long, doc_at long, doc_slots array<string>")
+    return docs.mapInPandas(run, _HITS)
+
+
+def _kept(pairs: list[tuple[str, str]]) -> int:
+    """How many of the pairs a one-to-one mapping of values keeps, the most frequent first."""
+    left, right, kept = set(), set(), 0
+    for (i, d), n in sorted(Counter(pairs).items(), key=lambda p: (-p[1], p[0])):
+        if i not in left and d not in right:
+            left.add(i)
+            right.add(d)
+            kept += n
+    return kept
+
+
+def _fitting(covered: int, item_words: int, slots: list[tuple[int, int, str, str, str]], min_coverage: float) -> bool:
+    """Whether an alignment of ``covered`` words with ``slots``, each ``(begin, end, kind,
+    value of the item, value of the text)``, is a copy of the item."""
+    enough = min_coverage * item_words
+    if covered < enough:
+        return False
+    by_kind = {k: [(i, d) for _, _, kind, i, d in slots if kind == k] for k in "an"}
+    pairs = {(i, d) for _, _, _, i, d in slots}
+    if len({i for i, _ in pairs}) == len(pairs) == len({d for _, d in pairs}):
+        return True
+    places = lambda some: len({p for begin, end, *_ in some for p in range(begin, end)})
+    changed = [s for s in slots if s[3] != s[4]]
+    if 2 * len(changed) <= len(slots) and covered - places(changed) >= enough:
+        return True
+    most = {k: not v or 2 * _kept(v) > len(v) for k, v in by_kind.items()}
+    return most["a"] and (most["n"] or covered - places(slots) >= enough)
+
+
+def _union(spans: list[tuple[int, int]]) -> int:
+    total, end = 0, 0
+    for a, b in sorted(spans):
+        total += max(0, b - max(a, end))
+        end = max(end, b)
+    return total
+
+
+def _best(hits: list[tuple], item_words: int, min_coverage: float) -> tuple[int, int, int] | None:
+    """``(covered, -n_changed, n_slots)`` of the best alignment of one document and item.
+    A hit is ``(doc_at, doc_end, item_at, item_end, slots)``."""
+    best = None
+    diagonals = defaultdict(list)
+    for hit in hits:
+        diagonals[hit[0] - hit[2]].append(hit)
+    for own in diagonals.values():
+        slots = sorted({s for h in own for s in h[4]})
+        covered = _union([(h[2], h[3]) for h in own])
+        if _fitting(covered, item_words, slots, min_coverage):
+            pairs = {s[3:] for s in slots}
+            found = (covered, -sum(i != d for i, d in pairs), len(pairs))
+            best = found if best is None else max(best, found)
+    return best
+
+
+def _alignments(min_coverage: float):
+    def slots(item: list[str], doc: list[str]) -> tuple:
+        split = (s.split(" ", 3) for s in item)
+        return tuple((int(a), int(b), kind, i, d) for (a, b, kind, i), d in zip(split, doc))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From rows sorted by document and item."""
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*(c.to_pylist() for c in batch.columns))
+
+        out = []
+        for key, group in groupby(rows(), key=lambda r: r[:4]):
+            found = _best(list({(*r[4:8], slots(r[8], r[9])) for r in group}), key[3], min_coverage)
+            if found:
+                out.append((*key[:3], found[0], key[3], found[2], -found[1]))
+            if len(out) >= 10_000:
+                yield _batch(out)
+                out = []
+        yield _batch(out)
+
+    return run
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 3 + [pa.int32()] * 4
+    columns = list(zip(*rows)) or [()] * 7
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=_LEAKS)
 
 
 def leaks(
@@ -175,39 +280,12 @@ def leaks(
         found = _hits(rows, hashes, widths)
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        hits = spark.createDataFrame([], "doc_id long, text_hash long, h long, doc_at long, doc_slots array<string>")
+        hits = spark.createDataFrame([], _HITS)
     pairs = hits.join(small(items), "h")
     keys = ("doc_id", "text_hash", "item_id")
-    lined = pairs.groupBy(*keys, (F.col("doc_at") - F.col("item_at")).alias("_diagonal")).agg(
-        F.max("item_words").alias("item_words"),
-        F.array_sort(F.collect_set(F.struct("item_at", "width"))).alias("_at"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d"))))).alias("_slots"),
-    )
-    begin = F.struct(F.lit(0).alias("e"), F.lit(0).alias("n"))
-    covered = F.aggregate(
-        "_at",
-        begin,
-        lambda acc, w: F.struct(
-            F.greatest(acc["e"], w["item_at"] + w["width"]).alias("e"),
-            (acc["n"] + F.greatest(F.lit(0), w["item_at"] + w["width"] - F.greatest(acc["e"], w["item_at"]))).alias("n"),
-        ),
-        lambda acc: acc["n"],
-    )
-    pairs_of = F.col("_slots")
-    one_to_one = (F.size(F.array_distinct(pairs_of["i"])) == F.size(pairs_of)) & (F.size(F.array_distinct(pairs_of["d"])) == F.size(pairs_of))
-    lined = lined.select(
-        *keys,
-        "item_words",
-        covered.alias("covered"),
-        F.size("_slots").alias("n_slots"),
-        F.size(F.filter("_slots", lambda s: s["i"] != s["d"])).alias("n_changed"),
-        one_to_one.alias("_consistent"),
-    )
-    good = lined.where(F.col("_consistent") & (F.col("covered") >= F.lit(min_coverage) * F.col("item_words")))
-    best = F.max(F.struct("covered", (-F.col("n_changed")).alias("c"), "item_words", "n_slots"))
-    return good.groupBy(*keys).agg(best.alias("_b")).select(
-        *keys, "_b.covered", "_b.item_words", "_b.n_slots", (-F.col("_b.c")).alias("n_changed")
-    )
+    pairs = pairs.select(*keys, "item_words", "doc_at", "doc_end", "item_at", "item_end", "item_slots", "doc_slots")
+    kinds = "doc_id long, text_hash long, item_id long, covered int, item_words int, n_slots int, n_changed int"
+    return pairs.repartition(*keys).sortWithinPartitions(*keys, "item_words").mapInArrow(_alignments(min_coverage), kinds)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
