@@ -2,8 +2,11 @@
 
 Numbers, units and names become typed placeholders, so that a re-parameterised question
 has the template of the original. Windows of template words of all texts meet those of
-the benchmark in a hash join; matches of one document and item on one diagonal form an
-alignment. It counts if it covers enough of the item and its slots fit:
+the benchmark in a hash join; matches of one document and item that lie near each other
+and in order form an alignment, also if words were inserted or left out between them.
+Runs of placeholders of one kind are also read as one, for values of several words, in
+items where at least half of a window's words stay literal. An alignment counts if it
+covers ``min_coverage`` of the item, or ``MIN_SAME`` unchanged words, and its slots fit:
 
 - one value of the item always stands for one value of the text, and the other way round;
 - or at most half of the slots changed, and the unchanged words alone cover enough;
@@ -39,6 +42,8 @@ from .hashing import windows, word_hash
 
 WINDOW = 10
 MIN_COVERAGE = 0.6
+# Unchanged words that are enough in an item of any length.
+MIN_SAME = 20
 BLOCK = 500_000
 _TABLE_BITS = 22
 # Distinct words that a worker remembers; beyond it, it starts anew.
@@ -99,14 +104,24 @@ def _value(words: list[bytes], at: int, end: int) -> str:
     return " ".join(w.decode("utf-8", "replace").strip(_EDGE).lower() for w in words[at:end])
 
 
-def _slot_values(words: list[bytes], slots: np.ndarray, at: int, width: int) -> list[str]:
-    return [_value(words, i, i + 1) for i in (at + np.flatnonzero(slots[at : at + width])).tolist()]
+def readings(hashes: np.ndarray, slots: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(hashes, slots, places)`` of the units of a text, word by word and, if it has runs
+    of placeholders of one kind, with each run as one unit. ``places`` ends with the number of words."""
+    out = [(hashes, slots, np.arange(len(hashes) + 1))]
+    first = np.append(True, ~(slots[1:] & slots[:-1] & (hashes[1:] == hashes[:-1])))[: len(hashes)]
+    if not first.all():
+        out.append((hashes[first], slots[first], np.append(np.flatnonzero(first), len(hashes))))
+    return out
 
 
-def _item_slots(words: list[bytes], hashes: np.ndarray, slots: np.ndarray, at: int, width: int) -> list[str]:
-    """Begin, end, kind (``a`` for names) and value of each slot of a window."""
+def _value(words: list[bytes], at: int, end: int) -> str:
+    return " ".join(w.decode("utf-8", "replace").strip(_EDGE).lower() for w in words[at:end])
+
+
+def _slots(words: list[bytes], slots: np.ndarray, places: np.ndarray, at: int, width: int) -> list[tuple[int, int, int, str]]:
+    """Unit, begin, end and value of each slot of a window."""
     found = (at + np.flatnonzero(slots[at : at + width])).tolist()
-    return [f"{i} {i + 1} {'a' if int(hashes[i]) == NAME else 'n'} {_value(words, i, i + 1)}" for i in found]
+    return [(u, int(places[u]), int(places[u + 1]), _value(words, places[u], places[u + 1])) for u in found]
 
 
 def item_windows(benchmark: DataFrame, item: str, text: str, width: int = WINDOW) -> DataFrame:
@@ -118,12 +133,15 @@ def item_windows(benchmark: DataFrame, item: str, text: str, width: int = WINDOW
             out = []
             for item_id, body in zip(batch["item_id"], batch["text"]):
                 words = (body or "").encode().split()
-                size = min(width, len(words))
                 if not words:
                     continue
-                hashes, slots = template(words, known)
-                for at, h in enumerate(windows(hashes, size, size).view(np.int64)):
-                    out.append((h, size, item_id, at, at + size, len(words), _item_slots(words, hashes, slots, at, size)))
+                for hashes, slots, places in readings(*template(words, known)):
+                    size, folded = min(width, len(hashes)), len(hashes) < len(words)
+                    for at, h in enumerate(windows(hashes, size, size).view(np.int64)):
+                        if folded and 2 * int(slots[at : at + size].sum()) > size:
+                            continue
+                        own = [f"{begin} {end} {'a' if int(hashes[u]) == NAME else 'n'} {v}" for u, begin, end, v in _slots(words, slots, places, at, size)]
+                        out.append((h, size, item_id, places[at], places[at + size], len(words), own))
             yield pd.DataFrame(out, columns=["h", "width", "item_id", "item_at", "item_end", "item_words", "item_slots"])
 
     rows = benchmark.select(F.col(f"`{item}`").cast("long").alias("item_id"), F.col(f"`{text}`").alias("text"))
@@ -146,13 +164,13 @@ def _hits(docs: DataFrame, hashes: np.ndarray, widths: list[int]) -> DataFrame:
                 words = (body or "").encode().split()
                 if not words:
                     continue
-                hashed, slots = template(words, known)
-                for width in widths:
-                    own = windows(hashed, width, width)
-                    places = np.flatnonzero(seen[(own & mask).astype(np.int64)])
-                    found = np.searchsorted(wanted, own[places])
-                    places = places[(found < len(wanted)) & (wanted[np.minimum(found, len(wanted) - 1)] == own[places])]
-                    out += [(i, p, own[p], p + width, _slot_values(words, slots, p, width)) for p in places.tolist()]
+                for hashed, slots, places in readings(*template(words, known)):
+                    for width in widths:
+                        own = windows(hashed, width, width)
+                        at = np.flatnonzero(seen[(own & mask).astype(np.int64)])
+                        found = np.searchsorted(wanted, own[at])
+                        at = at[(found < len(wanted)) & (wanted[np.minimum(found, len(wanted) - 1)] == own[at])]
+                        out += [(i, places[u], own[u], places[u + width], [v for *_, v in _slots(words, slots, places, u, width)]) for u in at.tolist()]
             rows = [r[0] for r in out]
             yield pd.DataFrame(
                 {
@@ -161,7 +179,7 @@ def _hits(docs: DataFrame, hashes: np.ndarray, widths: list[int]) -> DataFrame:
                     "h": np.array([r[2] for r in out], dtype=np.uint64).view(np.int64),
                     "doc_at": np.array([r[1] for r in out], dtype=np.int64),
                     "doc_end": np.array([r[3] for r in out], dtype=np.int64),
-                    "doc_slots": [r[4] for r in out],
+                    "doc_slots": pd.Series([r[4] for r in out], dtype=object),
                 }
             )
 
@@ -182,15 +200,15 @@ def _kept(pairs: list[tuple[str, str]]) -> int:
 def _fitting(covered: int, item_words: int, slots: list[tuple[int, int, str, str, str]], min_coverage: float) -> bool:
     """Whether an alignment of ``covered`` words with ``slots``, each ``(begin, end, kind,
     value of the item, value of the text)``, is a copy of the item."""
-    enough = min_coverage * item_words
-    if covered < enough:
+    places = lambda some: len({p for begin, end, *_ in some for p in range(begin, end)})
+    changed = [s for s in slots if s[3] != s[4]]
+    enough = min(min_coverage * item_words, MIN_SAME)
+    if covered < min_coverage * item_words and covered - places(changed) < MIN_SAME:
         return False
     by_kind = {k: [(i, d) for _, _, kind, i, d in slots if kind == k] for k in "an"}
     pairs = {(i, d) for _, _, _, i, d in slots}
     if len({i for i, _ in pairs}) == len(pairs) == len({d for _, d in pairs}):
         return True
-    places = lambda some: len({p for begin, end, *_ in some for p in range(begin, end)})
-    changed = [s for s in slots if s[3] != s[4]]
     if 2 * len(changed) <= len(slots) and covered - places(changed) >= enough:
         return True
     most = {k: not v or 2 * _kept(v) > len(v) for k, v in by_kind.items()}
@@ -205,20 +223,71 @@ def _union(spans: list[tuple[int, int]]) -> int:
     return total
 
 
+def _pieces(hits: list[tuple]) -> list[list]:
+    """``[doc_at, doc_end, item_at, item_end, hits]``: hits of one diagonal that touch, as one."""
+    pieces, last = [], {}
+    for hit in sorted(hits):
+        piece = last.get(hit[0] - hit[2])
+        if piece and hit[0] <= piece[1] and hit[2] <= piece[3]:
+            piece[1], piece[3] = max(piece[1], hit[1]), max(piece[3], hit[3])
+            piece[4].append(hit)
+        else:
+            pieces.append([*hit[:4], [hit]])
+            last[hit[0] - hit[2]] = pieces[-1]
+    return pieces
+
+
+def _chains(hits: list[tuple], item_words: int) -> Iterator[tuple[int, list[tuple]]]:
+    """Covered words and hits of pieces in order in both texts, each with the best chain
+    before it. Between two pieces the text may skip as many words as the item has. A word
+    of either text counts once."""
+    pieces = _pieces(hits)
+    totals, before, first = [], [], 0
+    for j, (at, end, item_at, item_end, _) in enumerate(pieces):
+        while pieces[first][0] + 3 * item_words < at:  # a piece has at most twice the item's words
+            first += 1
+        total, link = item_end - item_at, None
+        for i in range(first, j):
+            p = pieces[i]
+            if p[2] <= item_at and p[1] < end and p[3] < item_end and at - p[1] <= item_words:
+                more = totals[i] + min(item_end - max(item_at, p[3]), end - max(at, p[1]))
+                if more > total:
+                    total, link = more, i
+        totals.append(total)
+        before.append(link)
+    for j in sorted(range(len(pieces)), key=lambda j: -totals[j]):
+        own, i = [], j
+        while i is not None:
+            own += pieces[i][4]
+            i = before[i]
+        yield totals[j], own
+
+
 def _best(hits: list[tuple], item_words: int, min_coverage: float) -> tuple[int, int, int] | None:
     """``(covered, -n_changed, n_slots)`` of the best alignment of one document and item.
     A hit is ``(doc_at, doc_end, item_at, item_end, slots)``."""
-    best = None
+    best, enough = None, min(min_coverage * item_words, MIN_SAME)
     diagonals = defaultdict(list)
     for hit in hits:
         diagonals[hit[0] - hit[2]].append(hit)
-    for own in diagonals.values():
+
+    def judge(covered: int, own: list[tuple]) -> None:
+        nonlocal best
         slots = sorted({s for h in own for s in h[4]})
-        covered = _union([(h[2], h[3]) for h in own])
         if _fitting(covered, item_words, slots, min_coverage):
             pairs = {s[3:] for s in slots}
             found = (covered, -sum(i != d for i, d in pairs), len(pairs))
             best = found if best is None else max(best, found)
+
+    for own in diagonals.values():
+        covered = _union([(h[2], h[3]) for h in own])
+        if covered >= enough:
+            judge(covered, own)
+    if len(diagonals) > 1:
+        for covered, own in _chains(hits, item_words):
+            if covered < enough or best and covered < best[0]:
+                break
+            judge(covered, own)
     return best
 
 

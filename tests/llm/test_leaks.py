@@ -32,3 +32,25 @@ def test_edited_slots(spark):
     }
     got = found(spark, {1: ITEM, 2: ROLES, 3: MANY}, texts)
     assert got == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 3)}
+
+
+def test_inserted_words(spark):
+    """Parts of an item on several diagonals, values of another length, half of a long item."""
+    words = prose(505, 40).split()
+    long = prose(506, 59)
+    short = "Our friend Anna had 25 of them left"
+    texts = {
+        1: " ".join([*words[:20], "added", *words[20:]]),
+        2: " ".join([*words[:20], *words[22:]]),
+        3: "Our friend Mary Ann had twenty five of them left",
+        4: " ".join(long.split()[:30]),
+        5: " ".join([*words[30:], *words[:12]]),
+        6: " ".join(words[:10]) + " " + prose(577, 90) + " " + " ".join(words[20:35]),
+        7: ITEM.replace("within 30 minutes", "within thirty five minutes"),
+    }
+    assert found(spark, {1: " ".join(words), 2: long, 3: short, 4: ITEM}, texts) == {(1, 1), (2, 1), (3, 3), (4, 2), (7, 4)}
+
+
+def test_runs_of_numbers_are_no_copy(spark):
+    """An item that is one run of numbers is not found in any text with a number."""
+    assert found(spark, {1: " ".join(map(str, range(12, 30)))}, {1: "there were 7 of them", 2: " ".join(map(str, range(12, 30)))}) == {(2, 1)}
