@@ -4,6 +4,8 @@ Numbers, units and names become typed placeholders, so that a re-parameterised q
 has the template of the original. Windows of template words of all texts meet those of
 the benchmark in a hash join; matches of one document and item that lie near each other
 and in order form an alignment, also if words were inserted or left out between them.
+Every text is read with names as slots and without, all words in lower case, so that a
+copy in another case or after a heading is found; a hit in any reading counts.
 Runs of placeholders of one kind are also read as one, for values of several words, in
 items where at least half of a window's words stay literal. An alignment counts if it
 covers ``min_coverage`` of the item, or ``MIN_SAME`` unchanged words, and its slots fit:
@@ -89,19 +91,32 @@ class TemplateHashes(dict):
         return (word_hash(low.encode()) & ~7) | ends | (core[:1].isupper() and core[:1].isalpha())
 
 
-def template(words: list[bytes], known: TemplateHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Template hash of each word, and whether it is a slot. A capitalised word is a name
-    unless it begins the text or a sentence."""
+def split(body: str) -> tuple[list[bytes], np.ndarray]:
+    """Words, and which of them begin a line."""
+    words, begins = [], []
+    for line in body.encode().splitlines():
+        begins.append(len(words))
+        words += line.split()
+    first = np.zeros(len(words) + 1, dtype=bool)
+    first[begins] = True
+    return words, first[: len(words)]
+
+
+def templates(words: list[bytes], lines: np.ndarray, known: TemplateHashes) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Template hash of each word, and whether it is a slot, in up to three readings. A
+    capitalised word is a name unless it begins the text or a sentence; unless it begins
+    a line either; or never, so that letter case and what stands before do not matter."""
     raw = known.of(words)
     starts = np.ones(len(raw), dtype=bool)
     starts[1:] = (raw[:-1] & np.uint64(2)) > 0
-    names = ((raw & np.uint64(1)) > 0) & ~starts & ((raw & np.uint64(4)) == 0)
-    hashes = np.where(names, np.uint64(NAME), raw & ~np.uint64(7))
-    return hashes, names | ((raw & np.uint64(4)) > 0)
-
-
-def _value(words: list[bytes], at: int, end: int) -> str:
-    return " ".join(w.decode("utf-8", "replace").strip(_EDGE).lower() for w in words[at:end])
+    fixed = (raw & np.uint64(4)) > 0
+    names = ((raw & np.uint64(1)) > 0) & ~starts & ~fixed
+    masks = [names]
+    if (names & lines).any():
+        masks.append(names & ~lines)
+    if masks[-1].any():
+        masks.append(np.zeros(len(raw), dtype=bool))
+    return [(np.where(m, np.uint64(NAME), raw & ~np.uint64(7)), m | fixed) for m in masks]
 
 
 def readings(hashes: np.ndarray, slots: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -130,19 +145,19 @@ def item_windows(benchmark: DataFrame, item: str, text: str, width: int = WINDOW
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = TemplateHashes()
         for batch in batches:
-            out = []
+            out = {}
             for item_id, body in zip(batch["item_id"], batch["text"]):
-                words = (body or "").encode().split()
+                words, lines = split(body or "")
                 if not words:
                     continue
-                for hashes, slots, places in readings(*template(words, known)):
+                for hashes, slots, places in (r for t in templates(words, lines, known) for r in readings(*t)):
                     size, folded = min(width, len(hashes)), len(hashes) < len(words)
                     for at, h in enumerate(windows(hashes, size, size).view(np.int64)):
                         if folded and 2 * int(slots[at : at + size].sum()) > size:
                             continue
                         own = [f"{begin} {end} {'a' if int(hashes[u]) == NAME else 'n'} {v}" for u, begin, end, v in _slots(words, slots, places, at, size)]
-                        out.append((h, size, item_id, places[at], places[at + size], len(words), own))
-            yield pd.DataFrame(out, columns=["h", "width", "item_id", "item_at", "item_end", "item_words", "item_slots"])
+                        out[item_id, len(words), h, places[at], places[at + size], *own] = (h, size, item_id, places[at], places[at + size], len(words), own)
+            yield pd.DataFrame(list(out.values()), columns=["h", "width", "item_id", "item_at", "item_end", "item_words", "item_slots"])
 
     rows = benchmark.select(F.col(f"`{item}`").cast("long").alias("item_id"), F.col(f"`{text}`").alias("text"))
     rows = rows.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
@@ -161,16 +176,21 @@ def _hits(docs: DataFrame, hashes: np.ndarray, widths: list[int]) -> DataFrame:
         for batch in batches:
             out = []
             for i, body in enumerate(batch["text"]):
-                words = (body or "").encode().split()
+                words, lines = split(body or "")
                 if not words:
                     continue
-                for hashed, slots, places in readings(*template(words, known)):
+                done = set()
+                for hashed, slots, places in (r for t in templates(words, lines, known) for r in readings(*t)):
                     for width in widths:
                         own = windows(hashed, width, width)
                         at = np.flatnonzero(seen[(own & mask).astype(np.int64)])
                         found = np.searchsorted(wanted, own[at])
                         at = at[(found < len(wanted)) & (wanted[np.minimum(found, len(wanted) - 1)] == own[at])]
-                        out += [(i, places[u], own[u], places[u + width], [v for *_, v in _slots(words, slots, places, u, width)]) for u in at.tolist()]
+                        for u in at.tolist():
+                            hit = (int(places[u]), own[u], int(places[u + width]))
+                            if hit not in done:
+                                done.add(hit)
+                                out.append((i, *hit, [v for *_, v in _slots(words, slots, places, u, width)]))
             rows = [r[0] for r in out]
             yield pd.DataFrame(
                 {

@@ -54,3 +54,16 @@ def test_inserted_words(spark):
 def test_runs_of_numbers_are_no_copy(spark):
     """An item that is one run of numbers is not found in any text with a number."""
     assert found(spark, {1: " ".join(map(str, range(12, 30)))}, {1: "there were 7 of them", 2: " ".join(map(str, range(12, 30)))}) == {(2, 1)}
+
+
+def test_case_and_line_breaks(spark):
+    """A copy is found after a heading or list mark, and in another case."""
+    benchmark = spark.createDataFrame([(1, "Which river runs through Vienna and Budapest"), (2, ITEM)], "item_id long, text string")
+    short, near = "Which river runs through Vienna and Budapest", ITEM.replace("Anna", "Carla").replace("Bernd", "Dora")
+    texts = [
+        (1, f"a heading {short} and so on"), (2, f"a heading\n{short}\nand so on"), (3, f"- {short}"), (4, short.upper()), (5, short.title()), (6, short.lower()),
+        (7, ITEM.upper()), (8, f"a heading\n{near}"), (9, f"so {near}".replace(" Carla", "\nCarla")), (10, "the river runs through a town"),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, benchmark).collect()}
+    assert got == {*((i, 1) for i in range(1, 7)), (7, 2), (8, 2), (9, 2)}
