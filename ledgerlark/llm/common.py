@@ -65,7 +65,7 @@ LAST_ID = 2**63 - 1
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``(id, th, text)``: the id, with null as the largest, and a hash of the text. Rows
-    equal in both are one document."""
+    """``(id, th, text)``: the id, with null as the largest, and 64 bits of a hash of the
+    text. Rows equal in both are one document."""
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST_ID)).alias("id"), F.hash(body).alias("th"), body.alias("text"))
+    return docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(body).alias("th"), body.alias("text"))

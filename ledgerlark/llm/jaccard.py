@@ -73,7 +73,7 @@ def signatures(rows: DataFrame, ngram: int = NGRAM) -> DataFrame:
             nodes = np.array([_signature(s) for s in own], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in own], pa.int64()), pa.array(nodes)], names=["id", "th", "n", "node"])
 
-    return rows.mapInArrow(run, "id long, th int, n long, node long")
+    return rows.mapInArrow(run, "id long, th long, n long, node long")
 
 
 def _slack(n: np.ndarray | int) -> np.ndarray | int:
@@ -320,8 +320,8 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **op
     """Rows of ``docs`` without those linked to an earlier document; equal rows once."""
     found = stored(linked(docs, key, text, **options), "linked")
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    names = [free_name(docs.columns, n) for n in ("own_id", "own_th")]
-    rows = docs.withColumns({names[0]: F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST_ID)), names[1]: F.hash(body)})
+    names = [free_name(docs.columns, n) for n in ("own_id", "own_th", "own_text")]
+    rows = docs.withColumns({names[0]: F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST_ID)), names[1]: F.xxhash64(body)})
     match = lambda side: (F.col(names[0]) == side["_id"]) & (F.col(names[1]) == side["_th"])
     ids = lambda df: df.select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct()
     later = small(stored(ids(found.where(F.struct("id", "th") != F.col("head"))), "later"))
@@ -329,5 +329,5 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **op
     twice = found.where("n > 0").groupBy("id", "th").count().where("count > 1")
     twice = small(stored(ids(twice), "twice"))
     once = rows.join(twice, match(twice), "left_anti")
-    folded = rows.join(twice, match(twice), "left_semi").dropDuplicates(names)
+    folded = rows.join(twice, match(twice), "left_semi").withColumn(names[2], body).dropDuplicates(names).drop(names[2])
     return once.unionByName(folded).drop(*names)

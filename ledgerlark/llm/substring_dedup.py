@@ -132,10 +132,10 @@ def _runs(docs: DataFrame, window: int, kmer: int, heavy: np.ndarray) -> DataFra
                 names=["h", "id", "th", "start", "n", "edges", "src_id", "src_start"],
             )
 
-    return docs.mapInArrow(run, "h long, id long, th int, start long, n long, edges binary, src_id long, src_start long")
+    return docs.mapInArrow(run, "h long, id long, th long, start long, n long, edges binary, src_id long, src_start long")
 
 
-_PIECES = "id long, th int, start long, n long, src_id long, src_start long"
+_PIECES = "id long, th long, start long, n long, src_id long, src_start long"
 
 
 def _repeated(table: pa.Table) -> pa.RecordBatch:
