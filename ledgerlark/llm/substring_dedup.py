@@ -4,7 +4,7 @@ Edges of the graph are windows of ``WINDOW`` consecutive words. Each window belo
 minimizer, the k-mer of ``KMER`` words with the least hash in it; consecutive windows with
 one minimizer form a run, a path that is compacted before it is moved. Runs meet by
 minimizer, so all occurrences of an edge meet in one place, and the occurrence first in
-the corpus is its source. Windows whose neighbours and whose sources both follow each
+the corpus is its source (for runs settled within a batch, the first of the batch). Windows whose neighbours and whose sources both follow each
 other are then compacted, over documents, into spans: nonbranching repeated paths with
 source coordinates. A removed word is one that a span covers.
 
