@@ -82,7 +82,7 @@ def _slack(n: np.ndarray | int) -> np.ndarray | int:
 
 def _prefix_tokens(rows: DataFrame, ngram: int, similarity: int) -> DataFrame:
     """``(token, node, known)``: prefixes in hash order. A token that classes of the batch
-    share is sent once, without a node; how many of those a class has is sent as
+    share is sent once, with ``known`` -1; how many of those a class has is sent as
     ``known``, with a token of its own that settles nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +91,7 @@ def _prefix_tokens(rows: DataFrame, ngram: int, similarity: int) -> DataFrame:
             prefixes, nodes, seen = [], [], set()
             for text in texts_of(batch.column(2)):
                 own = shingles(text, hasher, ngram)
-                node = _signature(own) & int(_LOW)
+                node = _signature(own)
                 if len(own) and node not in seen:
                     seen.add(node)
                     n = len(own)
@@ -104,13 +104,13 @@ def _prefix_tokens(rows: DataFrame, ngram: int, similarity: int) -> DataFrame:
             _, first, group, count = np.unique(token, return_index=True, return_inverse=True, return_counts=True)
             shared = count[group] > 1
             known = np.bincount(owner[shared], minlength=len(nodes))
-            node = np.array(nodes, dtype=np.int64)
+            node = np.array(nodes, dtype=np.uint64).view(np.int64)
             once, some = first[count > 1], np.flatnonzero(known)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate((token[~shared], token[once], mixed(node[some].view(np.uint64)) & _LOW)).view(np.int64)),
-                    pa.array(np.concatenate((node[owner[~shared]], np.full(len(once), -1), node[some]))),
-                    pa.array(np.concatenate((np.zeros(int((~shared).sum()) + len(once), dtype=np.int64), known[some])).astype(np.int32)),
+                    pa.array(np.concatenate((node[owner[~shared]], np.zeros(len(once), dtype=np.int64), node[some]))),
+                    pa.array(np.concatenate((np.zeros(int((~shared).sum()), dtype=np.int64), np.full(len(once), -1), known[some])).astype(np.int32)),
                 ],
                 names=["token", "node", "known"],
             )
@@ -125,16 +125,16 @@ def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     def settle(table: pa.Table) -> pa.RecordBatch:
         token, node, known = (table.column(c).to_numpy() for c in ("token", "node", "known"))
         counted = known > 0
-        t, n = token[~counted], node[~counted]
+        t, n, several = token[~counted], node[~counted], known[~counted] < 0
         new = np.append(True, t[1:] != t[:-1])[: len(t)]
         start = np.flatnonzero(new)
         mixed_nodes = np.zeros(len(start), dtype=bool)
         if len(start):
-            mixed_nodes = (np.maximum.reduceat(n, start) != np.minimum.reduceat(n, start)) | (np.minimum.reduceat(n, start) < 0)
-        shared = n[mixed_nodes[np.cumsum(new) - 1] & (n >= 0)] if len(start) else n
+            mixed_nodes = (np.maximum.reduceat(n, start) != np.minimum.reduceat(n, start)) | np.logical_or.reduceat(several, start)
+        shared = n[mixed_nodes[np.cumsum(new) - 1] & ~several] if len(start) else n
         nodes, inverse = np.unique(np.concatenate((shared, node[counted])), return_inverse=True)
         sums = np.bincount(inverse, weights=np.concatenate((np.ones(len(shared)), known[counted])), minlength=len(nodes))
-        return pa.RecordBatch.from_arrays([pa.array(nodes.astype(np.int64)), pa.array(sums.astype(np.int64))], names=["low", "hits"])
+        return pa.RecordBatch.from_arrays([pa.array(nodes.astype(np.int64)), pa.array(sums.astype(np.int64))], names=["_node", "hits"])
 
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -301,10 +301,9 @@ def linked(
     signed = stored(signatures(rows, ngram), "signatures")
     classes = signed.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min(F.struct("id", "th")).alias("first"))
     tokens = _prefix_tokens(rows, ngram, similarity).repartition("token").sortWithinPartitions("token")
-    hits = tokens.mapInArrow(_shared_counts, "low long, hits long").groupBy("low").agg(F.sum("hits").alias("hits"))
+    hits = tokens.mapInArrow(_shared_counts, "_node long, hits long").groupBy("_node").agg(F.sum("hits").alias("hits"))
     needed = 1 + F.floor(F.ceil(F.lit(similarity) * F.col("n") / 100) / SLACK)
-    low = F.col("node").bitwiseAND(F.lit(int(_LOW)))
-    left = classes.join(hits, low == F.col("low")).where(F.col("hits") >= needed)
+    left = classes.join(hits, F.col("node") == F.col("_node")).where(F.col("hits") >= needed)
     left = small(stored(left.select("first.id", "first.th").distinct(), "sieved"))
     sets = stored(_whole_sets(rows.join(left, ["id", "th"], "left_semi"), ngram), "sets")
     labels = components(_links(sets, similarity, block))
