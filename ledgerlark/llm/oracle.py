@@ -219,3 +219,28 @@ SELECT page_id, payload_bytes,
     CASE WHEN page_id <> first THEN first END AS refers_to
 FROM firsts
 """
+
+ORACLE["op11_embedding_dedup"] = """
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v,
+        label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+            AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+            AND len(list_filter(embedding, lambda c: c <> 0)) > 0 AS usable
+    FROM embeddings
+), units AS (
+    SELECT vec_id, label, v, sqrt(list_inner_product(v, v)) AS size FROM vectors WHERE usable
+), pairs AS (
+    SELECT a.vec_id AS a, b.vec_id AS b
+    FROM units a JOIN units b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+    WHERE list_inner_product(a.v, b.v) / (a.size * b.size) >= 0.98
+), degrees AS (
+    SELECT a AS vec_id, count(*) AS n_links FROM pairs GROUP BY a
+), reached AS (
+    SELECT a, a AS b FROM pairs UNION SELECT r.a, p.b FROM reached r JOIN pairs p ON p.a = r.b
+), heads AS (
+    SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a
+)
+SELECT vec_id, COALESCE(n_links, 0)::BIGINT AS n_links, COALESCE(component_id, vec_id) AS component_id,
+    vec_id = COALESCE(component_id, vec_id) AS kept
+FROM vectors LEFT JOIN degrees USING (vec_id) LEFT JOIN heads USING (vec_id)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, jaccard, language_id, mixing, quality, substring_dedup, token_files, url_filters, warc
+from . import chat, decontamination, embedding_dedup, jaccard, language_id, mixing, quality, substring_dedup, token_files, url_filters, warc
 from .common import LAST_ID, shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,3 +103,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     write = table(spark, sf_dir, "documents").select("doc_id", "text")
     token_files.write_tokens(write, path, tokenizer_path())
     return token_files.with_checksums(token_files.read_tokens(spark, path))
+
+
+@register
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and verdict of every vector."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return embedding_dedup.linked(vectors).select("vec_id", "near.n_links", "near.component_id", "near.kept")
