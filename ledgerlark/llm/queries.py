@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, embedding_dedup, jaccard, language_id, mixing, quality, substring_dedup, token_files, url_filters, warc
+from . import chat, decontamination, embedding_dedup, jaccard, language_id, mixing, quality, substring_dedup, token_files, url_filters, warc, whitening
 from .common import LAST_ID, shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,3 +110,10 @@ def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, component and verdict of every vector."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     return embedding_dedup.linked(vectors).select("vec_id", "near.n_links", "near.component_id", "near.kept")
+
+
+@register
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector on the first components of the whitened space."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.by_component(whitening.whitened(vectors))
