@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, embedding_dedup, jaccard, language_id, mixing, quality, substring_dedup, token_files, url_filters, warc, whitening
+from . import chat, decontamination, embedding_dedup, jaccard, language_id, mixing, quality, substring_dedup, token_alignment, token_files, url_filters, warc, whitening
 from .common import LAST_ID, shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -112,6 +113,14 @@ def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.linked(vectors).select("vec_id", "near.n_links", "near.component_id", "near.kept")
 
 
+@register
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = token_alignment.aligned(docs, tokenizer_path(), tokenizer_path(PIECES))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 @register
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every usable vector on the first components of the whitened space."""
