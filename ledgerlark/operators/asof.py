@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import SLICE, SLICES_PER_CUT, SPLIT_ROWS, cut_heavy_keys, null_safe_join
+from .ordered import SLICE, SLICES, SPLIT_ROWS, cut_heavy_keys, null_safe_join
 
 
 def asof_join(
@@ -18,7 +18,7 @@ def asof_join(
     right_time: str,
     values: Sequence[str],
     split_rows: int = SPLIT_ROWS,
-    slices: int = SLICES_PER_CUT,
+    slices: int = SLICES,
 ) -> DataFrame:
     """Left rows with the ``values`` of the last right row of the same keys whose
     time is not later; NULL if there is none.
@@ -44,10 +44,10 @@ def asof_join(
     )
     answer = [F.col("_last")[v].alias(v) for v in values]
     both = _stack(known, asked)
-    cut, heavy_moments = cut_heavy_keys(both, keys, ["_time"], split_rows, slices)
+    cut, heavy_moment = cut_heavy_keys(both, keys, ["_time"], split_rows, slices)
     if cut is None:
         return _carry(both, keys).select("_left.*", *answer)
-    if heavy_moments is None:
+    if not heavy_moment:
         return _carry_over_slices(cut, keys).select("_left.*", *answer)
     moment = [*keys, SLICE, "_time"]
     greatest = cut.where("_side = 0").groupBy(*moment).agg(F.max("_right").alias("_right"))

@@ -2,16 +2,17 @@
 
 A window partitioned by key sends all rows of a key to one task. Here the heavy
 keys are found first with one narrow aggregate. If there are none, the plain
-window is used. Otherwise the rows of each heavy key are cut along the order
-columns into slices of bounded size, neighbouring slices are joined to chunks,
-and every chunk also receives the few rows before it that its window frames can
-reach. The result is the same as that of the plain window.
+window is used. Otherwise a sample of each heavy key gives quantiles of its order
+columns. These are kept as values, and rows are compared with them as values, in the
+order in which Spark sorts, so that columns of any type are cut where they really
+differ. The rows between two of them are a slice. Neighbouring slices are joined to
+chunks, and every chunk also receives the few rows before it that its window frames
+can reach. The result is the same as that of the plain window, wherever the cuts are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -23,8 +24,9 @@ from .copies import repeat_rows
 # Rows and bytes of one key that a single window task may hold; see row_bound.
 SPLIT_ROWS = 4_000_000
 SPLIT_BYTES = 512 << 20
-# Most slices cut from one heavy key, or from one slice that is still too big.
-SLICES_PER_CUT = 4096
+# Slices that the bound is cut into, and sampled rows per slice.
+SLICES = 4
+POINTS = 8
 # Largest helper table, in rows of about 100 bytes, that is sent to all executors.
 BROADCAST_ROWS = 500_000
 
@@ -32,9 +34,8 @@ WindowColumns = Callable[[WindowSpec], dict[str, Column] | list[dict[str, Column
 
 SLICE = "_slice"
 TIE = "_tie"
-_HEAD_BYTES = 7  # bytes of a text that are measured, from the first that differs within a group
-_SKIP = "_skip"
-_OPEN, _CHUNK, _OWN, _TARGETS, _TIMES = "_open", "_chunk", "_own", "_targets", "_times"
+_CHUNK, _OWN, _TARGETS, _TIMES = "_chunk", "_own", "_targets", "_times"
+_FENCES = "_fences"
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -69,81 +70,29 @@ def _width(kind: T.DataType) -> int:
     return 8 if isinstance(kind, (T.NumericType, T.DatetimeType, T.BooleanType)) else 32
 
 
-def order_number(df: DataFrame, name: str, skip: Column | None = None) -> Column:
-    """Whole number that never falls as the column rises. Of a text it measures a
-    few bytes after the first ``skip``, which are the same within a group."""
-    kind, value = df.schema[name].dataType, F.col(name)
-    if isinstance(kind, T.DateType):
-        return F.unix_date(value).cast("bigint")
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(value)
-    if isinstance(kind, T.TimestampNTZType):
-        # Field by field, since a cast to an instant depends on the time zone.
-        micros = (F.extract(F.lit("SECOND"), value) * F.lit(1_000_000)).cast("bigint")
-        minutes = F.hour(value) * F.lit(60) + F.minute(value)
-        days = F.unix_date(value.cast("date")).cast("bigint")
-        return (days * F.lit(1440) + minutes) * F.lit(60_000_000) + micros
-    if isinstance(kind, (T.IntegralType, T.BooleanType)):
-        return value.cast("bigint")
-    if isinstance(kind, (T.FractionalType, T.DecimalType)):
-        return _magnitude(value.cast("double"))
-    if isinstance(kind, T.StringType):
-        return _text_number(value, F.lit(0) if skip is None else skip)
-    raise TypeError(f"rows of a heavy key cannot be cut along {name}, of type {kind.simpleString()}")
-
-
-def _magnitude(value: Column) -> Column:
-    """Sign and logarithm, finer than any two doubles that differ by 1e-12 of their size."""
-    endless = F.isnan(value) | value.isin(float("inf"), float("-inf"))
-    plain = F.when(endless, F.lit(0.0)).otherwise(value)
-    size = ((F.log2(F.abs(plain)) + 1100) * F.lit(2.0**42)).cast("bigint")
-    signed = F.when(plain > 0, size).when(plain < 0, -size).otherwise(F.lit(0).cast("bigint"))
-    top = F.when(F.isnan(value), F.lit(2**60)).when(value > 0, F.lit(2**59)).otherwise(F.lit(-(2**59)))
-    return F.when(endless, top).when(value.isNotNull(), signed)
-
-
-def _text_number(value: Column, skip: Column) -> Column:
-    head = F.hex(F.substring(F.encode(value, "UTF-8"), skip + 1, F.lit(_HEAD_BYTES)))
-    return F.conv(F.rpad(head, 2 * _HEAD_BYTES, "0"), 16, 10).cast("bigint")
-
-
-def _common_bytes(low: Column, high: Column) -> Column:
-    """Length of the prefix that two texts, and so all between them, share."""
-    n = F.least(F.octet_length(low), F.octet_length(high))
-    byte = lambda text, at: F.substring(F.encode(text, "UTF-8"), at, F.lit(1))
-    same = F.transform(F.sequence(F.lit(1), n), lambda at: byte(low, at) == byte(high, at))
-    differs = F.array_position(same, F.lit(False)).cast("int")
-    return F.when(n < 1, F.lit(0)).when(differs == 0, n).otherwise(differs - 1)
-
-
-def _is_text(df: DataFrame, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, T.StringType)
-
-
 def slice_heavy_keys(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     split_rows: int = SPLIT_ROWS,
-    slices: int = SLICES_PER_CUT,
+    slices: int = SLICES,
     heavy: bool | None = None,
 ) -> DataFrame | None:
     """Add ``_slice``, an array that rises with the order inside each key.
 
-    Rows of ordinary keys get an empty array. Slices above the bound are cut
-    again, first finer on the same order column, then on the next one. Only if a
-    slice of equal order values is still too big, ``_tie``, a hash of the row, is
-    added and cuts it, as the order of ties is free; copies of one row stay
-    together then. Returns None when no key is heavy. ``heavy`` tells whether one
-    is, where that is known.
+    Rows of ordinary keys get an empty array, others one with the number of their slice.
+    Only if equal order values alone are too many for a slice, ``_tie``, a hash of the
+    row, is added and cuts them too, as the order of ties is free; copies of one row stay
+    together then. Returns None when no key is heavy. ``heavy`` tells whether one is,
+    where that is known. ``slices`` is how many slices the bound is cut into.
     """
-    cut, big = cut_heavy_keys(df, keys, order, split_rows, slices, heavy=heavy)
-    if big is None:
+    cut, tied = cut_heavy_keys(df, keys, order, split_rows, slices, heavy)
+    if not tied:
         return cut
-    # The hash of ties reads all columns, so it is used only where groups are left over.
+    # The hash reads all columns, so it is used only where ties must be cut.
     hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-    tied = cut.withColumn(TIE, F.shiftright(F.xxhash64(*hashed), 2))
-    return cut_heavy_keys(tied, keys, [*order, TIE], row_bound(df, split_rows), slices, open_groups=big)[0]
+    with_hash = df.withColumn(TIE, F.shiftright(F.xxhash64(*hashed), 2))
+    return cut_heavy_keys(with_hash, keys, [*order, TIE], row_bound(df, split_rows), slices, True)[0]
 
 
 def cut_heavy_keys(
@@ -151,84 +100,58 @@ def cut_heavy_keys(
     keys: Sequence[str],
     order: Sequence[str],
     split_rows: int,
-    slices: int,
-    open_groups: DataFrame | None = None,
+    slices: int = SLICES,
     heavy: bool | None = None,
-) -> tuple[DataFrame | None, DataFrame | None]:
-    """``df`` with ``_slice``, and the groups that are still too big, if any.
-
-    Each round is one aggregate over the rows of the groups cut last, and settles
-    the few groups that are too big. ``open_groups`` starts with these groups of
-    an earlier call.
-    """
+) -> tuple[DataFrame | None, bool]:
+    """``df`` with ``_slice``, or None if no key is heavy, and whether rows with equal
+    order values are too many for a slice."""
     split_rows = row_bound(df, split_rows)
-    if open_groups is None and not (has_heavy_keys(df, keys, split_rows) if heavy is None else heavy):
-        return None, None
-    measures = [order_number(df, name, F.col(_SKIP)) for name in order]
-    group = [*keys, SLICE]
-    columns = [c for c in df.columns if c != SLICE]
-    if open_groups is None:
-        cut = df.withColumn(SLICE, F.array().cast("array<bigint>")).withColumn(_OPEN, F.lit(True))
-    else:
-        marked = open_groups.withColumn(_OPEN, F.lit(True))
-        joined = null_safe_join(df, broadcast_if_small(marked, counted=open_groups), group, "left")
-        cut = joined.withColumn(_OPEN, F.coalesce(_OPEN, F.lit(False)))
-    stuck = []
-    while True:
-        big = settle(_big_groups(cut, group, order, split_rows))
-        fences = big.where("_axis IS NOT NULL").withColumn(
-            "_width", F.expr(f"(_high - _low) div least({slices}, greatest(16, 8 * _rows div {split_rows})) + 1")
-        )
-        stuck.append(big.where("_axis IS NULL").select(*group))
-        if fences.isEmpty():
-            left_over = reduce(DataFrame.unionByName, stuck)
-            return cut.select(*columns, SLICE), None if left_over.isEmpty() else left_over
-        fenced = null_safe_join(cut, broadcast_if_small(fences), group, "left")
-        number = F.element_at(F.array(*measures), F.col("_axis") + 1)
-        step = F.coalesce(F.expr("(_number - _low) div _width"), F.lit(-1))  # NULL sorts first
-        is_cut = F.col("_axis").isNotNull()
-        finer = F.when(is_cut, F.array_append(SLICE, step)).otherwise(F.col(SLICE))
-        cut = fenced.withColumn("_number", number).select(*columns, finer.alias(SLICE), is_cut.alias(_OPEN))
-
-
-def _big_groups(cut: DataFrame, group: Sequence[str], order: Sequence[str], split_rows: int) -> DataFrame:
-    """Open groups above ``split_rows``, with the column to cut them on and its range.
-
-    That is the first column that differs within the group; of a text also the
-    length of the prefix that all its values share. The axis is NULL if there is none.
+    if heavy is False:
+        return None, False
+    big = settle(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > split_rows).select(*keys))
+    if big.isEmpty():
+        return None, False
+    for name in order:
+        kind = df.schema[name].dataType
+        if not isinstance(kind, T.AtomicType):
+            raise TypeError(f"rows of a heavy key cannot be cut along {name}, of type {kind.simpleString()}")
+    place = F.struct(*[F.col(f"`{name}`") for name in order])
+    fences = settle(_fences(df.select(*keys, place.alias("_place")), big, keys, split_rows, slices))
+    most, total, tied = fences.agg(F.max(F.size(_FENCES)), F.sum(F.size(_FENCES)), F.max("_tied")).first()
+    table = fences.select(*keys, _FENCES)
+    fenced = null_safe_join(df, F.broadcast(table) if total <= BROADCAST_ROWS else table, keys, "left")
+    number = F.when(F.col(_FENCES).isNotNull(), F.array(_fences_before(place, F.col(_FENCES), most)))
+    cut = fenced.withColumn(SLICE, F.coalesce(number, F.array().cast("array<bigint>"))).drop(_FENCES)
+    return cut, bool(tied)
+
+
+def _fences(places: DataFrame, big: DataFrame, keys: Sequence[str], split_rows: int, slices: int) -> DataFrame:
+    """Quantiles of ``_place`` for each key of ``big``, and whether one value holds
+    about as many rows as the bound.
+
+    They come from a sample of about ``POINTS`` rows per slice, or of all rows if the bound is
+    small. Which rows are sampled does not matter for results, as the fences are settled.
     """
-    texts = [_is_text(cut, name) for name in order]
-    value = lambda at: F.col(order[at]) if texts[at] else order_number(cut, order[at])
-    places = range(len(order))
-    stats = (
-        cut.where(_OPEN)
-        .select(*group, *[value(at).alias(f"_v{at}") for at in places])
-        .groupBy(*group)
-        .agg(
-            F.count(F.lit(1)).alias("_rows"),
-            *[F.min(f"_v{at}").alias(f"_least{at}") for at in places],
-            *[F.max(f"_v{at}").alias(f"_most{at}") for at in places],
-            *[F.count(f"_v{at}").alias(f"_filled{at}") for at in places],
-        )
-        .where(F.col("_rows") > split_rows)
-    )
-    axis, lows, highs, skips = F.when(F.lit(False), F.lit(0)), [], [], []
-    for at in places:
-        low, high, filled = F.col(f"_least{at}"), F.col(f"_most{at}"), F.col(f"_filled{at}")
-        skip = _common_bytes(low, high) if texts[at] else F.lit(0)
-        if texts[at]:
-            low, high = _text_number(low, skip), _text_number(high, skip)
-        differs = (low < high) | ((filled > 0) & (filled < F.col("_rows")))
-        if order[at] == TIE:  # a heavy key of mere copies becomes one slice
-            differs = differs | (F.size(SLICE) == 0)
-        axis = axis.when(differs, F.lit(at))
-        lows.append(low)
-        highs.append(high)
-        skips.append(skip)
-    at_axis = lambda columns: F.element_at(F.array(*columns), F.col("_axis") + 1)
-    return stats.withColumn("_axis", axis).select(
-        *group, "_axis", "_rows", at_axis(lows).alias("_low"), at_axis(highs).alias("_high"), at_axis(skips).alias(_SKIP)
-    )
+    share = min(1.0, POINTS * slices / split_rows)
+    sample = places if share == 1.0 else places.where(F.rand(17) < share)
+    sample = null_safe_join(sample, broadcast_if_small(big), keys, "left_semi")
+    every = POINTS if share < 1.0 else max(1, split_rows // slices)
+    numbered = sample.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy("_place")))
+    values = numbered.groupBy(*keys, "_place").agg(F.count(F.lit(1)).alias("_times"), F.max((F.col("_nth") % every == 0).cast("int")).alias("_is_fence"))
+    # A key always has a row, so that it counts as heavy.
+    fence = F.when(F.col("_is_fence") == 1, F.col("_place"))
+    return values.groupBy(*keys).agg(F.sort_array(F.collect_list(fence)).alias(_FENCES), (F.max("_times") > split_rows * share).alias("_tied"))
+
+
+def _fences_before(place: Column, fences: Column, most: int) -> Column:
+    """How many of the sorted ``fences``, ``most`` at most, are less than ``place``."""
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(max(1, most.bit_length())))])
+
+    def forward(at: Column, step: Column) -> Column:
+        further = (at + step <= F.size(fences)) & (F.get(fences, at + step - 1) < place)
+        return F.when(further, at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), forward).cast("bigint")
 
 
 def _slice_sizes(cut: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -302,7 +225,7 @@ def lookback_window(
     reach: int,
     columns: WindowColumns,
     split_rows: int = SPLIT_ROWS,
-    slices: int = SLICES_PER_CUT,
+    slices: int = SLICES,
     heavy: bool | None = None,
 ) -> DataFrame:
     """Add window columns whose frames reach at most ``reach`` rows back.
@@ -373,7 +296,7 @@ def running_total(
     value: str,
     name: str,
     split_rows: int = SPLIT_ROWS,
-    slices: int = SLICES_PER_CUT,
+    slices: int = SLICES,
 ) -> DataFrame:
     """Add the running sum of ``value``; ties are summed in the order of the values.
     Each slice of a heavy key sums alone and adds the total of the slices before it."""
