@@ -289,6 +289,24 @@ FROM panel
 WITH placed AS (SELECT event_type AS symbol, -value AS place, value AS close FROM events),
 rolled AS ({_rolled(12, "placed", "place, close")})
 SELECT symbol, place, round(close, 6) AS close FROM rolled
+""",
+    **{
+        name: f"""
+WITH placed AS (SELECT event_type AS symbol, {place} AS place, event_id, value AS close FROM events),
+rolled AS ({_rolled(12, "placed", "place")})
+SELECT symbol, event_id, round(close, 6) AS close FROM rolled
+"""
+        for name, place in {
+            "rolling_decimals_split": "event_id",
+            "rolling_micros_split": "-event_id",
+            "rolling_texts_split": "lpad(CAST(event_id AS VARCHAR), 12, '0')",
+        }.items()
+    },
+    "running_total_split": """
+SELECT event_type AS symbol, event_id,
+       CAST(CAST(sum(CAST(value AS DECIMAL(18,4))) OVER (PARTITION BY event_type ORDER BY event_id DESC
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(28,4)) AS VARCHAR) AS total
+FROM events
 """,
     "kpi_ebit_missing": f"""
 WITH {_PANEL_WITH_LINES}

@@ -19,6 +19,7 @@ from ledgerlark.operators import (
     outer_merge,
     pending,
     ranked,
+    running_total,
     sort_columns,
     upsert,
 )
@@ -245,6 +246,43 @@ def rolling_numbers_split(spark, sf_dir):
     return _rolled_with_ties(spark, sf_dir, -F.col("close"), split_rows=25)
 
 
+def _rolled_by_place(spark, sf_dir, place):
+    """Order values that differ in their last digits alone."""
+    rows = given.history_by_type(spark, sf_dir).select("symbol", place.alias("place"), "event_id", "close")
+    rolled = plans.rolling_average(rows, 12, ["close"], order=["place"], split_rows=25)
+    return rolled.select("symbol", "event_id", F.round("close", 6).alias("close"))
+
+
+@register
+def rolling_decimals_split(spark, sf_dir):
+    """38 digits, rising with the id."""
+    start = F.lit("10000000000000000000000000000000000000").cast("decimal(38,0)")
+    return _rolled_by_place(spark, sf_dir, (start + F.col("event_id")).cast("decimal(38,0)"))
+
+
+@register
+def rolling_micros_split(spark, sf_dir):
+    """Seconds as doubles, a microsecond apart."""
+    return _rolled_by_place(spark, sf_dir, F.lit(1.7e9) - F.col("event_id") / F.lit(1e6))
+
+
+@register
+def rolling_texts_split(spark, sf_dir):
+    """Texts that differ after 300 characters."""
+    return _rolled_by_place(spark, sf_dir, F.concat(F.lit("x" * 300), F.lpad(F.col("event_id").cast("string"), 12, "0")))
+
+
+@register
+def running_total_split(spark, sf_dir):
+    """Running sums along 38 digits."""
+    start = F.lit("10000000000000000000000000000000000000").cast("decimal(38,0)")
+    rows = given.history_by_type(spark, sf_dir).select(
+        "symbol", "event_id", (start - F.col("event_id")).cast("decimal(38,0)").alias("place"), F.col("close").cast("decimal(18,4)").alias("close")
+    )
+    totals = running_total(rows, ["symbol"], ["place"], "close", "total", split_rows=25)
+    return totals.select("symbol", "event_id", F.col("total").cast("decimal(28,4)").cast("string").alias("total"))
+
+
 @register
 def history_at_dates(spark, sf_dir):
     averaged = plans.average_history(

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ledgerlark.operators import asof_join, lookback_window, running_total, slice_heavy_keys
 from ledgerlark.operators import ordered as ordered_module
 from ledgerlark.operators.ordered import SLICE
+from ledgerlark.plans import rolling_average
 
-from .conftest import rows
+from .conftest import plan_text, rows
 
 DAY0 = dt.datetime(2020, 1, 1)
 
@@ -214,3 +215,46 @@ def test_asof_keeps_null_values_and_duplicates(spark):
     assert got == [("a", day(5), None), ("a", day(5), None), ("z", day(5), None)]
     with pytest.raises(ValueError):
         asof_join(left, right, ["k"], "t", "t", ["t"])
+
+
+@pytest.mark.parametrize("kind", ["decimal(20,0)", "decimal(38,2)", "double", "text", "binary", "negative"])
+def test_values_that_differ_in_their_last_digits(spark, kind):
+    """Figures of rows cut along close values equal those of the plain forms."""
+    at = F.col("id")
+    place = {
+        "decimal(20,0)": F.lit("10000000000000000000").cast("decimal(20,0)") + at,
+        "decimal(38,2)": F.lit("999999999999999999999999999999999000").cast("decimal(38,2)") + (at / 100).cast("decimal(38,2)"),
+        "double": F.lit(1.7e9) + at / 1e6,
+        "text": F.concat(F.lit("p" * 400), F.lpad(at.cast("string"), 6, "0")),
+        "binary": F.concat(F.lit("p" * 40), F.lpad(at.cast("string"), 6, "0")).cast("binary"),
+        "negative": -F.lit("10000000000000000000").cast("decimal(20,0)") - at,
+    }[kind]
+    df = spark.range(200).select(F.lit("k").alias("k"), "id", place.alias("place"), (F.col("id") * 37 % 101).cast("double").alias("v"))
+    df = df.unionByName(df.limit(3).withColumn("k", F.lit(None).cast("string"))).repartition(3)
+
+    def figures(**split):
+        lagged = lookback_window(df, ["k"], ["place"], 7, lambda w: {"lagged": F.lag("v", 7).over(w)}, **split)
+        total = running_total(df, ["k"], ["place"], "v", "total", **split)
+        mean = rolling_average(df, 12, ["v"], ["k"], ["place"], **split)
+        return [rows(f.drop("place")) for f in (lagged, total, mean)]
+
+    assert figures(split_rows=20) == figures()
+
+
+def test_heavy_keys_are_cut_once(spark):
+    """One broadcast of the fences, whatever the number of slices; the source is not read per round."""
+    df = history(spark, seed=3, n=600).where("t IS NOT NULL")
+    cut = slice_heavy_keys(df, ["k"], ["t", "id"], split_rows=3)
+    plan = plan_text(cut)
+    assert plan.count("BroadcastHashJoin") == 1 and "Exchange hashpartitioning" not in plan
+
+
+def test_sampled_fences(spark):
+    """A sample of the rows cuts about as evenly, and the figures stay the same."""
+    df = spark.range(60_000).select(F.lit("k").alias("k"), F.xxhash64("id").alias("t"), "id", F.col("id").cast("double").alias("v"))
+    cut = slice_heavy_keys(df, ["k"], ["t"], split_rows=2000)
+    sizes = [r["count"] for r in cut.groupBy(SLICE).count().collect()]
+    assert 60 < len(sizes) < 240 and max(sizes) < 2500
+    assert rows(rolled(df, 3, split_rows=2000).agg(F.sum("n"), F.sum(F.hash("id", "lagged", "top").cast("long")))) == rows(
+        rolled(df, 3).agg(F.sum("n"), F.sum(F.hash("id", "lagged", "top").cast("long")))
+    )
