@@ -3,6 +3,7 @@
 from .history import at_dates, average_history, average_history_asof, rolling_average, truncate_before
 from .kpis import compute_kpis, with_debt_change, with_ebit, with_quotes, zero_ebit_symbols
 from .pages import host_list, html_rows, table_bodies
+from .propagation import propagate, reached_rows, recomputed_kpis, restated
 from .refresh import pending_kpis, refresh_kpis, refresh_table, store_kpis
 from .screening import (
     beta_order,
@@ -37,10 +38,14 @@ __all__ = [
     "html_rows",
     "on_exchanges",
     "pending_kpis",
+    "propagate",
+    "reached_rows",
     "recommendation_order",
+    "recomputed_kpis",
     "refresh_kpis",
     "refresh_table",
     "reorder_columns",
+    "restated",
     "rolling_average",
     "safe_metrics",
     "save_tickers",

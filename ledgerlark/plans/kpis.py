@@ -76,7 +76,7 @@ def _use_income(marked: DataFrame) -> DataFrame:
 
 def with_quotes(statements: DataFrame, quotes: DataFrame) -> DataFrame:
     """Both quote figures on every row of the symbol, NULL if there is no quote."""
-    return left_lookup(statements, _quote_figures(quotes), "symbol")
+    return left_lookup(statements, quote_figures(quotes), "symbol")
 
 
 def newest_quotes(quotes: DataFrame) -> DataFrame:
@@ -90,7 +90,8 @@ def newest_quotes(quotes: DataFrame) -> DataFrame:
     return known.where(F.col("symbol").isNotNull()).groupBy("symbol").agg(newest).select("symbol", "_quote.*")
 
 
-def _quote_figures(quotes: DataFrame) -> DataFrame:
+def quote_figures(quotes: DataFrame) -> DataFrame:
+    """The newest quote per symbol under the names of the KPI columns."""
     return newest_quotes(quotes).select("symbol", *[F.col(field).alias(name) for name, field in QUOTE_COLUMNS.items()])
 
 
@@ -131,7 +132,7 @@ def compute_kpis(
         rows = plain_window(rows, ["symbol"], DEBT_ORDER, _debt_change)
     else:
         rows = chunked_window(rows, ["symbol"], DEBT_ORDER, 1, _debt_change, split_rows)
-    facts = _quote_figures(quotes)
+    facts = quote_figures(quotes)
     if ebit_fallback == "missing":
         rows = _fill_missing_ebit(rows)
     elif cut is None:
@@ -146,7 +147,13 @@ def compute_kpis(
         rows = left_lookup(rows, facts, "symbol")
     else:  # the rows without a symbol have a flag, though no quote
         rows = null_safe_join(rows, facts, ["symbol"], "left")
-    if "_use_income" in facts.columns:
+    return kpi_columns(rows)
+
+
+def kpi_columns(rows: DataFrame) -> DataFrame:
+    """The 184 columns from statement rows with the quote columns, ``_debt_change`` and, if
+    the EBIT rule is still open, its flag ``_use_income``."""
+    if "_use_income" in rows.columns:
         rows = _use_income(rows)
     derived = derived_columns(F.col("ebit"), F.col("_debt_change"))
     return rows.select(

@@ -72,6 +72,19 @@ quotes AS (
 )
 """
 
+_REACHED_PANEL = """
+placed AS (
+    SELECT *, year(as_of_date) > 1997 AS late, CAST(substr(symbol, 2) AS INTEGER) AS number FROM panel
+),
+merged AS (
+    SELECT * EXCLUDE (total_debt, ebit), total_debt AS old_debt, ebit AS old_ebit,
+        CASE WHEN again AND number % 2 = 0 THEN total_debt + 1000 ELSE total_debt END AS total_debt,
+        CASE WHEN again AND number % 3 = 0 THEN CASE WHEN ebit = 0 THEN 7 ELSE 0 END ELSE ebit END AS ebit,
+        late OR (again AND (number % 2 = 0 OR number % 3 = 0)) AS changed
+    FROM (SELECT *, NOT late AND number % 11 = year(as_of_date) % 11 AS again FROM placed) AS marked
+)
+"""
+
 _METRICS = f"""
 {_PANEL},
 latest AS (
@@ -457,6 +470,25 @@ WITH {_PANEL}, {_QUOTES}
 SELECT panel.symbol, as_of_date, total_debt / NULLIF(total_assets, 0) AS debt_ratio,
        shares * price AS market_value
 FROM panel LEFT JOIN quotes ON quotes.symbol = panel.symbol
+""",
+    "refresh_restated": f"""
+WITH {_PANEL_WITH_LINES}, {_QUOTES}, {_REACHED_PANEL}
+SELECT m.symbol, as_of_date, total_debt - lag(total_debt) OVER w + interest_expense AS debt_service,
+       CASE WHEN max(CASE WHEN ebit = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY m.symbol) = 1 THEN operating_income ELSE ebit END
+           / NULLIF(total_assets - current_liabilities, 0) AS return_on_capital_employed,
+       total_debt / NULLIF(total_assets, 0) AS debt_ratio, shares * price AS market_value
+FROM merged AS m LEFT JOIN quotes ON quotes.symbol = m.symbol
+WINDOW w AS (PARTITION BY m.symbol ORDER BY as_of_date)
+""",
+    "refresh_reach": f"""
+WITH {_PANEL_WITH_LINES}, {_REACHED_PANEL}
+SELECT symbol, as_of_date, reason, round(debt_change, 6) AS debt_change FROM (
+    SELECT symbol, as_of_date, total_debt - lag(total_debt) OVER w AS debt_change,
+        CASE WHEN changed THEN 'changed' WHEN lag(changed) OVER w THEN 'after a change'
+             WHEN coalesce(max(ebit = 0) OVER s, false)
+                <> coalesce(max(CASE WHEN year(as_of_date) <= 1997 THEN old_ebit = 0 END) OVER s, false) THEN 'EBIT rule' END AS reason
+    FROM merged WINDOW w AS (PARTITION BY symbol ORDER BY as_of_date), s AS (PARTITION BY symbol)
+) AS reached WHERE reason IS NOT NULL
 """,
     "merge_columns": """
 SELECT c_custkey, c_name, c_nationkey AS n_nationkey, c_acctbal, c_mktsegment, n_name, n_regionkey

@@ -383,6 +383,38 @@ def refresh_kpis(spark, sf_dir):
     return table.select("symbol", "as_of_date", "debt_ratio", "market_value")
 
 
+def _restated_panel(spark, sf_dir):
+    """The panel up to 1997 as old rows; later ones as new, and some old ones restated: other
+    debt, an EBIT that becomes 0 or stops being it, and rows that say the same again."""
+    panel = given.statements(spark, sf_dir, with_lines=True)
+    year, number = F.year("as_of_date"), F.substring("symbol", 2, 20).cast("int")
+    old = panel.where(year <= 1997)
+    again = (year > 1997) | (number % 11 == F.pmod(year, F.lit(11)))
+    debt = F.when((year <= 1997) & (number % 2 == 0), F.col("total_debt") + 1000).otherwise(F.col("total_debt"))
+    ebit = F.when((year <= 1997) & (number % 3 == 0), F.when(F.col("ebit") == 0, F.lit(7.0)).otherwise(F.lit(0.0))).otherwise(F.col("ebit"))
+    return old, panel.where(again).withColumns({"total_debt": debt, "ebit": ebit})
+
+
+RESTATED_KPIS = ("debt_service", "return_on_capital_employed", "debt_ratio", "market_value")
+
+
+@register
+def refresh_restated(spark, sf_dir):
+    """The stored KPI table after restated statements, of which only the reached rows are computed."""
+    quotes = given.quotes(spark, sf_dir)
+    old, landed = _restated_panel(spark, sf_dir)
+    table = plans.propagate(old, landed, quotes, plans.compute_kpis(old, quotes))
+    return table.select("symbol", "as_of_date", *RESTATED_KPIS)
+
+
+@register
+def refresh_reach(spark, sf_dir):
+    """Which rows the restated statements reach, and why."""
+    old, landed = _restated_panel(spark, sf_dir)
+    reached = plans.reached_rows(old, plans.restated(old, landed))
+    return reached.select("symbol", "as_of_date", "reason", F.round("_debt_change", 6).alias("debt_change"))
+
+
 @register
 def merge_columns(spark, sf_dir):
     left = given.table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "n_nationkey")
