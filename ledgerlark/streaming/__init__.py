@@ -1,5 +1,6 @@
 """Structured Streaming form of the incremental refresh."""
 
+from .keyed_kpis import keyed_refresh, use_keyed_state
 from .refresh_stream import read_statement_stream, refresh_stream
 
-__all__ = ["read_statement_stream", "refresh_stream"]
+__all__ = ["keyed_refresh", "read_statement_stream", "refresh_stream", "use_keyed_state"]
