@@ -2,6 +2,7 @@
 
 from .asof import asof_join
 from .columns import (
+    bad_cells,
     column_difference,
     concat_tables,
     conform,
@@ -18,6 +19,7 @@ from .ranking import ranked, top_n
 
 __all__ = [
     "asof_join",
+    "bad_cells",
     "column_difference",
     "concat_tables",
     "conform",

@@ -19,15 +19,30 @@ def rename_snake(df: DataFrame) -> DataFrame:
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Declared columns in declared order: missing ones NULL, unknown ones dropped."""
-    present = set(df.columns)
-    return df.selectExpr(
-        *[
-            f"CAST({quoted(f.name) if f.name in present else 'NULL'} AS {f.dataType.simpleString()})"
-            f" AS {quoted(f.name)}"
-            for f in schema.fields
-        ]
-    )
+    """Declared columns in declared order: missing ones NULL, unknown ones dropped.
+
+    A cell that cannot be cast becomes NULL; ``bad_cells`` counts such cells.
+    """
+    return df.selectExpr(*[f"{_declared(df, f)} AS {quoted(f.name)}" for f in schema.fields])
+
+
+def _declared(df: DataFrame, field: T.StructField) -> str:
+    if field.name not in df.columns:
+        return f"CAST(NULL AS {field.dataType.simpleString()})"
+    if df.schema[field.name].dataType == field.dataType:
+        return quoted(field.name)
+    return f"TRY_CAST({quoted(field.name)} AS {field.dataType.simpleString()})"
+
+
+def bad_cells(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """``(column, n)`` of the declared columns with cells that ``conform`` cannot cast: one
+    aggregate over the columns whose type differs."""
+    cast = [f for f in schema.fields if f.name in df.columns and df.schema[f.name].dataType != f.dataType]
+    if not cast:
+        return df.sparkSession.createDataFrame([], "column string, n long")
+    counts = [f"count_if({quoted(f.name)} IS NOT NULL AND {_declared(df, f)} IS NULL) AS {quoted(f.name)}" for f in cast]
+    names = ", ".join(f"'{f.name}', {quoted(f.name)}" for f in cast)
+    return df.selectExpr(*counts).selectExpr(f"stack({len(cast)}, {names}) AS (column, n)").where("n > 0")
 
 
 def drop_columns(df: DataFrame, names: Iterable[str], strict: bool = False) -> DataFrame:

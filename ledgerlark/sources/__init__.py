@@ -17,6 +17,7 @@ from .readers import (
     split_rejects,
     ticker_table,
 )
+from .versioned import buckets_for, current_table, expire_versions, read_version, upsert_version
 from .writers import (
     append_history,
     append_table,
@@ -30,6 +31,9 @@ from .writers import (
 __all__ = [
     "append_history",
     "append_table",
+    "buckets_for",
+    "current_table",
+    "expire_versions",
     "landed_statements",
     "lookup",
     "parse_quotes",
@@ -43,9 +47,11 @@ __all__ = [
     "read_statements",
     "read_table",
     "read_tickers",
+    "read_version",
     "split_rejects",
     "ticker_table",
     "upsert_table",
+    "upsert_version",
     "write_bucketed",
     "write_filtered_metrics",
     "write_snapshot",

@@ -25,9 +25,9 @@ from ..functions.numbers import nan_to_null
 from ..operators.columns import conform, rename_snake
 from ..operators.joins import left_lookup
 from ..plans.kpis import kpi_columns, quote_figures
-from ..plans.refresh import store_kpis
-from ..schema import STATEMENT_SCHEMA
+from ..schema import KEY_COLUMNS, STATEMENT_SCHEMA
 from ..sources.readers import ANNUAL
+from ..sources.versioned import upsert_version
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # Microseconds are kept in the text of a statement.
@@ -97,22 +97,23 @@ def keyed_refresh(
     table_path: str,
     checkpoint_path: str,
     period_type: str | None = ANNUAL,
+    buckets: int | None = None,
     **trigger,
 ) -> StreamingQuery:
-    """Keep the KPI table at ``table_path`` up to date with the statement files of
-    ``landed``, from keyed state alone.
+    """Keep the versioned KPI table at ``table_path`` up to date with the statement files of
+    ``landed``, from keyed state alone; ``sources.current_table`` reads it.
 
     The session's state store must be able to hold maps; ``use_keyed_state`` sets that. A batch
-    that runs again leaves the same table. ``quotes`` is called per batch. By default all that
+    is visible in one step, and one that runs again is skipped. ``quotes`` is called per batch. By default all that
     has landed is processed and the query stops; ``trigger`` takes the arguments of
     ``writeStream.trigger``.
     """
 
-    def refresh(reached: DataFrame, _batch_id: int) -> None:
+    def refresh(reached: DataFrame, batch_id: int) -> None:
         row = F.from_json("statement", STATEMENT_SCHEMA, _AS_TEXT)
         rows = reached.select(row.alias("_row"), F.col("debt_change").alias("_debt_change"), F.col("use_income").alias("_use_income"))
         rows = left_lookup(rows.select("_row.*", "_debt_change", "_use_income"), quote_figures(quotes()), "symbol")
-        store_kpis(kpi_columns(rows), table_path)
+        upsert_version(kpi_columns(rows), table_path, KEY_COLUMNS, ["symbol"], buckets, f"{checkpoint_path}#{batch_id}")
 
     reached = _keyed(landed, period_type).groupBy("symbol").transformWithStateInPandas(Statements(), _OUT, "update", "none")
     return (

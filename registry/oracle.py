@@ -448,6 +448,16 @@ WHERE NOT EXISTS (
 )
 UNION ALL
 SELECT * FROM newer
+""",
+    "refresh_versioned": f"""
+WITH {_RESTATED}
+SELECT * FROM older AS o
+WHERE NOT EXISTS (
+    SELECT 1 FROM newer AS n
+    WHERE n.symbol = o.symbol AND n.as_of_date = o.as_of_date AND n.period_type = o.period_type
+)
+UNION ALL
+SELECT * FROM newer
 """,
     "refresh_upsert_nulls": f"""
 WITH {_RESTATED},
@@ -489,6 +499,15 @@ SELECT symbol, as_of_date, reason, round(debt_change, 6) AS debt_change FROM (
                 <> coalesce(max(CASE WHEN year(as_of_date) <= 1997 THEN old_ebit = 0 END) OVER s, false) THEN 'EBIT rule' END AS reason
     FROM merged WINDOW w AS (PARTITION BY symbol ORDER BY as_of_date), s AS (PARTITION BY symbol)
 ) AS reached WHERE reason IS NOT NULL
+""",
+    "conform_bad_cells": """
+SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS total_debt,
+       CAST(NULL AS DOUBLE) AS ebit, CAST(NULL AS DOUBLE) AS net_income
+FROM orders
+""",
+    "conform_bad_counts": """
+SELECT 'total_debt' AS "column", count(*) AS n FROM orders WHERE o_orderkey % 7 = 0
+UNION ALL SELECT 'ebit', count(o_orderstatus) FROM orders
 """,
     "merge_columns": """
 SELECT c_custkey, c_name, c_nationkey AS n_nationkey, c_acctbal, c_mktsegment, n_name, n_regionkey

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlark import plans
 from ledgerlark.functions import camel_to_snake, derived_names, iso_timestamp, stamp_text
 from ledgerlark.operators import (
     asof_join,
+    bad_cells,
     concat_tables,
+    conform,
     drop_all_null_columns,
     drop_columns,
     merge_new_columns,
@@ -26,7 +30,8 @@ from ledgerlark.operators import (
 from ledgerlark.operators.ordered import has_heavy_keys, null_safe_join
 from ledgerlark.plans import extensions
 from ledgerlark.schema import KEY_COLUMNS
-from ledgerlark.sources import lookup, parse_quotes
+from ledgerlark.session import ensure_checkpoint_dir
+from ledgerlark.sources import current_table, lookup, parse_quotes, upsert_version
 from ledgerlark.sources.writers import touched_partitions
 
 from . import standins as given
@@ -360,6 +365,35 @@ def refresh_upsert(spark, sf_dir):
     return upsert(*_slices_of_panel(spark, sf_dir), KEY_COLUMNS)
 
 
+@register
+def refresh_versioned(spark, sf_dir):
+    """The same upsert in a stored table whose versions become visible in one step."""
+    old, new = _slices_of_panel(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark)}/versioned-{uuid.uuid4().hex}"
+    upsert_version(old, path, KEY_COLUMNS, ["symbol"], buckets=8)
+    upsert_version(new, path, KEY_COLUMNS, ["symbol"], batch="second")
+    upsert_version(new.limit(0), path, KEY_COLUMNS, ["symbol"], batch="second")  # a batch that runs again
+    return current_table(spark, path)
+
+
+@register
+def conform_bad_cells(spark, sf_dir):
+    """Cells that are no numbers become NULL and stop nothing."""
+    price = F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("n/a "), "o_orderstatus")).otherwise(F.col("o_totalprice").cast("string"))
+    raw = given.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("order_id"), price.alias("total_debt"), F.col("o_orderstatus").alias("ebit"), F.lit(1).alias("unknown")
+    )
+    fields = T.StructType([T.StructField("order_id", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("total_debt", "ebit", "net_income")]])
+    return conform(raw, fields)
+
+
+@register
+def conform_bad_counts(spark, sf_dir):
+    price = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice").cast("string")).otherwise(F.lit("-"))
+    raw = given.table(spark, sf_dir, "orders").select(price.alias("total_debt"), F.col("o_orderstatus").alias("ebit"))
+    return bad_cells(raw, T.StructType([T.StructField(c, T.DoubleType()) for c in ("total_debt", "ebit", "net_income")]))
+
+
 @register
 def refresh_upsert_nulls(spark, sf_dir):
     """Rows with NULL dates and NULL partitions: what the touched ones keep, what is new, and the others."""

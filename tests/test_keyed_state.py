@@ -10,7 +10,7 @@ import pytest
 
 from ledgerlark.operators import latest_rows
 from ledgerlark.plans import compute_kpis
-from ledgerlark.sources import parse_statements
+from ledgerlark.sources import current_table, parse_statements
 from ledgerlark.streaming import keyed_refresh, read_statement_stream, use_keyed_state
 
 from .conftest import rows
@@ -70,4 +70,4 @@ def test_files_in_any_order_equal_the_batch(keyed, tmp_path, order):
     newest = keyed.read.parquet(str(landing)).selectExpr("*", "_metadata.file_modification_time AS _at")
     newest = latest_rows(newest, ["symbol", "asOfDate", "periodType"], ["_at"]).drop("_at")
     batch = compute_kpis(parse_statements(newest), quotes)
-    assert rows(keyed.read.parquet(str(tmp_path / "table")), *PICKED) == rows(batch, *PICKED)
+    assert rows(current_table(keyed, str(tmp_path / "table")), *PICKED) == rows(batch, *PICKED)
