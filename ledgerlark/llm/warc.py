@@ -4,6 +4,7 @@ Writing: each page is a response whose block is an HTTP message with a chunked b
 block over ``SEGMENT_BYTES`` is cut into a first record and continuation records that
 name their origin, their number and, in the last, the total length. Of pages with equal
 payloads only the first keeps it; the others become revisit records that refer to it.
+The id of a response follows from page and digest, so a revisit can name it.
 Files are gzipped WARC/1.1 streams that Spark's text writer makes in the shared folder,
 with blank lines as its separator, so any store that Spark can write to will do.
 
@@ -13,7 +14,8 @@ are shuffled, and the largest group is one page.
 
 Defined cases: a null payload is empty; a null url leaves its header out; a null id comes
 after all others when the first of equal payloads is chosen, and is read back as null;
-repeated rows of the first page are responses both. ``read_pages`` raises if a segment is
+repeated rows of the first page are responses both, equal in all
+records and their ids, and are read back as often as they were written. ``read_pages`` raises if a segment is
 missing or a length or digest differs.
 """
 
@@ -35,6 +37,7 @@ SEGMENT_BYTES = 16_384
 CHUNK_CHARS = 4_096
 RECORDS_PER_FILE = 4_000
 DATE = "2024-01-01T00:00:00Z"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RESPONSE, REVISIT, CONTINUATION = "response", "revisit", "continuation"
 _END = "\r\n\r\n"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -86,10 +89,12 @@ def records(page_id: str, url: str | None, text: str, first: str | None, serial:
     if url is not None:
         url = url.encode().decode("ascii", "surrogateescape") if url.isascii() else url
         url = "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url)
-    own = f"<urn:page:{page_id}:{serial}>"
-    common = [("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{payload_digest(payload)}")]
+    digest = payload_digest(payload)
+    own = f"<urn:page:{page_id}:{digest}>"
+    common = [("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if first is not None:
-        fields = [("WARC-Record-ID", own), *common, ("WARC-Refers-To", f"<urn:page:{first}>"), ("WARC-Payload-Length", len(payload))]
+        refers = [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{first}:{digest}>")]
+        fields = [("WARC-Record-ID", f"<urn:page:{page_id}:{digest}:{serial}>"), *common, *refers, ("WARC-Payload-Length", len(payload))]
         return [_record(REVISIT, fields, "")]
     parts = segments(_HTTP + chunked(text), size)
     fields = [("WARC-Record-ID", own), *common, ("Content-Type", "application/http;msgtype=response")]
@@ -99,7 +104,7 @@ def records(page_id: str, url: str | None, text: str, first: str | None, serial:
     total = sum(len(p.encode()) for p in parts)
     for n, part in enumerate(parts[1:], 2):
         last = ("WARC-Segment-Total-Length", total if n == len(parts) else None)
-        fields = [("WARC-Record-ID", f"<urn:page:{page_id}:{serial}:{n}>"), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", n), last]
+        fields = [("WARC-Record-ID", f"<urn:page:{page_id}:{digest}:{n}>"), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", n), last]
         out.append(_record(CONTINUATION, fields, part))
     return out
 
@@ -185,15 +190,18 @@ def read_pages(spark: SparkSession, path: str, key_type: str = "bigint") -> Data
         "page", "type", "digest", "refers_to", "length", F.lit(None).cast("long").alias("total"), F.array("block").alias("blocks"), F.lit(True).alias("complete")
     )
     part = F.struct("number", "block")
+    # Repeated rows have equal segments, of which one of each is kept.
     grouped = read_records(spark, path, True).groupBy("origin").agg(
-        F.max("page").alias("page"), F.max("digest").alias("digest"), F.max("total").alias("total"), F.array_sort(F.collect_list(part)).alias("s")
-    )
+        F.max("page").alias("page"), F.max("digest").alias("digest"), F.max("total").alias("total"), F.array_sort(F.collect_set(part)).alias("s"),
+        F.count_if(F.col("number") == 1).alias("copies"),
+    )
     numbers = F.transform("s", lambda s: s["number"])
     joined = grouped.select(
         "page", F.lit(RESPONSE).alias("type"), "digest", F.lit(None).cast("string").alias("refers_to"), F.lit(None).cast("long").alias("length"),
         "total", F.transform("s", lambda s: s["block"]).alias("blocks"),
         (F.col("total").isNotNull() & (numbers == F.sequence(F.lit(1), F.size("s")))).alias("complete"),
-    )
+        F.explode(F.sequence(F.lit(1), F.greatest(F.col("copies"), F.lit(1)).cast("int"))).alias("_copy"),
+    ).drop("_copy")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
