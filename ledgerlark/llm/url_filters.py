@@ -9,7 +9,7 @@ longest rule that fits wins by a map-side combined maximum per page, so neither
 host nor a common token gathers rows in one task.
 
 Defined cases: a url that is null or has no ``://`` has an empty host and path, fits no
-rule and is allowed; rules without a literal token run on every url; repeated rows are
+rule and is allowed; hosts of rules count in lower case, their paths as they are; rules without a literal token run on every url; repeated rows are
 judged alike, each as a row of its own.
 """
 
@@ -19,7 +19,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import free_name, lower_ascii, small, stored
@@ -39,12 +39,18 @@ class Rule:
     priority: int
 
 
+def _lower(text: str) -> str:
+    """A-Z in lower case, as in the tokens of urls."""
+    return re.sub("[A-Z]+", lambda found: found[0].lower(), text)
+
+
 def host_rule(verdict: str, name: str) -> Rule:
     """Rule ``host/path``: fits the host, its subdomains, and paths starting alike."""
     host, slash, path = name.partition("/")
+    host = _lower(host)
     pattern = rf"(?s)(?:[^/]*\.)?{re.escape(host)}{re.escape(slash + path)}.*"
     # The last token of the path may go on in a url, so it counts only before a delimiter.
-    literal = f"{host}/" + (path if path.endswith("/") else path.rpartition("/")[0])
+    literal = _lower(f"{host}/" + (path if path.endswith("/") else path.rpartition("/")[0]))
     return Rule(name, verdict, pattern, tuple(t for t in re.split(_TOKEN_GAP, literal) if t), 1_000_000 + len(name))
 
 
@@ -79,6 +85,18 @@ def _tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(lower_ascii(F.concat_ws("/", host, path)), _TOKEN_GAP), ""))
 
 
+RULES = "rule_id long, name string, verdict string, pattern string, tokens array<string>, priority int"
+
+
+def rule_table(spark: SparkSession, rules: Sequence[Rule] | DataFrame) -> DataFrame:
+    """Rules with a number each. A table of rules has the fields of ``Rule`` as columns, and
+    its tokens in lower case; it never goes through the driver."""
+    if isinstance(rules, DataFrame):
+        tokens = F.transform("tokens", lower_ascii).alias("tokens")
+        return stored(rules.select(F.monotonically_increasing_id().alias("rule_id"), "name", "verdict", "pattern", tokens, "priority"), "rule-table")
+    return spark.createDataFrame([(i, r.name, r.verdict, r.pattern, list(r.tokens), r.priority) for i, r in enumerate(rules)], RULES)
+
+
 def rule_index(tokens: DataFrame, rules: DataFrame) -> DataFrame:
     """``rules`` with the ``token`` each is filed under: its rarest among ``tokens``.
 
@@ -93,7 +111,7 @@ def rule_index(tokens: DataFrame, rules: DataFrame) -> DataFrame:
     return rules.join(rarest, "rule_id", "left").select("rule_id", "name", "verdict", "pattern", "priority", F.col("_key.token").alias("token"))
 
 
-def judged(pages: DataFrame, key: str = "page_id", url: str = "url", rules: Sequence[Rule] = HOST_RULES + WORD_RULES) -> DataFrame:
+def judged(pages: DataFrame, key: str = "page_id", url: str = "url", rules: Sequence[Rule] | DataFrame = HOST_RULES + WORD_RULES) -> DataFrame:
     """All rows and columns of ``pages`` and a struct ``(host, path, rule, verdict,
     matched)``, named ``filter`` with underscores in front if that is taken.
 
@@ -101,10 +119,7 @@ def judged(pages: DataFrame, key: str = "page_id", url: str = "url", rules: Sequ
     method decides only where no given one fits.
     """
     spark, out = pages.sparkSession, free_name(pages.columns, "filter")
-    rows = [(i, r.name, r.verdict, r.pattern, list(r.tokens), r.priority) for i, r in enumerate(rules)]
-    table = spark.createDataFrame(
-        rows, "rule_id int, name string, verdict string, pattern string, tokens array<string>, priority int"
-    )
+    table = rule_table(spark, rules)
     urls = pages.select(F.col(f"`{url}`").alias("_url")).where(F.col("_url").isNotNull()).distinct()
     urls = urls.select("_url", host_of(F.col("_url")).alias("_host"), path_of(F.col("_url")).alias("_path"))
     tokens = urls.select(F.explode(_tokens(F.col("_host"), F.col("_path"))).alias("token"))
