@@ -23,7 +23,7 @@ grouped per document and item, so a passage that many documents share stays spre
 Defined cases: null and blank texts have no windows; an item shorter than a window is one
 window of its length; an item without words matches nothing; equal items are both
 reported. Documents are known by id and text together, so rows with a null or repeated id
-are judged each by its own text.
+are judged each by its own text. Other columns stay, whatever their names are.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import free_name, small, stored
 from .hashing import windows, word_hash
 
 WINDOW = 10
@@ -379,7 +379,8 @@ def leaks(
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Rows of ``docs`` that contain no benchmark item."""
-    found = leaks(docs, benchmark, key, text, **options).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    names = [free_name(docs.columns, n) for n in ("leak_id", "leak_hash")]
+    found = leaks(docs, benchmark, key, text, **options).select(F.col("doc_id").alias(names[0]), F.col("text_hash").alias(names[1])).distinct()
     dirty = small(stored(found, "leaks"))
-    same = F.col(f"`{key}`").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("_hash"))
+    same = F.col(f"`{key}`").cast("long").eqNullSafe(F.col(names[0])) & (F.xxhash64(F.col(f"`{text}`")) == F.col(names[1]))
     return docs.join(dirty, same, "left_anti")
