@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import iso_timestamp
 from ..operators.asof import asof_join
-from ..operators.ordered import SPLIT_ROWS, chunked_window, plain_window, slice_heavy_keys
+from ..operators.ordered import SPLIT_ROWS, chunked_window, has_heavy_keys, plain_window, row_bound, slice_heavy_keys
 
 # Default window length in rows and first day of the history.
 PERIOD = 120
@@ -97,6 +97,15 @@ def at_dates(history: DataFrame, dates: DataFrame, keys: Sequence[str] = ("symbo
     return history.join(dates.select(*keys).distinct(), list(keys), "left_semi")
 
 
+def _stacked_rolled(recent: DataFrame, asked: DataFrame, values: Sequence[str], period: int) -> DataFrame:
+    """History rows with rolling means, and among them the rows of ``asked``, marked by
+    ``_asked``. All windows on symbol that follow use the one exchange made here."""
+    known = recent.where(F.col("symbol").isNotNull()).withColumn("_asked", F.lit(False))
+    stacked = known.unionByName(asked.withColumn("_asked", F.lit(True)), allowMissingColumns=True).repartition("symbol")
+    order = ["date", *[v for v in values if v != "date"]]
+    return plain_window(stacked, ["symbol", "_asked"], order, lambda w: _window_means(w, values, period))
+
+
 def average_history(
     history: DataFrame,
     kpi_dates: DataFrame,
@@ -107,12 +116,19 @@ def average_history(
 ) -> DataFrame:
     """Rolling average of the truncated history at the KPI dates, all symbols at once.
 
-    ``kpi_dates`` has ``symbol`` and ``date``. Symbols without a KPI date are
-    dropped before the window.
+    ``kpi_dates`` has ``symbol`` and ``date``. The dates are stacked with the history before
+    its only exchange. If a symbol is heavy, the rolled history is cut and joined instead.
     """
     recent = truncate_before(history, start)
-    rolled = rolling_average(recent, period, values, split_rows=split_rows, symbols=kpi_dates)
-    return at_dates(rolled, kpi_dates)
+    values = list(values) if values is not None else _prices(recent, ["symbol", "date"])
+    if has_heavy_keys(recent.select("symbol").unionByName(kpi_dates.select("symbol")), ["symbol"], row_bound(recent, split_rows)):
+        rolled = rolling_average(recent, period, values, split_rows=split_rows, symbols=kpi_dates)
+        return at_dates(rolled, kpi_dates)
+    asked = kpi_dates.select("symbol", F.col("date").cast(recent.schema["date"].dataType)).where("symbol IS NOT NULL AND date IS NOT NULL")
+    rolled = _stacked_rolled(recent, asked, values, period)
+    met = F.max("_asked").over(Window.partitionBy("symbol", "date"))
+    found = rolled.withColumn("_met", met).where(F.col("_met") & ~F.col("_asked"))
+    return found.select(*[F.col(_ROLLED + c).alias(c) if c in values else F.col(c) for c in history.columns])
 
 
 def average_history_asof(
@@ -123,8 +139,20 @@ def average_history_asof(
     values: Sequence[str] | None = None,
     split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
-    """As ``average_history``, but each KPI date takes the last trading day at or before it."""
+    """As ``average_history``, but each KPI date takes the last trading day at or before it;
+    of several rows of that day the greatest means count."""
     values = list(values) if values is not None else _prices(history, ["symbol", "date"])
     recent = truncate_before(history, start)
-    rolled = rolling_average(recent, period, values, split_rows=split_rows, symbols=kpi_dates)
-    return asof_join(kpi_dates, rolled, ["symbol"], "date", "date", values, split_rows)
+    if has_heavy_keys(recent.select("symbol").unionByName(kpi_dates.select("symbol")), ["symbol"], row_bound(recent, split_rows)):
+        rolled = rolling_average(recent, period, values, split_rows=split_rows, symbols=kpi_dates)
+        return asof_join(kpi_dates, rolled, ["symbol"], "date", "date", values, split_rows)
+    taken = [c for c in values if c in kpi_dates.columns]
+    if taken:
+        raise ValueError(f"columns on both sides: {taken}")
+    row = F.struct(*[F.col(f"`{c}`") for c in kpi_dates.columns]).alias("_row")
+    asked = kpi_dates.select("symbol", F.col("date").cast(recent.schema["date"].dataType), row)
+    rolled = _stacked_rolled(recent.select("symbol", "date", *values), asked, values, period)
+    means = F.when(~F.col("_asked"), F.struct(*[F.col(_ROLLED + v).alias(v) for v in values]))
+    so_far = Window.partitionBy("symbol").orderBy("date", "_asked", "_means").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = rolled.withColumn("_means", means).withColumn("_last", F.last("_means", ignorenulls=True).over(so_far))
+    return carried.where("_asked").select("_row.*", *[F.col("_last")[v].alias(v) for v in values])

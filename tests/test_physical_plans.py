@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlark import sources
-from ledgerlark.plans import biggest_n, compute_kpis, rolling_average, safe_metrics
+from ledgerlark.plans import average_history, average_history_asof, biggest_n, compute_kpis, rolling_average, safe_metrics
 
-from .conftest import plan_text
+from .conftest import plan_text, rows
 from .test_kpis import make_panel, make_quotes
 
 def test_both_windows_share_one_exchange(spark, tmp_path):
@@ -72,3 +73,20 @@ def test_top_n_takes_ordered(spark):
     schema = "exchange string, symbol string, marketCap string, sector string"
     df = spark.createDataFrame([("nyse", "A", "$1B", "Energy")], schema)
     assert "TakeOrderedAndProject" in plan_text(biggest_n(df, 1, strict=False))
+
+
+@pytest.mark.parametrize("form", [average_history, average_history_asof])
+def test_dates_and_rolling_means_share_one_exchange(spark, form):
+    day = F.timestamp_add("DAY", "id", F.lit("2024-01-01").cast("timestamp_ntz"))
+    history = spark.range(400).select(F.concat(F.lit("S"), F.col("id") % 5).alias("symbol"), day.alias("date"), F.col("id").cast("double").alias("close"))
+    dates = history.where("id % 7 = 0").select("symbol", "date")
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        out = form(history, dates, period=4)
+        assert len(re.findall("Exchange hashpartitioning", plan_text(out))) == 1
+        split = form(history, dates, period=4, split_rows=20)
+        assert rows(out, "symbol", "date", "close") == rows(split, "symbol", "date", "close")
+    finally:
+        spark.conf.set(threshold, before)
