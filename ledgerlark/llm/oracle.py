@@ -156,7 +156,7 @@ WITH listed(lang, word) AS (VALUES {_LISTED}), lists AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
-        AND NOT (n_chars >= 200 AND COALESCE(cd, 0) > 0.30) AND NOT (n_words >= 150 AND COALESCE(wd, 0) > 0.27) AS kept
+        AND NOT (n_chars >= 200 AND COALESCE(cd, 0) > 0.30) AND NOT (n_words >= 50 AND COALESCE(wd, 0) > 0.14 + 1.35 / sqrt(greatest(n_words, 1))) AS kept
 FROM figures
 """
 

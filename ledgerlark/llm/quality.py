@@ -8,7 +8,7 @@ texts are never shuffled and one source or language may hold any share of the ro
 Defined cases: a null or blank text has no words and all counts 0, so it fails the base
 rule. A document whose language is null or has no word list is compared with the
 reference of all such documents (``*``). Distances of texts under the minimum lengths are
-null and never reject. Repeated rows are judged alike; other columns pass through.
+null and never reject; the bound of word histograms rises as words get fewer. Repeated rows are judged alike; other columns pass through.
 """
 
 from __future__ import annotations
@@ -31,9 +31,12 @@ POOLED = "*"
 # Character classes in the order they are taken out of a text; the rest is the last class.
 CHAR_CLASSES = ("[a-z]+", "[\\x20\\x09-\\x0D]+", "[^\\x00-\\x7F]+", "[A-Z]+", "[0-9]+", "[#*$%&|<>]+", "[.,;:!?'\"()-]+")
 MIN_CHARS = 200
-MIN_WORDS = 150
+MIN_WORDS = 50
 MAX_CHAR_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.27
+# Bound of a word histogram: a fixed part, and the noise of few words, which falls with the
+# square root of their number.
+MAX_WORD_DISTANCE = 0.14
+WORD_NOISE = 1.35
 MIN_BASE_WORDS = 50
 
 
@@ -221,7 +224,8 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", carry: Seque
     })
     failed = (F.col("n_words") < MIN_BASE_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     over = lambda column, most: F.coalesce(F.col(column) > most, F.lit(False))
-    far = over("char_distance", MAX_CHAR_DISTANCE) | over("word_distance", MAX_WORD_DISTANCE)
+    most_words = F.lit(MAX_WORD_DISTANCE) + F.lit(WORD_NOISE) / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
+    far = over("char_distance", MAX_CHAR_DISTANCE) | over("word_distance", most_words)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance")
     return rows.select("_row.*", F.struct(*names, failed.alias("base_failed"), (~failed & ~far).alias("kept")).alias(out))
 

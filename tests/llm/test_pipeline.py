@@ -90,7 +90,7 @@ def judged(rows):
         if len(own) < 50 or 100 * repeated > 50 * len(own):
             continue
         far = len(text) >= quality.MIN_CHARS and histogram_distance(histograms[i][1], sums[key, 1]) > quality.MAX_CHAR_DISTANCE
-        far |= len(own) >= quality.MIN_WORDS and histogram_distance(histograms[i][2], sums[key, 2]) > quality.MAX_WORD_DISTANCE
+        far |= len(own) >= quality.MIN_WORDS and histogram_distance(histograms[i][2], sums[key, 2]) > quality.MAX_WORD_DISTANCE + quality.WORD_NOISE / len(own) ** 0.5
         if not far:
             kept.add(i)
     return kept
