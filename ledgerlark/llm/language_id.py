@@ -6,13 +6,14 @@ sample of each language is clustered by spherical k-means, and a text gets the l
 the centroid with the largest cosine. A text further from all centroids than the farthest
 few of the sample are from theirs is marked as rejected.
 
-The model is fitted on a documented sample: per language the ``SAMPLE`` rows with the
-smallest hashes of their ids, for the ``MAX_LANGUAGES`` most frequent languages. Prediction
-reads only the text, row by row, so no key can gather rows.
+The model is fitted on a documented sample: of every language the ``SAMPLE`` different rows
+with the smallest hashes of id and text. Each language is clustered in a group of its own;
+the driver gets document frequencies and centroids, ``CENTROIDS`` rows of ``DIMENSIONS``
+numbers per language. Prediction reads only the text, row by row, so no key can gather rows.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, and so is
 every text if nothing could be learned; ties go to the language first in code point order;
-rows with a null language or null id are never learned from.
+rows with a null language or null id are never learned from; repeated rows are sampled once.
 """
 
 from __future__ import annotations
@@ -26,11 +27,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small, stored
 
 DIMENSIONS = 4096
 SAMPLE = 200
-MAX_LANGUAGES = 64
+# Parts of a language that are numbered alone.
+PARTS = 256
 CENTROIDS = 3
 ROUNDS = 10
 REJECT_SHARE = 0.005
@@ -91,37 +93,69 @@ def _clusters(vectors: np.ndarray, k: int) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    """``(lang, text)``, at most ``SAMPLE`` rows of each of ``MAX_LANGUAGES`` languages."""
+    """``(lang, text)``, at most ``SAMPLE`` different rows of each language."""
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
     rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = rows.select("id", "lang").join(F.broadcast(most), "lang", "left_semi").withColumn("_n", F.row_number().over(order))
-    ids = stored(ids.where(F.col("_n") <= SAMPLE).select("id").distinct(), "sample")
-    # SAMPLE ids for each of MAX_LANGUAGES languages at most.
-    return rows.join(F.broadcast(ids), "id", "left_semi").select("lang", "text")
-
-
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
+    rows = rows.withColumn("th", F.xxhash64("text"))
+    names = rows.select("lang", "id", "th", F.xxhash64("id", "th").alias("place")).distinct()
+    # The first of each part of a language hold its first, and a part is all that one task gets.
+    for keys in (["lang", F.pmod("id_part", F.lit(PARTS))], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy("place", "id", "th")
+        names = names.withColumn("id_part", F.xxhash64("th", "id")).withColumn("_n", F.row_number().over(order))
+        names = names.where(F.col("_n") <= SAMPLE).select("lang", "id", "th", "place")
+    names = small(stored(names.select("lang", "id", "th"), "sample"))
+    return rows.join(names, ["lang", "id", "th"], "left_semi").dropDuplicates(["lang", "id", "th"]).select("lang", "text")
+
+
+def _vectors(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [(name, counts(body)) for name, body in zip(batch["lang"], batch["text"])]
             yield pd.DataFrame([(name, v.tobytes()) for name, v in found if v is not None], columns=["lang", "vector"])
 
-    sample = labelled_sample(docs, key, text, lang).mapInPandas(run, "lang string, vector binary")
-    rows = sorted((r[0], bytes(r[1])) for r in sample.limit(SAMPLE * MAX_LANGUAGES).collect())
-    if not rows:
+    return stored(sample.mapInPandas(run, "lang string, vector binary"), "sample-vectors")
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack([np.frombuffer(bytes(v), dtype=np.float32) for v in column])
+
+
+def _frequencies(vectors: DataFrame) -> np.ndarray:
+    """How many of the vectors have each bin, and, at the end, how many there are."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(DIMENSIONS + 1, dtype=np.int64)
+        for batch in batches:
+            for first in range(0, len(batch), 256):
+                raw = _matrix(batch["vector"].iloc[first : first + 256])
+                total += np.append((raw > 0).sum(axis=0), len(raw))
+        yield pd.DataFrame({"bin": np.flatnonzero(total), "n": total[total > 0]})
+
+    out = np.zeros(DIMENSIONS + 1, dtype=np.int64)
+    for at, n in vectors.mapInPandas(run, "bin long, n long").groupBy("bin").agg(F.sum("n")).collect():
+        out[at] = n
+    return out
+
+
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
+    vectors = _vectors(labelled_sample(docs, key, text, lang))
+    found = _frequencies(vectors)
+    if not found[-1]:
         return None
-    raw = np.stack([np.frombuffer(v, dtype=np.float32) for _, v in rows])
-    labels = np.array([name for name, _ in rows])
-    idf = (np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))) + 1).astype(np.float32)
-    blank = Model([], idf, raw[:0], np.empty(0, dtype=int), 0.0)
-    vectors = blank.vectors(raw)
-    languages = sorted(set(labels))
-    centres = [_clusters(vectors[labels == name], CENTROIDS) for name in languages]
-    owners = np.repeat(np.arange(len(languages)), [len(c) for c in centres])
-    own = np.concatenate([(vectors[labels == name] @ c.T).max(axis=1) for name, c in zip(languages, centres)])
-    return Model(languages, idf, np.concatenate(centres).astype(np.float32), owners, float(np.quantile(own, REJECT_SHARE)))
+    idf = (np.log((1 + found[-1]) / (1 + found[:-1])) + 1).astype(np.float32)
+    blank = Model([], idf, np.empty((0, DIMENSIONS), dtype=np.float32), np.empty(0, dtype=int), 0.0)
+
+    def cluster(group: pd.DataFrame) -> pd.DataFrame:
+        own = blank.vectors(_matrix(group["vector"].sort_values()))
+        centres = _clusters(own, CENTROIDS)
+        near = (own @ centres.T).max(axis=1)
+        return pd.DataFrame({"lang": [group["lang"].iloc[0]], "centres": [centres.astype(np.float32).tobytes()], "near": [near.astype(float)]})
+
+    rows = sorted(vectors.groupBy("lang").applyInPandas(cluster, "lang string, centres binary, near array<double>").collect())
+    centres = [np.frombuffer(bytes(r["centres"]), dtype=np.float32).reshape(-1, DIMENSIONS) for r in rows]
+    owners = np.repeat(np.arange(len(rows)), [len(c) for c in centres])
+    least = float(np.quantile(np.concatenate([r["near"] for r in rows]), REJECT_SHARE))
+    return Model([r["lang"] for r in rows], idf, np.concatenate(centres), owners, least)
 
 
 def identified(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
