@@ -2,7 +2,7 @@
 
 from .numbers import finite, nan_to_null, ratio
 from .ratios import QUOTE_COLUMNS, derived_columns, derived_names
-from .text import camel_to_snake, host_port, iso_timestamp, market_cap_millions, snake_name, stamp_text
+from .text import camel_to_snake, host_port, iso_timestamp, market_cap_millions, snake_name, stamp_text, unescaped
 
 __all__ = [
     "QUOTE_COLUMNS",
@@ -17,4 +17,5 @@ __all__ = [
     "ratio",
     "snake_name",
     "stamp_text",
+    "unescaped",
 ]

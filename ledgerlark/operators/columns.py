@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.numbers import is_floating, quoted
 from ..functions.text import snake_name
+from ..session import written
 
 
 def rename_snake(df: DataFrame) -> DataFrame:
@@ -86,15 +87,18 @@ def rearrange(df: DataFrame, steps: Iterable[tuple], strict: bool = False) -> Da
 def drop_all_null_columns(df: DataFrame) -> DataFrame:
     """Drop the columns that hold no value at all (NaN counts as no value).
 
-    The outcome depends on the data, so this runs one aggregate job with a
-    one-row result.
+    The outcome depends on the data, so the rows are written once and their values counted
+    on the way: the input is not run again, and the driver sees one number per column.
     """
-    counts = [
-        f"count(nanvl({quoted(f.name)}, NULL))" if is_floating(f.dataType) else f"count({quoted(f.name)})"
-        for f in df.schema.fields
-    ]
-    filled = df.selectExpr(*counts).first()
-    return df.select([quoted(name) for at, name in enumerate(df.columns) if filled[at] > 0])
+    typed = [f for f in df.schema.fields if not isinstance(f.dataType, T.NullType)]
+    if not typed:
+        return df.select()
+    counts = {
+        f"_{at}": F.count(F.expr(f"nanvl({quoted(f.name)}, NULL)" if is_floating(f.dataType) else quoted(f.name)))
+        for at, f in enumerate(typed)
+    }
+    stored, filled = written(df.select([quoted(f.name) for f in typed]), counts)
+    return stored.select([quoted(f.name) for at, f in enumerate(typed) if filled[f"_{at}"] > 0])
 
 
 def sort_columns(df: DataFrame) -> DataFrame:

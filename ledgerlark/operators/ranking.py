@@ -38,12 +38,13 @@ def ranked(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFr
     )
 
 
-def top_n(df: DataFrame, order: Sequence[Column], n: int, strict: bool = True) -> DataFrame:
+def top_n(df: DataFrame, order: Sequence[Column], n: int, strict: bool = True, lazy: bool = False) -> DataFrame:
     """First ``n`` rows of the order; ``strict`` raises if there are fewer.
 
     Up to ``GATHERED`` rows come from one task that merges the best of each; more are
     taken from the range-sorted table. Both are settled, so that the rows counted are
-    the rows returned.
+    the rows returned. With ``lazy`` no job runs here for up to ``GATHERED`` rows: the plan
+    carries the count and raises when it runs.
     """
     if n > GATHERED:
         best = ranked(df, order, "_rank").where(F.col("_rank") <= n).drop("_rank")
@@ -51,7 +52,25 @@ def top_n(df: DataFrame, order: Sequence[Column], n: int, strict: bool = True) -
         best = df.orderBy(*order).limit(n)
     if not strict:
         return best
+    if lazy and n <= GATHERED:
+        return _guarded(best, n).orderBy(*order)
     best = settle(best)
     if best.count() < n:
-        raise ValueError(f"fewer than {n} rows; ask for fewer")
+        raise ValueError(_too_few(n))
     return best
+
+
+def _too_few(n: int) -> str:
+    return f"fewer than {n} rows; ask for fewer"
+
+
+def _guarded(best: DataFrame, n: int) -> DataFrame:
+    """The rows of ``best``, a task's worth, or an error in the plan if they are under ``n``.
+
+    A row of its own carries the check, so that an empty table raises too.
+    """
+    check = best.sparkSession.range(1).select(F.lit(False).alias("_row"))
+    rows = best.withColumn("_row", F.lit(True)).unionByName(check, allowMissingColumns=True)
+    counted = rows.withColumn("_rows", F.count_if("_row").over(Window.partitionBy()))
+    enough = F.when(F.col("_rows") < n, F.raise_error(_too_few(n)).cast("boolean")).otherwise(F.col("_row"))
+    return counted.where(enough).drop("_row", "_rows")

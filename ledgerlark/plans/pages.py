@@ -7,7 +7,7 @@ from collections.abc import Collection
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import host_port
+from ..functions.text import host_port, unescaped
 
 # Patterns of a table body, a row and the leading text of a cell.
 BODY_PATTERN = r"(?is)<tbody\b[^>]*>(.*?)</tbody>"
@@ -30,11 +30,13 @@ def html_rows(
     cell_pattern: str = CELL_PATTERN,
     html: str = "html",
 ) -> DataFrame:
-    """One row per table row with its ``cells`` as an array; the page text is dropped."""
+    """One row per table row with its ``cells`` as an array, entities decoded; the page text
+    is dropped."""
     rows = F.regexp_extract_all(F.col(html), F.lit(row_pattern), F.lit(1))
     cells = F.regexp_extract_all(F.col("_row"), F.lit(cell_pattern), F.lit(1))
     kept = [c for c in pages.columns if c != html]
-    return pages.select(*kept, F.explode(rows).alias("_row")).select(*kept, cells.alias("cells"))
+    found = pages.select(*kept, F.explode(rows).alias("_row"))
+    return found.select(*kept, F.transform(cells, unescaped).alias("cells"))
 
 
 def host_list(rows: DataFrame, countries: Collection[str] = HOST_COUNTRIES) -> DataFrame:

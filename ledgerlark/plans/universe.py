@@ -111,11 +111,13 @@ def biggest_n(
     exchanges: Collection[str] = EXCHANGES,
     valid_sectors: Collection[str] = SECTORS,
     strict: bool = True,
+    lazy: bool = False,
 ) -> DataFrame:
-    """The ``n`` largest companies by market cap, ties by symbol."""
+    """The ``n`` largest companies by market cap, ties by symbol. With ``lazy`` too large an
+    ``n`` is found by the plan itself, not by a job before it."""
     rows = _capitalised(on_exchanges(screener, exchanges), sectors, valid_sectors, empty_as_zero=False)
     order = [F.col("market_cap").desc_nulls_last(), F.col("symbol").asc()]
-    return top_n(rows.select("symbol", "market_cap"), order, n, strict)
+    return top_n(rows.select("symbol", "market_cap"), order, n, strict, lazy)
 
 
 def tickers_by_region(companies: DataFrame, region: str, valid: Collection[str] = REGIONS) -> DataFrame:

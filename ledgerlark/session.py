@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # A skewed join is split even if that costs one more shuffle behind it.
 # spark.sql.codegen.maxFields keeps its default of 100: whole-stage code for the
@@ -54,3 +56,18 @@ def settle(df: DataFrame) -> DataFrame:
     executor can neither recompute nor change it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, figures: Mapping[str, Column]) -> tuple[DataFrame, dict]:
+    """Write ``df`` once as Parquet to the shared folder, with aggregates taken on the way.
+
+    Returns the stored rows and the figures. Later steps read only the columns they need,
+    and ``df`` itself is run once. The folder is deleted when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/written-{uuid.uuid4().hex}"
+    seen = Observation()
+    df.observe(seen, *[value.alias(name) for name, value in figures.items()]).write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path), seen.get

@@ -1,5 +1,6 @@
 """Readers and writers of landed files and tables."""
 
+from .inference import column_types, infer_types, typed
 from .readers import (
     landed_statements,
     lookup,
@@ -17,6 +18,7 @@ from .readers import (
     split_rejects,
     ticker_table,
 )
+from .replies import drifting_quotes, drifting_rejects, field_drift
 from .versioned import buckets_for, current_table, expire_versions, read_version, upsert_version
 from .writers import (
     append_history,
@@ -32,8 +34,13 @@ __all__ = [
     "append_history",
     "append_table",
     "buckets_for",
+    "column_types",
     "current_table",
+    "drifting_quotes",
+    "drifting_rejects",
     "expire_versions",
+    "field_drift",
+    "infer_types",
     "landed_statements",
     "lookup",
     "parse_quotes",
@@ -50,6 +57,7 @@ __all__ = [
     "read_version",
     "split_rejects",
     "ticker_table",
+    "typed",
     "upsert_table",
     "upsert_version",
     "write_bucketed",

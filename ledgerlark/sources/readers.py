@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numbers import nan_to_null
+from ..functions.numbers import nan_to_null, quoted
 from ..operators.columns import conform, rename_snake
 from ..schema import (
     HISTORY_SCHEMA,
@@ -19,6 +19,7 @@ from ..schema import (
     STATEMENT_SCHEMA,
     TICKER_SCHEMA,
 )
+from .inference import cell_value, infer_types
 
 REJECT = "_corrupt_record"
 _QUOTE_MAP = T.MapType(T.StringType(), QUOTE_SCHEMA)
@@ -42,16 +43,21 @@ def ticker_table(spark: SparkSession, symbols: Iterable[str]) -> DataFrame:
 
 
 def read_metrics(
-    spark: SparkSession, path: str, schema: T.StructType = METRIC_SCHEMA, multi_line: bool = False
+    spark: SparkSession, path: str, schema: T.StructType = METRIC_SCHEMA, multi_line: bool = False, infer: bool = False
 ) -> DataFrame:
     """Wide metrics CSV with a header. Declared columns get their type, the others
-    stay text. ``multi_line`` allows line breaks inside cells, but then a file is
-    read by one task."""
+    stay text, or with ``infer`` get the narrowest type that holds their cells (one job
+    more, over these columns only). ``multi_line`` allows line breaks inside cells, but
+    then a file is read by one task."""
     text = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
     types = {f.name: f.dataType for f in schema.fields}
+    found = {}
+    if infer:
+        free = infer_types(text.select([quoted(c) for c in text.columns if c not in types]))
+        found = {f.name: cell_value(f).alias(f.name) for f in free.fields}
     return nan_to_null(
         text.select(
-            [F.col(f"`{c}`").try_cast(types[c]).alias(c) if c in types else F.col(f"`{c}`") for c in text.columns]
+            [F.col(quoted(c)).try_cast(types[c]).alias(c) if c in types else found.get(c, F.col(quoted(c))) for c in text.columns]
         )
     )
 

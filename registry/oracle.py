@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from ledgerlark.plans.screening import COLUMN_PROGRAM
+from ledgerlark.schema import BASE_COLUMNS, KEY_COLUMNS
+
+from .standins import WIDE
+
 _LINES = """
 lines AS (
     SELECT l_orderkey,
@@ -595,3 +600,178 @@ FROM panel LEFT JOIN bought ON bought.symbol = panel.symbol AND bought.year = ye
 
 # The same results with heavy symbols split.
 ORACLE["kpi_wide_split"] = ORACLE["kpi_wide"]
+ORACLE["biggest_n_lazy"] = ORACLE["biggest_n"]
+
+_TEXT_METRICS = """
+cells AS (
+    SELECT o_orderkey AS k, o_orderpriority AS level, CAST(o_orderkey AS VARCHAR) || '.25' AS fraction FROM orders
+)
+"""
+
+ORACLE["metrics_types"] = """
+SELECT * FROM (VALUES
+    (0, 'order_id', 'bigint'), (1, 'whole', 'bigint'), (2, 'mixed', 'double'), (3, 'flag', 'boolean'),
+    (4, 'flag_or_number', 'string'), (5, 'price', 'double'),
+    (6, 'dashed', (SELECT CASE WHEN count(*) > 0 THEN 'string' ELSE 'bigint' END FROM orders WHERE o_orderkey % 1000 = 0)),
+    (7, 'long_number', 'double'), (8, 'nothing', 'double'), (9, 'level', 'string')
+) AS t(position, "column", type)
+"""
+
+ORACLE["metrics_typed"] = f"""
+WITH {_TEXT_METRICS}
+SELECT k AS order_id,
+       CASE WHEN k % 5 = 0 THEN NULL WHEN k % 7 = 0 THEN 12 ELSE k END AS whole,
+       CASE WHEN k % 2 = 0 THEN 1000 WHEN k % 3 = 0 THEN NULL ELSE CAST(fraction AS DOUBLE) END AS mixed,
+       CASE WHEN k % 2 = 0 THEN true WHEN k % 3 = 0 THEN NULL ELSE false END AS flag,
+       CASE WHEN k % 2 = 0 THEN 'true' ELSE '1' END AS flag_or_number,
+       CASE WHEN k % 4 <> 0 THEN CAST(fraction AS DOUBLE) END AS price,
+       CASE WHEN k % 1000 = 0 THEN '-' ELSE CAST(k AS VARCHAR) END AS dashed,
+       CAST('9000000000000000' || lpad(CAST(k % 1000 AS VARCHAR), 6, '0') AS DOUBLE) AS long_number,
+       CAST(NULL AS DOUBLE) AS nothing,
+       CASE WHEN k % 9 <> 0 THEN level END AS level
+FROM cells
+"""
+
+_DRIFTING = """
+entries AS (
+    SELECT *, CASE WHEN event_id % 6 NOT IN (2, 3) THEN value END AS price,
+           CASE WHEN event_id % 4 = 0 THEN CAST(user_id AS DOUBLE) END AS bid
+    FROM events WHERE event_id % 11 NOT IN (1, 2, 4)
+)
+"""
+
+ORACLE["quotes_drifting"] = f"""
+WITH {_DRIFTING}
+SELECT event_id, event_type AS symbol, price AS "twoHundredDayAverage", CAST(NULL AS DOUBLE) AS "sharesOutstanding",
+       bid AS "bidSize", CAST(event_id AS DOUBLE) AS "askSize"
+FROM entries
+"""
+
+ORACLE["quotes_drift"] = f"""
+WITH {_DRIFTING},
+states AS (
+    SELECT unnest([
+        {{'field': 'twoHundredDayAverage', 'state': CASE event_id % 6 WHEN 2 THEN 'wrong type' WHEN 3 THEN 'missing' ELSE 'read' END}},
+        {{'field': 'sharesOutstanding', 'state': 'missing'}},
+        {{'field': 'bidSize', 'state': CASE event_id % 4 WHEN 0 THEN 'read' WHEN 1 THEN 'wrong type' ELSE 'missing' END}},
+        {{'field': 'askSize', 'state': 'read'}},
+        {{'field': CASE WHEN event_id % 5 = 0 THEN 'note' END, 'state': 'unknown'}}
+    ], recursive := true) FROM entries
+)
+SELECT field, state, count(*) AS n,
+       CASE WHEN state = 'unknown' OR (state = 'wrong type' AND field <> 'bidSize') THEN 'STRING'
+            WHEN state = 'wrong type' THEN 'OBJECT<lots: BIGINT>' ELSE 'VOID' END AS type
+FROM states WHERE field IS NOT NULL GROUP BY field, state
+"""
+
+ORACLE["quotes_rejected"] = """
+SELECT event_id, NULL AS symbol,
+       CASE event_id % 11 WHEN 1 THEN 'no JSON' WHEN 2 THEN 'no map' ELSE 'empty' END AS reason,
+       CASE event_id % 11 WHEN 1 THEN 'Too Many Requests' WHEN 2 THEN '[1, 2]' ELSE '' END AS reply
+FROM events WHERE event_id % 11 IN (1, 2, 4)
+UNION ALL
+SELECT event_id, 'gone' AS symbol, 'no fields' AS reason,
+       '{"gone": null, "' || event_type || '": {"twoHundredDayAverage": '
+       || CASE event_id % 6 WHEN 1 THEN '"' || CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) || '"' WHEN 2 THEN '"n/a"' WHEN 3 THEN 'null'
+               ELSE CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) END
+       || CASE event_id % 4 WHEN 0 THEN ', "bidSize": ' || CAST(user_id AS VARCHAR) WHEN 1 THEN ', "bidSize": {"lots": 3}' ELSE '' END
+       || CASE WHEN event_id % 5 = 0 THEN ', "note": "late"' ELSE '' END
+       || ', "askSize": ' || CAST(event_id AS VARCHAR) || '}}' AS reply
+FROM events WHERE event_id % 11 = 3
+"""
+
+_HOSTS = """
+hosts AS (
+    SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, upper(regexp_extract(url, '://[^/]*/([a-z]*)', 1)) AS country FROM pages
+)
+"""
+
+ORACLE["host_list"] = f"""
+WITH {_HOSTS}
+SELECT page_id, host || ':' || CAST(page_id % 100 + 8000 AS VARCHAR) AS proxy
+FROM hosts WHERE page_id % 3 = 0 AND country IN ('FR', 'DE', 'IT', 'CH')
+"""
+
+ORACLE["host_names"] = f"""
+WITH {_HOSTS}
+SELECT page_id, host, country || ' & Co. <éé&lt;' AS name FROM hosts
+UNION ALL
+SELECT page_id, 'short' AS host, NULL AS name FROM hosts
+"""
+
+
+def _after_program(names: list[str]) -> list[str]:
+    """The column list after the column program, step by step on a plain list."""
+    left = list(names)
+    for action, *arguments in COLUMN_PROGRAM:
+        if action == "drop":
+            left = [n for n in left if n != arguments[0]]
+        else:
+            left.insert(arguments[1], left.pop(arguments[0]))
+    return left
+
+
+def _cell(name: str) -> str:
+    if name == "symbol":
+        return "'C' || CAST(c_custkey AS VARCHAR)"
+    if name == "recommendationMean":
+        return "CASE WHEN c_acctbal >= 0 THEN CAST(c_nationkey % 5 + 1 AS VARCHAR) || '.0' ELSE '-' END"
+    return f"'{name}=' || CAST(c_custkey AS VARCHAR)"
+
+
+ORACLE["column_program"] = f"""
+SELECT 'C' || CAST(c_custkey AS VARCHAR) AS symbol,
+       concat_ws(' ', {", ".join(_cell(n) for n in _after_program(["symbol", "recommendationMean", *WIDE]))}) AS cells
+FROM customer
+"""
+
+ORACLE["sorted_columns"] = f"""
+SELECT 'C' || CAST(c_custkey AS VARCHAR) AS symbol, concat_ws(' ', {", ".join(_cell(n) for n in sorted(["symbol", *WIDE]))}) AS cells
+FROM customer
+"""
+
+ORACLE["kpi_valuation"] = f"""
+WITH {_PANEL_WITH_LINES}, {_QUOTES},
+flagged AS (SELECT *, bool_or(ebit = 0) OVER (PARTITION BY symbol) AS zero FROM panel),
+priced AS (
+    SELECT flagged.* EXCLUDE (ebit), CASE WHEN zero THEN operating_income ELSE ebit END AS ebit, price, shares,
+           CASE WHEN total_debt > stockholders_equity THEN 0.25 ELSE 0.5 END::DOUBLE AS tax_rate
+    FROM flagged LEFT JOIN quotes ON quotes.symbol = flagged.symbol
+)
+SELECT symbol, as_of_date,
+       cash - total_debt AS net_cash,
+       free_cash_flow / NULLIF(total_assets, 0) AS free_cash_flow_margin,
+       (shares * price + total_debt) / NULLIF(total_assets, 0) AS ev_to_sales,
+       (shares * price + total_debt) / NULLIF(current_assets, 0) AS ev_to_ebitda,
+       current_liabilities / NULLIF(shares * price, 0) AS buyback_yield,
+       ebit * (1 - tax_rate) / NULLIF(tangible, 0) AS return_on_invested_capital,
+       interest_expense / NULLIF(net_income, 0) AS payout_ratio,
+       shares + 1 AS bid_size, price * 2 AS ask_size
+FROM priced
+"""
+
+ORACLE["short_interest"] = """
+SELECT *, "sharesShort" / NULLIF("floatShares", 0) AS "shortToFloat", "sharesShort" / NULLIF("sharesOutstanding", 0) AS "shortToShares"
+FROM (
+    SELECT 'P' || CAST(p_partkey AS VARCHAR) AS symbol, CAST(p_size AS DOUBLE) AS "sharesShort",
+           CAST(p_partkey % 10 AS DOUBLE) AS "floatShares", p_retailprice AS "sharesOutstanding"
+    FROM part
+) AS parts
+"""
+
+# Statement columns that the panel has, with their names in it.
+_GIVEN = {
+    **{c: c for c in ("total_assets", "total_debt", "stockholders_equity", "current_liabilities", "current_assets")},
+    **{c: c for c in ("operating_income", "pretax_income", "net_income", "interest_expense", "free_cash_flow")},
+    "total_liabilities_net_minority_interest": "liabilities",
+    "cash_and_cash_equivalents": "cash",
+    "net_tangible_assets": "tangible",
+    "ebit": "CASE WHEN bool_or(ebit = 0) OVER (PARTITION BY symbol) THEN operating_income ELSE ebit END",
+}
+_BASE = [c for c in BASE_COLUMNS if c not in (*KEY_COLUMNS, "currency_code")]
+
+ORACLE["kpi_all_columns"] = f"""
+WITH {_PANEL_WITH_LINES}, wide AS ({ORACLE["kpi_wide"]}),
+base AS (SELECT symbol, as_of_date, {", ".join(f'{_GIVEN.get(c, "CAST(NULL AS DOUBLE)")} AS {c}' for c in _BASE)} FROM panel)
+SELECT * FROM wide JOIN base USING (symbol, as_of_date)
+"""

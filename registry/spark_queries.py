@@ -31,7 +31,18 @@ from ledgerlark.operators.ordered import has_heavy_keys, null_safe_join
 from ledgerlark.plans import extensions
 from ledgerlark.schema import KEY_COLUMNS
 from ledgerlark.session import ensure_checkpoint_dir
-from ledgerlark.sources import current_table, lookup, parse_quotes, upsert_version
+from ledgerlark.sources import (
+    column_types,
+    current_table,
+    drifting_quotes,
+    drifting_rejects,
+    field_drift,
+    infer_types,
+    lookup,
+    parse_quotes,
+    typed,
+    upsert_version,
+)
 from ledgerlark.sources.writers import touched_partitions
 
 from . import standins as given
@@ -540,3 +551,107 @@ def split_effects_split(spark, sf_dir):
 def insider_purchases(spark, sf_dir):
     panel = given.statements(spark, sf_dir).select("symbol", "as_of_date", "total_debt")
     return extensions.insider_purchases(panel, given.urgent_purchases(spark, sf_dir))
+
+
+@register
+def metrics_types(spark, sf_dir):
+    """The narrowest type of every column of a metrics file."""
+    return column_types(given.text_metrics(spark, sf_dir))
+
+
+@register
+def metrics_typed(spark, sf_dir):
+    """The cells in these types."""
+    text = given.text_metrics(spark, sf_dir)
+    return typed(text, infer_types(text))
+
+
+@register
+def quotes_drifting(spark, sf_dir):
+    """Quotes from replies with missing, unknown and wrongly typed fields."""
+    return drifting_quotes(given.drifting_replies(spark, sf_dir))
+
+
+@register
+def quotes_drift(spark, sf_dir):
+    """What became of every field of these replies."""
+    return field_drift(given.drifting_replies(spark, sf_dir))
+
+
+@register
+def quotes_rejected(spark, sf_dir):
+    """The replies, and the symbols in them, that gave no quote."""
+    return drifting_rejects(given.drifting_replies(spark, sf_dir)).select("event_id", "symbol", "reason", "reply")
+
+
+@register
+def host_list(spark, sf_dir):
+    """Hosts of chosen countries in the tables of all pages."""
+    return plans.host_list(plans.html_rows(plans.table_bodies(given.host_pages(spark, sf_dir))))
+
+
+@register
+def host_names(spark, sf_dir):
+    """Cells with entities, of the rows that have them."""
+    cells = plans.html_rows(plans.table_bodies(given.host_pages(spark, sf_dir)))
+    return cells.select("page_id", F.get("cells", F.lit(0)).alias("host"), F.get("cells", F.lit(3)).alias("name"))
+
+
+@register
+def column_program(spark, sf_dir):
+    """The whole column program on 130 columns; the order of the columns is in the result."""
+    placed = plans.reorder_columns(given.wide_metrics(spark, sf_dir))
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in placed.columns]
+    return placed.select("symbol", F.concat_ws(" ", *cells).alias("cells"))
+
+
+@register
+def sorted_columns(spark, sf_dir):
+    placed = sort_columns(given.wide_metrics(spark, sf_dir).drop("recommendationMean"))
+    return placed.select("symbol", F.concat_ws(" ", *placed.columns).alias("cells"))
+
+
+@register
+def kpi_valuation(spark, sf_dir):
+    """All figures of the valuation extension, with both order sizes."""
+    panel, quotes = given.valued_statements(spark, sf_dir), given.quotes(spark, sf_dir)
+    sized = quotes.withColumns({"bidSize": F.col("sharesOutstanding") + 1, "askSize": F.col("twoHundredDayAverage") * 2})
+    heavy = has_heavy_keys(panel, ["symbol"])
+    figures = extensions.growth_and_yields(plans.compute_kpis(panel, quotes, heavy=heavy), heavy=heavy)
+    return extensions.with_order_sizes(figures, sized).select(
+        "symbol",
+        "as_of_date",
+        "net_cash",
+        "free_cash_flow_margin",
+        "ev_to_sales",
+        "ev_to_ebitda",
+        "buyback_yield",
+        "return_on_invested_capital",
+        "payout_ratio",
+        "bid_size",
+        "ask_size",
+    )
+
+
+@register
+def short_interest(spark, sf_dir):
+    """Shares sold short, over the float and over all shares."""
+    rows = given.table(spark, sf_dir, "part").select(
+        given.code("P", "p_partkey").alias("symbol"),
+        F.col("p_size").cast("double").alias("sharesShort"),
+        (F.col("p_partkey") % 10).cast("double").alias("floatShares"),
+        F.col("p_retailprice").alias("sharesOutstanding"),
+    )
+    return extensions.short_interest(rows)
+
+
+@register
+def biggest_n_lazy(spark, sf_dir):
+    """The same largest companies; too few of them would be found by the plan itself."""
+    return plans.biggest_n(given.screener(spark, sf_dir), 25, exchanges=given.EXCHANGES, lazy=True)
+
+
+@register
+def kpi_all_columns(spark, sf_dir):
+    """All 184 columns."""
+    return plans.compute_kpis(given.statements(spark, sf_dir, with_lines=True), given.quotes(spark, sf_dir))

@@ -247,3 +247,86 @@ def urgent_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
         .where(F.col("o_orderpriority") == "1-URGENT")
         .select(code("C", "o_custkey").alias("symbol"), year_end.alias("as_of_date"), (F.col("o_orderkey") % 90 + 1).alias("shares"))
     )
+
+
+def text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells as a metrics file has them: mixed kinds, missing ones, and a column without any."""
+    key = F.col("o_orderkey")
+    whole, fraction = key.cast("string"), F.concat(key.cast("string"), F.lit(".25"))
+
+    def every(n: int, cell: str, other: Column) -> Column:
+        return F.when(key % n == 0, F.lit(cell)).otherwise(other)
+
+    return table(spark, sf_dir, "orders").select(
+        whole.alias("order_id"),
+        every(5, "NA", every(7, "  12 ", whole)).alias("whole"),
+        every(2, "1e3", every(3, "nan", fraction)).alias("mixed"),
+        every(2, "True", every(3, "", F.lit("false"))).alias("flag"),
+        every(2, "true", F.lit("1")).alias("flag_or_number"),
+        every(4, "n/a", fraction).alias("price"),
+        every(1000, "-", whole).alias("dashed"),
+        F.concat(F.lit("9000000000000000"), F.lpad((key % 1000).cast("string"), 6, "0")).alias("long_number"),
+        every(2, "null", F.lit(None).cast("string")).alias("nothing"),
+        every(9, "#N/A", F.col("o_orderpriority")).alias("level"),
+    )
+
+
+def drifting_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quote replies in which fields come and go, change their type or are renamed, and replies that are none."""
+    at, value = F.col("event_id"), F.col("value").cast("decimal(18,2)").cast("string")
+    price = F.when(at % 6 == 1, F.concat(F.lit('"'), value, F.lit('"'))).when(at % 6 == 2, '"n/a"').when(at % 6 == 3, "null").otherwise(value)
+    size = F.when(at % 4 == 0, F.concat(F.lit(', "bidSize": '), "user_id")).when(at % 4 == 1, ', "bidSize": {"lots": 3}').otherwise("")
+    more = F.when(at % 5 == 0, ', "note": "late"').otherwise("")
+    fields = F.concat(F.lit('{"twoHundredDayAverage": '), price, size, more, F.lit(', "askSize": '), at.cast("string"), F.lit("}"))
+    entry = F.concat(F.lit('{"'), "event_type", F.lit('": '), fields, F.lit("}"))
+    reply = (
+        F.when(at % 11 == 1, "Too Many Requests")
+        .when(at % 11 == 2, "[1, 2]")
+        .when(at % 11 == 3, F.concat(F.lit('{"gone": null, '), F.substring(entry, 2, 1_000_000)))
+        .when(at % 11 == 4, "")
+        .otherwise(entry)
+    )
+    return table(spark, sf_dir, "events").select("event_id", reply.alias("value"))
+
+
+def host_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of hosts per page, from its address; some cells have entities, some rows too few cells."""
+    at = F.col("page_id")
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    country = F.upper(F.regexp_extract("url", "://[^/]*/([a-z]*)", 1))
+    secure = F.when(at % 3 == 0, "yes").when(at % 3 == 1, "no").otherwise("yes, maybe")
+    cells = [host, (at % 100 + 8000).cast("string"), country, F.concat(country, F.lit(" &amp; Co. &lt;&#233;&#xE9;&amp;lt;")), F.lit("elite"), F.lit("no"), secure]
+    row = F.concat(*[F.concat(F.lit('<td class="c">'), c, F.lit("</td>")) for c in cells])
+    body = F.concat(F.lit("<table><thead><tr><td>h</td></tr></thead><tbody><tr>"), row, F.lit("</tr>\n<tr><td>short</td></tr></tbody></table>"))
+    return table(spark, sf_dir, "pages").select("page_id", body.alias("html"))
+
+
+# Columns of the wide metrics table, apart from the symbol and the recommendation.
+WIDE = tuple(f"c{n}" for n in range(118)) + ("address2", "uuid", "companyOfficers", "maxAge", "tradeable", "fax", "messageBoardId", "quoteType", "gmtOffSetMilliseconds", "isEsgPopulated")
+
+
+def wide_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """130 columns whose cells tell the column they come from."""
+    customer = table(spark, sf_dir, "customer")
+    return customer.select(
+        code("C", "c_custkey").alias("symbol"),
+        F.when(F.col("c_acctbal") >= 0, (F.col("c_nationkey") % 5 + 1).cast("double")).alias("recommendationMean"),
+        *[F.concat(F.lit(f"{name}="), F.col("c_custkey").cast("string")).alias(name) for name in WIDE],
+    )
+
+
+# Statement columns that the extension figures read, from those the panel has.
+VALUED = {
+    "total_revenue": "total_assets",
+    "normalized_ebitda": "current_assets",
+    "cash_cash_equivalents_and_short_term_investments": "cash_and_cash_equivalents",
+    "repurchase_of_capital_stock": "-current_liabilities",
+    "invested_capital": "net_tangible_assets",
+    "cash_dividends_paid": "-interest_expense",
+    "tax_rate_for_calcs": "CASE WHEN total_debt > stockholders_equity THEN 0.25D ELSE 0.5D END",
+}
+
+
+def valued_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel with the columns of the extension figures filled."""
+    return statements(spark, sf_dir, with_lines=True).withColumns({name: F.expr(value) for name, value in VALUED.items()})

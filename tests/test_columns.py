@@ -90,3 +90,25 @@ def test_concat_keeps_duplicates(spark):
     one = spark.createDataFrame([("A",), ("A",)], "symbol string")
     two = spark.createDataFrame([(1, "A")], "n int, symbol string")
     assert rows(concat_tables(one, two)) == [("A", 1), ("A", None), ("A", None)]
+
+
+def test_input_of_all_null_check_runs_once(spark):
+    """The rows are counted while they are written: one job, and each row is made once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def tracked(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    df = spark.range(0, 100, numPartitions=3).selectExpr("id", "cast(null as string) AS nothing")
+    df = df.mapInPandas(tracked, "id long, nothing string").selectExpr("*", "null AS untyped")
+    spark.sparkContext.setJobGroup("once", "all-null check")
+    try:
+        filled = drop_all_null_columns(df)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("once")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert filled.columns == ["id"] and filled.count() == 100
+    assert len(jobs) == 1
+    assert made.value == 100
