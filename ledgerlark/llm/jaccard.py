@@ -17,8 +17,9 @@ so candidates must share one under each of several orders.
 
 Skew: tokens that several classes of one batch share are folded before the shuffle, so a
 token of any frequency costs a row per batch. Later joins are Spark's own, which adaptive
-execution can split. Blocks hold about ``BLOCK`` shingles; in a cluster of several blocks
-every set is first compared with a hub, and blocks of one component are not compared.
+execution can split. Blocks hold about ``BLOCK`` shingles and ``BLOCK_ROWS`` rows; in a
+cluster of several blocks every set is first compared with a hub, and blocks of one
+component are not compared. Where ``link_counts`` asks for all links, they are.
 
 Sets are compared by 64-bit hashes of shingles. Defined cases: null and blank texts have
 an empty set and link with nothing; texts of fewer words are one shingle of their length;
@@ -42,6 +43,8 @@ from .hashing import WordHasher, mixed, texts_of, windows
 NGRAM = 5
 SIMILARITY = 75
 BLOCK = 1_500_000
+# Rows that a block may have, however short, since the pairs of a task grow with their square.
+BLOCK_ROWS = 10_000
 # The sieve's prefixes are longer by one token in so many.
 SLACK = 8
 _LOW = np.uint64((1 << 48) - 1)
@@ -192,73 +195,148 @@ def _is_link(overlap, a, b, similarity: int):
     return 100 * overlap >= similarity * (a + b - overlap)
 
 
-class _Postings:
-    """Which rows hold a token, for lists of tokens of many rows."""
+class _Sets:
+    """Token sets of many rows, one after another, with the rows that hold a token."""
 
     def __init__(self, lists: list[np.ndarray]):
-        sizes = [len(x) for x in lists]
-        tokens = np.concatenate([*lists, np.empty(0, dtype=np.int64)])
-        self.rows = np.repeat(np.arange(len(lists)), sizes)
-        _, place = np.unique(tokens, return_inverse=True)
-        by = np.argsort(place, kind="stable")
-        self.holders = self.rows[by]
-        count = np.bincount(place)
-        self.begin, self.end = np.cumsum(count) - count, np.cumsum(count)
-        self.own = np.split(place, np.cumsum(sizes)[:-1])
-
-    def counts(self, row: int, n: int) -> np.ndarray:
-        """For each row, how many tokens of ``row`` it holds."""
-        found = [self.holders[self.begin[t] : self.end[t]] for t in self.own[row]]
-        return np.bincount(np.concatenate(found), minlength=n) if found else np.zeros(n, dtype=np.int64)
+        self.size = np.array([len(x) for x in lists], dtype=np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        _, self.token = np.unique(np.concatenate([*lists, np.empty(0, dtype=np.int64)]), return_inverse=True)
+        count = np.bincount(self.token)
+        self.end = np.cumsum(count)
+        self.begin = self.end - count
+        self.holders = np.repeat(np.arange(len(lists)), self.size)[np.argsort(self.token, kind="stable")]
+        self.marked = np.zeros(len(count), dtype=bool)
+
+    def own(self, row: int) -> np.ndarray:
+        return self.token[self.start[row] : self.start[row] + self.size[row]]
+
+    def later(self, token: int, row: int) -> np.ndarray:
+        """Rows after ``row`` that hold the token."""
+        rows = self.holders[self.begin[token] : self.end[token]]
+        return rows[np.searchsorted(rows, row, "right") :]
+
+    def shared(self, row: int, others: np.ndarray) -> np.ndarray:
+        """How many tokens of ``row`` each of the ``others``, all after it, holds: from the
+        holders of its tokens, or from the others' tokens where these are fewer by far."""
+        own, size = self.own(row), self.size[others]
+        if 50 * len(own) + (self.end[own] - self.begin[own]).sum() < 8 * size.sum():
+            return np.bincount(np.concatenate([self.later(t, row) for t in own]), minlength=len(self.size))[others]
+        first = np.cumsum(size) - size
+        self.marked[own] = True
+        held = self.marked[self.token[np.repeat(self.start[others] - first, size) + np.arange(size.sum())]]
+        self.marked[own] = False
+        return np.bincount(np.repeat(np.arange(len(others)), size)[held], minlength=len(others))
+
+
+class _Components:
+    """Rows by component; the smaller one takes the label of the larger."""
+
+    def __init__(self, labels: np.ndarray):
+        _, self.root = np.unique(labels, return_inverse=True)
+        by = np.argsort(self.root, kind="stable")
+        groups = np.split(by, np.flatnonzero(np.diff(self.root[by])) + 1) if len(by) else []
+        self.members = {int(self.root[g[0]]): g.tolist() for g in groups}
+
+    def join(self, a: int, b: int) -> bool:
+        one, other = sorted((int(self.root[a]), int(self.root[b])), key=lambda r: len(self.members[r]))
+        if one == other:
+            return False
+        moved = self.members.pop(one)
+        self.root[moved] = other
+        self.members[other].extend(moved)
+        return True
+
+
+def _group_sets(group: pd.DataFrame) -> tuple[pd.DataFrame, list[_Sets]]:
+    group = group.drop_duplicates("node").reset_index(drop=True)
+    return group, [_Sets([np.asarray(x, dtype=np.int64) for x in group[c]]) for c in ("p1", "p2", "p3", "shingles")]
+
+
+def _linked_rows(sets: list[_Sets], row: int, others: np.ndarray, size: np.ndarray, similarity: int) -> np.ndarray:
+    """Those of ``others``, which share a token of the first order, that link with ``row``."""
+    *orders, whole = sets
+    others = others[100 * np.minimum(size[others], size[row]) >= similarity * np.maximum(size[others], size[row])]
+    for order in orders[1:]:
+        others = others[order.shared(row, others) > 0]
+    return others[_is_link(whole.shared(row, others), size[others], size[row], similarity)]
 
 
 def _verified(similarity: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Links that connect what the rows' labels do not connect yet."""
-        group = group.drop_duplicates("node").reset_index(drop=True)
-        n, size = len(group), group["n"].to_numpy()
-        _, root = np.unique(group["label"].to_numpy(), return_inverse=True)
-        side = group["side"].to_numpy()
-        orders = [_Postings([np.asarray(x, dtype=np.int64) for x in group[p]]) for p in ("p1", "p2", "p3")]
-        whole = _Postings([np.asarray(x, dtype=np.int64) for x in group["shingles"]])
+        """Links that connect what the rows' labels do not connect yet.
+
+        A token whose later holders are all in one component with the row can give no link
+        to any of them any more and is closed, so a group of near copies costs one pass.
+        """
+        group, sets = _group_sets(group)
+        size, side = group["n"].to_numpy(), group["side"].to_numpy()
+        known, first = _Components(group["label"].to_numpy()), sets[0]
+        closed, met = np.zeros(len(first.marked), dtype=bool), np.zeros(len(group), dtype=bool)
         links = []
-        for i in range(n):
-            wanted = (root != root[i]) & (100 * np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]))
-            wanted &= (np.arange(n) > i) & ((side < 0) | (side != side[i]))
-            for order in orders:
-                if not wanted.any():
-                    break
-                wanted &= order.counts(i, n) > 0
-            if not wanted.any():
+        for i in range(len(group)):
+            open_tokens = first.own(i)[~closed[first.own(i)]]
+            if not len(open_tokens):
                 continue
-            overlap = whole.counts(i, n)
-            for j in np.flatnonzero(wanted & _is_link(overlap, size, size[i], similarity)):
-                if root[j] != root[i]:
-                    root[root == root[j]] = root[i]
-                    links.append((group["node"][i], group["node"][j]))
+            for token in open_tokens:
+                rows = first.later(token, i)
+                rows = rows[known.root[rows] != known.root[i]]
+                closed[token] = not len(rows)
+                met[rows] = True
+            others = np.flatnonzero(met)
+            met[others] = False
+            others = others[(side[others] < 0) | (side[others] != side[i])]
+            if len(others):
+                links += [(group["node"][i], group["node"][j]) for j in _linked_rows(sets, i, others, size, similarity) if known.join(i, j)]
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def _links(sets: DataFrame, similarity: int, block: int) -> DataFrame:
-    """Edges ``(a, b)`` that connect what links connect."""
+def _counted(similarity: int):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        """How many links each row has in this task."""
+        group, sets = _group_sets(group)
+        size, side = group["n"].to_numpy(), group["side"].to_numpy()
+        count = np.zeros(len(group), dtype=np.int64)
+        for i in range(len(group)):
+            others = np.unique(np.concatenate([sets[0].later(t, i) for t in sets[0].own(i)]))
+            found = _linked_rows(sets, i, others[(side[others] < 0) | (side[others] != side[i])], size, similarity)
+            count[i] += len(found)
+            count[found] += 1
+        return pd.DataFrame({"node": group["node"], "links": count})
+
+    return run
+
+
+def _tasks(sets: DataFrame, similarity: int, block: int, block_rows: int, all_links: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the verifying tasks, and links found on the way. With ``all_links`` every
+    candidate pair is in one task; else pairs that are connected already may be in none."""
     prefixes = stored(_prefixes(sets, similarity), "prefixes")
     postings = prefixes.select("node", F.explode("p1").alias("token"))
     hubs = postings.groupBy(F.col("token").alias("_token")).agg(F.min("node").alias("hub"))
     stars = stored(postings.join(hubs, F.col("token") == F.col("_token")).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     clusters = components(stars).withColumnRenamed("label", "cluster")
     members = prefixes.join(clusters, "node")
-    weights = members.groupBy("cluster").agg(F.ceil(F.sum("n") / block).alias("blocks"))
+    weights = members.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / block), F.ceil(F.count("*") / block_rows)).alias("blocks"))
     members = members.join(weights, "cluster")
     wide = stored(members.where(F.col("blocks") > 1).select("node", "cluster", "blocks"), "wide")
     rows = members.where(F.col("blocks") == 1).withColumns({"label": F.col("node"), "side": F.lit(-1), "task": F.struct("cluster", F.lit(0).alias("a"), F.lit(0).alias("b"))})
     rows = rows.select("task", "side", "label", "node")
     found = None
     if wide.limit(1).count():
-        found, more = _wide_tasks(sets, prefixes, stars, wide, similarity)
+        if all_links:
+            placed = wide.withColumns({"label": F.col("node"), "blk": F.xxhash64("cluster", F.pmod(F.xxhash64("node"), F.col("blocks")))})
+            more = _block_pairs(prefixes, stored(placed, "placed"), F.lit(True))
+        else:
+            found, more = _wide_tasks(sets, prefixes, stars, wide, similarity)
         rows = rows.unionByName(more)
-    rows = rows.join(prefixes.select("node", "p1", "p2", "p3"), "node").join(sets, "node")
+    return rows.join(prefixes.select("node", "p1", "p2", "p3"), "node").join(sets, "node"), found
+
+
+def _links(sets: DataFrame, similarity: int, block: int, block_rows: int) -> DataFrame:
+    """Edges ``(a, b)`` that connect what links connect."""
+    rows, found = _tasks(sets, similarity, block, block_rows, all_links=False)
     links = rows.groupBy("task").applyInPandas(_verified(similarity), "a long, b long")
     return links if found is None else links.unionByName(found)
 
@@ -279,24 +357,26 @@ def _wide_tasks(sets: DataFrame, prefixes: DataFrame, stars: DataFrame, wide: Da
     placed = stored(
         placed.withColumn("home", home).withColumn("blk", F.xxhash64("cluster", "home", F.pmod(F.xxhash64("node"), F.col("blocks")))), "placed"
     )
+    return found, _block_pairs(prefixes, placed, F.expr("not (loa = hib and hia = lob)"))
+
+
+def _block_pairs(prefixes: DataFrame, placed: DataFrame, wanted: Column) -> DataFrame:
+    """Rows of one task per pair of blocks that share a prefix token, of those ``wanted``."""
     tokens = prefixes.select("node", F.explode("p1").alias("token")).join(placed, "node").groupBy("token", "cluster", "blk").agg(
         F.min("label").alias("lo"), F.max("label").alias("hi")
     )
     left, right = (tokens.select("token", F.col("cluster").alias(f"c{s}"), F.col("blk").alias(s), F.col("lo").alias(f"lo{s}"), F.col("hi").alias(f"hi{s}")) for s in "ab")
-    met = left.join(right, "token").where("a <= b and not (loa = hib and hia = lob)").select(F.col("ca").alias("cluster"), "a", "b").distinct()
+    met = left.join(right, "token").where("a <= b").where(wanted).select(F.col("ca").alias("cluster"), "a", "b").distinct()
     task = F.struct("cluster", "a", "b")
     sides = met.select(task.alias("task"), F.explode(F.array_distinct(F.array(
         F.struct(F.col("a").alias("blk"), F.when(F.col("a") == F.col("b"), -1).otherwise(0).alias("side")),
         F.struct(F.col("b").alias("blk"), F.when(F.col("a") == F.col("b"), -1).otherwise(1).alias("side")),
     ))).alias("s")).select("task", "s.blk", "s.side")
-    return found, sides.join(placed, "blk").select("task", "side", "label", "node")
+    return sides.join(placed, "blk").select("task", "side", "label", "node")
 
 
-def linked(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", ngram: int = NGRAM, similarity: int = SIMILARITY, block: int = BLOCK
-) -> DataFrame:
-    """Every row of ``docs`` as ``(id, th, n, head)``: ``head`` is the struct ``(id, th)``
-    of the first document of its component."""
+def _classes(docs: DataFrame, key: str, text: str, ngram: int, similarity: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signed rows, their classes of equal sets, and whole sets of the classes that may have a partner."""
     rows = keyed(docs, key, text)
     signed = stored(signatures(rows, ngram), "signatures")
     classes = signed.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min(F.struct("id", "th")).alias("first"))
@@ -306,7 +386,22 @@ def linked(
     left = classes.join(hits, F.col("node") == F.col("_node")).where(F.col("hits") >= needed)
     left = small(stored(left.select("first.id", "first.th").distinct(), "sieved"))
     sets = stored(_whole_sets(rows.join(left, ["id", "th"], "left_semi"), ngram), "sets")
-    labels = components(_links(sets, similarity, block))
+    return signed, classes, sets
+
+
+def linked(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    ngram: int = NGRAM,
+    similarity: int = SIMILARITY,
+    block: int = BLOCK,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Every row of ``docs`` as ``(id, th, n, head)``: ``head`` is the struct ``(id, th)``
+    of the first document of its component."""
+    signed, classes, sets = _classes(docs, key, text, ngram, similarity)
+    labels = components(_links(sets, similarity, block, block_rows))
     heads = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = heads.groupBy("label").agg(F.min("first").alias("head"))
     heads = heads.select("node", "label").join(first, "label").select("node", "head")
@@ -315,6 +410,27 @@ def linked(
     return joined.select("id", "th", "n", F.when(F.col("n") > 0, F.col("head")).otherwise(own).alias("head"))
 
 
+def link_counts(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    ngram: int = NGRAM,
+    similarity: int = SIMILARITY,
+    block: int = BLOCK,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Every row of ``docs`` as ``(id, th, n, class_id, n_links)``: the class of equal sets it
+    is in, and how many other classes link with that one. Every candidate pair is verified,
+    so a group of near copies costs its pairs, block by block; none leaves its task.
+    """
+    signed, _, sets = _classes(docs, key, text, ngram, similarity)
+    rows, _ = _tasks(sets, similarity, block, block_rows, all_links=True)
+    counts = rows.groupBy("task").applyInPandas(_counted(similarity), "node long, links long")
+    counts = counts.groupBy("node").agg(F.sum("links").alias("links"))
+    class_id = F.when(F.col("n") > 0, F.col("node")).alias("class_id")
+    return signed.join(counts, "node", "left").select("id", "th", "n", class_id, F.coalesce("links", F.lit(0)).alias("n_links"))
+
+
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Rows of ``docs`` without those linked to an earlier document; equal rows once."""
     found = stored(linked(docs, key, text, **options), "linked")

@@ -189,6 +189,39 @@ def test_jaccard_large_clusters(spark, block):
     assert got == {(d[0], *v) for d, v in groups(rows).items()}
 
 
+def test_jaccard_blocks_bounded_by_rows(spark):
+    """Short sets make blocks by their number of rows."""
+    rows = chain(25)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r.id, r.n, r.head.id) for r in jaccard.linked(docs, block_rows=7).collect()}
+    assert got == {(d[0], *v) for d, v in groups(rows).items()}
+
+
+def partners(rows):
+    """For each id, the number of different other sets that link with its own."""
+    own = {i: shingle_set(t) for i, t in rows}
+    sets = set(own.values()) - {frozenset()}
+    return {i: sum(1 for s in sets if s != o and 100 * len(s & o) >= 75 * len(s | o)) if o else 0 for i, o in own.items()}
+
+
+def shingle_set(text):
+    ws = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in tokens(text)]
+    size = min(5, len(ws))
+    return frozenset(tuple(ws[i : i + size]) for i in range(len(ws) - size + 1)) if size else frozenset()
+
+
+@pytest.mark.parametrize("options", [{}, {"block_rows": 7}])
+def test_jaccard_link_counts(spark, options):
+    """All links are counted, also between texts of one component, whatever the blocks."""
+    copies = [(300, prose(900, 70) + " " + prose(700, 12)), (301, ""), (302, None)]
+    many = [(400 + i, prose(901, 60) + f" tail{i}") for i in range(30)]
+    rows = chain(25) + copies + many
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.id: r.n_links for r in jaccard.link_counts(docs, **options).collect()}
+    assert got == partners(rows)
+    assert got[401] == 29
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (300, 300), (7, 3)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
