@@ -186,22 +186,40 @@ FROM docs d LEFT JOIN sizes z USING (doc_id)
 """
 
 ORACLE["op7_preference_chat"] = """
-WITH turns AS (
-    SELECT conv_id // 2 AS pair_id, turn, role, text, count(*) FILTER (conv_id % 2 = 0) AS c, count(*) FILTER (conv_id % 2 = 1) AS r
-    FROM conversations WHERE conv_id IS NOT NULL GROUP BY ALL
+WITH known AS (
+    SELECT *, max(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS last FROM conversations WHERE conv_id IS NOT NULL
+), paired AS (
+    SELECT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS chosen, turn, role, text FROM known
+    UNION ALL SELECT -conv_id - 1, true, turn, role, text FROM known
+    UNION ALL SELECT -conv_id - 1, false, turn, role,
+        CASE WHEN role = 'assistant' AND turn = last THEN left(text, length(text) // 2) ELSE text END FROM known
+), turns AS (
+    SELECT pair_id, COALESCE(turn, -9223372036854775808) AS place, role, text,
+        count(*) FILTER (chosen) AS c, count(*) FILTER (NOT chosen) AS r
+    FROM paired GROUP BY ALL
 ), splits AS (
-    SELECT pair_id, min(COALESCE(turn, -9223372036854775808)) AS split FROM turns WHERE c <> r GROUP BY pair_id
+    SELECT pair_id, min(place) FILTER (c <> r) AS split, sum(c) > 0 AS has_c, sum(r) > 0 AS has_r FROM turns GROUP BY pair_id
 ), parts AS (
-    SELECT pair_id, turn, role, text, unnest(CASE
-        WHEN split IS NULL OR COALESCE(turn, -9223372036854775808) < split THEN [{'part': 'prompt', 'copies': c}]
+    SELECT pair_id, place, role, text, has_c, has_r, unnest(CASE
+        WHEN split IS NULL OR place < split THEN [{'part': 'prompt', 'copies': c}]
         ELSE [{'part': 'chosen', 'copies': c}, {'part': 'rejected', 'copies': r}] END) AS p
-    FROM turns LEFT JOIN splits USING (pair_id)
+    FROM turns JOIN splits USING (pair_id)
 ), shown AS (
-    SELECT pair_id, p.part AS part, turn, role, text, p.copies AS copies,
-        '<|' || COALESCE(role, 'user') || '|>' || chr(10) || COALESCE(text, '') || '<|end|>' || chr(10) AS rendered
+    SELECT pair_id, p.part AS part, place, role, text, has_c, has_r, COALESCE(role = 'assistant', false) AS trained,
+        repeat('<|' || COALESCE(role, 'user') || '|>' || chr(10) || COALESCE(text, '') || '<|end|>' || chr(10), p.copies::BIGINT) AS piece
     FROM parts WHERE p.copies > 0
+), spanned AS (
+    SELECT *, COALESCE(sum(length(piece)) OVER (PARTITION BY pair_id, part ORDER BY place, role NULLS FIRST, text NULLS FIRST
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM shown
 )
-SELECT *, length(rendered) * copies AS n_chars, COALESCE(part <> 'prompt' AND role = 'assistant', false) AS trained FROM shown
+SELECT pair_id, 'pair' AS form, NULL::BIGINT AS turn,
+    CASE WHEN any_value(has_c) AND any_value(has_r) THEN 'both' WHEN any_value(has_c) THEN 'chosen' ELSE 'rejected' END AS sides,
+    COALESCE(string_agg(piece, '' ORDER BY start) FILTER (part = 'prompt'), '') AS prompt,
+    COALESCE(string_agg(piece, '' ORDER BY start) FILTER (part = 'chosen'), '') AS chosen,
+    COALESCE(string_agg(start || '+' || length(piece), ',' ORDER BY start) FILTER (part = 'chosen' AND trained), '') AS chosen_spans,
+    COALESCE(string_agg(piece, '' ORDER BY start) FILTER (part = 'rejected'), '') AS rejected,
+    COALESCE(string_agg(start || '+' || length(piece), ',' ORDER BY start) FILTER (part = 'rejected' AND trained), '') AS rejected_spans
+FROM spanned GROUP BY pair_id
 """
 
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"

@@ -77,9 +77,12 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op7_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompt and completion segments of all neighbouring conversations."""
-    pairs = chat.neighbours(table(spark, sf_dir, "conversations"))
-    return chat.preference_segments(pairs)
+    """Prompt, completions and trained spans of all neighbouring conversations, and of all
+    conversations against themselves with a cut answer."""
+    conversations = table(spark, sf_dir, "conversations")
+    found = chat.preference_pairs(chat.neighbours(conversations).unionByName(chat.cut_answers(conversations)))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("+", s["start"], s["length"])), ",").alias(c)
+    return found.select("pair_id", "form", "sides", "turn", "prompt", "chosen", spans("chosen_spans"), "rejected", spans("rejected_spans"))
 
 
 @register

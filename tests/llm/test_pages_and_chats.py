@@ -135,6 +135,57 @@ def test_preference_pairs(spark):
     }
 
 
+def shown(role, text):
+    return f"<|{role or 'user'}|>\n{text or ''}<|end|>\n"
+
+
+PAIRED = [
+    (0, 0, "user", "hi"), (0, 1, "assistant", "a"), (0, 2, "user", "b"), (0, 3, "assistant", "é😀"), (1, 0, "user", "hi"), (1, 1, "assistant", "c"),
+    (2, 0, "user", "same"), (3, 0, "user", "same"), (3, 1, "assistant", "more"), (5, 0, "assistant", "only"),
+    (6, None, "system", "s"), (6, 0, "assistant", "q"), (6, 0, "assistant", "q"), (7, None, "system", "s"), (7, 0, "assistant", "q"), (None, 0, "user", "lost"),
+]
+
+
+def test_preference_rows(spark):
+    pairs = chat.neighbours(conversations(spark, PAIRED))
+    got = {r.pair_id: r for r in chat.preference_pairs(pairs).collect()}
+    first = got[0]
+    assert (first.form, first.sides, first.prompt) == ("pair", "both", shown("user", "hi"))
+    assert first.chosen == shown("assistant", "a") + shown("user", "b") + shown("assistant", "é😀")
+    trained = [first.chosen[s.start : s.start + s.length] for s in first.chosen_spans]
+    assert trained == [shown("assistant", "a"), shown("assistant", "é😀")]
+    assert first.rejected == shown("assistant", "c") and [tuple(s) for s in first.rejected_spans] == [(0, len(first.rejected))]
+    assert (got[1].sides, got[1].chosen, got[1].chosen_spans, got[1].rejected) == ("both", "", [], shown("assistant", "more"))
+    assert (got[2].sides, got[2].prompt, got[2].chosen) == ("rejected", "", "")
+    assert got[3].prompt == shown("system", "s") and got[3].chosen == 2 * shown("assistant", "q") and got[3].rejected == shown("assistant", "q")
+    assert set(got) == {0, 1, 2, 3}
+
+
+@pytest.mark.parametrize("bound", [{"max_chars": 60}, {"max_segments": 3}])
+def test_pairs_beyond_the_bounds_stay_segments(spark, bound):
+    pairs = chat.neighbours(conversations(spark, PAIRED))
+    rows = chat.preference_pairs(pairs, **bound).collect()
+    loose = sorted((r for r in rows if r.form == "segment" and r.pair_id == 0), key=lambda r: r.turn)
+    assert [(r.turn, r.prompt, r.chosen, r.rejected) for r in loose if not r.rejected] == [
+        (0, shown("user", "hi"), None, None), (1, None, shown("assistant", "a"), None),
+        (2, None, shown("user", "b"), None), (3, None, shown("assistant", "é😀"), None),
+    ]
+    assert {r.sides for r in loose} == {"both"}
+    assert [r.chosen_spans and [tuple(s) for s in r.chosen_spans] for r in loose if r.chosen] == [[(0, len(shown("assistant", "a")))], [], [(0, len(shown("assistant", "é😀")))]]
+    assert all(r.form == "pair" for r in rows if r.pair_id in (1, 2))
+
+
+def test_cut_answers(spark):
+    pairs = chat.cut_answers(conversations(spark, PAIRED + [(20, 0, "user", "no answer"), (21, 0, "assistant", None)]))
+    got = {r.pair_id: r for r in chat.preference_pairs(pairs).collect()}
+    assert got[-1].prompt == shown("user", "hi") + shown("assistant", "a") + shown("user", "b")
+    assert (got[-1].chosen, got[-1].rejected) == (shown("assistant", "é😀"), shown("assistant", "é"))
+    assert got[-21].prompt == shown("user", "no answer") and got[-21].chosen == got[-21].rejected == ""
+    assert got[-22].prompt == shown("assistant", None)
+    assert got[-7].rejected == 2 * shown("assistant", "")
+    assert chat.preference_pairs(chat.cut_answers(spark.createDataFrame([], TURNS))).count() == 0
+
+
 def test_rendered_turns(spark):
     rows = [(0, 0, None, None), (0, 1, "assistant", "é" * 100_000), (1, 0, None, None)]
     got = {r.turn: r for r in chat.preference_segments(chat.neighbours(conversations(spark, rows))).collect()}
