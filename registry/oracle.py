@@ -394,6 +394,13 @@ SELECT symbol FROM companies WHERE region = 'ASIA' AND NOT regexp_matches(symbol
 """,
     "rolling_history": _ROLLING_BY_TYPE,
     "rolling_history_split": _ROLLING_BY_TYPE,
+    "rolling_keyed": f"""
+WITH prices AS (
+    SELECT 'U' || CAST(user_id AS VARCHAR) AS symbol, ts AS date, max(value) AS close FROM events GROUP BY user_id, ts
+),
+rolled AS ({_rolled(12, "(SELECT *, close AS price FROM prices)", "date")})
+SELECT symbol, date, price AS close, round(close, 6) AS close_mean FROM rolled
+""",
     "history_at_dates": f"""
 WITH {_BY_USER},
 recent AS (SELECT * FROM history WHERE date >= TIMESTAMP '2024-01-03'),
