@@ -16,6 +16,7 @@ from .columns import (
 from .joins import latest_rows, merge_new_columns, outer_merge, pending, upsert
 from .ordered import has_heavy_keys, lookback_window, running_total, slice_heavy_keys
 from .ranking import ranked, top_n
+from .steps import step_join, value_steps
 
 __all__ = [
     "asof_join",
@@ -38,6 +39,8 @@ __all__ = [
     "running_total",
     "slice_heavy_keys",
     "sort_columns",
+    "step_join",
     "top_n",
     "upsert",
+    "value_steps",
 ]

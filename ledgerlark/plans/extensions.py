@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.numbers import finite, ratio
-from ..operators.asof import asof_join
 from ..operators.joins import left_lookup
-from ..operators.ordered import SPLIT_ROWS, lookback_window, null_safe_join, running_total
+from ..operators.ordered import BROADCAST_ROWS, SPLIT_ROWS, lookback_window, running_total
+from ..operators.steps import step_join
 from .kpis import STATEMENT_ORDER, newest_quotes
 
 
+_RATE = "_usd_rate"
 GROWING = ("free_cash_flow", "earnings_per_share")
 
 
@@ -68,19 +69,22 @@ def split_effect(history: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
 
 
 def to_usd(
-    table: DataFrame, rates: DataFrame, money: Sequence[str], date: str = "as_of_date", split_rows: int = SPLIT_ROWS
+    table: DataFrame,
+    rates: DataFrame,
+    money: Sequence[str],
+    date: str = "as_of_date",
+    split_rows: int = SPLIT_ROWS,
+    max_steps: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Convert the money columns with the last rate at or before the row's date.
 
     ``rates`` has ``currency_code``, ``date`` and ``usd_rate``. Dollars keep their
-    value; a row without a rate gets NULL. As few currencies cover all rows, rates
-    are looked up once per currency and day, then joined to the rows.
+    value; a row without a rate gets NULL. Rates are folded to the days at which they change;
+    up to ``max_steps`` of these are broadcast as sorted arrays, and rows stay where they are.
     """
-    days = table.select("currency_code", date).distinct()
-    looked_up = asof_join(days, rates, ["currency_code"], date, "date", ["usd_rate"], split_rows)
-    rate = F.when(F.col("currency_code") == "USD", F.lit(1.0)).otherwise(F.col("usd_rate"))
-    priced = null_safe_join(table, looked_up, ["currency_code", date], "left")
-    return priced.select(*[(F.col(c) * rate).alias(c) if c in money else F.col(c) for c in table.columns])
+    rated = step_join(table, rates.withColumnRenamed("usd_rate", _RATE), ["currency_code"], date, "date", [_RATE], split_rows, max_steps)
+    rate = F.when(F.col("currency_code") == "USD", F.lit(1.0)).otherwise(F.col(_RATE))
+    return rated.select(*[(F.col(f"`{c}`") * rate).alias(c) if c in money else F.col(f"`{c}`") for c in table.columns])
 
 
 def insider_purchases(kpis: DataFrame, purchases: DataFrame) -> DataFrame:
