@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import settle
+from ..session import written
 from .asof import asof_join
-from .ordered import BROADCAST_ROWS, SPLIT_ROWS, lookback_window
+from .ordered import BROADCAST_ROWS, SPLIT_ROWS, lookback_window, row_bound
 
 # Steps that one span of days should hold.
 SPAN_STEPS = 32
@@ -24,15 +24,21 @@ def value_steps(
 
     Rows without key or time say nothing. Of rows with equal time the greatest values count.
     """
+    return _changes(_moments(table, keys, time, values), keys, split_rows)
+
+
+def _moments(table: DataFrame, keys: Sequence[str], time: str, values: Sequence[str]) -> DataFrame:
     known = table.where(F.col(time).isNotNull())
     for key in keys:
         known = known.where(F.col(key).isNotNull())
-    moments = known.groupBy(*keys, F.col(time).alias("_time")).agg(F.max(F.struct(*values)).alias("_value"))
+    return known.groupBy(*keys, F.col(time).alias("_time")).agg(F.max(F.struct(*values)).alias("_value"))
+
 
+def _changes(moments: DataFrame, keys: Sequence[str], split_rows: int, heavy: bool | None = None) -> DataFrame:
     def before(window: WindowSpec) -> dict[str, Column]:
         return {"_before": F.lag("_value").over(window)}
 
-    told = lookback_window(moments, keys, ["_time"], 1, before, split_rows)
+    told = lookback_window(moments, keys, ["_time"], 1, before, split_rows, heavy=heavy)
     # A value of a row is never NULL itself, as it is a struct.
     return told.where(~F.col("_value").eqNullSafe(F.col("_before"))).drop("_before")
 
@@ -62,14 +68,19 @@ def step_join(
     wide = any(isinstance(kinds[v], (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType, T.VariantType)) for v in values)
     if wide or not isinstance(kinds[right_time], _DATED) or not isinstance(left.schema[left_time].dataType, _DATED):
         return asof_join(left, right, keys, left_time, right_time, values, split_rows)
-    steps = settle(value_steps(right, keys, right_time, values, split_rows))
-    bounds = steps.agg(
-        F.count(F.lit(1)), F.approx_count_distinct(F.struct(*keys)), F.min(_day("_time")), F.max(_day("_time"))
-    ).first()
-    count, groups, first, last = bounds
+    moments, seen = written(_moments(right, keys, right_time, values), {"rows": F.count(F.lit(1))})
+    heavy = None if seen["rows"] > row_bound(moments, split_rows) else False
+    figures = {
+        "count": F.count(F.lit(1)),
+        "groups": F.approx_count_distinct(F.struct(*keys)),
+        "first": F.min(_day("_time")),
+        "last": F.max(_day("_time")),
+    }
+    steps, told = written(_changes(moments, keys, split_rows, heavy), figures)
+    count, groups, first, last = (told[name] for name in figures)
     if count > max_steps:
-        told = steps.select(*keys, F.col("_time").alias(right_time), "_value.*")
-        return asof_join(left, told, keys, left_time, right_time, values, split_rows)
+        fewer = steps.select(*keys, F.col("_time").alias(right_time), "_value.*")
+        return asof_join(left, fewer, keys, left_time, right_time, values, split_rows)
     if not count:
         return left.select("*", *[F.lit(None).cast(kinds[v]).alias(v) for v in values])
     spans = max(1, -(-count // (max(groups, 1) * SPAN_STEPS)))
@@ -97,8 +108,7 @@ def _step_arrays(steps: DataFrame, keys: Sequence[str], spans: int) -> tuple[Dat
     There are at most about as many rows as steps over ``SPAN_STEPS``, plus one per key.
     """
     own = steps.groupBy(*keys, "_span").agg(F.sort_array(F.collect_list(F.struct("_time", "_value"))).alias("_own"))
-    own = settle(own)
-    most = own.agg(F.max(F.size("_own"))).first()[0] + 1
+    most = steps.groupBy(*keys, "_span").count().agg(F.max("count")).first()[0] + 1
     following = Window.partitionBy(*keys).orderBy("_span")
     until = F.coalesce(F.lead("_span").over(following) - 1, F.lit(spans - 1))
     ahead = F.lag(F.element_at("_own", -1)).over(following)
