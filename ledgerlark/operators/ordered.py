@@ -5,8 +5,10 @@ keys are found first with one narrow aggregate. If there are none, the plain
 window is used. Otherwise a sample of each heavy key gives quantiles of its order
 columns. These are kept as values, and rows are compared with them as values, in the
 order in which Spark sorts, so that columns of any type are cut where they really
-differ. The rows between two of them are a slice. Neighbouring slices are joined to
-chunks, and every chunk also receives the few rows before it that its window frames
+differ. The rows between two of them are a slice. If a key needs so many slices that the
+search would carry a long array along with every row, the quantiles only cut it into groups
+that a task holds, and inside a group slices are counted off in order. Neighbouring slices
+are joined to chunks, and every chunk also receives the few rows before it that its window frames
 can reach. The result is the same as that of the plain window, wherever the cuts are.
 """
 
@@ -27,6 +29,9 @@ SPLIT_BYTES = 512 << 20
 # Slices that the bound is cut into, and sampled rows per slice.
 SLICES = 4
 POINTS = 8
+# Most fences that a row is compared with, and groups of a key that needs more slices.
+FENCES = 512
+GROUPS = 64
 # Largest helper table, in rows of about 100 bytes, that is sent to all executors.
 BROADCAST_ROWS = 500_000
 
@@ -35,7 +40,7 @@ WindowColumns = Callable[[WindowSpec], dict[str, Column] | list[dict[str, Column
 SLICE = "_slice"
 TIE = "_tie"
 _CHUNK, _OWN, _TARGETS, _TIMES = "_chunk", "_own", "_targets", "_times"
-_FENCES = "_fences"
+_FENCES, _NUMBER = "_fences", "_number"
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -108,21 +113,61 @@ def cut_heavy_keys(
     split_rows = row_bound(df, split_rows)
     if heavy is False:
         return None, False
-    big = settle(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > split_rows).select(*keys))
-    if big.isEmpty():
+    big = settle(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > split_rows))
+    longest = big.agg(F.max("_rows")).first()[0]
+    if longest is None:
         return None, False
+    big = big.select(*keys)
     for name in order:
         kind = df.schema[name].dataType
         if not isinstance(kind, T.AtomicType):
             raise TypeError(f"rows of a heavy key cannot be cut along {name}, of type {kind.simpleString()}")
+    every = max(1, split_rows // slices)
+    if longest > FENCES * every:
+        return _cut_in_groups(df, keys, order, big, longest, split_rows, every)
+    numbered, tied = _numbered_slices(df, keys, order, big, split_rows, slices)
+    return numbered.withColumn(SLICE, _slice_of(F.col(_NUMBER))).drop(_NUMBER), tied
+
+
+def _slice_of(*numbers: Column) -> Column:
+    return F.when(numbers[0].isNotNull(), F.array(*numbers)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _numbered_slices(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], big: DataFrame, split_rows: int, slices: int
+) -> tuple[DataFrame, bool]:
+    """``df`` with the number of the slice in ``_number``, NULL for ordinary keys, and
+    whether a value is too frequent for a slice."""
     place = F.struct(*[F.col(f"`{name}`") for name in order])
-    fences = settle(_fences(df.select(*keys, place.alias("_place")), big, keys, split_rows, slices))
+    found = _fences(df.select(*keys, place.alias("_place")), big, keys, split_rows, slices)
+    # A heavy key without a sampled row is one slice.
+    empty = F.array().cast(found.schema[_FENCES].dataType)
+    fences = settle(null_safe_join(big, found, keys, "left").withColumn(_FENCES, F.coalesce(_FENCES, empty)))
     most, total, tied = fences.agg(F.max(F.size(_FENCES)), F.sum(F.size(_FENCES)), F.max("_tied")).first()
     table = fences.select(*keys, _FENCES)
     fenced = null_safe_join(df, F.broadcast(table) if total <= BROADCAST_ROWS else table, keys, "left")
-    number = F.when(F.col(_FENCES).isNotNull(), F.array(_fences_before(place, F.col(_FENCES), most)))
-    cut = fenced.withColumn(SLICE, F.coalesce(number, F.array().cast("array<bigint>"))).drop(_FENCES)
-    return cut, bool(tied)
+    number = F.when(F.col(_FENCES).isNotNull(), _fences_before(place, F.col(_FENCES), most))
+    return fenced.withColumn(_NUMBER, number).drop(_FENCES), bool(tied)
+
+
+def _cut_in_groups(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], big: DataFrame, longest: int, split_rows: int, every: int
+) -> tuple[DataFrame, bool]:
+    """The same for keys of many slices: groups of about equal size, whose number does not
+    rise with the slices, and in each of them slices of ``every`` rows by their rank.
+
+    Ties have one rank, so they stay in one slice. Rows are shuffled once for this and kept,
+    as all that follows reads them more than once.
+    """
+    size = max(1, min(-(-longest // GROUPS), row_bound(df) // SLICES))
+    grouped, _ = _numbered_slices(df, keys, order, big, size, 1)
+    in_order = Window.partitionBy(*keys, _NUMBER).orderBy(*order)
+    rank = F.rank().over(in_order)
+    ranked = grouped.select("*", rank.alias("_rank"), (F.row_number().over(in_order) - rank + 1).alias("_nth_tie"))
+    within = F.floor((F.col("_rank") - 1) / F.lit(every)).cast("bigint")
+    cut = settle(ranked.select(*df.columns, _slice_of(F.col(_NUMBER), within).alias(SLICE), "_nth_tie"))
+    most_tied = cut.agg(F.max("_nth_tie")).first()[0]
+    return cut.drop("_nth_tie"), most_tied > split_rows
 
 
 def _fences(places: DataFrame, big: DataFrame, keys: Sequence[str], split_rows: int, slices: int) -> DataFrame:

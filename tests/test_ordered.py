@@ -258,3 +258,30 @@ def test_sampled_fences(spark):
     assert rows(rolled(df, 3, split_rows=2000).agg(F.sum("n"), F.sum(F.hash("id", "lagged", "top").cast("long")))) == rows(
         rolled(df, 3).agg(F.sum("n"), F.sum(F.hash("id", "lagged", "top").cast("long")))
     )
+
+
+def test_many_slices_need_no_long_arrays(spark, monkeypatch):
+    """However many slices a key needs, a row is compared with few fences."""
+    lengths, search = [], ordered_module._fences_before
+    monkeypatch.setattr(ordered_module, "_fences_before", lambda place, fences, most: lengths.append(most) or search(place, fences, most))
+    df = spark.range(6_000).select(F.lit("k").alias("k"), F.xxhash64("id").alias("t"), "id", F.col("id").cast("double").alias("v"))
+    cut = slice_heavy_keys(df, ["k"], ["t"], split_rows=8)
+    sizes = [r["count"] for r in cut.groupBy(SLICE).count().collect()]
+    assert max(lengths) <= 512 and len(sizes) >= 3000 and max(sizes) <= 8
+    assert rows(rolled(df, 3, split_rows=8)) == rows(rolled(df, 3))
+
+
+@pytest.mark.parametrize("kind", ["even", "burst", "instant"])
+def test_slices_counted_in_groups(spark, monkeypatch, kind):
+    """Windows, sums and as-of joins over keys that are cut into groups first; some heavy keys have no sampled row."""
+    monkeypatch.setattr(ordered_module, "FENCES", 4)
+    monkeypatch.setattr(ordered_module, "GROUPS", 3)
+    df = history(spark, seed=31, kind=kind)
+    assert rows(rolled(df, 5, split_rows=9, slices=4)) == rows(rolled(df, 5))
+    sums = df.withColumn("v", F.col("v").cast("decimal(8,2)"))
+    total = lambda **split: rows(running_total(sums, ["k"], ["t", "id"], "v", "sum", **split))
+    assert total(split_rows=9) == total()
+    right = history(spark, seed=32, n=250, kind=kind).select("k", "t", "v")
+    asked = df.select("k", F.col("t").alias("asked"))
+    expected = brute_asof([tuple(r) for r in asked.collect()], [tuple(r) for r in right.collect()])
+    assert rows(asof_join(asked, right, ["k"], "asked", "t", ["v"], split_rows=9)) == expected
