@@ -15,11 +15,16 @@ from ..operators.columns import conform
 from ..operators.joins import left_lookup, upsert
 from ..operators.ordered import SPLIT_ROWS, lookback_window, null_safe_join
 from ..schema import KEY_COLUMNS, STATEMENT_SCHEMA
+from ..session import written
 from .kpis import DEBT_ORDER, kpi_columns, quote_figures
 
 REASONS = ("changed", "after a change", "EBIT rule")
 
 
+def _written(df: DataFrame) -> DataFrame:
+    return written(df, {"rows": F.count(F.lit(1))})[0]
+
+
 def restated(old: DataFrame, landed: DataFrame) -> DataFrame:
     """Rows of ``landed`` that are new or differ from the old row of their key."""
     values = [F.col(f"`{name}`") for name in STATEMENT_SCHEMA.names]
@@ -27,7 +32,7 @@ def restated(old: DataFrame, landed: DataFrame) -> DataFrame:
     before = conform(old, STATEMENT_SCHEMA).select(*KEY_COLUMNS, F.struct(*values).alias("_before"))
     after = conform(landed, STATEMENT_SCHEMA)
     joined = null_safe_join(after, before, KEY_COLUMNS, "left")
-    return joined.where(~F.struct(*values).eqNullSafe(F.col("_before"))).select(*after.columns)
+    return _written(joined.where(~F.struct(*values).eqNullSafe(F.col("_before"))).select(*after.columns))
 
 
 def reached_rows(old: DataFrame, changed: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
@@ -38,7 +43,7 @@ def reached_rows(old: DataFrame, changed: DataFrame, split_rows: int = SPLIT_ROW
     """
     narrow = [*KEY_COLUMNS, "total_debt", "ebit"]
     symbols = changed.select("symbol").distinct()
-    before = null_safe_join(conform(old, STATEMENT_SCHEMA).select(*narrow), symbols, ["symbol"], "left_semi")
+    before = _written(null_safe_join(conform(old, STATEMENT_SCHEMA).select(*narrow), symbols, ["symbol"], "left_semi"))
     after = conform(changed, STATEMENT_SCHEMA).select(*narrow, F.lit(True).alias("_changed"))
     merged = upsert(before.withColumn("_changed", F.lit(False)), after, KEY_COLUMNS)
     zero = lambda name: F.coalesce(F.max(F.col("ebit") == 0), F.lit(False)).alias(name)
@@ -65,7 +70,11 @@ def recomputed_kpis(
     old: DataFrame, changed: DataFrame, quotes: DataFrame, split_rows: int = SPLIT_ROWS
 ) -> DataFrame:
     """KPI rows of the statements that ``changed`` reaches, and of no others."""
-    reached = reached_rows(old, changed, split_rows).drop("reason")
+    return _kpis_of(old, changed, quotes, reached_rows(old, changed, split_rows))
+
+
+def _kpis_of(old: DataFrame, changed: DataFrame, quotes: DataFrame, reached: DataFrame) -> DataFrame:
+    reached = reached.drop("reason")
     old, changed = conform(old, STATEMENT_SCHEMA), conform(changed, STATEMENT_SCHEMA)
     kept = null_safe_join(old, changed.select(*KEY_COLUMNS).distinct(), KEY_COLUMNS, "left_anti")
     # Both parts are met with the few keys reached before they are stacked.
@@ -78,5 +87,9 @@ def propagate(
 ) -> DataFrame:
     """The KPI table ``kpis`` of ``old`` after ``landed`` statements, whose newest versions
     these are, one per key. Landed rows that change nothing cause no work."""
-    fresh = recomputed_kpis(old, restated(old, landed), quotes, split_rows)
-    return upsert(kpis, fresh, KEY_COLUMNS)
+    changed = restated(old, landed)
+    reached = _written(reached_rows(old, changed, split_rows))
+    fresh = _kpis_of(old, changed, quotes, reached)
+    # The keys of fresh rows are those reached, so rows need not be computed to tell which go.
+    kept = null_safe_join(kpis, reached.select(*KEY_COLUMNS).distinct(), KEY_COLUMNS, "left_anti")
+    return kept.unionByName(fresh, allowMissingColumns=True)

@@ -30,7 +30,7 @@ from ledgerlark.operators import (
 from ledgerlark.operators.ordered import has_heavy_keys, null_safe_join
 from ledgerlark.plans import extensions
 from ledgerlark.schema import HISTORY_SCHEMA, KEY_COLUMNS
-from ledgerlark.session import ensure_checkpoint_dir
+from ledgerlark.session import ensure_checkpoint_dir, written
 from ledgerlark.sources import (
     column_types,
     current_table,
@@ -460,7 +460,8 @@ def refresh_kpis(spark, sf_dir):
 def _restated_panel(spark, sf_dir):
     """The panel up to 1997 as old rows; later ones as new, and some old ones restated: other
     debt, an EBIT that becomes 0 or stops being it, and rows that say the same again."""
-    panel = given.statements(spark, sf_dir, with_lines=True)
+    # Old and landed rows are read several times, the lines behind them once.
+    panel, _ = written(given.statements(spark, sf_dir, with_lines=True), {"rows": F.count(F.lit(1))})
     year, number = F.year("as_of_date"), F.substring("symbol", 2, 20).cast("int")
     old = panel.where(year <= 1997)
     again = (year > 1997) | (number % 11 == F.pmod(year, F.lit(11)))

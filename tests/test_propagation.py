@@ -6,6 +6,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlark import plans
 
@@ -63,3 +64,19 @@ def test_only_reached_rows_are_computed(spark):
     old, new = frame(spark, many), frame(spark, [("S3", 2004, "12M", 1.0, 4.0), ("S7", 2009, "12M", 2009.0, 4.0)])
     fresh = plans.recomputed_kpis(old, plans.restated(old, new), quotes(spark))
     assert rows(fresh, "symbol", "total_debt", "debt_service") == [("S3", 1.0, -2001.0), ("S3", 2005.0, 2005.0)]
+
+
+def test_shared_steps_are_run_once(spark):
+    """The old panel is read by a bounded number of steps, and changed rows are not joined again for each of them."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(symbol):
+        runs.add(1)
+        return symbol
+
+    mark = F.udf(seen, "string").asNondeterministic()
+    source = spark.range(50).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("symbol"), F.to_timestamp_ntz(F.lit("2024-12-31")).alias("as_of_date"), F.lit("12M").alias("period_type"), F.col("id").cast("double").alias("total_debt"))
+    landed = source.withColumn("symbol", mark("symbol")).withColumn("total_debt", F.col("total_debt") + 1)
+    fresh = plans.propagate(source, landed, quotes(spark), plans.compute_kpis(source, quotes(spark)))
+    assert fresh.count() == 50 and fresh.where("total_debt >= 1").count() == 50
+    assert runs.value == 50
