@@ -8,9 +8,9 @@ which only assistant turns are trained on; all else is masked.
 ``preference_segments`` has one row per rendered segment, so that a conversation of any
 length never has to fit into one task: the first difference is a map-side combined
 minimum, and copies of a turn are counted, not gathered. ``preference_pairs`` puts the
-segments of every bounded pair into one row: the prompt, both completions, and for each
-the character spans that are trained on. The segments of a longer pair stay rows of their
-own, so nothing is lost and no group is unbounded.
+segments of every pair into one row: the prompt, both completions, and for each the
+character spans that are trained on. Such a row, and the task that makes it, holds its pair
+whole. Only a caller who sets bounds gets the segments of longer pairs as rows of their own.
 
 Defined cases: a null role is rendered as ``user``, a null text as empty; but null and
 empty texts differ. Rows with a null conversation id belong to no pair, and a null turn
@@ -29,8 +29,6 @@ from .common import stored
 
 PROMPT, CHOSEN, REJECTED = "prompt", "chosen", "rejected"
 BOTH = "both"
-# A pair is put into one row up to so many characters and segments.
-PAIR_CHARS, PAIR_SEGMENTS = 1_000_000, 10_000
 # Places a null turn before all others.
 _NULL_TURN = -(2**63)
 
@@ -76,22 +74,28 @@ def preference_segments(turns: DataFrame) -> DataFrame:
     )
 
 
-def preference_pairs(turns: DataFrame, max_chars: int = PAIR_CHARS, max_segments: int = PAIR_SEGMENTS) -> DataFrame:
+def preference_pairs(turns: DataFrame, max_chars: int | None = None, max_segments: int | None = None) -> DataFrame:
     """Preference rows from the same input as ``preference_segments``.
 
     Returns ``pair_id, form, sides, turn, prompt, chosen, chosen_spans, rejected,
     rejected_spans``. A row of form ``pair`` is a whole pair: texts in the order of turns,
     and arrays of ``(start, length)``, in characters, of what is trained on; all else is
-    masked. Pairs beyond the bounds have one row of form ``segment`` per segment, with its
+    masked. Pairs beyond the bounds, if any are set, have one row of form ``segment`` per segment, with its
     ``turn``, and only the column of its part filled. ``sides`` is ``both``, ``chosen`` or
     ``rejected``.
     """
     segments = stored(preference_segments(turns.where(F.col("pair_id").isNotNull())), "segments")
     has = lambda part: F.max(F.col("part") == part)
     sides = F.when(has(PROMPT) | (has(CHOSEN) & has(REJECTED)), BOTH).when(has(CHOSEN), CHOSEN).otherwise(REJECTED)
-    bounded = (F.sum("n_chars") <= max_chars) & (F.count(F.lit(1)) <= max_segments)
+    bounded = F.lit(True)
+    if max_chars is not None:
+        bounded &= F.sum("n_chars") <= max_chars
+    if max_segments is not None:
+        bounded &= F.count(F.lit(1)) <= max_segments
     pairs = segments.groupBy(F.col("pair_id").alias("_pair")).agg(sides.alias("sides"), bounded.alias("_bounded"))
     placed = segments.join(pairs, F.col("pair_id") == F.col("_pair"))
+    if max_chars is None and max_segments is None:
+        return _whole_pairs(placed)
     return _whole_pairs(placed.where("_bounded")).unionByName(_loose_segments(placed.where("not _bounded")))
 
 

@@ -199,3 +199,13 @@ def test_empty_tables(spark, tmp_path):
     warc.write_pages(pages, str(tmp_path / "w"))
     assert warc.read_pages(spark, str(tmp_path / "w")).count() == 0
     assert chat.preference_segments(chat.neighbours(spark.createDataFrame([], TURNS))).count() == 0
+
+
+def test_long_pairs_are_rows_like_others(spark):
+    """The form of a pair does not depend on its length, in characters or in turns."""
+    long = [(0, 0, "user", "q" * 1_100_000), (0, 1, "assistant", "a"), (1, 0, "user", "q" * 1_100_000), (1, 1, "assistant", "b")]
+    many = [(c, t, "user", "t") for c in (2, 3) for t in range(10_100)] + [(2, 10_100, "assistant", "c")]
+    got = {r.pair_id: r for r in chat.preference_pairs(chat.neighbours(conversations(spark, long + many))).collect()}
+    assert [got[k].form for k in sorted(got)] == ["pair", "pair"]
+    assert got[0].prompt == "<|user|>\n" + "q" * 1_100_000 + "<|end|>\n" and got[0].rejected == "<|assistant|>\nb<|end|>\n"
+    assert got[1].prompt == "<|user|>\nt<|end|>\n" * 10_100 and got[1].chosen == "<|assistant|>\nc<|end|>\n"
