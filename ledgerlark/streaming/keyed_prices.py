@@ -12,18 +12,23 @@ symbol, and what is late goes into the ring as far as later means can reach it.
 come in any order, ``lateness`` sets only what is cheap, and neither a watermark nor a timer
 decides about a result.
 
-The new rows of a symbol in one batch, and its ring, are in one task. Bound a batch by the
+The rings of many symbols are one state value: a symbol belongs to one of ``SLOTS`` slots by a hash,
+and a batch merges all symbols of a slot at once. A call of Python and a trip to the state store cost
+some milliseconds, so these follow the slots and not the symbols. A batch reads and writes the
+rings of the slots that it touches, which is less than ``sources.upsert_version`` rewrites of the table.
+
+The new rows of a slot in one batch, and its rings, are in one task. Bound a batch by the
 ``max_files`` of the stream, so that a long history lands in several batches.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from bisect import bisect_left
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,10 +48,10 @@ PRICES = [f.name for f in HISTORY_SCHEMA.fields if f.name not in KEYS]
 VERSION = "landed_version"
 LATENESS = 30
 
+# Part of what a checkpoint holds: another number would not find the rings that are stored.
+SLOTS = 1024
+
 _DAY = "yyyy-MM-dd HH:mm:ss.SSSSSS"
-# ``open_from``: the first day whose mean the ring can tell, once rows before it were let go.
-_RING = "open_from string, days array<string>, versions array<string>, prices array<double>"
-_OUT = "symbol string, day string, version string, prices array<double>, means array<double>, late boolean"
 
 
 def mean_name(price: str) -> str:
@@ -54,6 +59,17 @@ def mean_name(price: str) -> str:
     return f"{price}_mean"
 
 
+_TEXTS = ["symbol", "day", "version"]
+_MEANS = [mean_name(p) for p in PRICES]
+_OUT = T.StructType(
+    [T.StructField(name, T.StringType()) for name in _TEXTS]
+    + [T.StructField(name, T.DoubleType()) for name in [*PRICES, *_MEANS]]
+    + [T.StructField("late", T.BooleanType())]
+)
+# ``open_from``: the first day of a symbol whose mean its ring can tell, once rows before it were let go.
+_RING = pa.schema([(name, pa.string()) for name in [*_TEXTS, "open_from"]] + [(name, pa.float64()) for name in PRICES])
+
+
 def rolling_means(prices: np.ndarray, period: int) -> np.ndarray:
     """Means over the last ``period`` rows by column, NaN where a row is missing or NaN.
 
@@ -91,90 +107,102 @@ def _cut(day: str, lateness: int) -> str:
         return ""
 
 
-def _age(row: tuple) -> tuple:
-    """What tells rows of a day apart: the file, and within a file the greater prices, as in
-    ``latest_rows``."""
-    return row[0], [-np.inf if p is None else p for p in row[1]]
+def _newest(order: np.ndarray, among: np.ndarray, symbol: np.ndarray, day: np.ndarray) -> np.ndarray:
+    """The last row in ``order`` of each symbol and day, of the rows ``among``."""
+    at = order[among[order]]
+    after = at[1:]
+    return at[np.append((symbol[after] != symbol[at[:-1]]) | (day[after] != day[at[:-1]]), True)[: len(at)]]
 
 
 class Rings(StatefulProcessor):
-    """Prices of a symbol that a mean can still need."""
+    """Prices of the symbols of a slot that a mean can still need."""
 
     def __init__(self, period: int, lateness: int):
         self.period, self.lateness = period, lateness
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ring = handle.getValueState("ring", _RING)
+        self.rings = handle.getValueState("rings", "rows binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        known, open_from = self._load()
-        oldest = min(known, default="")
-        changed, late = set(), {}
-        for batch in rows:
-            for day, version, prices in zip(batch["day"], batch["version"], batch["prices"]):
-                new = (version, [None if p is None or np.isnan(p) else float(p) for p in prices])
-                if open_from and day < open_from:
-                    # Judged against the stored table, where its older versions are.
-                    if day not in late or _age(new) > _age(late[day]):
-                        late[day] = new
-                    if day < oldest:
-                        continue
-                old = known.get(day)
-                if old is None or _age(new) > _age(old):
-                    known[day] = new
-                    changed.add(day)
-        days = sorted(known)
-        table = np.array([known[d][1] for d in days], dtype=float).reshape(len(days), -1)
-        reached = np.zeros(len(days), dtype=bool)
-        for at in (i for i, d in enumerate(days) if d in changed):
-            reached[at : at + self.period] = True
-        reached &= np.array([d >= open_from for d in days], dtype=bool)
-        if reached.any():
-            means = rolling_means(table, self.period)
-            yield self._rows(key, [(days[i], *known[days[i]], means[i], False) for i in np.flatnonzero(reached)])
-        if late:
-            yield self._rows(key, [(d, *row, [np.nan] * len(row[1]), True) for d, row in late.items()])
-        if changed:
-            self._store(known, days, open_from)
-
-    def _load(self) -> tuple[dict, str]:
-        if not self.ring.exists():
-            return {}, ""
-        open_from, days, versions, prices = self.ring.get()
-        width = len(prices) // max(len(days), 1)
-        return {d: (v, list(prices[at * width : (at + 1) * width])) for at, (d, v) in enumerate(zip(days, versions))}, open_from
-
-    def _store(self, known: dict, days: list[str], open_from: str) -> None:
-        """One value per symbol, so that a batch reads and writes the state once per symbol."""
-        cut = max(open_from, _cut(days[-1], self.lateness))
-        gone = max(0, bisect_left(days, cut) - (self.period - 1))
-        kept = days[gone:]
-        prices = [price for day in kept for price in known[day][1]]
-        self.ring.update((cut if gone else open_from, kept, [known[day][0] for day in kept], prices))
+        known = self._load()
+        size = sum(map(len, known))
+        rows = pd.concat([*known, *rows], ignore_index=True)
+        texts = {name: rows[name].to_numpy(dtype=object) for name in _TEXTS}
+        prices = rows[PRICES].to_numpy(dtype=float)
+        stored = np.arange(len(rows)) < size
+        # Numbers instead of texts; a symbol of NULL is one of them, and days are numbered in their order.
+        symbol, names = pd.factorize(texts["symbol"], use_na_sentinel=False)
+        day, days = pd.factorize(texts["day"], sort=True)
+        version, _ = pd.factorize(texts["version"], sort=True)
+        open_from = np.full(len(names), "", dtype=object)
+        oldest = np.full(len(names), len(days))
+        if size:
+            open_from[symbol[:size]] = rows["open_from"].to_numpy(dtype=object)[:size]
+            np.minimum.at(oldest, symbol[:size], day[:size])
+        open_at = np.searchsorted(days, open_from)
+
+        # Late rows are judged against the stored table, where their older versions are.
+        late = ~stored & (day < open_at[symbol])
+        # What tells rows of a day apart: the file, and within a file the greater prices, as in
+        # ``latest_rows``; of equal rows the stored one stays.
+        ages = [version, *np.where(np.isnan(prices), -np.inf, prices).T]
+        order = np.lexsort([stored, *reversed(ages), day, symbol])
+        at = _newest(order, ~(late & (day < oldest[symbol])), symbol, day)
+        count, changed = np.arange(len(at)), ~stored[at]
+        first = np.append(True, symbol[at[1:]] != symbol[at[:-1]])
+        begin = np.maximum.accumulate(np.where(first, count, 0))
+        change = np.maximum.accumulate(np.where(changed, count, -1))
+        reached = (change >= begin) & (count - change < self.period) & (day[at] >= open_at[symbol[at]])
+        with np.errstate(all="ignore"):
+            means = rolling_means(prices[at], self.period)
+        means[count - begin < self.period - 1] = np.nan
+        late = _newest(order, late, symbol, day)
+        out = np.concatenate([at[reached], late])
+        if len(out):
+            means = np.concatenate([means[reached], np.full((len(late), len(PRICES)), np.nan)])
+            yield self._frame(texts, prices, out, **dict(zip(_MEANS, means.T)), late=np.arange(len(out)) >= len(out) - len(late))
+        if changed.any():
+            ends = np.append(np.flatnonzero(first)[1:], len(at)) - 1
+            cuts = np.array([max(open_from[symbol[i]], _cut(days[day[i]], self.lateness)) for i in at[ends]], dtype=object)
+            ring = np.cumsum(first) - 1
+            before = np.add.reduceat(day[at] < np.searchsorted(days, cuts)[ring], np.flatnonzero(first), dtype=int)
+            gone = np.maximum(0, before - (self.period - 1))
+            kept = count - begin >= gone[ring]
+            opened = np.where(gone > 0, cuts, open_from[symbol[at[ends]]])
+            self._store(self._frame(texts, prices, at[kept], open_from=opened[ring[kept]]))
 
     @staticmethod
-    def _rows(key: tuple, found: list[tuple]) -> pd.DataFrame:
-        empty = lambda values: [None if v is None or np.isnan(v) else float(v) for v in values]
-        return pd.DataFrame(
-            [(key[0], day, version, prices, empty(means), late) for day, version, prices, means, late in found],
-            columns=["symbol", "day", "version", "prices", "means", "late"],
-        )
+    def _frame(texts: dict[str, np.ndarray], prices: np.ndarray, at: np.ndarray, **more: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({name: text[at] for name, text in texts.items()} | dict(zip(PRICES, prices[at].T)) | more)
+
+    def _load(self) -> list[pd.DataFrame]:
+        if not self.rings.exists():
+            return []
+        return [pa.ipc.open_stream(self.rings.get()[0]).read_pandas()]
+
+    def _store(self, rows: pd.DataFrame) -> None:
+        """One value per slot, so that a batch reads and writes the state once per slot."""
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _RING, options=pa.ipc.IpcWriteOptions(compression="lz4")) as stream:
+            stream.write_table(pa.Table.from_pandas(rows, schema=_RING, preserve_index=False))
+        self.rings.update((sink.getvalue().to_pybytes(),))
 
     def close(self) -> None:
         pass
 
 
 def _keyed(landed: DataFrame, start: str) -> DataFrame:
-    """Prices as arrays, with the time and name of their file as version."""
+    """Prices with the slot of their symbol, and with the time and name of their file as version."""
     time = lambda c: F.coalesce(F.date_format(c, _DAY), F.lit(""))
     versions = {"_modified": F.col("_metadata.file_modification_time"), "_file": F.col("_metadata.file_name")}
     fields = T.StructType([*HISTORY_SCHEMA.fields, T.StructField("_modified", T.TimestampType()), T.StructField("_file", T.StringType())])
     panel = truncate_before(nan_to_null(conform(landed.withColumns(versions), fields)), start)
     return panel.select(
+        F.pmod(F.hash("symbol"), F.lit(SLOTS)).alias("slot"),
         "symbol",
         time(F.col("date")).alias("day"),
         F.concat_ws(" ", time(F.col("_modified")), "_file").alias("version"),
-        F.array(*PRICES).alias("prices"),
+        *PRICES,
     )
 
 
@@ -210,8 +238,8 @@ def keyed_averages(
         plain = rows.select(
             "symbol",
             F.when(F.col("day") != "", date).alias("date"),
-            *[F.col("prices")[at].alias(p) for at, p in enumerate(PRICES)],
-            *[F.col("means")[at].alias(mean_name(p)) for at, p in enumerate(PRICES)],
+            *PRICES,
+            *_MEANS,
             F.col("version").alias(VERSION),
             "late",
         )
@@ -220,7 +248,7 @@ def keyed_averages(
             new = _after_late(plain, current_table(reached.sparkSession, table_path), period)
         upsert_version(new, table_path, KEYS, ["symbol"], buckets, f"{checkpoint_path}#{batch_id}")
 
-    reached = _keyed(landed, start).groupBy("symbol").transformWithStateInPandas(Rings(period, lateness), _OUT, "update", "none")
+    reached = _keyed(landed, start).groupBy("slot").transformWithStateInPandas(Rings(period, lateness), _OUT, "update", "none")
     return (
         reached.writeStream.foreachBatch(refresh)
         .outputMode("update")

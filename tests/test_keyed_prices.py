@@ -111,3 +111,23 @@ def test_means_equal_plain_windows_to_the_last_digit(spark, period):
     expected = [r["close"] for r in rolling_average(df, period, ["close"]).orderBy("date").collect()]
     got = rolling_means(np.array([[np.nan if v is None else v] for v in values]), period)[:, 0]
     assert [None if np.isnan(v) else v for v in got] == expected
+
+
+def test_calls_of_the_state_follow_the_slots_and_not_the_symbols(keyed, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    day = lambda n: dt.datetime(2020, 1, 1) + dt.timedelta(days=n)
+    price = lambda s, n: (None if s == 7 else f"S{s}", day(n), 1.0, None, float("nan"), s + n / 7, 5.0, 1.0 * n, None, 0.0)
+    symbols = 2 * keyed_prices.SLOTS
+    # Days in order; a restated day in time; late days, and a late symbol that is new.
+    files = [[price(s, n) for s in range(symbols) for n in range(7)], [price(s, 7) for s in range(symbols)]]
+    files.append([price(s, n)[:5] + (9.0,) + price(s, n)[6:] for s, n in [(1, 6), (2, 2), (7, 0), (7, 5), (symbols, 0)]])
+    for at, data in enumerate(files):
+        write(keyed, landing, at, data)
+        stream = read_statement_stream(keyed, str(landing), HISTORY_SCHEMA)
+        run = keyed_averages(stream, str(tmp_path / "table"), str(tmp_path / "checkpoint"), 3, lateness=2)
+        run.awaitTermination()
+        assert run.lastProgress["stateOperators"][0]["numRowsTotal"] <= keyed_prices.SLOTS
+    newest = keyed.read.parquet(str(landing)).selectExpr("*", "_metadata.file_modification_time AS _at")
+    newest = latest_rows(newest, ["symbol", "date"], ["_at"]).drop("_at").replace(float("nan"), None)
+    assert rows(means(current_table(keyed, str(tmp_path / "table")))) == rows(rolling_average(truncate_before(newest), 3))
